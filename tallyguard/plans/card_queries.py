@@ -5,11 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyguard.functions import text
+from tallyguard.operators.analytics import distinct_merchants, merchant_sketches, merge_sketches
 from tallyguard.operators.card_windows import card_features
+from tallyguard.operators.lookups import as_of
+from tallyguard.operators.rules import hour_of_day
 from tallyguard.operators.scoring import score_transactions
+from tallyguard.operators.snapshots import (
+    card_snapshots,
+    expire,
+    last_merchant,
+    latest_per_key,
+    new_device_flag,
+    new_merchant_flag,
+    strict_week,
+    with_snapshot,
+)
 from tallyguard.plans.oracle import DENSE, SPARSE, on_features, on_scores
 from tallyguard.plans.registry import query
-from tallyguard.sources.views import given_probability, tx_dense, tx_sparse
+from tallyguard.sources.views import as_transactions, given_probability, table, tx_dense, tx_sparse
 
 
 def dense_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,3 +118,221 @@ def _register_rules() -> None:
 
 _register_rules()
 query("score_flagship", on_scores("SELECT tx_id, card_id, risk_score, decision, applied_rules FROM scored"))(flagship)
+
+
+# --- snapshots, first-seen flags, as-of join ---------------------------------------------------
+
+AS_OF_MS = 1_706_659_200_000  # 30 days after the first event
+
+
+@query(
+    "w06_strict_week",
+    f"""WITH {SPARSE} SELECT tx_id, card_id, count(*) OVER w AS tx_count_7d,
+      CAST(sum(CAST(round(amount*100) AS BIGINT)) OVER w AS DOUBLE)/(100.0::DOUBLE*CAST(count(*) OVER w AS DOUBLE)) AS avg_amount_strict_7d,
+      max(amount) OVER w AS max_amount_7d
+    FROM tx WINDOW w AS (PARTITION BY card_id ORDER BY ts_ms RANGE BETWEEN 604800000 PRECEDING AND CURRENT ROW)""",
+)
+def w06_strict_week(spark, sf_dir):
+    rows = strict_week(tx_sparse(spark, sf_dir))
+    return rows.select("tx_id", "card_id", "tx_count_7d", "avg_amount_strict_7d", "max_amount_7d")
+
+
+query(
+    "w06_strict_week_hot_cards",
+    f"""WITH {DENSE} SELECT tx_id, card_id, count(*) OVER w AS tx_count_7d,
+      CAST(sum(CAST(round(amount*100) AS BIGINT)) OVER w AS DOUBLE)/(100.0::DOUBLE*CAST(count(*) OVER w AS DOUBLE)) AS avg_amount_strict_7d,
+      max(amount) OVER w AS max_amount_7d
+    FROM tx WINDOW w AS (PARTITION BY card_id ORDER BY ts_ms RANGE BETWEEN 604800000 PRECEDING AND CURRENT ROW)""",
+)(
+    lambda spark, sf_dir: strict_week(tx_dense(spark, sf_dir), max_rows=60).select(
+        "tx_id", "card_id", "tx_count_7d", "avg_amount_strict_7d", "max_amount_7d"
+    )
+)
+
+_SNAPSHOT_SQL = """SELECT card_id, last_tx_ms, {columns} FROM (
+  SELECT card_id, ts_ms AS last_tx_ms, tx_count_1h, tx_count_6h, tx_count_24h, avg_amount_7d, distinct_merchants_24h,
+    nullif(country,'') AS last_country, country_changed, time_since_last_tx_ms, nullif(device,'') AS device_hash, velocity_score,
+    row_number() OVER (PARTITION BY card_id ORDER BY ts_ms DESC, tx_id DESC) AS r FROM feat) WHERE r=1"""
+_SNAPSHOT = (
+    "tx_count_1h, tx_count_6h, tx_count_24h, avg_amount_7d, distinct_merchants_24h, last_country, country_changed, "
+    "time_since_last_tx_ms, device_hash, velocity_score"
+)
+
+
+@query("w11_card_snapshots", on_features(_SNAPSHOT_SQL.format(columns=_SNAPSHOT)))
+def w11_card_snapshots(spark, sf_dir):
+    return card_snapshots(dense_features(spark, sf_dir)).select("card_id", "last_tx_ms", *_SNAPSHOT.split(", "))
+
+
+@query(
+    "w12_snapshots_as_of",
+    on_features(
+        _SNAPSHOT_SQL.format(
+            columns=", ".join(
+                f"CASE WHEN {AS_OF_MS}-last_tx_ms>=604800000 THEN {default} ELSE {column} END AS {column}"
+                for column, default in {
+                    "tx_count_24h": "0",
+                    "avg_amount_7d": "0.0::DOUBLE",
+                    "last_country": "NULL",
+                    "country_changed": "false",
+                    "time_since_last_tx_ms": "-1",
+                    "device_hash": "NULL",
+                    "velocity_score": "0.0::DOUBLE",
+                }.items()
+            )
+        ),
+        SPARSE,
+    ),
+)
+def w12_snapshots_as_of(spark, sf_dir):
+    snapshots = card_snapshots(sparse_features(spark, sf_dir))
+    return expire(snapshots, F.lit(AS_OF_MS)).select(
+        "card_id", "last_tx_ms", "tx_count_24h", "avg_amount_7d", "last_country", "country_changed",
+        "time_since_last_tx_ms", "device_hash", "velocity_score",
+    )
+
+
+@query(
+    "w13_new_merchant",
+    f"""WITH {DENSE} SELECT tx_id, row_number() OVER (PARTITION BY card_id, merchant_id ORDER BY ts_ms, tx_id)=1 AS is_new_merchant FROM tx""",
+)
+def w13_new_merchant(spark, sf_dir):
+    return new_merchant_flag(tx_dense(spark, sf_dir)).select("tx_id", "is_new_merchant")
+
+
+query(
+    "w13_new_merchant_hot_pairs",
+    f"""WITH {DENSE} SELECT tx_id, row_number() OVER (PARTITION BY card_id, merchant_id ORDER BY ts_ms, tx_id)=1 AS is_new_merchant FROM tx""",
+)(lambda spark, sf_dir: new_merchant_flag(tx_dense(spark, sf_dir), max_rows=2).select("tx_id", "is_new_merchant"))
+
+
+@query(
+    "w14_new_device",
+    f"""WITH {SPARSE} SELECT tx_id, ts_ms - min(ts_ms) OVER (PARTITION BY card_id, device) < 86400000 AS is_new_device FROM tx""",
+)
+def w14_new_device(spark, sf_dir):
+    return new_device_flag(tx_sparse(spark, sf_dir)).select("tx_id", "is_new_device")
+
+
+@query(
+    "w15_last_merchant",
+    f"""WITH {SPARSE} SELECT card_id, merchant_id AS last_merchant_id FROM tx
+    QUALIFY row_number() OVER (PARTITION BY card_id ORDER BY ts_ms DESC, tx_id DESC)=1""",
+)
+def w15_last_merchant(spark, sf_dir):
+    return last_merchant(tx_sparse(spark, sf_dir))
+
+
+@query(
+    "s16_latest_per_card",
+    f"""WITH {DENSE} SELECT card_id, tx_id, ts_ms, amount FROM tx
+    QUALIFY row_number() OVER (PARTITION BY card_id ORDER BY ts_ms DESC, tx_id DESC)=1""",
+)
+def s16_latest_per_card(spark, sf_dir):
+    rows = tx_dense(spark, sf_dir).select("card_id", "tx_id", "ts_ms", "amount")
+    return latest_per_key(rows, ["card_id"], ["ts_ms", "tx_id"])
+
+
+_AS_OF_SQL = on_features(
+    """SELECT c.event_id AS tx_id, c.user_id AS card_id, f.ts_ms AS snapshot_ms, f.avg_amount_7d, f.tx_count_24h
+    FROM (SELECT *, epoch_us(ts)//1000 AS at FROM events WHERE event_type='click') c
+    ASOF LEFT JOIN feat f ON c.user_id=f.card_id AND c.at>=f.ts_ms""",
+    SPARSE,
+)
+
+
+def _as_of(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    clicks = as_transactions(table(spark, sf_dir, "events").filter(F.col("event_type") == "click"))
+    history = sparse_features(spark, sf_dir).withColumnRenamed("ts_ms", "snapshot_ms")
+    joined = as_of(clicks.select("tx_id", "card_id", "ts_ms"), history, ["avg_amount_7d", "tx_count_24h"], **options)
+    return joined.select("tx_id", "card_id", "snapshot_ms", "avg_amount_7d", "tx_count_24h")
+
+
+query("j01_as_of_snapshot", _AS_OF_SQL)(lambda spark, sf_dir: _as_of(spark, sf_dir))
+query("j01_as_of_snapshot_hot_cards", _AS_OF_SQL)(lambda spark, sf_dir: _as_of(spark, sf_dir, max_rows=25))
+
+_WITH_DEFAULTS = """SELECT t.tx_id, coalesce(f.tx_count_24h,0) AS tx_count_24h, coalesce(f.avg_amount_7d,0.0::DOUBLE) AS avg_amount_7d,
+    coalesce(f.time_since_last_tx_ms,-1) AS time_since_last_tx_ms, CASE WHEN f.card_id IS NOT NULL THEN f.device END AS device_hash,
+    coalesce(f.country_changed,false) AS country_changed
+  FROM (SELECT event_id AS tx_id, user_id AS card_id FROM events WHERE {where}) t
+  LEFT JOIN (SELECT * FROM feat QUALIFY row_number() OVER (PARTITION BY card_id ORDER BY ts_ms DESC, tx_id DESC)=1) f USING (card_id)"""
+
+
+@query("p13_default_features", on_features(_WITH_DEFAULTS.format(where="event_type='view'"), SPARSE.replace("='purchase'", "='purchase' AND value>60")))
+def p13_default_features(spark, sf_dir):
+    """Views enriched from the snapshots of large purchases; cards without one get the defaults."""
+    large = tx_sparse(spark, sf_dir).filter(F.col("amount") > 60)
+    views = as_transactions(table(spark, sf_dir, "events").filter(F.col("event_type") == "view")).select("tx_id", "card_id")
+    return with_snapshot(views, card_snapshots(card_features(large))).select(
+        "tx_id", "tx_count_24h", "avg_amount_7d", "time_since_last_tx_ms", "device_hash", "country_changed"
+    )
+
+
+@query(
+    "p14_unknown_card",
+    f"""WITH {SPARSE} SELECT DISTINCT user_id AS card_id, 0 AS tx_count_1h, 0.0::DOUBLE AS avg_amount_7d, NULL::VARCHAR AS last_country,
+      false AS country_changed, -1::BIGINT AS time_since_last_tx_ms, NULL::VARCHAR AS device_hash
+    FROM events WHERE user_id NOT IN (SELECT card_id FROM tx WHERE amount>150)""",
+)
+def p14_unknown_card(spark, sf_dir):
+    """Cards that have no snapshot, as they read."""
+    large = tx_sparse(spark, sf_dir).filter(F.col("amount") > 150)
+    cards = table(spark, sf_dir, "events").select(F.col("user_id").alias("card_id")).distinct()
+    snapshots = card_snapshots(card_features(large))
+    unseen = cards.join(snapshots, "card_id", "left_anti")
+    return with_snapshot(unseen, snapshots).select(
+        "card_id", F.col("tx_count_1h").cast("int").alias("tx_count_1h"), "avg_amount_7d", "last_country", "country_changed",
+        "time_since_last_tx_ms", "device_hash",
+    )
+
+
+@query(
+    "p19_hour_and_weekday",
+    f"""WITH {SPARSE} SELECT tx_id, CAST(hour(make_timestamp(ts_ms*1000)) AS INTEGER) AS hour_of_day,
+      CAST(dayofweek(make_timestamp(ts_ms*1000))+1 AS INTEGER) AS day_of_week FROM tx""",
+)
+def p19_hour_and_weekday(spark, sf_dir):
+    return tx_sparse(spark, sf_dir).select(
+        "tx_id", hour_of_day().alias("hour_of_day"), text.day_of_week(F.col("ts_ms")).alias("day_of_week")
+    )
+
+
+query("f11_hour_utc", f"WITH {DENSE} SELECT tx_id, CAST(hour(make_timestamp(ts_ms*1000)) AS INTEGER) AS hour FROM tx")(
+    lambda spark, sf_dir: tx_dense(spark, sf_dir).select("tx_id", hour_of_day().alias("hour"))
+)
+
+
+@query(
+    "f10_instants",
+    f"""WITH {DENSE} SELECT tx_id, ts_ms, strftime(make_timestamp(ts_ms*1000), '%Y-%m-%dT%H:%M:%S')
+      || CASE WHEN ts_ms%1000<>0 THEN '.' || lpad(CAST(ts_ms%1000 AS VARCHAR),3,'0') ELSE '' END || 'Z' AS iso, ts_ms AS back_ms FROM tx""",
+)
+def f10_instants(spark, sf_dir):
+    return tx_dense(spark, sf_dir).select(
+        "tx_id",
+        "ts_ms",
+        text.iso_instant(F.col("ts_ms")).alias("iso"),
+        F.unix_millis(F.timestamp_millis("ts_ms")).alias("back_ms"),
+    )
+
+
+@query(
+    "f12_hour_date_month",
+    f"""WITH {SPARSE} SELECT tx_id, ts_ms//3600000*3600000 AS hour_ms, CAST(make_timestamp(ts_ms*1000) AS DATE) AS date,
+      CAST(strftime(make_timestamp(ts_ms*1000), '%Y%m') AS INTEGER) AS yyyymm FROM tx""",
+)
+def f12_hour_date_month(spark, sf_dir):
+    at = F.col("ts_ms")
+    return tx_sparse(spark, sf_dir).select(
+        "tx_id", text.hour_start_ms(at).alias("hour_ms"), text.utc_date(at).alias("date"), text.year_month(at).alias("yyyymm")
+    )
+
+
+query("a16_approximate_distinct")(lambda spark, sf_dir: distinct_merchants(tx_dense(spark, sf_dir)))
+
+
+@query("a16_merged_sketches")
+def a16_merged_sketches(spark, sf_dir):
+    """Sketches per card and day, merged per card."""
+    rows = tx_sparse(spark, sf_dir).withColumn("date", text.utc_date(F.col("ts_ms")))
+    return merge_sketches(merchant_sketches(rows, ["card_id", "date"]), ["card_id"])
