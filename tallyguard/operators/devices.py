@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,11 +34,12 @@ def fingerprint(signals: Column) -> Column:
 
 def merge_signals(*maps: Column) -> Column:
     """One map of all; for a key in several, the last map wins. Independent of session settings."""
-    merged = maps[0]
-    for later in maps[1:]:
-        kept = F.map_filter(merged, lambda key, _, later=later: ~F.map_contains_key(later, key))
-        merged = F.map_concat(kept, later)
-    return merged
+
+    def over(earlier: Column, later: Column) -> Column:
+        kept = F.map_filter(earlier, lambda key, _: ~F.map_contains_key(later, key))
+        return F.map_concat(kept, later)
+
+    return reduce(over, maps)
 
 
 def trace_counts(mouse: Column, keys: Column, touch: Column) -> Column:
