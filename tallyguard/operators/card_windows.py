@@ -64,21 +64,30 @@ def _idle_at_least(limit_ms: int) -> Column:
 
 def _finish(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns shared by both routes, from previous-row values and session sums."""
-    fresh = F.col("_new_7d")
-    known = F.col("_prev_country")
-    changed = ~fresh & (known != "") & (known != F.coalesce(F.col("country"), F.lit("")))
-    df = df.withColumns(
-        {
-            "country_changed": F.coalesce(changed, F.lit(False)),
-            "time_since_last_tx_ms": F.when(fresh, F.lit(-1)).otherwise(F.col("ts_ms") - F.col("_prev_ts")).cast("long"),
-            "device_hash": F.when(~fresh & (F.col("_prev_device") != ""), F.col("_prev_device")),
-            "avg_amount_7d": F.col("_cents_7d").cast("double") / (F.lit(100.0) * F.col("_count_7d").cast("double")),
-        }
-    )
-    df = df.withColumn(
-        "velocity_score", velocity_score(F.col("tx_count_1h"), F.col("tx_count_6h"), F.col("country_changed"))
+    known = "NOT _new_7d AND _prev_country <> '' AND _prev_country <> coalesce(country, '')"
+    return (
+        df.selectExpr(
+            *columns,
+            *COUNT_FRAMES,
+            "CAST(_cents_7d AS DOUBLE) / (100.0D * CAST(_count_7d AS DOUBLE)) AS avg_amount_7d",
+            "distinct_merchants_24h",
+            f"coalesce({known}, false) AS country_changed",
+            "IF(_new_7d, -1L, ts_ms - _prev_ts) AS time_since_last_tx_ms",
+            "IF(NOT _new_7d AND _prev_device <> '', _prev_device, NULL) AS device_hash",
+        )
+        .withColumn(
+            "velocity_score", velocity_score(F.col("tx_count_1h"), F.col("tx_count_6h"), F.col("country_changed"))
+        )
+        .select(*columns, *FEATURES)
     )
-    return df.select(*columns, *FEATURES)
+
+
+_COUNTED = [
+    f"""sum(_counted) OVER (PARTITION BY card_id ORDER BY ts_ms RANGE UNBOUNDED PRECEDING)
+      - coalesce(sum(_counted) OVER (PARTITION BY card_id ORDER BY ts_ms
+          RANGE BETWEEN UNBOUNDED PRECEDING AND {oldest + 1} PRECEDING), 0) AS {name}"""
+    for name, oldest in COUNT_FRAMES.items()
+]
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -87,62 +96,49 @@ def _plain(df: DataFrame) -> DataFrame:
     A sliding count is the difference of two running counts, because running frames cost one
     step per row while a sliding frame is summed again for every row.
     """
+    order = "OVER (PARTITION BY card_id ORDER BY ts_ms, tx_id)"
+    running = "OVER (PARTITION BY card_id ORDER BY ts_ms, tx_id ROWS UNBOUNDED PRECEDING)"
     columns = df.columns
-    by_card = Window.partitionBy("card_id").orderBy(*_ORDER)
-    by_merchant = Window.partitionBy("card_id", "merchant_id").orderBy(*_ORDER)
-    running = by_card.rowsBetween(Window.unboundedPreceding, 0)
-    by_time = Window.partitionBy("card_id").orderBy("ts_ms")
-
-    df = df.repartition("card_id").withColumn("_prev_same", F.lag("ts_ms").over(by_merchant))
-    df = df.withColumns(
-        {
-            "_prev_ts": F.lag("ts_ms").over(by_card),
-            "_prev_country": F.lag(F.coalesce(F.col("country"), F.lit(""))).over(by_card),
-            "_prev_device": F.lag(F.coalesce(F.col("device"), F.lit(""))).over(by_card),
-            "_n": F.row_number().over(by_card),
-            "_cents": _cents(F.col("amount")),
-            "_counted": F.when(F.col("_prev_same") == F.col("ts_ms"), 0).otherwise(1),
-        }
+    return _finish(
+        df.repartition("card_id")
+        .selectExpr("*", "lag(ts_ms) OVER (PARTITION BY card_id, merchant_id ORDER BY ts_ms, tx_id) AS _prev_same")
+        .selectExpr(
+            "*",
+            f"lag(ts_ms) {order} AS _prev_ts",
+            f"lag(coalesce(country, '')) {order} AS _prev_country",
+            f"lag(coalesce(device, '')) {order} AS _prev_device",
+            f"row_number() {order} AS _n",
+            "CAST(round(CAST(amount AS DOUBLE) * 100.0D) AS BIGINT) AS _cents",
+            "IF(_prev_same <=> ts_ms, 0L, 1L) AS _counted",
+        )
+        .selectExpr(
+            "*",
+            f"_prev_ts IS NULL OR ts_ms - _prev_ts >= {WEEK_MS}L AS _new_7d",
+            f"_prev_ts IS NULL OR ts_ms - _prev_ts >= {DAY_MS}L AS _new_24h",
+        )
+        .selectExpr(
+            "*",
+            f"sum(_cents) {running} AS _cents_run",
+            f"max(IF(_new_24h, ts_ms, NULL)) {running} AS _start_24h",
+            *_COUNTED,
+        )
+        .selectExpr("*", "IF(_prev_same IS NULL OR _prev_same < _start_24h, 1L, 0L) AS _first_here")
+        .selectExpr("*", f"sum(_first_here) {running} AS _firsts_run")
+        # Running totals as they stood just before the current session.
+        .selectExpr(
+            "*",
+            f"last(IF(_new_7d, _cents_run - _cents, NULL), true) {running} AS _cents_before",
+            f"last(IF(_new_7d, _n - 1, NULL), true) {running} AS _n_before",
+            f"last(IF(_new_24h, _firsts_run - 1, NULL), true) {running} AS _firsts_before",
+        )
+        .selectExpr(
+            "*",
+            "_cents_run - _cents_before AS _cents_7d",
+            "_n - _n_before AS _count_7d",
+            "_firsts_run - _firsts_before AS distinct_merchants_24h",
+        ),
+        columns,
     )
-    df = df.withColumns({"_new_7d": _idle_at_least(WEEK_MS), "_new_24h": _idle_at_least(DAY_MS)})
-    df = df.withColumns(
-        {
-            "_cents_run": F.sum("_cents").over(running),
-            "_start_24h": F.max(F.when(F.col("_new_24h"), F.col("ts_ms"))).over(running),
-        }
-    )
-    first_here = F.col("_prev_same").isNull() | (F.col("_prev_same") < F.col("_start_24h"))
-    df = df.withColumn("_first_here", first_here.cast("int"))
-    df = df.withColumn("_firsts_run", F.sum("_first_here").over(running))
-    # Running totals as they stood just before the current session.
-    df = df.withColumns(
-        {
-            "_before_7d": F.last(
-                F.when(
-                    F.col("_new_7d"),
-                    F.struct((F.col("_cents_run") - F.col("_cents")).alias("cents"), (F.col("_n") - 1).alias("n")),
-                ),
-                ignorenulls=True,
-            ).over(running),
-            "_before_24h": F.last(F.when(F.col("_new_24h"), F.col("_firsts_run") - 1), ignorenulls=True).over(running),
-        }
-    )
-    reached = F.sum("_counted").over(by_time.rangeBetween(Window.unboundedPreceding, 0))
-    counts = {
-        name: (
-            reached
-            - F.coalesce(F.sum("_counted").over(by_time.rangeBetween(Window.unboundedPreceding, -oldest - 1)), F.lit(0))
-        ).cast("long")
-        for name, oldest in COUNT_FRAMES.items()
-    }
-    df = df.withColumns(counts).withColumns(
-        {
-            "_cents_7d": F.col("_cents_run") - F.col("_before_7d.cents"),
-            "_count_7d": F.col("_n") - F.col("_before_7d.n"),
-            "distinct_merchants_24h": (F.col("_firsts_run") - F.col("_before_24h")).cast("long"),
-        }
-    )
-    return _finish(df, columns)
 
 
 def _sliced_counts(df: DataFrame) -> DataFrame:

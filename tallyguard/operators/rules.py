@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -115,15 +116,19 @@ def with_rule_scores(df: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> Da
             }
         )
     total = sum((F.coalesce(F.col(r.column), F.lit(0)) for r in rules[1:]), F.coalesce(F.col(rules[0].column), F.lit(0)))
-    fired = F.array_compact(F.array(*[F.when(F.col(r.column) > 0, F.lit(r.name)) for r in rules]))
-    scored = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.col(r.column) for r in rules]))
-    return df.withColumns(
-        {
-            "rule_score": total,
-            "applied_rules": fired,
-            "rule_scores": F.map_filter(scored, lambda _, value: value.isNotNull()),
-        }
-    )
+    # Removing a literal stays in generated code, unlike a filter with a lambda.
+    fired = F.array_remove(F.array(*[F.when(F.col(r.column) > 0, F.lit(r.name)).otherwise("") for r in rules]), "")
+    return df.withColumns({"rule_score": total, "applied_rules": fired, "rule_scores": scores_by_name(rules)})
+
+
+def scores_by_name(rules: Sequence[Rule], prefix: str = "", extra: Mapping[str, Column] | None = None, kind: str = "int") -> Column:
+    """Map of rule scores (and ``extra`` values) without those that are null."""
+    named = {f"{prefix}{rule.name}": F.col(rule.column).cast(kind) for rule in rules}
+    named |= {name: value.cast(kind) for name, value in (extra or {}).items()}
+    full = F.create_map(*[part for name, value in named.items() for part in (F.lit(name), value)])
+    # Only rows with a null value pay for the filter.
+    whole = reduce(lambda a, b: a & b, [value.isNotNull() for value in named.values()])
+    return F.when(whole, full).otherwise(F.map_filter(full, lambda _, value: value.isNotNull()))
 
 
 def in_high_risk_list(df: DataFrame, codes: DataFrame, max_broadcast_rows: int = 100_000) -> DataFrame:

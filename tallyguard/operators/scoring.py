@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyguard.operators.rules import DEFAULT_RULES, MAX_RULE_SCORE, Rule, with_rule_scores
+from tallyguard.operators.rules import DEFAULT_RULES, MAX_RULE_SCORE, Rule, scores_by_name, with_rule_scores
 
 
 @dataclass(frozen=True)
@@ -43,14 +43,11 @@ def decision(score: Column, options: ScoringOptions = DEFAULTS) -> Column:
     )
 
 
-def model_scores(rule_scores: Column, probability: Column) -> Column:
+def model_scores(rules: Sequence[Rule], probability: Column) -> Column:
     """``rule.<NAME>`` for every rule that ran, and ``ml.onnx`` where a probability exists."""
-    named = F.transform_keys(
-        F.transform_values(rule_scores, lambda _, score: score.cast("double")),
-        lambda name, _: F.concat(F.lit("rule."), name),
-    )
-    model = F.map_filter(F.create_map(F.lit("ml.onnx"), probability.cast("double")), lambda _, p: p.isNotNull())
-    return F.map_concat(named, model)
+    rules_only = scores_by_name(rules, "rule.", kind="double")
+    with_model = scores_by_name(rules, "rule.", {"ml.onnx": probability}, "double")
+    return F.when(probability.isNull(), rules_only).otherwise(with_model)
 
 
 def risk_band(score: Column) -> Column:
@@ -76,7 +73,7 @@ def score_transactions(
     return scored.withColumns(
         {
             "decision": decision(F.col("risk_score"), options),
-            "model_scores": model_scores(F.col("rule_scores"), p),
+            "model_scores": model_scores(rules, p),
             "fallback_used": p.isNull(),
         }
     )

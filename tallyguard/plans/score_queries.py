@@ -521,3 +521,17 @@ def u03_final_decisions(spark, sf_dir):
         F.col("trans_id").alias("tx_id"), F.col("action").alias("decision"), (F.col("ts_ms") + 60_000).alias("decision_ms")
     )
     return final_decisions(log, appended).select("tx_id", "decision")
+
+
+# --- model -------------------------------------------------------------------------------------
+
+
+@query("r13_ml_probability")
+def r13_ml_probability(spark, sf_dir):
+    """Boosted trees trained on the labelled rows, then applied to all."""
+    from tallyguard.operators.model import train_trees, with_ml_probability
+
+    features = dense_features(spark, sf_dir)
+    labelled = lookups.with_outcomes(features, _labels(spark, sf_dir)).filter(F.col("is_confirmed_fraud").isNotNull())
+    scored = scoring.score_transactions(with_ml_probability(features, train_trees(labelled, rounds=5)), "p")
+    return scored.select("tx_id", "p", "risk_score", "decision")
