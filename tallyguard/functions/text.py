@@ -21,8 +21,10 @@ def _digits(number: Column, count: int) -> list[Column]:
 
 def sortable_id(ts_ms: Column) -> Column:
     """26 characters: ten for the millisecond, sixteen random. Sorts by time; random within one ms."""
-    high, low = F.xxhash64(F.expr("uuid()")), F.xxhash64(F.expr("uuid()"))
-    return F.concat(*_digits(ts_ms.cast("long"), 10), *_digits(high, 8), *_digits(low, 8))
+    halves = F.array(F.xxhash64(F.expr("uuid()")), F.xxhash64(F.expr("uuid()")))
+    # Inside the lambda each half is one value, whose digits are taken from the same number.
+    suffix = F.array_join(F.transform(halves, lambda half: F.concat(*_digits(half, 8))), "")
+    return F.concat(*_digits(ts_ms.cast("long"), 10), suffix)
 
 
 def is_blank(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyguard.functions.requests import error_text, known_decision
@@ -65,9 +65,12 @@ def analytics_rows(audit: DataFrame) -> DataFrame:
     )
 
 
-def replay_events(audit: DataFrame, from_ts: Column, to_ts: Column) -> DataFrame:
+def replay_events(audit: DataFrame, from_ts: Column, to_ts: Column, scanned: Observation | None = None) -> DataFrame:
     """Decision events rebuilt from the audit rows of a closed time range, all cards."""
-    return audit.filter(F.col("ts").between(from_ts, to_ts)).select(
+    found = audit.filter(F.col("ts").between(from_ts, to_ts))
+    if scanned is not None:
+        found = found.observe(scanned, F.count(F.lit(1)).alias("rows"))
+    return found.select(
         "tx_id",
         "card_id",
         "risk_score",
@@ -80,19 +83,11 @@ def replay_events(audit: DataFrame, from_ts: Column, to_ts: Column) -> DataFrame
 
 
 def replay(audit: DataFrame, from_ts: Column, to_ts: Column, target: str) -> dict[str, int]:
-    """Append the range to ``target`` and report how many rows were scanned and published."""
-    events = replay_events(audit, from_ts, to_ts)
-    before = audit.filter(F.col("ts").between(from_ts, to_ts)).count()
-    observed = _observe(events, "published")
-    observed[0].write.mode("append").parquet(target)
-    return {"scanned": before, "published": observed[1].get["rows"]}
-
-
-def _observe(df: DataFrame, name: str):
-    from pyspark.sql import Observation
-
-    seen = Observation(name)
-    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+    """Append the range to ``target``; both counts come out of the one pass that writes."""
+    scanned, published = Observation("scanned"), Observation("published")
+    events = replay_events(audit, from_ts, to_ts, scanned).observe(published, F.count(F.lit(1)).alias("rows"))
+    events.write.mode("append").parquet(target)
+    return {"scanned": scanned.get["rows"], "published": published.get["rows"]}
 
 
 # --- upsert by transaction -------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyguard.functions.text import same_text
+from tallyguard.operators.lookups import one_per_key
 from tallyguard.operators.snapshots import latest_per_key
 
 # Limits, codes and names of the authentication protocol.
@@ -55,7 +56,7 @@ def eci(score: Column, authenticated: Column) -> Column:
 
 def assess(requests: DataFrame, scores: DataFrame) -> DataFrame:
     """Status of every request; one without a score gets the fallback score and is rejected."""
-    joined = requests.join(scores.select("tx_id", "risk_score"), "tx_id", "left")
+    joined = requests.join(one_per_key(scores.select("tx_id", "risk_score"), "tx_id"), "tx_id", "left")
     joined = joined.withColumn("risk_score", score_or_fallback(F.col("risk_score")))
     joined = joined.withColumn("trans_status", transaction_status(F.col("risk_score")))
     return joined.withColumns(
@@ -65,7 +66,7 @@ def assess(requests: DataFrame, scores: DataFrame) -> DataFrame:
 
 def complete_challenges(sessions: DataFrame, results: DataFrame) -> DataFrame:
     """Results (trans_id, result_status) of registered sessions (trans_id, risk_score)."""
-    joined = results.join(sessions.select("trans_id", "risk_score"), "trans_id")
+    joined = results.join(one_per_key(sessions.select("trans_id", "risk_score"), "trans_id"), "trans_id")
     ok = is_authenticated(F.col("result_status"))
     return joined.select(
         "trans_id",

@@ -12,6 +12,12 @@ from tallyguard.operators import skew
 REPLY_TIMEOUT_MS = 45
 
 
+def one_per_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Drop redelivered copies of a looked-up side, so that copies on both sides of a join do not
+    multiply. Grouped on the join key: the join needs no further exchange of this side."""
+    return df.dropDuplicates(list(keys))
+
+
 def as_of(
     events: DataFrame,
     snapshots: DataFrame,
@@ -48,7 +54,7 @@ def as_of(
 def decisions_with_transactions(decisions: DataFrame, transactions: DataFrame) -> DataFrame:
     """Fill merchant, amount, country, channel and category of decisions from their transactions."""
     filled = ["merchant_id", "amount", "country", "channel", "mcc"]
-    return decisions.drop(*filled).join(transactions.select("tx_id", *filled), "tx_id", "left")
+    return decisions.drop(*filled).join(one_per_key(transactions.select("tx_id", *filled), "tx_id"), "tx_id", "left")
 
 
 def correlate_replies(requests: DataFrame, replies: DataFrame, timeout_ms: int = REPLY_TIMEOUT_MS) -> DataFrame:
@@ -57,7 +63,7 @@ def correlate_replies(requests: DataFrame, replies: DataFrame, timeout_ms: int =
     ``requests``: tx_id, request_ms; ``replies``: tx_id, reply_ms and payload.
     """
     payload = [c for c in replies.columns if c != "tx_id"]
-    right = replies.select(F.col("tx_id").alias("_reply_to"), *payload)
+    right = one_per_key(replies, "tx_id", "reply_ms").select(F.col("tx_id").alias("_reply_to"), *payload)
     in_time = F.col("reply_ms").between(F.col("request_ms"), F.col("request_ms") + timeout_ms)
     joined = requests.join(right, (F.col("tx_id") == F.col("_reply_to")) & in_time, "left")
     return joined.withColumn("timed_out", F.col("_reply_to").isNull()).drop("_reply_to")
@@ -83,7 +89,7 @@ def with_fallback(correlated: DataFrame) -> DataFrame:
 
 def with_outcomes(decisions: DataFrame, labels: DataFrame) -> DataFrame:
     """Attach the nullable confirmed-fraud flag."""
-    return decisions.join(labels.select("tx_id", "is_confirmed_fraud"), "tx_id", "left")
+    return decisions.join(one_per_key(labels.select("tx_id", "is_confirmed_fraud"), "tx_id"), "tx_id", "left")
 
 
 def known_pairs(transactions: DataFrame, registered: DataFrame) -> DataFrame:

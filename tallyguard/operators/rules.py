@@ -134,5 +134,5 @@ def scores_by_name(rules: Sequence[Rule], prefix: str = "", extra: Mapping[str,
 def in_high_risk_list(df: DataFrame, codes: DataFrame, max_broadcast_rows: int = 100_000) -> DataFrame:
     """Rows whose ``mcc`` is in the table ``codes``; the list is broadcast only when proven small."""
     codes = codes.select("mcc").distinct()
-    small = len(codes.take(max_broadcast_rows + 1)) <= max_broadcast_rows
+    small = codes.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
     return df.join(F.broadcast(codes) if small else codes, "mcc", "left_semi").select(df.columns)

@@ -12,11 +12,10 @@ the day.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -83,8 +82,9 @@ class _Recent:
 
 
 class CardFeatureProcessor(StatefulProcessor):
-    def __init__(self, delay_ms: int = 5_000):
-        self.delay_ms = delay_ms
+    def __init__(self, kept: Sequence[str] = (), delay_ms: int = 5_000):
+        self.kept, self.delay_ms = list(kept), delay_ms
+        self.result = Row(*self.kept, *FEATURES)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -92,8 +92,8 @@ class CardFeatureProcessor(StatefulProcessor):
         self.recent = handle.getMapState("recent", "hour bigint", "ts array<bigint>, merchant array<string>")
         self.merchants = handle.getMapState("merchants", "merchant string", "seen boolean")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts_ms", "tx_id"], kind="stable")
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        batch = sorted(rows, key=lambda row: (row.ts_ms, row.tx_id))
         known = self.card.get()
         if known is None:
             last_ms, country, device, cents, count, timer = None, "", "", 0, 0, None
@@ -102,14 +102,11 @@ class CardFeatureProcessor(StatefulProcessor):
             last_ms, country, device, cents, count, held, spilled, hours, hour_sizes, timer = known
             merchants, sizes = set(held), dict(zip(hours, hour_sizes))
         recent = _Recent(self.recent, sizes)
-        times = [int(t) for t in batch["ts_ms"]]
-        sellers = [str(m) for m in batch["merchant_id"]]
-        for ts, seller in zip(times, sellers):
-            recent.add(ts, seller)
-        features: list[tuple] = []
-        countries = ["" if pd.isna(c) else c for c in batch["country"]]
-        gadgets = ["" if pd.isna(d) else d for d in batch["device"]]
-        for ts, seller, amount, here, gadget in zip(times, sellers, batch["amount"], countries, gadgets):
+        for row in batch:
+            recent.add(row.ts_ms, str(row.merchant_id))
+        out = []
+        for row in batch:
+            ts, seller, here = row.ts_ms, str(row.merchant_id), row.country or ""
             idle = None if last_ms is None else ts - last_ms
             fresh = idle is None or idle >= WEEK_MS
             if fresh:
@@ -118,12 +115,13 @@ class CardFeatureProcessor(StatefulProcessor):
                 merchants, spilled = set(), self._forget(spilled)
             if seller not in merchants:
                 spilled += self._remember(merchants, seller, spilled)
-            cents += _cents(amount)
+            cents += _cents(row.amount)
             count += 1
             changed = not fresh and country != "" and country != here
             counts = [recent.between(ts - oldest, ts) for oldest in COUNT_FRAMES.values()]
-            features.append(
-                (
+            out.append(
+                self.result(
+                    *[row[name] for name in self.kept],
                     *counts,
                     cents / (100.0 * count),
                     len(merchants) + spilled,
@@ -134,7 +132,7 @@ class CardFeatureProcessor(StatefulProcessor):
                 )
             )
             if idle is None or idle >= 0:
-                last_ms, country, device = ts, here, gadget
+                last_ms, country, device = ts, here, row.device or ""
         recent.save(last_ms - DAY_MS - self.delay_ms)
         if timer is None:
             timer = last_ms + WEEK_MS
@@ -142,9 +140,7 @@ class CardFeatureProcessor(StatefulProcessor):
         self.card.update(
             (last_ms, country, device, cents, count, sorted(merchants), spilled, list(sizes), list(sizes.values()), timer)
         )
-        found = pd.DataFrame(features, columns=FEATURES, index=batch.index)
-        found["device_hash"] = found["device_hash"].astype(object)
-        yield pd.concat([batch, found], axis=1)
+        return iter(out)
 
     def _remember(self, merchants: set[str], seller: str, spilled: int) -> int:
         """Note a merchant; 1 when it went to the overflow map as a new one."""
@@ -161,7 +157,7 @@ class CardFeatureProcessor(StatefulProcessor):
             self.merchants.clear()
         return 0
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         """Free the state of a card that was idle for a week; else look again later."""
         known = self.card.get()
         if known is not None:
@@ -194,13 +190,9 @@ def stream_card_features(transactions: DataFrame, event_time: str = "event_time"
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in kept])
     for name in FEATURES:
         schema = schema.add(name, _FEATURE_TYPES[name])
-    names = [f.name for f in schema.fields]
-
-    class Processor(CardFeatureProcessor):
-        def handleInputRows(self, key, rows, timerValues):
-            for frame in super().handleInputRows(key, rows, timerValues):
-                yield frame[names]
-
-    return transactions.groupBy("card_id").transformWithStateInPandas(
-        statefulProcessor=Processor(), outputStructType=schema, outputMode="Append", timeMode="EventTime"
+    return transactions.groupBy("card_id").transformWithState(
+        statefulProcessor=CardFeatureProcessor([f.name for f in kept]),
+        outputStructType=schema,
+        outputMode="Append",
+        timeMode="EventTime",
     )

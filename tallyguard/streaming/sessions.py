@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -14,29 +13,29 @@ from tallyguard.operators.authentication import ECI_EVEN_SCORE, ECI_NOT_AUTHENTI
 from tallyguard.session import STATE_STORE
 
 _OUT = "trans_id string, state string, trans_status string, eci string"
+_CHANGE = Row("trans_id", "state", "trans_status", "eci")
 
 
 class SessionProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.session = handle.getValueState("session", "risk_score int, state string")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
-        out = []
-        for opened in batch.loc[batch["result_status"].isna(), "risk_score"]:
-            self.session.update((int(opened), "PENDING"))
-            out.append((key[0], "PENDING", None, None))
-        for result in batch["result_status"].dropna():
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        """Openings of a micro-batch come before its results."""
+        for row in sorted(rows, key=lambda row: row.result_status is not None):
+            if row.result_status is None:
+                self.session.update((row.risk_score, "PENDING"))
+                yield _CHANGE(key[0], "PENDING", None, None)
+                continue
             session = self.session.get()
             if session is None:
-                out.append((key[0], "NOT_FOUND", None, None))
+                yield _CHANGE(key[0], "NOT_FOUND", None, None)
                 continue
-            passed = result.upper() == "Y"
+            passed = row.result_status.upper() == "Y"
             code = (ECI_EVEN_SCORE if session[0] % 2 == 0 else ECI_ODD_SCORE) if passed else ECI_NOT_AUTHENTICATED
             state = "COMPLETED" if passed else "FAILED"
             self.session.update((session[0], state))
-            out.append((key[0], state, "Y" if passed else "N", code))
-        yield pd.DataFrame(out, columns=["trans_id", "state", "trans_status", "eci"])
+            yield _CHANGE(key[0], state, "Y" if passed else "N", code)
 
     def close(self) -> None:
         pass
@@ -53,6 +52,6 @@ def stream_sessions(sessions: DataFrame, results: DataFrame) -> DataFrame:
     closed = results.select(
         F.col("trans_id").cast("string").alias("trans_id"), F.lit(None).cast("int").alias("risk_score"), F.col("result_status")
     )
-    return opened.unionByName(closed).groupBy("trans_id").transformWithStateInPandas(
+    return opened.unionByName(closed).groupBy("trans_id").transformWithState(
         statefulProcessor=SessionProcessor(), outputStructType=_OUT, outputMode="Append", timeMode="None"
     )
