@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyguard.functions import text
 from tallyguard.operators.analytics import distinct_merchants, merchant_sketches, merge_sketches
+from tallyguard.operators.audit import drop_redelivered
 from tallyguard.operators.card_windows import card_features
 from tallyguard.operators.lookups import as_of
 from tallyguard.operators.rules import hour_of_day
@@ -336,3 +337,11 @@ def a16_merged_sketches(spark, sf_dir):
     """Sketches per card and day, merged per card."""
     rows = tx_sparse(spark, sf_dir).withColumn("date", text.utc_date(F.col("ts_ms")))
     return merge_sketches(merchant_sketches(rows, ["card_id", "date"]), ["card_id"])
+
+
+@query("card_features_redelivered", on_features(f"SELECT {_ALL} FROM feat"))
+def card_features_redelivered(spark, sf_dir):
+    """Every transaction sent twice, some three times: copies are dropped before the features."""
+    rows = tx_dense(spark, sf_dir)
+    sent = rows.unionByName(rows).unionByName(rows.filter(F.col("tx_id") % 3 == 0))
+    return card_features(drop_redelivered(sent)).select(*_ALL.split(", "))

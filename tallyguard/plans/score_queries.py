@@ -13,6 +13,7 @@ from tallyguard.operators.rules import DEFAULT_RULES, Rule, in_high_risk_list, p
 from tallyguard.plans.card_queries import dense_features, dense_scores, rules_text, sparse_features
 from tallyguard.plans.oracle import DENSE, SPARSE, on_features, on_scores
 from tallyguard.plans.registry import query
+from tallyguard.session import cut_lineage
 from tallyguard.sources.views import given_probability, props_k, table, tx_dense
 
 # --- rule sums, fusion, decision ---------------------------------------------------------------
@@ -443,8 +444,9 @@ done AS (SELECT trans_id, risk_score, upper(result_status)='Y' AS ok FROM result
 
 def sessions_and_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     scored = dense_scores(spark, sf_dir)
-    sessions = scored.filter(F.col("decision") == "CHALLENGE").select(
-        F.col("tx_id").alias("trans_id"), "risk_score", "ts_ms"
+    # Both sides come from the scored rows: written once instead of scored for each use.
+    sessions = cut_lineage(
+        scored.filter(F.col("decision") == "CHALLENGE").select(F.col("tx_id").alias("trans_id"), "risk_score", "ts_ms")
     )
     trans = F.col("trans_id")
     status = F.when(trans % 5 == 0, "N").when(trans % 7 == 0, "y").otherwise("Y").alias("result_status")

@@ -11,10 +11,12 @@ the day.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
+from operator import itemgetter
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -37,6 +39,7 @@ _CARD = (
     "last_ms bigint, last_country string, last_device string, cents bigint, rows bigint, "
     "merchants array<string>, spilled bigint, hours array<bigint>, sizes array<bigint>, timer_ms bigint"
 )
+_INPUTS = ["ts_ms", "tx_id", "merchant_id", "amount", "country", "device"]
 # Merchants held next to the sums; further ones go to a map of their own.
 _MERCHANTS_INLINE = 1_000
 
@@ -56,20 +59,27 @@ class _Recent:
         return self.read[hour]
 
     def add(self, ts: int, merchant: str) -> None:
-        hour = ts // HOUR_MS
+        hour, pair = ts // HOUR_MS, (ts, merchant)
         pairs = self.hour(hour)
-        at = bisect_left(pairs, (ts, merchant))
-        if at == len(pairs) or pairs[at] != (ts, merchant):
-            pairs.insert(at, (ts, merchant))
+        at = len(pairs) if not pairs or pairs[-1] < pair else bisect_left(pairs, pair)
+        if at == len(pairs) or pairs[at] != pair:
+            pairs.insert(at, pair)
             self.sizes[hour] = len(pairs)
             self.touched.add(hour)
 
-    def between(self, first: int, last: int) -> int:
-        low, high = first // HOUR_MS, last // HOUR_MS
-        whole = sum(size for hour, size in self.sizes.items() if low <= hour <= high)
-        before = bisect_left(self.hour(low), (first,))
-        after = self.hour(high)
-        return whole - before - (len(after) - bisect_right(after, (last, "\U0010ffff")))
+    def reached(self, times: np.ndarray, side: str) -> np.ndarray:
+        """Number of pairs before each of the ascending times (``left``) or up to it (``right``)."""
+        low, high = int(times[0]) // HOUR_MS, int(times[-1]) // HOUR_MS
+        earlier = sum(size for hour, size in self.sizes.items() if hour < low)
+        between = sorted(hour for hour in self.sizes if low <= hour <= high)
+        found = np.fromiter((ts for hour in between for ts, _ in self.hour(hour)), dtype="int64")
+        return earlier + np.searchsorted(found, times, side)
+
+    def counts(self, times: list[int]) -> list[tuple[int, ...]]:
+        """The sliding counts at each of the ascending times."""
+        at = np.array(times, dtype="int64")
+        upto = self.reached(at, "right")
+        return list(zip(*[(upto - self.reached(at - oldest, "left")).tolist() for oldest in COUNT_FRAMES.values()]))
 
     def save(self, oldest_ms: int) -> None:
         for hour in [h for h in self.sizes if (h + 1) * HOUR_MS <= oldest_ms]:
@@ -82,8 +92,8 @@ class _Recent:
 
 
 class CardFeatureProcessor(StatefulProcessor):
-    def __init__(self, kept: Sequence[str] = (), delay_ms: int = 5_000):
-        self.kept, self.delay_ms = list(kept), delay_ms
+    def __init__(self, kept: Sequence[str] = ()):
+        self.kept = list(kept)
         self.result = Row(*self.kept, *FEATURES)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -93,7 +103,12 @@ class CardFeatureProcessor(StatefulProcessor):
         self.merchants = handle.getMapState("merchants", "merchant string", "seen boolean")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        batch = sorted(rows, key=lambda row: (row.ts_ms, row.tx_id))
+        named = list(rows)
+        place = {name: at for at, name in enumerate(named[0].__fields__)}
+        # Plain tuples: reading a Row by name costs a search per access.
+        wanted = itemgetter(*[place[name] for name in _INPUTS])
+        passed = itemgetter(*[place[name] for name in self.kept])
+        batch = sorted(((wanted(plain), passed(plain)) for plain in map(tuple, named)), key=lambda pair: pair[0][:2])
         known = self.card.get()
         if known is None:
             last_ms, country, device, cents, count, timer = None, "", "", 0, 0, None
@@ -102,11 +117,12 @@ class CardFeatureProcessor(StatefulProcessor):
             last_ms, country, device, cents, count, held, spilled, hours, hour_sizes, timer = known
             merchants, sizes = set(held), dict(zip(hours, hour_sizes))
         recent = _Recent(self.recent, sizes)
-        for row in batch:
-            recent.add(row.ts_ms, str(row.merchant_id))
+        for (ts, _, seller, *_), _ in batch:
+            recent.add(ts, str(seller))
         out = []
-        for row in batch:
-            ts, seller, here = row.ts_ms, str(row.merchant_id), row.country or ""
+        for (values, kept), counts in zip(batch, recent.counts([values[0] for values, _ in batch])):
+            ts, _, seller, amount, here, gadget = values
+            seller, here = str(seller), here or ""
             idle = None if last_ms is None else ts - last_ms
             fresh = idle is None or idle >= WEEK_MS
             if fresh:
@@ -115,13 +131,12 @@ class CardFeatureProcessor(StatefulProcessor):
                 merchants, spilled = set(), self._forget(spilled)
             if seller not in merchants:
                 spilled += self._remember(merchants, seller, spilled)
-            cents += _cents(row.amount)
+            cents += _cents(amount)
             count += 1
             changed = not fresh and country != "" and country != here
-            counts = [recent.between(ts - oldest, ts) for oldest in COUNT_FRAMES.values()]
             out.append(
                 self.result(
-                    *[row[name] for name in self.kept],
+                    *kept,
                     *counts,
                     cents / (100.0 * count),
                     len(merchants) + spilled,
@@ -132,8 +147,9 @@ class CardFeatureProcessor(StatefulProcessor):
                 )
             )
             if idle is None or idle >= 0:
-                last_ms, country, device = ts, here, row.device or ""
-        recent.save(last_ms - DAY_MS - self.delay_ms)
+                last_ms, country, device = ts, here, gadget or ""
+        # Rows behind this watermark are dropped from now on: nothing older can be asked for.
+        recent.save(timerValues.getCurrentWatermarkInMs() - DAY_MS)
         if timer is None:
             timer = last_ms + WEEK_MS
             self.handle.registerTimer(timer)
