@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyguard.operators.scoring import clamp
+from tallyguard.session import cut_lineage
 
 try:
     import onnxruntime
@@ -56,6 +57,7 @@ def train_trees(labelled: DataFrame, label: str = "is_confirmed_fraud", rounds:
         F.col(label).cast("double").alias("label"),
         *[value.cast("double").alias(f"x_{name}") for name, value in zip(VECTOR_COLUMNS, feature_values())],
     )
+    rows = cut_lineage(rows)  # training reads them once per round
     inputs = VectorAssembler(inputCols=[f"x_{name}" for name in VECTOR_COLUMNS], outputCol="x", handleInvalid="keep")
     trees = GBTClassifier(featuresCol="x", labelCol="label", maxIter=rounds, maxDepth=depth, seed=7)
     return Pipeline(stages=[inputs, trees]).fit(rows)

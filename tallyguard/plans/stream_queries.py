@@ -17,7 +17,7 @@ from tallyguard.session import fresh_path
 from tallyguard.sources.views import DENSE_FACTOR, as_transactions, props_k, table, tx_dense
 from tallyguard.streaming import flows, sinks
 from tallyguard.streaming.sessions import stream_sessions
-from tallyguard.streaming.sources import file_stream
+from tallyguard.streaming.sources import file_stream, with_event_time, without_redelivered
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,3 +146,59 @@ def s09_stream_audit_and_analytics(spark, sf_dir):
     target = drain(twice, lambda path: sinks.audit_sink(f"{path}/audit", f"{path}/analytics"), "audited")
     kept = audit.current_rows(spark, f"{target}/audit").select("tx_id", "decision", "risk_score")
     return kept.join(audit.current_rows(spark, f"{target}/analytics").select("tx_id", "country"), "tx_id")
+
+
+@query("s02_decision_stream", on_scores("SELECT tx_id, merchant_id, decision, risk_score, ts_ms AS decision_ms FROM scored", with_p=True))
+def s02_decision_stream(spark, sf_dir):
+    rows = decision_table(spark, sf_dir).select("tx_id", "merchant_id", "decision", "risk_score", "decision_ms")
+    return read(spark, drain(as_stream(rows, "decisions-in"), sinks.table_sink, "decisions-read"))
+
+
+@query("s03_enriched_sink", on_features("SELECT tx_id, card_id, tx_count_1h, avg_amount_7d, velocity_score FROM feat"))
+def s03_enriched_sink(spark, sf_dir):
+    """Enriched rows through Spark's own exactly-once file sink."""
+    target = fresh_path(spark, "enriched")
+    enriched = flows.enrich(events_stream(spark, sf_dir).drop("props", "event_type"))
+    sinks.append_files(enriched, target, fresh_path(spark, "checkpoint"), "enriched-sink", available_now=True).awaitTermination()
+    return spark.read.parquet(target).select("tx_id", "card_id", "tx_count_1h", "avg_amount_7d", "velocity_score")
+
+
+@query(
+    "s04_two_sinks",
+    f"""WITH {DENSE} SELECT 'enriched' AS sink, tx_id, card_id FROM tx UNION ALL SELECT 'updates', tx_id, card_id FROM tx""",
+)
+def s04_two_sinks(spark, sf_dir):
+    """One stream, evaluated once per micro-batch, to two sinks."""
+
+    def both(path: str) -> sinks.BatchSink:
+        return sinks.each(sinks.table_sink(f"{path}/enriched"), sinks.table_sink(f"{path}/updates"))
+
+    target = drain(events_stream(spark, sf_dir).select("tx_id", "card_id"), both, "fan-out")
+    parts = [spark.read.parquet(f"{target}/{sink}").select(F.lit(sink).alias("sink"), "tx_id", "card_id") for sink in ("enriched", "updates")]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "s06_two_topics",
+    on_scores(
+        """SELECT 'fraud.decisions' AS topic, tx_id, decision, NULL::VARCHAR AS reason FROM scored
+        UNION ALL SELECT 'fraud.alerts', tx_id, NULL, 'CRITICAL' FROM scored WHERE risk_band='CRITICAL'""",
+        with_p=True,
+    ),
+)
+def s06_two_topics(spark, sf_dir):
+    """Decision and alert streams consumed as one."""
+    rows = decision_table(spark, sf_dir)
+    critical = rows.filter(scoring.risk_band(F.col("risk_score")) == "CRITICAL").select("tx_id", F.lit("CRITICAL").alias("reason"))
+    merged = audit.union_topics(
+        **{"fraud.decisions": as_stream(rows.select("tx_id", "decision"), "topic-a"), "fraud.alerts": as_stream(critical, "topic-b")}
+    )
+    return read(spark, drain(merged, sinks.table_sink, "topics"), "topic", "tx_id", "decision", "reason")
+
+
+@query("u02_stream_redelivered_once", f"WITH {DENSE} SELECT tx_id, card_id, ts_ms FROM tx")
+def u02_stream_redelivered_once(spark, sf_dir):
+    rows = tx_dense(spark, sf_dir).select("tx_id", "card_id", "ts_ms")
+    sent = as_stream(rows.unionByName(rows).unionByName(rows.filter(F.col("tx_id") % 3 == 0)), "redelivered")
+    once = without_redelivered(with_event_time(sent)).drop("event_time")
+    return read(spark, drain(once, sinks.table_sink, "once"))

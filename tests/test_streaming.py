@@ -215,6 +215,12 @@ def test_two_queries_in_one_session(spark, tmp_path):
     assert spark.read.schema("key string, value string").json(paths.alerts).count() == 1
 
 
+def test_start_positions():
+    assert [sources.start_position(c) for c in ("scoring-realtime", "audit-writer", "flink-enrichment", "fraud-alerts")] == [
+        "earliest", "earliest", "latest", "latest",
+    ]
+
+
 # --- model -------------------------------------------------------------------------------------
 
 WEIGHTS = [0.01, -0.02, 0.3, 0.0, 0.0, 0.1, 0.5, 1.0, -0.05]
