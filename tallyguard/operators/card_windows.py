@@ -99,6 +99,7 @@ def _plain(df: DataFrame) -> DataFrame:
     order = "OVER (PARTITION BY card_id ORDER BY ts_ms, tx_id)"
     running = "OVER (PARTITION BY card_id ORDER BY ts_ms, tx_id ROWS UNBOUNDED PRECEDING)"
     columns = df.columns
+    new_24h = f"(_prev_ts IS NULL OR ts_ms - _prev_ts >= {DAY_MS}L)"
     return _finish(
         df.repartition("card_id")
         .selectExpr("*", "lag(ts_ms) OVER (PARTITION BY card_id, merchant_id ORDER BY ts_ms, tx_id) AS _prev_same")
@@ -114,28 +115,17 @@ def _plain(df: DataFrame) -> DataFrame:
         .selectExpr(
             "*",
             f"_prev_ts IS NULL OR ts_ms - _prev_ts >= {WEEK_MS}L AS _new_7d",
-            f"_prev_ts IS NULL OR ts_ms - _prev_ts >= {DAY_MS}L AS _new_24h",
-        )
-        .selectExpr(
-            "*",
             f"sum(_cents) {running} AS _cents_run",
-            f"max(IF(_new_24h, ts_ms, NULL)) {running} AS _start_24h",
+            f"max(IF({new_24h}, ts_ms, NULL)) {running} AS _start_24h",
             *_COUNTED,
         )
-        .selectExpr("*", "IF(_prev_same IS NULL OR _prev_same < _start_24h, 1L, 0L) AS _first_here")
-        .selectExpr("*", f"sum(_first_here) {running} AS _firsts_run")
-        # Running totals as they stood just before the current session.
-        .selectExpr(
-            "*",
-            f"last(IF(_new_7d, _cents_run - _cents, NULL), true) {running} AS _cents_before",
-            f"last(IF(_new_7d, _n - 1, NULL), true) {running} AS _n_before",
-            f"last(IF(_new_24h, _firsts_run - 1, NULL), true) {running} AS _firsts_before",
-        )
+        .selectExpr("*", f"sum(IF(_prev_same IS NULL OR _prev_same < _start_24h, 1L, 0L)) {running} AS _firsts_run")
+        # Less the running totals as they stood just before the current session.
         .selectExpr(
             "*",
-            "_cents_run - _cents_before AS _cents_7d",
-            "_n - _n_before AS _count_7d",
-            "_firsts_run - _firsts_before AS distinct_merchants_24h",
+            f"_cents_run - last(IF(_new_7d, _cents_run - _cents, NULL), true) {running} AS _cents_7d",
+            f"_n - last(IF(_new_7d, _n - 1, NULL), true) {running} AS _count_7d",
+            f"_firsts_run - last(IF({new_24h}, _firsts_run - 1, NULL), true) {running} AS distinct_merchants_24h",
         ),
         columns,
     )
