@@ -77,23 +77,23 @@ DEFAULT_RULES = (
 
 
 def python_rule(name: str, inputs: Sequence[str], score: Callable[[pd.DataFrame], pd.Series]) -> Rule:
-    """A rule written in pandas. A batch that raises is scored row by row, so that only the rows
-    at fault come out null."""
+    """A rule written in pandas. A batch that raises is halved until only the rows at fault are
+    left; they come out null, the others keep their score."""
     names = list(inputs)
 
-    def _row(frame: pd.DataFrame, at: int) -> int | None:
+    def attempt(batch: pd.DataFrame) -> list[pd.Series]:
         try:
-            return int(score(frame.iloc[at : at + 1]).iloc[0])
+            return [score(batch).astype("Int64")]
         except Exception:
-            return None
+            if len(batch) <= 1:
+                return [pd.Series([pd.NA] * len(batch), dtype="Int64")]
+            half = len(batch) // 2
+            return attempt(batch.iloc[:half]) + attempt(batch.iloc[half:])
 
     @F.pandas_udf("int")
     def run(batch: pd.DataFrame) -> pd.Series:
         batch.columns = names
-        try:
-            return score(batch).astype("Int64")
-        except Exception:
-            return pd.Series([_row(batch, at) for at in range(len(batch))], dtype="Int64")
+        return pd.concat(attempt(batch), ignore_index=True)
 
     return Rule(name, lambda: run(F.struct(*names)))
 

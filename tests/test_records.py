@@ -243,3 +243,19 @@ def test_retention(spark):
     as_of = F.lit("2024-04-01").cast("timestamp")
     assert audit.retained(frame, "transactions", as_of).count() == 1
     assert audit.retained(frame, "audit", as_of).count() == 2
+
+
+def test_rows_without_a_device_are_never_new(spark):
+    from tallyguard.operators.snapshots import new_device_flag
+
+    rows = [(1, "a", 0, None), (2, "a", 10, None), (3, "a", 20, "d"), (4, "a", 20 + 86_400_000 - 1, "d"), (5, "a", 20 + 86_400_000, "d")]
+    frame = spark.createDataFrame(rows, "tx_id long, card_id string, ts_ms long, device string")
+    for limit in (None, 1):
+        flags = {r.tx_id: r.is_new_device for r in new_device_flag(frame, limit).collect()}
+        assert flags == {1: False, 2: False, 3: True, 4: True, 5: False}
+
+
+def test_copies_on_both_sides_do_not_multiply(spark):
+    decided = spark.createDataFrame([("t", "APPROVE")] * 50, "tx_id string, decision string")
+    sent = spark.createDataFrame([("t", "m", 1.0, "US", "POS", "5411")] * 50, "tx_id string, merchant_id string, amount double, country string, channel string, mcc string")
+    assert lookups.decisions_with_transactions(decided, sent).count() == 50
