@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyguard.functions.text import fixed4
 from tallyguard.operators import skew
+from tallyguard.session import cut_lineage
 
 # Limits of the collected traces.
 MAX_INTERVAL_MS = 5_000
@@ -124,46 +125,105 @@ def keystroke_intervals(
     return keep_last(gaps, [key], ["t", "seq"], limit)
 
 
-def _spaced(spacing: int):
-    """Walk sorted rows and keep those ``spacing`` after the last one kept in their run."""
+def _walk(spacing: int):
+    """Keep of every group (session, run, slice) the first point from ``_from`` on, and then each
+    that is ``spacing`` after the last one kept."""
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, last = None, 0
+        group, allowed = None, 0
         for batch in batches:
             kept = np.zeros(len(batch), dtype=bool)
-            for at, (session, start, t) in enumerate(zip(batch["session"], batch["_run"], batch["t"])):
-                if (session, start) != run or t - last >= spacing:
-                    run, last, kept[at] = (session, start), t, True
+            columns = [batch[name] for name in ("session", "_run", "_slice", "_from", "t")]
+            for at, (session, run, part, start, t) in enumerate(zip(*columns)):
+                if (session, run, part) != group:
+                    group, allowed = (session, run, part), start
+                if t >= allowed:
+                    allowed, kept[at] = t + spacing, True
             yield batch[kept]
 
     return keep
 
 
+def _slice_exits(spacing: int, width: int):
+    """For each way a walk can enter a slice (0 .. spacing - 1 ms after its start), how far into the
+    next slice its last kept point reaches."""
+
+    def exits(key: tuple, points: pd.DataFrame) -> pd.DataFrame:
+        session, run, part = key
+        start, end = run + part * width, run + (part + 1) * width
+        t = np.sort(points["t"].to_numpy())
+        following = np.searchsorted(t, t + spacing)
+        reach = np.append(np.maximum(t + spacing - end, 0), 0)
+        for at in range(len(t) - 1, -1, -1):
+            if following[at] < len(t):
+                reach[at] = reach[following[at]]
+        table = reach[np.searchsorted(t, start + np.arange(spacing))]
+        return pd.DataFrame({"session": [session], "_run": [run], "_slice": [part], "exits": [table.tolist()]})
+
+    return exits
+
+
+def _slice_entries(key: tuple, slices: pd.DataFrame) -> pd.DataFrame:
+    """Chain the slices of one run: where the walk enters each of them."""
+    slices = slices.sort_values("_slice")
+    entries, entry = [], 0
+    for table in slices["exits"]:
+        entries.append(entry)
+        entry = int(table[entry])
+    return slices[["session", "_run", "_slice"]].assign(_entry=entries)
+
+
 def downsample(
-    points: DataFrame, key: str = "session_id", spacing_ms: int = MIN_SPACING_MS, max_rows: int | None = skew.DEFAULT_MAX_ROWS
+    points: DataFrame,
+    key: str = "session_id",
+    spacing_ms: int = MIN_SPACING_MS,
+    max_rows: int | None = skew.DEFAULT_MAX_ROWS,
+    slice_ms: int = 600_000,
 ) -> DataFrame:
     """Keep a point (session, t, seq) only if ``spacing_ms`` passed since the last kept one.
 
     A point that far from its predecessor is kept whatever came before, so it starts a run that
-    can be walked by itself. Only one point per millisecond can be kept, and runs are spread over
-    tasks: the walk sees batches, never a whole session.
+    can be walked by itself. Only one point per millisecond can be kept. A run of more than
+    ``max_rows`` points is cut into slices: what a slice hands on depends only on where the walk
+    enters it, so slices are worked out side by side and chained afterwards.
     """
+    if slice_ms < 2 * spacing_ms:
+        raise ValueError(f"slice_ms must be at least twice the spacing, got: {slice_ms}")
+    order = ["t", "seq"]
     firsts = points.groupBy(key, "t").agg(F.min("seq").alias("seq"))
     stepped = _with_previous(firsts, key, max_rows)
     starts = F.when(F.col("_before").isNull() | (F.col("t") - F.col("_before") >= spacing_ms), F.col("t"))
-    order = ["t", "seq"]
     marked = stepped.withColumn("_start", starts).drop("_before")
 
-    def plain(rows: DataFrame) -> DataFrame:
+    def plain_runs(rows: DataFrame) -> DataFrame:
         running = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return rows.withColumn("_run", F.max("_start").over(running))
 
-    def sliced(rows: DataFrame) -> DataFrame:
+    def sliced_runs(rows: DataFrame) -> DataFrame:
         ran = skew.sliced_running(skew.with_slice(rows, "t"), [key], order, maxima={"_run": F.col("_start")})
         return ran.select(*rows.columns, "_run")
 
-    runs = skew.by_heat(marked, [key], plain, sliced, max_rows).select(F.col(key).alias("session"), "_run", "t", "seq")
+    runs = skew.by_heat(marked, [key], plain_runs, sliced_runs, max_rows).select(
+        F.col(key).alias("session"), "_run", "t", "seq"
+    )
     kind = dict(runs.dtypes)
-    spread = runs.repartition("session", "_run").sortWithinPartitions("session", "_run", "t")
-    kept = spread.mapInPandas(_spaced(spacing_ms), f"session {kind['session']}, _run bigint, t bigint, seq {kind['seq']}")
+    run_key = f"session {kind['session']}, _run bigint, _slice bigint"
+
+    def whole(rows: DataFrame) -> DataFrame:
+        return rows.select("*", F.lit(0).cast("long").alias("_slice"), F.col("_run").alias("_from"))
+
+    def cut(rows: DataFrame) -> DataFrame:
+        part = F.floor((F.col("t") - F.col("_run")) / F.lit(slice_ms)).cast("long")
+        rows = cut_lineage(rows.withColumn("_slice", part))
+        tables = rows.groupBy("session", "_run", "_slice").applyInPandas(
+            _slice_exits(spacing_ms, slice_ms), f"{run_key}, exits array<bigint>"
+        )
+        entries = tables.groupBy("session", "_run").applyInPandas(_slice_entries, f"{run_key}, _entry bigint")
+        entered = F.col("_run") + F.col("_slice") * slice_ms + F.col("_entry")
+        return rows.join(entries, ["session", "_run", "_slice"]).withColumn("_from", entered).drop("_entry")
+
+    parts = skew.by_heat(runs, ["session", "_run"], whole, cut, max_rows)
+    group = ["session", "_run", "_slice"]
+    spread = parts.select(*group, "_from", "t", "seq").repartition(*group).sortWithinPartitions(*group, "t")
+    kept = spread.mapInPandas(_walk(spacing_ms), f"{run_key}, _from bigint, t bigint, seq {kind['seq']}")
     return kept.select(F.col("session").alias(key), "t", "seq")

@@ -183,7 +183,7 @@ def _downsampled(**options):
 
 
 query("w21_min_spacing", _SPACED.format(tx=DENSE.replace("// 72", "// 72000")))(_downsampled())
-query("w21_min_spacing_hot_sessions", _SPACED.format(tx=DENSE.replace("// 72", "// 72000")))(_downsampled(max_rows=50))
+query("w21_min_spacing_hot_sessions", _SPACED.format(tx=DENSE.replace("// 72", "// 72000")))(_downsampled(max_rows=50, slice_ms=500))
 
 # --- device profiles ---------------------------------------------------------------------------
 

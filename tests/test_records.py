@@ -211,6 +211,22 @@ def test_keystrokes_and_spacing(spark):
         assert sorted(r.t for r in devices.downsample(frame, max_rows=limit).collect()) == [0, 50, 100, 200, 250]
 
 
+def test_a_long_burst_is_walked_in_slices(spark):
+    import random
+
+    times, pick = [0], random.Random(3)
+    while len(times) < 4000:
+        times.append(times[-1] + pick.randint(1, 49))
+    frame = spark.createDataFrame([("s", t, i) for i, t in enumerate(times)], "session_id string, t long, seq long")
+    expected, last = [], None
+    for t in times:
+        if last is None or t - last >= 50:
+            expected.append(t)
+            last = t
+    for options in ({"max_rows": None}, {"max_rows": 100, "slice_ms": 100}, {"max_rows": 100, "slice_ms": 7_000}):
+        assert sorted(r.t for r in devices.downsample(frame, **options).collect()) == expected
+
+
 def test_last_samples(spark):
     row = spark.range(1).select(
         devices.last_samples(F.sequence(F.lit(1), F.lit(5)), 3).alias("a"), devices.last_samples(F.array(F.lit(1)), 3).alias("b")
