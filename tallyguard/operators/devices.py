@@ -190,23 +190,9 @@ def downsample(
     if slice_ms < 2 * spacing_ms:
         raise ValueError(f"slice_ms must be at least twice the spacing, got: {slice_ms}")
     order = ["t", "seq"]
-    firsts = points.groupBy(key, "t").agg(F.min("seq").alias("seq"))
-    stepped = _with_previous(firsts, key, max_rows)
+    firsts = points.groupBy(key, "t").agg(F.min("seq").alias("seq")).select(F.col(key).alias("session"), "t", "seq")
     starts = F.when(F.col("_before").isNull() | (F.col("t") - F.col("_before") >= spacing_ms), F.col("t"))
-    marked = stepped.withColumn("_start", starts).drop("_before")
-
-    def plain_runs(rows: DataFrame) -> DataFrame:
-        running = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return rows.withColumn("_run", F.max("_start").over(running))
-
-    def sliced_runs(rows: DataFrame) -> DataFrame:
-        ran = skew.sliced_running(skew.with_slice(rows, "t"), [key], order, maxima={"_run": F.col("_start")})
-        return ran.select(*rows.columns, "_run")
-
-    runs = skew.by_heat(marked, [key], plain_runs, sliced_runs, max_rows).select(
-        F.col(key).alias("session"), "_run", "t", "seq"
-    )
-    kind = dict(runs.dtypes)
+    kind = dict(firsts.dtypes)
     run_key = f"session {kind['session']}, _run bigint, _slice bigint"
 
     def whole(rows: DataFrame) -> DataFrame:
@@ -222,7 +208,20 @@ def downsample(
         entered = F.col("_run") + F.col("_slice") * slice_ms + F.col("_entry")
         return rows.join(entries, ["session", "_run", "_slice"]).withColumn("_from", entered).drop("_entry")
 
-    parts = skew.by_heat(runs, ["session", "_run"], whole, cut, max_rows)
+    def plain(rows: DataFrame) -> DataFrame:
+        by_time = Window.partitionBy("session").orderBy(*order)
+        marked = rows.withColumn("_before", F.lag("t").over(by_time)).withColumn("_start", starts)
+        running = by_time.rowsBetween(Window.unboundedPreceding, 0)
+        return whole(marked.withColumn("_run", F.max("_start").over(running)).select("session", "_run", "t", "seq"))
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        stepped = skew.sliced_previous(skew.with_slice(rows, "t"), ["session"], order, {"_before": "t"})
+        ran = skew.sliced_running(stepped, ["session"], order, maxima={"_run": starts})
+        ran = cut_lineage(ran.select("session", "_run", "t", "seq"))
+        # Only a hot session can hold a run above the limit.
+        return skew.by_heat(ran, ["session", "_run"], whole, cut, max_rows)
+
+    parts = skew.by_heat(firsts, ["session"], plain, sliced, max_rows)
     group = ["session", "_run", "_slice"]
     spread = parts.select(*group, "_from", "t", "seq").repartition(*group).sortWithinPartitions(*group, "t")
     kept = spread.mapInPandas(_walk(spacing_ms), f"{run_key}, _from bigint, t bigint, seq {kind['seq']}")
