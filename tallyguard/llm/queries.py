@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from tallyguard.llm import decontaminate_queries, line_dedup_queries, toxicity_queries, url_queries, warc_queries  # noqa: E402, F401
+from tallyguard.llm import decontaminate_queries, line_dedup_queries, sentencepiece_queries, toxicity_queries, url_queries, warc_queries  # noqa: E402, F401
