@@ -26,4 +26,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from tallyguard.llm import decontaminate_queries, line_dedup_queries, sentencepiece_queries, toxicity_queries, url_queries, warc_queries  # noqa: E402, F401
+from tallyguard.llm import (  # noqa: E402
+    decontaminate_queries,  # noqa: F401
+    html_queries,  # noqa: F401
+    line_dedup_queries,  # noqa: F401
+    sentencepiece_queries,  # noqa: F401
+    toxicity_queries,  # noqa: F401
+    url_queries,  # noqa: F401
+    warc_queries,  # noqa: F401
+)
