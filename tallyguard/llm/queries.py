@@ -29,6 +29,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 from tallyguard.llm import (  # noqa: E402
     decontaminate_queries,  # noqa: F401
     html_queries,  # noqa: F401
+    imatch_queries,  # noqa: F401
     line_dedup_queries,  # noqa: F401
     sentencepiece_queries,  # noqa: F401
     toxicity_queries,  # noqa: F401
