@@ -30,6 +30,7 @@ from tallyguard.llm import (  # noqa: E402
     decontaminate_queries,  # noqa: F401
     html_queries,  # noqa: F401
     imatch_queries,  # noqa: F401
+    jaccard_queries,  # noqa: F401
     line_dedup_queries,  # noqa: F401
     sentencepiece_queries,  # noqa: F401
     toxicity_queries,  # noqa: F401
