@@ -9,6 +9,7 @@ summed weight is divided by a power of the text's length before a logistic curve
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyguard.llm.frames import arrow_map
+from tallyguard.llm.frames import arrow_map, stored
 
 # Look-alike letters and digits or signs written for letters.
 HOMOGLYPHS = {
@@ -64,6 +65,9 @@ class ToxicityModel:
 _FOLD = str.maketrans({**HOMOGLYPHS, **DIGITS, **{h: DIGITS[d] for h, d in HOMOGLYPHS.items() if d in DIGITS}})
 
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
 def fold(text: str | None) -> str:
     """Lower case, look-alikes and digits folded to letters; no text gives an empty one."""
     return (text or "").lower().translate(_FOLD)
@@ -72,7 +76,7 @@ def fold(text: str | None) -> str:
 def stems(text: str | None, stem: tuple[int, int]) -> set[str]:
     """Word beginnings of ``stem[0]`` to ``stem[1]`` letters in the folded text, whole words included."""
     low, high = stem
-    words = {w for w in "".join(c if c.isalpha() else " " for c in fold(text)).split() if len(w) >= low}
+    words = {w for w in _LETTERS.findall(fold(text)) if len(w) >= low}
     return {w[:k] for w in words for k in range(low, min(high, len(w)) + 1)}
 
 
@@ -121,16 +125,19 @@ def probability(curve: tuple[float, float, float], x: tuple[float, float]) -> fl
     return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def fit(labelled: DataFrame, params: ToxicityParams | None = None, text: str = "text", label: str = "label", id_col: str = "doc_id") -> ToxicityModel:
-    """Learn weights and curve from rows with ``id_col``, ``text`` and ``label`` (0 or 1).
+def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = None, folds: int = 5) -> ToxicityModel:
+    """Learn weights and curve from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0 or 1)
+    outside the held-out fold.
 
-    At most ``max_rows_per_class`` rows of each label take part, those with the smallest hash of
-    their id. Rows without a label are left out. Without rows of both labels, the seed lexicon and
-    a fixed curve are used.
+    At most ``max_rows_per_class`` ids of each label take part, those with the smallest hash. Rows
+    without a label or an id are left out; an id labelled both ways counts as toxic; of rows that
+    repeat an id one takes part. Without rows of both labels, the seed lexicon and a fixed curve
+    are used.
     """
     params = params or ToxicityParams()
-    sample = _sample(labelled, params, text, label, id_col)
-    n1, n0 = (sample.filter(F.col("y") == y).count() for y in (1, 0))
+    sample = stored(_sample(docs, labels, params, folds), "toxicity-sample")
+    sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n1 or not n0:
         return ToxicityModel(dict(SEED), (-4.0, 2.0, 1.0), params)
 
@@ -168,11 +175,19 @@ def fit(labelled: DataFrame, params: ToxicityParams | None = None, text: str = "
     return ToxicityModel(weights, _logistic(rows), params)
 
 
-def _sample(labelled: DataFrame, params: ToxicityParams, text: str, label: str, id_col: str) -> DataFrame:
-    """The rows of each label with the smallest hash of their id: a fixed number, whatever comes in."""
-    rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("y"), F.xxhash64(id_col).alias("h"))
-    parts = [rows.filter(F.col("y") == y).orderBy("h", "text").limit(params.max_rows_per_class) for y in (0, 1)]
-    return parts[0].unionByName(parts[1])
+def _sample(docs: DataFrame, labels: DataFrame, params: ToxicityParams, folds: int) -> DataFrame:
+    """The labelled texts with the smallest hashes of their ids: a fixed number, whatever comes in.
+    Ids are chosen before texts are read, so the list that is broadcast has that bound too."""
+    marked = (
+        labels.filter(F.col("toxic").isin(0, 1) & ~held_out(folds))
+        .groupBy(F.col("doc_id").alias("id"))
+        .agg(F.max("toxic").cast("int").alias("y"))
+        .withColumn("h", F.xxhash64("id"))
+    )
+    ids = [marked.filter(F.col("y") == y).orderBy("h", "id").limit(params.max_rows_per_class) for y in (0, 1)]
+    chosen = F.broadcast(ids[0].unionByName(ids[1]).select("id", "y"))
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(chosen, "id")
+    return texts.groupBy("id", "y").agg(F.min("text").alias("text")).select("text", "y")
 
 
 def _logistic(rows: list) -> tuple[float, float, float]:
@@ -212,17 +227,6 @@ def score(df: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple[s
     return arrow_map(rows, f"{names}, tox_score double, tox_hits int, tox_weight double", run, lambda: build_automaton(model))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
-    """Labelled rows outside the held-out fold: crc32 of the id as text modulo ``folds`` is not 0."""
-    marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    return (
-        docs.select("doc_id", "text")
-        .filter(~held_out(folds))
-        .join(marked.filter(~held_out(folds)), "doc_id")
-        .select("doc_id", "text", "label")
-    )
-
-
 def held_out(folds: int = 5):
     """True for rows of fold 0; a row without an id is in fold 0."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(True))

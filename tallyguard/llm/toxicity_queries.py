@@ -13,7 +13,7 @@ from tallyguard.llm.queries import query
 @query("op8_toxicity")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = toxicity.fit(toxicity.training_rows(docs, labels))
+    model = toxicity.fit(docs, labels)
     return toxicity.score(docs, model).select(
         "doc_id",
         toxicity.held_out().alias("held_out"),
