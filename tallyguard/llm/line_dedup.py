@@ -150,8 +150,9 @@ def drop_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     those of the largest ``doc_id`` that holds them. Null and empty texts are one empty line and
     become empty texts. Rows that repeat an id count as one document and are cleaned one by one;
     a null id counts as a document below all others. Empty tables stay empty; all other columns
-    pass through.
+    pass through, but for those named like the two new ones, which are replaced.
     """
+    docs = docs.drop("line_count", "lines_dropped")
     kept = keep_bitmaps(docs, text, doc_id, min_chars, min_docs).select(
         F.col("doc").alias("__doc"), F.col("body").alias("__body"), F.col("keep").alias("__keep")
     )

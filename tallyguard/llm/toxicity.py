@@ -42,12 +42,14 @@ EXCEPTIONS = [
 @dataclass(frozen=True)
 class ToxicityParams:
     """``max_rows_per_class`` bounds the labelled sample that weights and curve are fitted on;
-    ``max_terms`` bounds the lexicon. Both are independent of the size of the corpus."""
+    ``max_terms`` bounds the lexicon. Both are independent of the size of the corpus. A stem needs
+    ``min_evidence``: the log likelihood ratio of its labels against those of all rows."""
 
     max_rows_per_class: int = 20_000
     max_terms: int = 5_000
     min_docs: int = 5
     min_log_odds: float = 3.0
+    min_evidence: float = 10.0
     stem: tuple[int, int] = (4, 8)
     length_power: float = 0.5
     exceptions: list[str] = field(default_factory=lambda: list(EXCEPTIONS))
@@ -151,11 +153,13 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = None
 
     # The sample bounds this: at most 2 * max_rows_per_class texts' stems, added up by term.
     odds = F.log((F.col("pos") + 0.5) / F.lit(n1 + 1.0)) - F.log((F.col("neg") + 0.5) / F.lit(n0 + 1.0))
+    in_toxic = F.col("pos") * F.log(F.col("pos") * (n0 + n1) / ((F.col("pos") + F.col("neg")) * n1))
+    in_clean = F.when(F.col("neg") == 0, 0.0).otherwise(F.col("neg") * F.log(F.col("neg") * (n0 + n1) / ((F.col("pos") + F.col("neg")) * n0)))
     chosen = (
         arrow_map(sample, "term string, neg long, pos long", count)
         .groupBy("term")
         .agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-        .filter(F.col("pos") >= params.min_docs)
+        .filter((F.col("pos") >= params.min_docs) & (in_toxic + in_clean >= params.min_evidence))
         .withColumn("weight", odds)
         .filter(F.col("weight") >= params.min_log_odds)
         .orderBy(F.desc("weight"), "term")
@@ -207,11 +211,13 @@ def _logistic(rows: list) -> tuple[float, float, float]:
 
 
 def score(df: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with tox_score (0 to 1), tox_hits and tox_weight for every row.
+    """``keep`` columns with tox_score (0 to 1), tox_hits and tox_weight for every row; input columns
+    of these three names are replaced.
 
     Null and empty texts get the curve's value at no hit. Every row is scored alone on its whole
     text, so repeated rows get equal scores and an empty table gives an empty one.
     """
+    keep = tuple(k for k in keep if k not in ("tox_score", "tox_hits", "tox_weight"))
     rows = df.select(*[F.col(k) for k in keep], F.col(text).alias("__text"))
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
