@@ -64,15 +64,15 @@ def spike_json(alerts: DataFrame, generated_ms: Column | None = None) -> DataFra
     return alerts.select(F.col("merchant_id").cast("string").alias("key"), F.to_json(body).alias("value"))
 
 
-def _cents_total(amount: str = "amount") -> Column:
-    return F.sum(F.round(F.col(amount) * F.lit(100.0)).cast("long")) / F.lit(100.0)
+def _units_total(amount: str = "amount") -> Column:
+    return F.sum(F.round(F.col(amount) * F.lit(10000.0)).cast("long")) / F.lit(10000.0)
 
 
 def hourly_velocity(df: DataFrame) -> DataFrame:
     """Per card and hour: transactions, amount, confirmed frauds."""
     return df.groupBy("card_id", hour_start_ms(F.col("ts_ms")).alias("hour_ms")).agg(
         F.count(F.lit(1)).alias("tx_count"),
-        _cents_total().alias("total_amount"),
+        _units_total().alias("total_amount"),
         F.sum(F.col("is_confirmed_fraud").cast("long")).alias("fraud_count"),
     )
 
@@ -81,7 +81,7 @@ def decision_distribution(df: DataFrame) -> DataFrame:
     """Per date, risk band and decision: transactions and amount."""
     return df.groupBy(
         utc_date(F.col("ts_ms")).alias("date"), risk_band(F.col("risk_score")).alias("risk_band"), "decision"
-    ).agg(F.count(F.lit(1)).alias("tx_count"), _cents_total().alias("total_amount"))
+    ).agg(F.count(F.lit(1)).alias("tx_count"), _units_total().alias("total_amount"))
 
 
 def merge_partials(stored: DataFrame, added: DataFrame, keys: Sequence[str]) -> DataFrame:

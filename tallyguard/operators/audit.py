@@ -93,28 +93,36 @@ def replay(audit: DataFrame, from_ts: Column, to_ts: Column, target: str) -> dic
 # --- upsert by transaction -------------------------------------------------------------------
 
 
-def upsert_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Write one batch. Writing the same batch again replaces it, so a redelivered batch changes
-    nothing; rows of one transaction in several batches are resolved on reading. No existing
-    file is rewritten, whatever the table's size."""
+COMPACTED = "=compacted"
+
+
+def upsert_batch(rows: DataFrame, path: str, batch_id: int, writer: str = "batch") -> None:
+    """Write one batch of ``writer`` (the id of a query and its checkpoint; no other may use it).
+    Writing the same batch again replaces it, so a redelivered batch changes nothing; rows of one
+    transaction in several batches are resolved on reading. No existing file is rewritten, whatever
+    the table's size, and no writer can replace what another one, or ``compact``, has written."""
     (
-        rows.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        rows.withColumns({"writer": F.lit(writer), "batch_id": F.lit(batch_id).cast("long")})
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
+        .partitionBy("writer", "batch_id")
         .parquet(path)
     )
 
 
-def current_rows(spark: SparkSession, path: str, order: Sequence[str] = ("batch_id",)) -> DataFrame:
-    """The table with one row per transaction, the last one written."""
+def current_rows(spark: SparkSession, path: str, event_time: str | None = "ts") -> DataFrame:
+    """The table with one row per transaction: the last state by event time where the table has
+    that column, else by batch; of equal ones always the same."""
     rows = spark.read.parquet(path).withColumn("batch_id", F.col("batch_id").cast("long"))
-    return latest_per_key(rows, ["tx_id"], list(order)).drop("batch_id")
+    own = [c for c in rows.columns if c not in ("writer", "batch_id")]
+    rows = rows.withColumns({"_base": F.col("writer") != COMPACTED, "_tie": F.to_json(F.struct(*own))})
+    times = [event_time] if event_time in own else []
+    return latest_per_key(rows, ["tx_id"], [*times, "_base", "batch_id", "_tie"]).select(*own)
 
 
 def compact(spark: SparkSession, path: str, target: str) -> None:
-    """Fold all batches into a new table that starts at batch 0."""
-    upsert_batch(current_rows(spark, path), target, 0)
+    """Fold all batches into a new table. Its rows stand below every later batch of equal time."""
+    upsert_batch(current_rows(spark, path), target, 0, COMPACTED)
 
 
 # --- month table ------------------------------------------------------------------------------
@@ -211,24 +219,27 @@ def timeline(
 def lifecycles(events: DataFrame, page_rows: int = 10_000, max_rows: int | None = skew.DEFAULT_MAX_ROWS) -> DataFrame:
     """One nested row per transaction: its events in order, and their number.
 
-    A transaction with more than ``page_rows`` events gets several rows (``page`` 0, 1, ...), all
-    complete, so that no array outgrows a task.
+    A transaction with more than ``page_rows`` events gets several rows (``page`` 0, 1, ...), so that
+    no array outgrows a task; ``event_count`` is the transaction's number of events on each of them.
     """
     order = ["event_ts", "event_type", "event_id"]
 
     def plain(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_at", F.row_number().over(Window.partitionBy("tx_id").orderBy(*order)).cast("long"))
+        whole = Window.partitionBy("tx_id")
+        return rows.withColumns({"_at": F.row_number().over(whole.orderBy(*order)).cast("long"), "_total": F.count(F.lit(1)).over(whole)})
 
     def sliced(rows: DataFrame) -> DataFrame:
-        rows = skew.with_slice(rows.withColumn("_ms", F.unix_millis("event_ts")), "_ms")
-        return skew.sliced_running(rows, ["tx_id"], order, sums={"_at": F.lit(1).cast("long")}).drop("_slice", "_ms")
+        rows = skew.with_slice(rows, ["tx_id"], order)
+        numbered = skew.sliced_running(rows, ["tx_id"], order, sums={"_at": F.lit(1).cast("long")}).drop("_slice")
+        totals = rows.groupBy("tx_id").agg(F.count(F.lit(1)).alias("_total"))
+        return skew.null_safe_join(numbered, totals, ["tx_id"])
 
     numbered = skew.by_heat(events, ["tx_id"], plain, sliced, max_rows)
     paged = numbered.withColumn("page", F.floor((F.col("_at") - 1) / F.lit(page_rows)).cast("int"))
     nested = F.array_sort(F.collect_list(F.struct("_at", "event_ts", "event_type", "event_id")))
     return (
         paged.groupBy("tx_id", "page")
-        .agg(nested.alias("_events"), F.count(F.lit(1)).alias("event_count"))
+        .agg(nested.alias("_events"), F.max("_total").alias("event_count"))
         .select(
             "tx_id",
             "page",

@@ -53,9 +53,9 @@ def velocity_score(count_1h: Column, count_6h: Column, country_changed: Column)
     return F.when(count_1h > 0, score).otherwise(F.lit(0.0))
 
 
-def _cents(amount: Column) -> Column:
-    """Whole cents, so that sums do not depend on the order of addition."""
-    return F.round(amount.cast("double") * F.lit(100.0)).cast("long")
+def _units(amount: Column) -> Column:
+    """Whole ten-thousandths, so that sums do not depend on the order of addition."""
+    return F.round(amount.cast("double") * F.lit(10000.0)).cast("long")
 
 
 def _idle_at_least(limit_ms: int) -> Column:
@@ -69,7 +69,7 @@ def _finish(df: DataFrame, columns: list[str]) -> DataFrame:
         df.selectExpr(
             *columns,
             *COUNT_FRAMES,
-            "CAST(_cents_7d AS DOUBLE) / (100.0D * CAST(_count_7d AS DOUBLE)) AS avg_amount_7d",
+            "CAST(_units_7d AS DOUBLE) / (10000.0D * CAST(_count_7d AS DOUBLE)) AS avg_amount_7d",
             "distinct_merchants_24h",
             f"coalesce({known}, false) AS country_changed",
             "IF(_new_7d, -1L, ts_ms - _prev_ts) AS time_since_last_tx_ms",
@@ -109,13 +109,13 @@ def _plain(df: DataFrame) -> DataFrame:
             f"lag(coalesce(country, '')) {order} AS _prev_country",
             f"lag(coalesce(device, '')) {order} AS _prev_device",
             f"row_number() {order} AS _n",
-            "CAST(round(CAST(amount AS DOUBLE) * 100.0D) AS BIGINT) AS _cents",
+            "CAST(round(CAST(amount AS DOUBLE) * 10000.0D) AS BIGINT) AS _units",
             "IF(_prev_same <=> ts_ms, 0L, 1L) AS _counted",
         )
         .selectExpr(
             "*",
             f"_prev_ts IS NULL OR ts_ms - _prev_ts >= {WEEK_MS}L AS _new_7d",
-            f"sum(_cents) {running} AS _cents_run",
+            f"sum(_units) {running} AS _units_run",
             f"max(IF({new_24h}, ts_ms, NULL)) {running} AS _start_24h",
             *_COUNTED,
         )
@@ -123,7 +123,7 @@ def _plain(df: DataFrame) -> DataFrame:
         # Less the running totals as they stood just before the current session.
         .selectExpr(
             "*",
-            f"_cents_run - last(IF(_new_7d, _cents_run - _cents, NULL), true) {running} AS _cents_7d",
+            f"_units_run - last(IF(_new_7d, _units_run - _units, NULL), true) {running} AS _units_7d",
             f"_n - last(IF(_new_7d, _n - 1, NULL), true) {running} AS _count_7d",
             f"_firsts_run - last(IF({new_24h}, _firsts_run - 1, NULL), true) {running} AS distinct_merchants_24h",
         ),
@@ -136,7 +136,7 @@ def _sliced_counts(df: DataFrame) -> DataFrame:
 
     Rows are first reduced to one per card and millisecond. Each such instant asks for the
     running count at the old end of every frame; the questions are sorted in among the instants
-    and answered by one running sum. A slice then holds four rows per millisecond at the most.
+    and answered by one running sum.
     """
     instants = (
         df.select("card_id", "ts_ms", "merchant_id")
@@ -152,8 +152,9 @@ def _sliced_counts(df: DataFrame) -> DataFrame:
         ],
     )
     points = instants.select("card_id", "ts_ms", F.inline(asked))
+    sequence = ["at", "kind"]
     points = skew.sliced_running(
-        skew.with_slice(points, "at"), ["card_id"], ["at", "kind"], sums={"reached": F.col("w")}
+        skew.with_slice(points, ["card_id"], sequence), ["card_id"], sequence, sums={"reached": F.col("w")}
     )
     at_kind = {kind: F.max(F.when(F.col("kind") == kind, F.col("reached"))) for kind in range(len(COUNT_FRAMES) + 1)}
     return points.groupBy("card_id", "ts_ms").agg(
@@ -166,11 +167,11 @@ def _sliced(df: DataFrame) -> DataFrame:
     columns = df.columns
     df = cut_lineage(df)
     counts = _sliced_counts(df)
-    df = skew.with_slice(df, "ts_ms").withColumns(
+    df = skew.with_slice(df, ["card_id"], _ORDER).withColumns(
         {
             "_country": F.coalesce(F.col("country"), F.lit("")),
             "_device": F.coalesce(F.col("device"), F.lit("")),
-            "_cents": _cents(F.col("amount")),
+            "_units": _units(F.col("amount")),
         }
     )
     df = skew.sliced_previous(df, ["card_id", "merchant_id"], _ORDER, {"_prev_same": "ts_ms"})
@@ -190,13 +191,13 @@ def _sliced(df: DataFrame) -> DataFrame:
     first_here = F.col("_prev_same").isNull() | (F.col("_prev_same") < F.col("_start_24h"))
     df = cut_lineage(df.withColumn("_first_here", first_here.cast("long")))
     df = skew.sliced_running(
-        df, ["card_id", "_start_7d"], _ORDER, sums={"_cents_7d": F.col("_cents"), "_count_7d": F.lit(1).cast("long")}
+        df, ["card_id", "_start_7d"], _ORDER, sums={"_units_7d": F.col("_units"), "_count_7d": F.lit(1).cast("long")}
     )
     df = cut_lineage(df)
     df = skew.sliced_running(
         df, ["card_id", "_start_24h"], _ORDER, sums={"distinct_merchants_24h": F.col("_first_here")}
     )
-    df = df.join(counts, ["card_id", "ts_ms"], "left")
+    df = skew.null_safe_join(df, counts, ["card_id", "ts_ms"])
     return _finish(df, columns)
 
 

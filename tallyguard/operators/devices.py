@@ -110,7 +110,7 @@ def _with_previous(df: DataFrame, key: str, max_rows: int | None) -> DataFrame:
         return rows.withColumn("_before", F.lag("t").over(Window.partitionBy(key).orderBy(*order)))
 
     def sliced(rows: DataFrame) -> DataFrame:
-        rows = skew.sliced_previous(skew.with_slice(rows, "t"), [key], order, {"_before": "t"})
+        rows = skew.sliced_previous(skew.with_slice(rows, [key], order), [key], order, {"_before": "t"})
         return rows.drop("_slice").select(*df.columns, "_before")
 
     return skew.by_heat(df, [key], plain, sliced, max_rows)
@@ -206,7 +206,7 @@ def downsample(
         )
         entries = tables.groupBy("session", "_run").applyInPandas(_slice_entries, f"{run_key}, _entry bigint")
         entered = F.col("_run") + F.col("_slice") * slice_ms + F.col("_entry")
-        return rows.join(entries, ["session", "_run", "_slice"]).withColumn("_from", entered).drop("_entry")
+        return skew.null_safe_join(rows, entries, ["session", "_run", "_slice"]).withColumn("_from", entered).drop("_entry")
 
     def plain(rows: DataFrame) -> DataFrame:
         by_time = Window.partitionBy("session").orderBy(*order)
@@ -215,7 +215,7 @@ def downsample(
         return whole(marked.withColumn("_run", F.max("_start").over(running)).select("session", "_run", "t", "seq"))
 
     def sliced(rows: DataFrame) -> DataFrame:
-        stepped = skew.sliced_previous(skew.with_slice(rows, "t"), ["session"], order, {"_before": "t"})
+        stepped = skew.sliced_previous(skew.with_slice(rows, ["session"], order), ["session"], order, {"_before": "t"})
         ran = skew.sliced_running(stepped, ["session"], order, maxima={"_run": starts})
         ran = cut_lineage(ran.select("session", "_run", "t", "seq"))
         # Only a hot session can hold a run above the limit.

@@ -11,6 +11,9 @@ from tallyguard.operators import skew
 
 REPLY_TIMEOUT_MS = 45
 
+# What an outcome adds to a decision.
+OUTCOME_COLUMNS = ["is_confirmed_fraud", "chargeback_at", "reviewed_by"]
+
 
 def one_per_key(df: DataFrame, *keys: str) -> DataFrame:
     """Drop redelivered copies of a looked-up side, so that copies on both sides of a join do not
@@ -44,7 +47,7 @@ def as_of(
         return rows.withColumn("_seen", F.last("_snapshot", ignorenulls=True).over(running))
 
     def sliced(rows: DataFrame) -> DataFrame:
-        rows = skew.with_slice(rows, "_at")
+        rows = skew.with_slice(rows, ["card_id"], order)
         return skew.sliced_last(rows, ["card_id"], order, F.col("_snapshot"), "_seen").drop("_slice")
 
     found = skew.by_heat(both, ["card_id"], plain, sliced, max_rows).filter(F.col("_kind") == 1)
@@ -63,10 +66,18 @@ def correlate_replies(requests: DataFrame, replies: DataFrame, timeout_ms: int =
     ``requests``: tx_id, request_ms; ``replies``: tx_id, reply_ms and payload.
     """
     payload = [c for c in replies.columns if c != "tx_id"]
-    right = one_per_key(replies, "tx_id", "reply_ms").select(F.col("tx_id").alias("_reply_to"), *payload)
+    asked = requests.select("tx_id", "request_ms").distinct()
     in_time = F.col("reply_ms").between(F.col("request_ms"), F.col("request_ms") + timeout_ms)
-    joined = requests.join(right, (F.col("tx_id") == F.col("_reply_to")) & in_time, "left")
-    return joined.withColumn("timed_out", F.col("_reply_to").isNull()).drop("_reply_to")
+    # Of several replies in time the first one counts; of several at one time, always the same.
+    held = F.struct(*payload)
+    first = (
+        asked.join(replies, "tx_id")
+        .filter(in_time)
+        .groupBy(F.col("tx_id").alias("_reply_to"), F.col("request_ms").alias("_asked"))
+        .agg(F.min_by(held, F.struct("reply_ms", F.to_json(held))).alias("_reply"))
+    )
+    joined = requests.join(first, (F.col("tx_id") == F.col("_reply_to")) & (F.col("request_ms") == F.col("_asked")), "left")
+    return joined.select(*requests.columns, "_reply.*", F.col("_reply_to").isNull().alias("timed_out"))
 
 
 # The answer given when no reply came in time.
@@ -88,8 +99,13 @@ def with_fallback(correlated: DataFrame) -> DataFrame:
 
 
 def with_outcomes(decisions: DataFrame, labels: DataFrame) -> DataFrame:
-    """Attach the nullable confirmed-fraud flag."""
-    return decisions.join(one_per_key(labels.select("tx_id", "is_confirmed_fraud"), "tx_id"), "tx_id", "left")
+    """Attach the nullable outcome columns: the confirmed-fraud flag and, where ``labels`` has them,
+    chargeback_at and reviewed_by. Of several outcomes the newest by ``outcome_ms`` counts; without
+    that column, or at equal times, a confirmed one."""
+    values = [c for c in OUTCOME_COLUMNS if c in labels.columns]
+    order = [c for c in ("outcome_ms", *values) if c in labels.columns]
+    newest = labels.groupBy("tx_id").agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_outcome"))
+    return decisions.join(newest.select("tx_id", "_outcome.*"), "tx_id", "left")
 
 
 def known_pairs(transactions: DataFrame, registered: DataFrame) -> DataFrame:

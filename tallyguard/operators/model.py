@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,13 +80,24 @@ def with_ml_probability(df: DataFrame, model, column: str = "p") -> DataFrame:
 
 
 def read_model(spark: SparkSession, path: str) -> bytes | None:
-    """Bytes of a model file in any file system Spark reads; None where there is none."""
+    """Bytes of a model file in any file system Spark reads; None only where there is none. A file
+    above the limit, or one that cannot be read, is an error: scoring without it would go unseen."""
+    row = _head_if_there(lambda: spark.read.format("binaryFile").load(path).select("length"))
+    if row is None:
+        return None
+    if row["length"] > MAX_MODEL_BYTES:
+        raise ValueError(f"model {path} of {row['length']} bytes is above the limit of {MAX_MODEL_BYTES}")
+    return bytes(spark.read.format("binaryFile").load(path).select("content").head()["content"])
+
+
+def _head_if_there(frame: Callable[[], DataFrame]):
+    """First row; None where the path does not exist. Any other failure is raised."""
     try:
-        found = spark.read.format("binaryFile").load(path).select("length", "content")
-        row = found.filter(F.col("length") <= MAX_MODEL_BYTES).head()
-    except Exception:
+        return frame().head()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return bytes(row["content"]) if row else None
 
 
 def _fraud_column(outputs: list[np.ndarray]) -> np.ndarray:
@@ -129,9 +141,7 @@ def onnx_probability(spark: SparkSession, model: bytes | None, vector: Column) -
 
 def newest_model(spark: SparkSession, folder: str) -> bytes | None:
     """Newest model file of a folder; called per micro-batch, a new file takes over without a stop."""
-    try:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.onnx").load(folder)
-        row = files.select("path").orderBy(F.desc("modificationTime"), F.desc("path")).head()
-    except Exception:
-        return None
+    row = _head_if_there(
+        lambda: spark.read.format("binaryFile").option("pathGlobFilter", "*.onnx").load(folder).select("path", "modificationTime").orderBy(F.desc("modificationTime"), F.desc("path"))
+    )
     return read_model(spark, row["path"]) if row else None

@@ -198,7 +198,7 @@ def breaker_state(
 
     def sliced(rows: DataFrame) -> DataFrame:
         numbered = skew.sliced_running(
-            skew.with_slice(rows, "ts_ms"), ["service"], order, sums={"_at": F.lit(1).cast("long")}
+            skew.with_slice(rows, ["service"], order), ["service"], order, sums={"_at": F.lit(1).cast("long")}
         )
         at = F.col("_at") - 1
         block = F.floor(at / F.lit(block_rows)).cast("long")

@@ -1,31 +1,47 @@
 """Keeping one hot key from becoming one hot task.
 
 A window partitioned by a key puts all rows of the key in one task. Keys with more than
-``max_rows`` rows are therefore taken apart by time: each ``(key, slice)`` pair is a window of
-its own, and what a slice needs from earlier ones travels as one small *carry* row per slice.
-The number of carry rows of a key is bounded by its time span over the slice width, whatever
-its row count.
+``max_rows`` rows are therefore cut into slices of about equal row count along the window's order:
+each ``(key, slice)`` pair is a window of its own, and what a slice needs from earlier ones travels
+as one small *carry* row per slice. A range exchange on (key, order) makes the slices, so neither
+many rows of one instant nor a NULL key stay together, and a key has at most as many carry rows as
+there are slices.
+
+NULL is a key like any other, as it is for a window: all joins here are null-safe.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyguard.session import cut_lineage
+
 DEFAULT_MAX_ROWS = 2_000_000
-DEFAULT_SLICE_MS = 60_000
+#: More hot keys than this are joined by shuffle.
+MAX_BROADCAST_KEYS = 100_000
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    """Keys with more than ``max_rows`` rows: at most ``rows / max_rows`` of them.
+    """Keys with more than ``max_rows`` rows.
 
     The count is combined on the map side, and reads the key columns only.
     """
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows).select(*keys)
 
 
+def null_safe_join(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on ``keys`` with NULL equal to NULL; the keys are kept once. ``other`` may be a broadcast."""
+    named = {k: f"_join_{k}" for k in keys}
+    right = other.withColumnsRenamed(named)
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(r)) for k, r in named.items()])
+    joined = df.join(right, on, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*named.values())
+
+
 def by_heat(
     df: DataFrame,
     keys: Sequence[str],
@@ -35,24 +51,30 @@ def by_heat(
 ) -> DataFrame:
     """``plain`` for ordinary keys, ``sliced`` for hot ones; both must return the same columns.
 
-    One small job looks for hot keys. Without any, the plan is that of ``plain`` alone.
-    ``max_rows=None`` skips the look (for inputs known to be even).
+    One small job looks for hot keys and writes them to the shared folder; the driver sees their
+    number only. Without any, the plan is that of ``plain`` alone. ``max_rows=None`` skips the look
+    (for inputs known to be even).
     """
     if max_rows is None:
         return plain(df)
-    # The driver sees rows / max_rows keys at most: the bound that also makes the broadcast safe.
-    found = hot_keys(df, keys, max_rows)
-    rows = found.collect()
-    if not rows:
+    hot = cut_lineage(hot_keys(df, keys, max_rows))
+    found = hot.count()
+    if not found:
         return plain(df)
-    hot = F.broadcast(df.sparkSession.createDataFrame(rows, found.schema))
-    cold_part = plain(df.join(hot, list(keys), "left_anti").select(df.columns))
-    hot_part = sliced(df.join(hot, list(keys), "left_semi").select(df.columns))
+    if found <= MAX_BROADCAST_KEYS:
+        hot = F.broadcast(hot)
+    cold_part = plain(null_safe_join(df, hot, keys, "left_anti").select(df.columns))
+    hot_part = sliced(null_safe_join(df, hot, keys, "left_semi").select(df.columns))
     return cold_part.unionByName(hot_part)
 
 
-def with_slice(df: DataFrame, ts_ms: str, width_ms: int = DEFAULT_SLICE_MS) -> DataFrame:
-    return df.withColumn("_slice", F.floor(F.col(ts_ms) / F.lit(width_ms)).cast("long"))
+def with_slice(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
+    """Add ``_slice``: rows ranged by (keys, order) into ``parts`` (the session's shuffle partitions
+    by default). Slices ascend with the order, and none holds more rows than another by much. The
+    result is written to the shared folder: a range exchange that ran again could cut elsewhere."""
+    parts = parts or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = df.repartitionByRange(parts, *keys, *order)
+    return cut_lineage(ranged.withColumn("_slice", F.spark_partition_id().cast("long")))
 
 
 def sliced_previous(
@@ -71,7 +93,7 @@ def sliced_previous(
         .withColumn("_carry", F.lag("_last").over(across))
         .select(*keys, "_slice", "_carry")
     )
-    joined = df.withColumn("_prev", F.lag(held).over(local)).join(carry, [*keys, "_slice"], "left")
+    joined = null_safe_join(df.withColumn("_prev", F.lag(held).over(local)), carry, [*keys, "_slice"])
     prev = F.coalesce(F.col("_prev"), F.col("_carry"))
     return joined.withColumns({name: prev[name] for name in values}).drop("_prev", "_carry")
 
@@ -103,7 +125,7 @@ def sliced_running(
         {name: F.sum(f"_v_{name}").over(local) for name in sums}
         | {name: F.max(f"_v_{name}").over(local) for name in maxima}
     )
-    joined = within.join(carry, [*keys, "_slice"], "left")
+    joined = null_safe_join(within, carry, [*keys, "_slice"])
     joined = joined.withColumns(
         {name: F.coalesce(F.col(name), F.lit(0)) + F.coalesce(F.col(f"_c_{name}"), F.lit(0)) for name in sums}
         | {name: F.greatest(F.col(name), F.col(f"_c_{name}")) for name in maxima}
@@ -126,10 +148,10 @@ def sliced_last(
     # A slice without a value still has to receive its carry.
     slices = df.select(*keys, "_slice").distinct()
     carry = (
-        slices.join(carry, [*keys, "_slice"], "left")
+        null_safe_join(slices, carry, [*keys, "_slice"])
         .withColumn("_carry", F.last("_last", ignorenulls=True).over(earlier))
         .select(*keys, "_slice", "_carry")
     )
     found = F.last("_held", ignorenulls=True).over(local)
-    joined = df.withColumn("_found", found).join(carry, [*keys, "_slice"], "left")
+    joined = null_safe_join(df.withColumn("_found", found), carry, [*keys, "_slice"])
     return joined.withColumn(name, F.coalesce("_found", "_carry")).drop("_held", "_found", "_carry")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyguard.operators import skew
-from tallyguard.operators.card_windows import DAY_MS, HOUR_MS, WEEK_MS, _cents
+from tallyguard.operators.card_windows import DAY_MS, HOUR_MS, WEEK_MS, _units
 from tallyguard.session import cut_lineage
 
 # What an unknown card reads as.
@@ -91,9 +91,8 @@ def new_merchant_flag(df: DataFrame, max_rows: int | None = skew.DEFAULT_MAX_ROW
         return rows.withColumn("is_new_merchant", F.lag("tx_id").over(order).isNull())
 
     def sliced(rows: DataFrame) -> DataFrame:
-        # One row per hot key: as few as there are hot keys.
         first = rows.groupBy(*keys).agg(F.min(F.struct("ts_ms", "tx_id")).alias("_first"))
-        joined = rows.join(F.broadcast(first), keys)
+        joined = skew.null_safe_join(rows, first, keys, "inner")
         return joined.select(*rows.columns, (F.struct("ts_ms", "tx_id") == F.col("_first")).alias("is_new_merchant"))
 
     return skew.by_heat(df, keys, plain, sliced, max_rows)
@@ -114,7 +113,7 @@ def new_device_flag(df: DataFrame, max_rows: int | None = skew.DEFAULT_MAX_ROWS)
 
     def sliced(rows: DataFrame) -> DataFrame:
         first = rows.groupBy(*keys).agg(F.min("ts_ms").alias("_first"))
-        joined = rows.join(F.broadcast(first), keys)
+        joined = skew.null_safe_join(rows, first, keys, "inner")
         return joined.select(*rows.columns, flag(F.col("_first")).alias("is_new_device"))
 
     return skew.by_heat(df, keys, plain, sliced, max_rows)
@@ -127,13 +126,13 @@ def _week_plain(df: DataFrame) -> DataFrame:
     by_time = Window.partitionBy("card_id").orderBy("ts_ms")
     upto = by_time.rangeBetween(Window.unboundedPreceding, 0)
     before = by_time.rangeBetween(Window.unboundedPreceding, -WEEK_MS - 1)
-    rows = df.withColumn("_cents", _cents(F.col("amount")))
+    rows = df.withColumn("_units", _units(F.col("amount")))
     count = F.count(F.lit(1)).over(upto) - F.count(F.lit(1)).over(before)
-    cents = F.sum("_cents").over(upto) - F.coalesce(F.sum("_cents").over(before), F.lit(0))
+    units = F.sum("_units").over(upto) - F.coalesce(F.sum("_units").over(before), F.lit(0))
     return rows.select(
         *df.columns,
         count.alias("tx_count_7d"),
-        (cents.cast("double") / (F.lit(100.0) * count.cast("double"))).alias("avg_amount_strict_7d"),
+        (units.cast("double") / (F.lit(10000.0) * count.cast("double"))).alias("avg_amount_strict_7d"),
         F.max("amount").over(by_time.rangeBetween(-WEEK_MS, 0)).alias("max_amount_7d"),
     )
 
@@ -143,23 +142,25 @@ def _week_sliced(df: DataFrame) -> DataFrame:
     hour's tail, the whole hours between, and the last hour's head."""
     df = cut_lineage(df)
     instants = (
-        df.withColumn("_cents", _cents(F.col("amount")))
+        df.withColumn("_units", _units(F.col("amount")))
         .groupBy("card_id", "ts_ms")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("_cents").alias("cents"), F.max("amount").alias("top"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("_units").alias("units"), F.max("amount").alias("top"))
     )
     zero = F.lit(0).cast("long")
     asked = F.array(
-        F.struct((F.col("ts_ms") - WEEK_MS).alias("at"), F.lit(1).alias("kind"), zero.alias("n"), zero.alias("cents"), F.lit(None).cast("double").alias("top")),
-        F.struct(F.col("ts_ms").alias("at"), F.lit(0).alias("kind"), F.col("n"), F.col("cents"), F.col("top")),
+        F.struct((F.col("ts_ms") - WEEK_MS).alias("at"), F.lit(1).alias("kind"), zero.alias("n"), zero.alias("units"), F.lit(None).cast("double").alias("top")),
+        F.struct(F.col("ts_ms").alias("at"), F.lit(0).alias("kind"), F.col("n"), F.col("units"), F.col("top")),
     )
-    points = cut_lineage(skew.with_slice(instants.select("card_id", "ts_ms", F.inline(asked)), "at", HOUR_MS))
+    # Slices are hours here: an hour of one card has two points per millisecond at most.
+    points = instants.select("card_id", "ts_ms", F.inline(asked))
+    points = cut_lineage(points.withColumn("_slice", F.floor(F.col("at") / F.lit(HOUR_MS)).cast("long")))
 
     # A question at the old end must not count the instant it falls on: it sorts before it here ...
     sums = skew.sliced_running(
         points.withColumn("_late", 1 - F.col("kind")),
         ["card_id"],
         ["at", "_late"],
-        sums={"n_run": F.col("n"), "cents_run": F.col("cents")},
+        sums={"n_run": F.col("n"), "units_run": F.col("units")},
     )
     # ... and after it when looking for the maximum from that instant on.
     tail = Window.partitionBy("card_id", "_slice").orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, 0)
@@ -175,23 +176,23 @@ def _week_sliced(df: DataFrame) -> DataFrame:
         .select("card_id", "_slice", "_between")
     )
     tops = points.withColumns({"_tail": F.max("top").over(tail), "_head": F.max("top").over(head)})
-    tops = tops.join(whole, ["card_id", "_slice"], "left")
+    tops = skew.null_safe_join(tops, whole, ["card_id", "_slice"])
 
     def of_kind(kind: int, name: str) -> Column:
         return F.max(F.when(F.col("kind") == kind, F.col(name)))
 
     counted = sums.groupBy("card_id", "ts_ms").agg(
         (of_kind(0, "n_run") - of_kind(1, "n_run")).alias("tx_count_7d"),
-        (of_kind(0, "cents_run") - of_kind(1, "cents_run")).alias("_cents"),
+        (of_kind(0, "units_run") - of_kind(1, "units_run")).alias("_units"),
     )
     topped = tops.groupBy("card_id", "ts_ms").agg(
         F.greatest(of_kind(1, "_tail"), of_kind(0, "_between"), of_kind(0, "_head")).alias("max_amount_7d")
     )
-    figures = counted.join(topped, ["card_id", "ts_ms"]).withColumn(
+    figures = skew.null_safe_join(counted, topped, ["card_id", "ts_ms"], "inner").withColumn(
         "avg_amount_strict_7d",
-        F.col("_cents").cast("double") / (F.lit(100.0) * F.col("tx_count_7d").cast("double")),
+        F.col("_units").cast("double") / (F.lit(10000.0) * F.col("tx_count_7d").cast("double")),
     )
-    return df.join(figures, ["card_id", "ts_ms"]).select(*df.columns, *_WEEK)
+    return skew.null_safe_join(df, figures, ["card_id", "ts_ms"], "inner").select(*df.columns, *_WEEK)
 
 
 def strict_week(df: DataFrame, max_rows: int | None = 50_000) -> DataFrame:

@@ -423,9 +423,9 @@ def _lifecycle_text(rows: DataFrame) -> DataFrame:
 query("o03_lifecycle", _LIFECYCLE)(lambda spark, sf_dir: _lifecycle_text(audit.lifecycles(audit_events(spark, sf_dir))))
 query(
     "o03_lifecycle_paged",
-    f"""WITH {_EVENTS}, n AS (SELECT *, (row_number() OVER (PARTITION BY tx_id ORDER BY event_ts, event_type, event_id)-1)//3 AS page FROM ev)
+    f"""WITH {_EVENTS}, n AS (SELECT *, (row_number() OVER (PARTITION BY tx_id ORDER BY event_ts, event_type, event_id)-1)//3 AS page, count(*) OVER (PARTITION BY tx_id) AS total FROM ev)
     SELECT tx_id, CAST(page AS INTEGER) AS page, string_agg(event_type || '@' || epoch_us(event_ts)//1000, ','
-      ORDER BY event_ts, event_type, event_id) AS events, count(*) AS event_count FROM n GROUP BY tx_id, page""",
+      ORDER BY event_ts, event_type, event_id) AS events, any_value(total) AS event_count FROM n GROUP BY tx_id, page""",
 )(lambda spark, sf_dir: _lifecycle_text(audit.lifecycles(audit_events(spark, sf_dir), page_rows=3, max_rows=6)))
 query("a18_event_counts", f"WITH {_EVENTS} SELECT tx_id, count(*) AS event_count FROM ev WHERE event_type<>'TRANSACTION_ENRICHED' GROUP BY 1")(
     lambda spark, sf_dir: audit.event_counts(audit_events(spark, sf_dir).filter(F.col("event_type") != "TRANSACTION_ENRICHED"))

@@ -123,13 +123,13 @@ query("score_flagship", on_scores("SELECT tx_id, card_id, risk_score, decision,
 
 # --- snapshots, first-seen flags, as-of join ---------------------------------------------------
 
-AS_OF_MS = 1_706_659_200_000  # 30 days after the first event
+AS_OF_MS = 1_717_027_200_000  # 150 days after the first event, where the stretched view ends
 
 
 @query(
     "w06_strict_week",
     f"""WITH {SPARSE} SELECT tx_id, card_id, count(*) OVER w AS tx_count_7d,
-      CAST(sum(CAST(round(amount*100) AS BIGINT)) OVER w AS DOUBLE)/(100.0::DOUBLE*CAST(count(*) OVER w AS DOUBLE)) AS avg_amount_strict_7d,
+      CAST(sum(CAST(round(amount*10000) AS BIGINT)) OVER w AS DOUBLE)/(10000.0::DOUBLE*CAST(count(*) OVER w AS DOUBLE)) AS avg_amount_strict_7d,
       max(amount) OVER w AS max_amount_7d
     FROM tx WINDOW w AS (PARTITION BY card_id ORDER BY ts_ms RANGE BETWEEN 604800000 PRECEDING AND CURRENT ROW)""",
 )
@@ -141,7 +141,7 @@ def w06_strict_week(spark, sf_dir):
 query(
     "w06_strict_week_hot_cards",
     f"""WITH {DENSE} SELECT tx_id, card_id, count(*) OVER w AS tx_count_7d,
-      CAST(sum(CAST(round(amount*100) AS BIGINT)) OVER w AS DOUBLE)/(100.0::DOUBLE*CAST(count(*) OVER w AS DOUBLE)) AS avg_amount_strict_7d,
+      CAST(sum(CAST(round(amount*10000) AS BIGINT)) OVER w AS DOUBLE)/(10000.0::DOUBLE*CAST(count(*) OVER w AS DOUBLE)) AS avg_amount_strict_7d,
       max(amount) OVER w AS max_amount_7d
     FROM tx WINDOW w AS (PARTITION BY card_id ORDER BY ts_ms RANGE BETWEEN 604800000 PRECEDING AND CURRENT ROW)""",
 )(
@@ -235,17 +235,19 @@ def s16_latest_per_card(spark, sf_dir):
 
 
 _AS_OF_SQL = on_features(
-    """SELECT c.event_id AS tx_id, c.user_id AS card_id, f.ts_ms AS snapshot_ms, f.avg_amount_7d, f.tx_count_24h
-    FROM (SELECT *, epoch_us(ts)//1000 AS at FROM events WHERE event_type='click') c
-    ASOF LEFT JOIN feat f ON c.user_id=f.card_id AND c.at>=f.ts_ms""",
+    """SELECT c.tx_id, c.card_id, f.ts_ms AS snapshot_ms, f.avg_amount_7d, f.tx_count_24h
+    FROM (SELECT tx_id, card_id, ts_ms - 1 AS at FROM tx) c
+    ASOF LEFT JOIN (SELECT * FROM feat QUALIFY row_number() OVER (PARTITION BY card_id, ts_ms ORDER BY tx_id DESC)=1) f
+    ON c.card_id=f.card_id AND c.at>=f.ts_ms""",
     SPARSE,
 )
 
 
 def _as_of(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    clicks = as_transactions(table(spark, sf_dir, "events").filter(F.col("event_type") == "click"))
-    history = sparse_features(spark, sf_dir).withColumnRenamed("ts_ms", "snapshot_ms")
-    joined = as_of(clicks.select("tx_id", "card_id", "ts_ms"), history, ["avg_amount_7d", "tx_count_24h"], **options)
+    """Every transaction with its card's newest snapshot from before it."""
+    asked = tx_sparse(spark, sf_dir).select("tx_id", "card_id", (F.col("ts_ms") - 1).alias("ts_ms"))
+    history = latest_per_key(sparse_features(spark, sf_dir), ["card_id", "ts_ms"], ["tx_id"]).withColumnRenamed("ts_ms", "snapshot_ms")
+    joined = as_of(asked, history, ["avg_amount_7d", "tx_count_24h"], **options)
     return joined.select("tx_id", "card_id", "snapshot_ms", "avg_amount_7d", "tx_count_24h")
 
 
@@ -255,31 +257,31 @@ query("j01_as_of_snapshot_hot_cards", _AS_OF_SQL)(lambda spark, sf_dir: _as_of(s
 _WITH_DEFAULTS = """SELECT t.tx_id, coalesce(f.tx_count_24h,0) AS tx_count_24h, coalesce(f.avg_amount_7d,0.0::DOUBLE) AS avg_amount_7d,
     coalesce(f.time_since_last_tx_ms,-1) AS time_since_last_tx_ms, CASE WHEN f.card_id IS NOT NULL THEN f.device END AS device_hash,
     coalesce(f.country_changed,false) AS country_changed
-  FROM (SELECT event_id AS tx_id, user_id AS card_id FROM events WHERE {where}) t
+  FROM (SELECT tx_id, CASE WHEN tx_id%4=0 THEN card_id+1000000 ELSE card_id END AS card_id FROM tx) t
   LEFT JOIN (SELECT * FROM feat QUALIFY row_number() OVER (PARTITION BY card_id ORDER BY ts_ms DESC, tx_id DESC)=1) f USING (card_id)"""
 
 
-@query("p13_default_features", on_features(_WITH_DEFAULTS.format(where="event_type='view'"), SPARSE.replace("='purchase'", "='purchase' AND value>60")))
+@query("p13_default_features", on_features(_WITH_DEFAULTS, SPARSE))
 def p13_default_features(spark, sf_dir):
-    """Views enriched from the snapshots of large purchases; cards without one get the defaults."""
-    large = tx_sparse(spark, sf_dir).filter(F.col("amount") > 60)
-    views = as_transactions(table(spark, sf_dir, "events").filter(F.col("event_type") == "view")).select("tx_id", "card_id")
-    return with_snapshot(views, card_snapshots(card_features(large))).select(
+    """Every transaction enriched from its card's snapshot; every fourth carries a card that has none
+    and gets the defaults."""
+    unknown = F.when(F.col("tx_id") % 4 == 0, F.col("card_id") + 1_000_000).otherwise(F.col("card_id"))
+    asked = tx_sparse(spark, sf_dir).select("tx_id", unknown.alias("card_id"))
+    return with_snapshot(asked, card_snapshots(sparse_features(spark, sf_dir))).select(
         "tx_id", "tx_count_24h", "avg_amount_7d", "time_since_last_tx_ms", "device_hash", "country_changed"
     )
 
 
 @query(
     "p14_unknown_card",
-    f"""WITH {SPARSE} SELECT DISTINCT user_id AS card_id, 0 AS tx_count_1h, 0.0::DOUBLE AS avg_amount_7d, NULL::VARCHAR AS last_country,
-      false AS country_changed, -1::BIGINT AS time_since_last_tx_ms, NULL::VARCHAR AS device_hash
-    FROM events WHERE user_id NOT IN (SELECT card_id FROM tx WHERE amount>150)""",
+    f"""WITH {SPARSE} SELECT DISTINCT card_id+1000000 AS card_id, 0 AS tx_count_1h, 0.0::DOUBLE AS avg_amount_7d, NULL::VARCHAR AS last_country,
+      false AS country_changed, -1::BIGINT AS time_since_last_tx_ms, NULL::VARCHAR AS device_hash FROM tx""",
 )
 def p14_unknown_card(spark, sf_dir):
     """Cards that have no snapshot, as they read."""
-    large = tx_sparse(spark, sf_dir).filter(F.col("amount") > 150)
-    cards = table(spark, sf_dir, "events").select(F.col("user_id").alias("card_id")).distinct()
-    snapshots = card_snapshots(card_features(large))
+    seen = tx_sparse(spark, sf_dir).select("card_id").distinct()
+    cards = seen.union(seen.select(F.col("card_id") + 1_000_000))
+    snapshots = card_snapshots(sparse_features(spark, sf_dir))
     unseen = cards.join(snapshots, "card_id", "left_anti")
     return with_snapshot(unseen, snapshots).select(
         "card_id", F.col("tx_count_1h").cast("int").alias("tx_count_1h"), "avg_amount_7d", "last_country", "country_changed",

@@ -63,11 +63,12 @@ def f07_signal_defaults(spark, sf_dir):
     return tx_dense(spark, sf_dir).select("tx_id", _as_text(signals).alias("signals"))
 
 
-# Traces: the newest 100 samples of a user and hour, in one payload row.
-TRACE_LIMIT = 100
+# Traces of a user and hour, in one payload row: as many of the newest samples as each trace keeps.
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = {**devices.WEB_LIMITS, **devices.MOBILE_LIMITS}
+    newest_of = lambda trace, limit: devices.last_samples(trace, limits[limit])
     rows = tx_dense(spark, sf_dir).select(
         "card_id",
         F.expr("ts_ms div 3600000").alias("hour"),
@@ -78,36 +79,41 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         (props_k() / F.lit(99.0)).alias("pressure"),
         F.col("tx_id").alias("stroke"),
     )
-    newest = devices.keep_last(rows, ["card_id", "hour"], ["tx_id"], TRACE_LIMIT)
+    newest = devices.keep_last(rows, ["card_id", "hour"], ["tx_id"], max(limits.values()))
     ordered = F.array_sort(F.collect_list(F.struct("tx_id", "sample", "pressure", "stroke")))
     traces = newest.groupBy("card_id", "hour").agg(ordered.alias("trace"))
     return traces.select(
         "card_id",
         "hour",
-        F.col("trace.sample").alias("samples"),
-        F.filter("trace.pressure", lambda p: p > 0.5).alias("pressures"),
-        F.col("trace.stroke").alias("strokes"),
+        newest_of(F.col("trace.sample"), "mouse").alias("mouse"),
+        newest_of(F.col("trace.sample"), "acceleration").alias("samples"),
+        newest_of(F.filter("trace.pressure", lambda p: p > 0.5), "touch").alias("touches"),
+        newest_of(F.filter("trace.pressure", lambda p: p > 0.5), "pressure").alias("pressures"),
+        newest_of(F.col("trace.stroke"), "keys").alias("strokes"),
     )
 
 
-_TRACES = f"""{DENSE}, kept AS (SELECT *, ts_ms//3600000 AS hour FROM tx
-  QUALIFY row_number() OVER (PARTITION BY card_id, ts_ms//3600000 ORDER BY tx_id DESC)<=100)"""
+_TRACES = f"""{DENSE}, kept AS (
+  SELECT *, row_number() OVER (PARTITION BY card_id, hour ORDER BY tx_id DESC) AS nth,
+    row_number() OVER (PARTITION BY card_id, hour, pressed ORDER BY tx_id DESC) AS nth_pressed
+  FROM (SELECT *, ts_ms//3600000 AS hour, coalesce(k/99.0>0.5, false) AS pressed FROM tx)
+  QUALIFY nth<=200)"""
 
 
 @query(
     "f03_trace_counts",
-    f"""WITH {_TRACES} SELECT card_id, hour, 'behavioral.keystrokeIntervals=' || count(*) || '|behavioral.mouseMovements=' || count(*)
-      || '|behavioral.touchEvents=' || count(*) FILTER (WHERE k/99.0>0.5) AS signals FROM kept GROUP BY 1,2""",
+    f"""WITH {_TRACES} SELECT card_id, hour, 'behavioral.keystrokeIntervals=' || count(*) FILTER (WHERE nth<=100) || '|behavioral.mouseMovements=' || count(*)
+      || '|behavioral.touchEvents=' || count(*) FILTER (WHERE pressed) AS signals FROM kept GROUP BY 1,2""",
 )
 def f03_trace_counts(spark, sf_dir):
-    counts = devices.trace_counts(F.col("samples"), F.col("strokes"), F.col("pressures"))
+    counts = devices.trace_counts(F.col("mouse"), F.col("strokes"), F.col("touches"))
     return payloads(spark, sf_dir).select("card_id", "hour", _as_text(counts).alias("signals"))
 
 
 @query(
     "f04_mean_acceleration",
     f"""WITH {_TRACES} SELECT card_id, hour, printf('%.4f', avg(sqrt(amount*amount + k::DOUBLE*k + (tx_id%10)::DOUBLE*(tx_id%10)))) AS mean
-    FROM kept GROUP BY 1,2""",
+    FROM kept WHERE nth<=100 GROUP BY 1,2""",
 )
 def f04_mean_acceleration(spark, sf_dir):
     return payloads(spark, sf_dir).select("card_id", "hour", devices.mean_acceleration(F.col("samples")).alias("mean"))
@@ -115,7 +121,7 @@ def f04_mean_acceleration(spark, sf_dir):
 
 @query(
     "f05_mean_pressure",
-    f"""WITH {_TRACES} SELECT card_id, hour, coalesce(printf('%.4f', avg(k/99.0::DOUBLE) FILTER (WHERE k/99.0::DOUBLE>0.5)), '0') AS mean FROM kept GROUP BY 1,2""",
+    f"""WITH {_TRACES} SELECT card_id, hour, coalesce(printf('%.4f', avg(k/99.0::DOUBLE) FILTER (WHERE pressed AND nth_pressed<=50)), '0') AS mean FROM kept GROUP BY 1,2""",
 )
 def f05_mean_pressure(spark, sf_dir):
     return payloads(spark, sf_dir).select("card_id", "hour", devices.mean_pressure(F.col("pressures")).alias("mean"))
@@ -123,7 +129,7 @@ def f05_mean_pressure(spark, sf_dir):
 
 @query(
     "f06_mean_interval",
-    f"WITH {_TRACES} SELECT card_id, hour, CAST(CAST(floor(avg(tx_id%4000)+0.5) AS BIGINT) AS VARCHAR) AS mean FROM kept GROUP BY 1,2",
+    f"WITH {_TRACES} SELECT card_id, hour, CAST(CAST(floor(avg(tx_id%4000)+0.5) AS BIGINT) AS VARCHAR) AS mean FROM kept WHERE nth<=100 GROUP BY 1,2",
 )
 def f06_mean_interval(spark, sf_dir):
     intervals = F.transform("strokes", lambda s: s % 4000)
@@ -207,12 +213,12 @@ def a08_device_card_profiles(spark, sf_dir):
     return analytics.device_card_profiles(tx_sparse(spark, sf_dir))
 
 
-_SIGNUPS = DENSE.replace("tx AS (", "signups AS (", 1).rstrip(")") + " WHERE event_type='signup' AND value<20)"
+_SIGNUPS = DENSE.replace("tx AS (", "signups AS (", 1).rstrip(")") + " WHERE event_type='signup' AND 'dev' || CAST((event_id//97+user_id)%2 AS VARCHAR)='dev0')"
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = tx_dense(spark, sf_dir)
-    registered = rows.filter((F.col("event_type") == "signup") & (F.col("amount") < 20))
+    registered = rows.filter((F.col("event_type") == "signup") & (F.col("device") == "dev0"))
     return tx_sparse(spark, sf_dir), registered
 
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from tallyguard.sources.views import DENSE_FACTOR, EPOCH_2024_MS, MCC_CODES
+from tallyguard.sources.views import DENSE_FACTOR, EPOCH_2024_MS, MCC_CODES, SPARSE_STRETCH
 
 _MCC = ",".join(f"'{code}'" for code in MCC_CODES)
 
 
-def transactions(factor: int, where: str = "") -> str:
+def transactions(factor: int = 1, where: str = "", stretch: int = 1) -> str:
     return f"""tx AS (
   SELECT event_id AS tx_id, user_id AS card_id,
-    {EPOCH_2024_MS} + ((epoch_us(ts)//1000) - {EPOCH_2024_MS}) // {factor} AS ts_ms,
+    {EPOCH_2024_MS} + ((epoch_us(ts)//1000) - {EPOCH_2024_MS}) * {stretch} // {factor} AS ts_ms,
     value AS amount, (event_id*7+user_id)%40 AS merchant_id, [{_MCC}][1+event_id%10] AS mcc,
     CASE WHEN event_id%3=0 THEN 'ATM' WHEN event_id%3=1 THEN 'POS' ELSE 'ECOM' END AS channel,
     CASE WHEN (event_id*31+user_id)%20<3 THEN 'GB' WHEN (event_id*31+user_id)%20=3 THEN '' ELSE 'US' END AS country,
@@ -20,7 +20,7 @@ def transactions(factor: int, where: str = "") -> str:
 
 
 DENSE = transactions(DENSE_FACTOR)
-SPARSE = transactions(1, "WHERE event_type='purchase'")
+SPARSE = transactions(stretch=SPARSE_STRETCH)
 
 FEATURES = """prv AS (
   SELECT *, lag(ts_ms) OVER c AS prev_ts, lag(country) OVER c AS prev_country, lag(device) OVER c AS prev_device,
@@ -40,8 +40,8 @@ cnt AS (
     CAST(sum(once) OVER (PARTITION BY card_id ORDER BY ts_ms RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW) AS BIGINT) AS tx_count_1h,
     CAST(sum(once) OVER (PARTITION BY card_id ORDER BY ts_ms RANGE BETWEEN 21600000 PRECEDING AND CURRENT ROW) AS BIGINT) AS tx_count_6h,
     CAST(sum(once) OVER (PARTITION BY card_id ORDER BY ts_ms RANGE BETWEEN 86399999 PRECEDING AND CURRENT ROW) AS BIGINT) AS tx_count_24h,
-    CAST(sum(CAST(round(amount*100) AS BIGINT)) OVER (PARTITION BY card_id, s7 ORDER BY ts_ms, tx_id) AS DOUBLE)
-      / (100.0::DOUBLE * CAST(count(*) OVER (PARTITION BY card_id, s7 ORDER BY ts_ms, tx_id) AS DOUBLE)) AS avg_amount_7d,
+    CAST(sum(CAST(round(amount*10000) AS BIGINT)) OVER (PARTITION BY card_id, s7 ORDER BY ts_ms, tx_id) AS DOUBLE)
+      / (10000.0::DOUBLE * CAST(count(*) OVER (PARTITION BY card_id, s7 ORDER BY ts_ms, tx_id) AS DOUBLE)) AS avg_amount_7d,
     CAST(sum(first_here) OVER (PARTITION BY card_id, s24 ORDER BY ts_ms, tx_id) AS BIGINT) AS distinct_merchants_24h,
     (NOT fresh AND prev_country<>'' AND prev_country<>country) AS country_changed,
     CAST(CASE WHEN fresh THEN -1 ELSE ts_ms-prev_ts END AS BIGINT) AS time_since_last_tx_ms,

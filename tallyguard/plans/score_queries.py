@@ -232,7 +232,7 @@ def s05_alert_json(spark, sf_dir):
     "a04_hourly_velocity",
     on_scores(
         """SELECT card_id, ts_ms//3600000*3600000 AS hour_ms, count(*) AS tx_count,
-          CAST(sum(CAST(round(amount*100) AS BIGINT)) AS DOUBLE)/100.0::DOUBLE AS total_amount,
+          CAST(sum(CAST(round(amount*10000) AS BIGINT)) AS DOUBLE)/10000.0::DOUBLE AS total_amount,
           CAST(sum(is_confirmed_fraud) AS BIGINT) AS fraud_count FROM labelled GROUP BY 1,2""",
         more=_LABELS,
     ),
@@ -243,7 +243,7 @@ def a04_hourly_velocity(spark, sf_dir):
 
 
 _DISTRIBUTION = """SELECT CAST(make_timestamp(ts_ms*1000) AS DATE) AS date, risk_band, decision, count(*) AS tx_count,
-  CAST(sum(CAST(round(amount*100) AS BIGINT)) AS DOUBLE)/100.0::DOUBLE AS total_amount FROM scored GROUP BY 1,2,3"""
+  CAST(sum(CAST(round(amount*10000) AS BIGINT)) AS DOUBLE)/10000.0::DOUBLE AS total_amount FROM scored GROUP BY 1,2,3"""
 
 
 @query("a05_decision_distribution", on_scores(_DISTRIBUTION, SPARSE, with_p=True))
@@ -255,14 +255,14 @@ def a05_decision_distribution(spark, sf_dir):
 @query(
     "a06_merged_partials",
     f"""WITH {SPARSE} SELECT card_id, ts_ms//3600000*3600000 AS hour_ms, count(*) AS tx_count,
-      CAST(sum(CAST(round(amount*100) AS BIGINT)) AS BIGINT) AS cents FROM tx GROUP BY 1,2""",
+      CAST(sum(CAST(round(amount*10000) AS BIGINT)) AS BIGINT) AS units FROM tx GROUP BY 1,2""",
 )
 def a06_merged_partials(spark, sf_dir):
     """Sums of the odd rows merged into those of the even ones."""
 
     def partial(rows: DataFrame) -> DataFrame:
         return rows.groupBy("card_id", text.hour_start_ms(F.col("ts_ms")).alias("hour_ms")).agg(
-            F.count(F.lit(1)).alias("tx_count"), F.sum(F.round(F.col("amount") * 100).cast("long")).alias("cents")
+            F.count(F.lit(1)).alias("tx_count"), F.sum(F.round(F.col("amount") * 10000).cast("long")).alias("units")
         )
 
     from tallyguard.sources.views import tx_sparse

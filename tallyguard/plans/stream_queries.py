@@ -44,7 +44,7 @@ def drain(stream: DataFrame, sink: Callable[[str], sinks.BatchSink], label: str)
 
 
 def read(spark: SparkSession, path: str, *columns) -> DataFrame:
-    return spark.read.parquet(path).select(*columns) if columns else spark.read.parquet(path).drop("batch_id")
+    return spark.read.parquet(path).select(*columns) if columns else spark.read.parquet(path).drop("writer", "batch_id")
 
 
 @query("s01_transaction_stream", f"WITH {DENSE} SELECT tx_id, card_id, ts_ms, amount, merchant_id FROM tx")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -46,6 +47,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir: a machine's own folder is not seen by the others")
         folder = tempfile.mkdtemp(prefix="tallyguard-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)

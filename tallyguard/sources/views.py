@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 EPOCH_2024_MS = 1_704_067_200_000
 MCC_CODES = ["5411", "7995", "5812", "5967", "5912", "4111", "5122", "7011", "5999", "5732"]
 DENSE_FACTOR = 72
+SPARSE_STRETCH = 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def as_transactions(events: DataFrame, factor: int = 1) -> DataFrame:
-    """Map the events table to card transactions; ``factor`` squeezes time."""
+def as_transactions(events: DataFrame, factor: int = 1, stretch: int = 1) -> DataFrame:
+    """Map the events table to card transactions; ``factor`` squeezes time, ``stretch`` stretches it."""
     event_ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    squeezed = f"{EPOCH_2024_MS}L + (event_ms - {EPOCH_2024_MS}L) div {factor}"
+    squeezed = f"{EPOCH_2024_MS}L + (event_ms - {EPOCH_2024_MS}L) * {stretch} div {factor}"
     pick = F.element_at(F.array(*[F.lit(code) for code in MCC_CODES]), (F.pmod("event_id", F.lit(10)) + 1).cast("int"))
     region = F.pmod(F.col("event_id") * 31 + F.col("user_id"), F.lit(20))
     return events.withColumn("event_ms", event_ms).select(
@@ -42,8 +43,8 @@ def tx_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tx_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases at their own pace, with day and week gaps."""
-    return as_transactions(table(spark, sf_dir, "events").filter(F.col("event_type") == "purchase"))
+    """All events, 30 days stretched to 150, with day and week gaps."""
+    return as_transactions(table(spark, sf_dir, "events"), stretch=SPARSE_STRETCH)
 
 
 def props_k(props: str = "props"):

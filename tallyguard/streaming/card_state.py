@@ -36,7 +36,7 @@ _FEATURE_TYPES = {
     "velocity_score": T.DoubleType(),
 }
 _CARD = (
-    "last_ms bigint, last_country string, last_device string, cents bigint, rows bigint, "
+    "last_ms bigint, last_country string, last_device string, units bigint, rows bigint, "
     "merchants array<string>, spilled bigint, hours array<bigint>, sizes array<bigint>, timer_ms bigint"
 )
 _INPUTS = ["ts_ms", "tx_id", "merchant_id", "amount", "country", "device"]
@@ -111,10 +111,10 @@ class CardFeatureProcessor(StatefulProcessor):
         batch = sorted(((wanted(plain), passed(plain)) for plain in map(tuple, named)), key=lambda pair: pair[0][:2])
         known = self.card.get()
         if known is None:
-            last_ms, country, device, cents, count, timer = None, "", "", 0, 0, None
+            last_ms, country, device, units, count, timer = None, "", "", 0, 0, None
             merchants, spilled, sizes = set(), 0, {}
         else:
-            last_ms, country, device, cents, count, held, spilled, hours, hour_sizes, timer = known
+            last_ms, country, device, units, count, held, spilled, hours, hour_sizes, timer = known
             merchants, sizes = set(held), dict(zip(hours, hour_sizes))
         recent = _Recent(self.recent, sizes)
         for (ts, _, seller, *_), _ in batch:
@@ -126,19 +126,19 @@ class CardFeatureProcessor(StatefulProcessor):
             idle = None if last_ms is None else ts - last_ms
             fresh = idle is None or idle >= WEEK_MS
             if fresh:
-                cents, count = 0, 0
+                units, count = 0, 0
             if idle is None or idle >= DAY_MS:
                 merchants, spilled = set(), self._forget(spilled)
             if seller not in merchants:
                 spilled += self._remember(merchants, seller, spilled)
-            cents += _cents(amount)
+            units += _units(amount)
             count += 1
             changed = not fresh and country != "" and country != here
             out.append(
                 self.result(
                     *kept,
                     *counts,
-                    cents / (100.0 * count),
+                    units / (10000.0 * count),
                     len(merchants) + spilled,
                     changed,
                     -1 if fresh else idle,
@@ -154,7 +154,7 @@ class CardFeatureProcessor(StatefulProcessor):
             timer = last_ms + WEEK_MS
             self.handle.registerTimer(timer)
         self.card.update(
-            (last_ms, country, device, cents, count, sorted(merchants), spilled, list(sizes), list(sizes.values()), timer)
+            (last_ms, country, device, units, count, sorted(merchants), spilled, list(sizes), list(sizes.values()), timer)
         )
         return iter(out)
 
@@ -191,8 +191,8 @@ class CardFeatureProcessor(StatefulProcessor):
         pass
 
 
-def _cents(amount: Any) -> int:
-    scaled = float(amount) * 100.0
+def _units(amount: Any) -> int:
+    scaled = float(amount) * 10000.0
     whole = int(abs(scaled) + 0.5)
     return whole if scaled >= 0 else -whole
 

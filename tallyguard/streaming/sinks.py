@@ -20,8 +20,9 @@ BUFFER_INTERVAL = "1 second"
 CHECKPOINT_INTERVAL = "30 seconds"
 
 
-def table_sink(path: str) -> BatchSink:
-    return lambda batch, batch_id: upsert_batch(batch, path, batch_id)
+def table_sink(path: str, writer: str = "stream") -> BatchSink:
+    """Upserts under ``writer``: one name for each query and checkpoint that writes to the table."""
+    return lambda batch, batch_id: upsert_batch(batch, path, batch_id, writer)
 
 
 def kafka_sink(servers: str, topic: str | None = None) -> BatchSink:
@@ -69,13 +70,14 @@ def decisions_with_reply(everything: BatchSink, replies: BatchSink, reply_topic:
     return each(lambda batch, batch_id: everything(batch.drop(reply_topic), batch_id), reply)
 
 
-def audit_sink(audit_path: str, analytics_path: str) -> BatchSink:
-    """Decisions to the audit table (upsert by transaction) and to the analytics table."""
+def audit_sink(audit_path: str, analytics_path: str, writer: str = "stream") -> BatchSink:
+    """Decisions to the audit table (upsert by transaction) and to the analytics table; ``writer`` as
+    for ``table_sink``."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = audit_rows(batch)
-        upsert_batch(rows, audit_path, batch_id)
-        upsert_batch(analytics_rows(rows), analytics_path, batch_id)
+        upsert_batch(rows, audit_path, batch_id, writer)
+        upsert_batch(analytics_rows(rows), analytics_path, batch_id, writer)
 
     return each(write)
 
