@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -190,6 +190,30 @@ def replay_dead_letters(dead: DataFrame, schema, errors: Column) -> DataFrame:
     return rows.filter(F.size(errors) == 0)
 
 
+def dead_again(dead: DataFrame, schema, errors: Column, failed_ms: Column) -> DataFrame:
+    """Dead letters that fail once more: one attempt more, a new last failure and reason, the first
+    failure kept."""
+    row = F.from_json("payload", schema)
+    checked = dead.withColumn("_row", row).select("*", "_row.*").withColumn("_errors", errors)
+    return checked.filter(F.size("_errors") > 0).select(
+        "payload",
+        "original_topic",
+        "consumer_group",
+        error_text(F.col("_errors")).alias("failure_reason"),
+        (F.col("attempt_count") + 1).alias("attempt_count"),
+        "first_failure_ms",
+        failed_ms.alias("last_failure_ms"),
+        "exception_class",
+    )
+
+
+def write_back(replayed: DataFrame, sink_of: Callable[[str], Callable[[DataFrame], None]], topics: Sequence[str]) -> None:
+    """Send replayed rows (see ``replay_dead_letters``) to the topic each one came from; ``topics`` is
+    the fixed list of topics that have dead letters."""
+    for topic in topics:
+        sink_of(topic)(replayed.filter(F.col("original_topic") == topic).drop("original_topic"))
+
+
 # --- reading by card and transaction ----------------------------------------------------------
 
 

@@ -122,6 +122,25 @@ def new_pairs(transactions: DataFrame, registered: DataFrame) -> DataFrame:
     )
 
 
+def first_of_pair(transactions: DataFrame, max_rows: int | None = skew.DEFAULT_MAX_ROWS) -> DataFrame:
+    """True on the first transaction, by time and id, of each device and card; without a device it is
+    never set. A pair with more than ``max_rows`` rows is compared with its first row by a join."""
+    keys, order = ["device", "card_id"], F.struct("ts_ms", "tx_id")
+
+    def plain(rows: DataFrame) -> DataFrame:
+        # Rows without a device need no order: spread them.
+        spread = F.when(F.col("device").isNull(), F.pmod(F.xxhash64("tx_id"), F.lit(1024))).otherwise(0)
+        rank = F.row_number().over(Window.partitionBy(*keys, spread).orderBy("ts_ms", "tx_id"))
+        return rows.withColumn("is_new_pair", F.col("device").isNotNull() & (rank == 1))
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        first = rows.groupBy(*keys).agg(F.min(order).alias("_first"))
+        joined = skew.null_safe_join(rows, first, keys, "inner")
+        return joined.select(*rows.columns, (F.col("device").isNotNull() & (order == F.col("_first"))).alias("is_new_pair"))
+
+    return skew.by_heat(transactions, keys, plain, sliced, max_rows)
+
+
 def cards_on_device(transactions: DataFrame, device: str | None = None) -> DataFrame:
     """Cards seen on a device, one row per pair: no array grows with a shared device."""
     rows = transactions if device is None else transactions.filter(F.col("device") == device)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyguard.operators import skew
 from tallyguard.operators.analytics import FIVE_MINUTES_MS, is_decline
+from tallyguard.session import cut_lineage
 
 MINUTE_MS = 60_000
 HOUR_MS = 3_600_000
@@ -145,25 +146,28 @@ def counts_by_status(df: DataFrame, status: str, width_ms: int = MINUTE_MS) -> D
 # --- series over windows: their length is the time span over the step, not the row count ------
 
 
-def on_full_grid(series: DataFrame, step_ms: int = FIVE_MINUTES_MS) -> DataFrame:
-    """Add the windows nothing fell into (their other columns are null)."""
-    span = series.agg(F.min("window_ms").alias("a"), F.max("window_ms").alias("b")).filter(F.col("a").isNotNull())
-    grid = span.select(F.explode(F.sequence("a", "b", F.lit(step_ms))).alias("window_ms"))
-    return grid.join(series, "window_ms", "left")
+def on_full_grid(series: DataFrame, keys: Sequence[str] = (), step_ms: int = FIVE_MINUTES_MS) -> DataFrame:
+    """Add the windows nothing fell into, per key (their other columns are null)."""
+    span = series.groupBy(*keys).agg(F.min("window_ms").alias("a"), F.max("window_ms").alias("b")).filter(F.col("a").isNotNull())
+    grid = span.select(*keys, F.explode(F.sequence("a", "b", F.lit(step_ms))).alias("window_ms"))
+    return skew.null_safe_join(grid, series, [*keys, "window_ms"])
 
 
-def fraud_rate_spikes(rates: DataFrame, factor: float = 2.0) -> DataFrame:
-    """Five-minute rate above ``factor`` times the mean of the last hour's twelve rates."""
-    hour = Window.orderBy("window_ms").rangeBetween(-(HOUR_MS - FIVE_MINUTES_MS), 0)
-    series = on_full_grid(rates.select("window_ms", "fraud_rate"))
+def fraud_rate_spikes(rates: DataFrame, factor: float = 2.0, keys: Sequence[str] = ()) -> DataFrame:
+    """Five-minute rate above ``factor`` times the mean of the last hour's twelve rates, per key. The
+    series is written once: its span and the grid's join would compute it twice."""
+    hour = Window.partitionBy(*keys).orderBy("window_ms").rangeBetween(-(HOUR_MS - FIVE_MINUTES_MS), 0)
+    series = on_full_grid(cut_lineage(rates.select(*keys, "window_ms", "fraud_rate")), keys)
     series = series.withColumn("hour_mean", F.avg("fraud_rate").over(hour))
     spike = F.coalesce(F.col("fraud_rate") > F.col("hour_mean") * factor, F.lit(False))
     return series.withColumn("spike", spike)
 
 
-def sustained(series: DataFrame, condition: Column, hold_ms: int, step_ms: int = FIVE_MINUTES_MS) -> DataFrame:
-    """True where the condition held at every step of the closed last ``hold_ms``."""
-    span = Window.orderBy("window_ms").rangeBetween(-hold_ms, 0)
+def sustained(
+    series: DataFrame, condition: Column, hold_ms: int, step_ms: int = FIVE_MINUTES_MS, keys: Sequence[str] = ()
+) -> DataFrame:
+    """True where the condition held at every step of the closed last ``hold_ms``, per key."""
+    span = Window.partitionBy(*keys).orderBy("window_ms").rangeBetween(-hold_ms, 0)
     held = F.coalesce(condition, F.lit(False)).cast("int")
     df = series.withColumn("_held", held)
     firing = (F.min("_held").over(span) == 1) & (F.count(F.lit(1)).over(span) == hold_ms // step_ms + 1)

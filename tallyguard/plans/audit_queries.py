@@ -258,6 +258,32 @@ def s08_audit_upsert(spark, sf_dir):
     return audit.current_rows(spark, path)
 
 
+_AFTER = """SELECT tx_id, CASE WHEN tx_id%5=0 THEN 999 ELSE risk_score END AS risk_score,
+  CASE WHEN tx_id%5=0 THEN 'DECLINE' ELSE decision END AS decision FROM scored"""
+
+
+@query("s08_fresh_checkpoint_keeps_history", on_scores(_AFTER, with_p=True))
+def s08_fresh_checkpoint_keeps_history(spark, sf_dir):
+    """The table is compacted; a stream with a new checkpoint then begins at batch 0 again."""
+    rows = decisions(spark, sf_dir).select("tx_id", "risk_score", "decision")
+    path, folded = fresh_path(spark, "audit"), fresh_path(spark, "audit")
+    audit.upsert_batch(rows, path, 0, "first")
+    audit.compact(spark, path, folded)
+    late = rows.filter(F.col("tx_id") % 5 == 0).withColumns({"risk_score": F.lit(999), "decision": F.lit("DECLINE")})
+    audit.upsert_batch(late, folded, 0, "second")
+    return audit.current_rows(spark, folded)
+
+
+@query("s08_two_states_in_one_batch", on_scores(_AFTER, with_p=True))
+def s08_two_states_in_one_batch(spark, sf_dir):
+    """Both states of a transaction come in one batch, in no order: the later one by event time stays."""
+    rows = decisions(spark, sf_dir).select("tx_id", "risk_score", "decision", F.lit(1).alias("ts"))
+    late = rows.filter(F.col("tx_id") % 5 == 0).withColumns({"risk_score": F.lit(999), "decision": F.lit("DECLINE"), "ts": F.lit(2)})
+    path = fresh_path(spark, "audit")
+    audit.upsert_batch(late.unionByName(rows), path, 0)
+    return audit.current_rows(spark, path).drop("ts")
+
+
 @query(
     "s10_month_table",
     f"""WITH {SPARSE} SELECT tx_id, card_id, ts_ms, amount, CAST(strftime(make_timestamp(ts_ms*1000), '%Y%m') AS INTEGER) AS yyyymm FROM tx""",
@@ -322,6 +348,24 @@ def s17_dead_letter_replay(spark, sf_dir):
     return again.select("original_topic", "request_id", "card_id", F.col("amount").cast("double").alias("amount"), "country")
 
 
+@query(
+    "s17_dead_letters_again",
+    f"""WITH {_CHECKED} SELECT request_id, 4 AS attempt_count, auth_errors AS failure_reason, last_ms > first_ms AS later
+    FROM (SELECT *, 1 AS first_ms, 2 AS last_ms FROM checked) WHERE errors IS NOT NULL AND auth_errors IS NOT NULL""",
+)
+def s17_dead_letters_again(spark, sf_dir):
+    """Those of the replayed dead letters that fail again, counted."""
+    dead = _dead_letters(spark, sf_dir)[1].withColumns({"first_failure_ms": F.lit(1), "last_failure_ms": F.lit(1)})
+    schema = request_rows(spark, sf_dir).schema
+    again = audit.dead_again(dead, schema, requests.authentication_errors(), F.lit(2))
+    return again.select(
+        F.from_json("payload", schema)["request_id"].alias("request_id"),
+        "attempt_count",
+        "failure_reason",
+        (F.col("last_failure_ms") > F.col("first_failure_ms")).alias("later"),
+    )
+
+
 @query("p15_masked_card", "SELECT c_custkey, repeat('*', length(c_name)-4) || right(c_name,4) AS masked FROM customer")
 def p15_masked_card(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", text.mask_card(F.col("c_name")).alias("masked"))
@@ -427,6 +471,16 @@ query(
     SELECT tx_id, CAST(page AS INTEGER) AS page, string_agg(event_type || '@' || epoch_us(event_ts)//1000, ','
       ORDER BY event_ts, event_type, event_id) AS events, any_value(total) AS event_count FROM n GROUP BY tx_id, page""",
 )(lambda spark, sf_dir: _lifecycle_text(audit.lifecycles(audit_events(spark, sf_dir), page_rows=3, max_rows=6)))
+query(
+    "o03_lifecycle_total",
+    f"""WITH {_EVENTS}, n AS (SELECT *, (row_number() OVER (PARTITION BY tx_id ORDER BY event_ts, event_type, event_id)-1)//2 AS page,
+      count(*) OVER (PARTITION BY tx_id) AS total FROM ev)
+    SELECT tx_id, CAST(page AS INTEGER) AS page, count(*) AS on_page, any_value(total) AS event_count FROM n GROUP BY tx_id, page""",
+)(
+    lambda spark, sf_dir: audit.lifecycles(audit_events(spark, sf_dir), page_rows=2).select(
+        "tx_id", "page", F.size("events").cast("long").alias("on_page"), "event_count"
+    )
+)
 query("a18_event_counts", f"WITH {_EVENTS} SELECT tx_id, count(*) AS event_count FROM ev WHERE event_type<>'TRANSACTION_ENRICHED' GROUP BY 1")(
     lambda spark, sf_dir: audit.event_counts(audit_events(spark, sf_dir).filter(F.col("event_type") != "TRANSACTION_ENRICHED"))
 )

@@ -98,6 +98,33 @@ def card_features_hot_cards(spark, sf_dir):
     return card_features(tx_dense(spark, sf_dir), max_rows_per_card=70).select(*_ALL.split(", "))
 
 
+_REPLACED = DENSE.replace("tx AS (", "given AS (", 1) + ", tx AS (SELECT * REPLACE ({}) FROM given)"
+
+
+@query(
+    "card_features_null_keys_hot",
+    on_features(
+        f"SELECT {_ALL} FROM feat",
+        _REPLACED.format(
+            "CASE WHEN tx_id%7<>0 THEN card_id END AS card_id, CASE WHEN tx_id%2<>0 THEN merchant_id END AS merchant_id"
+        ),
+    ),
+)
+def card_features_null_keys_hot(spark, sf_dir):
+    """A seventh of the rows share the NULL card, half of all the NULL merchant; the sliced route."""
+    tx = F.col("tx_id")
+    rows = tx_dense(spark, sf_dir).withColumns(
+        {"card_id": F.when(tx % 7 != 0, F.col("card_id")), "merchant_id": F.when(tx % 2 != 0, F.col("merchant_id"))}
+    )
+    return card_features(rows, max_rows_per_card=70).select(*_ALL.split(", "))
+
+
+@query("w04_four_decimals", on_features("SELECT tx_id, avg_amount_7d FROM feat", _REPLACED.format("amount + (tx_id%97)/10000.0::DOUBLE AS amount")))
+def w04_four_decimals(spark, sf_dir):
+    rows = tx_dense(spark, sf_dir).withColumn("amount", F.col("amount") + F.col("tx_id") % 97 / F.lit(10000.0))
+    return card_features(rows).select("tx_id", "avg_amount_7d")
+
+
 _RULES = {
     "r01_velocity": "rule_velocity",
     "r02_amount_anomaly": "rule_amount_anomaly",

@@ -230,6 +230,10 @@ query(
     "j07_known_pairs",
     f"WITH {SPARSE}, {_SIGNUPS} SELECT tx_id, device, card_id FROM tx WHERE EXISTS (SELECT 1 FROM signups s WHERE s.device=tx.device AND s.card_id=tx.card_id)",
 )(lambda spark, sf_dir: lookups.known_pairs(*_pairs(spark, sf_dir)).select("tx_id", "device", "card_id"))
+for _name, _limit in (("j07_first_of_pair", 2_000_000), ("j07_first_of_pair_hot", 40)):
+    query(_name, f"WITH {SPARSE} SELECT tx_id, row_number() OVER (PARTITION BY device, card_id ORDER BY ts_ms, tx_id)=1 AS is_new_pair FROM tx")(
+        lambda spark, sf_dir, limit=_limit: lookups.first_of_pair(tx_sparse(spark, sf_dir), limit).select("tx_id", "is_new_pair")
+    )
 query("j09_cards_on_device", f"WITH {DENSE} SELECT DISTINCT device, card_id FROM tx WHERE device='dev1'")(
     lambda spark, sf_dir: lookups.cards_on_device(tx_dense(spark, sf_dir), "dev1")
 )

@@ -308,6 +308,38 @@ spikes AS (SELECT window_ms, fraud_rate, avg(fraud_rate) OVER (ORDER BY window_m
   FROM series)"""
 
 
+_BY_CHANNEL = """crates AS (SELECT channel, ts_ms//300000*300000 AS window_ms, count(*) FILTER (WHERE decision='DECLINE')::DOUBLE/count(*)::DOUBLE AS fraud_rate
+  FROM scored GROUP BY 1, 2),
+cgrid AS (SELECT channel, unnest(generate_series(min(window_ms), max(window_ms), 300000)) AS window_ms FROM crates GROUP BY channel),
+cseries AS (SELECT channel, window_ms, fraud_rate FROM cgrid LEFT JOIN crates USING (channel, window_ms))"""
+
+
+@query(
+    "w16_fraud_rate_spike_by_channel",
+    on_scores(
+        """SELECT channel, window_ms, fraud_rate, round(hour_mean,9) AS hour_mean, coalesce(fraud_rate>hour_mean*2,false) AS spike FROM (
+        SELECT *, avg(fraud_rate) OVER (PARTITION BY channel ORDER BY window_ms RANGE BETWEEN 3300000 PRECEDING AND CURRENT ROW) AS hour_mean FROM cseries)""",
+        more=_BY_CHANNEL,
+    ),
+)
+def w16_fraud_rate_spike_by_channel(spark, sf_dir):
+    rates = monitoring.fraud_rate(dense_scores(spark, sf_dir), keys=["channel"])
+    return monitoring.fraud_rate_spikes(rates, keys=["channel"]).withColumn("hour_mean", F.round("hour_mean", 9))
+
+
+@query(
+    "w17_sustained_alert_by_channel",
+    on_scores(
+        """SELECT channel, window_ms, min(CASE WHEN fraud_rate>0.03 THEN 1 ELSE 0 END) OVER s = 1 AND count(*) OVER s = 3 AS firing FROM cseries
+        WINDOW s AS (PARTITION BY channel ORDER BY window_ms RANGE BETWEEN 600000 PRECEDING AND CURRENT ROW)""",
+        more=_BY_CHANNEL,
+    ),
+)
+def w17_sustained_alert_by_channel(spark, sf_dir):
+    series = monitoring.on_full_grid(monitoring.fraud_rate(dense_scores(spark, sf_dir), keys=["channel"]), ["channel"])
+    return monitoring.sustained(series, F.col("fraud_rate") > 0.03, 600_000, keys=["channel"]).select("channel", "window_ms", "firing")
+
+
 @query(
     "w16_fraud_rate_spike",
     on_scores(
@@ -379,6 +411,32 @@ def j03_reply_in_time(spark, sf_dir):
     return _correlated(spark, sf_dir).select("tx_id", "request_ms", "reply_ms", "timed_out")
 
 
+@query(
+    "j03_two_replies",
+    f"WITH {DENSE} SELECT tx_id, ts_ms AS request_ms, CASE WHEN k<=45 THEN ts_ms+k END AS reply_ms, k>45 AS timed_out FROM tx",
+)
+def j03_two_replies(spark, sf_dir):
+    """A second reply comes two milliseconds after each first one, and every third first one twice."""
+    rows = tx_dense(spark, sf_dir).withColumn("k", props_k())
+    first = rows.select("tx_id", (F.col("ts_ms") + F.col("k")).alias("reply_ms"))
+    replies = first.unionByName(first.withColumn("reply_ms", F.col("reply_ms") + 2)).unionByName(first.filter(F.col("tx_id") % 3 == 0))
+    return lookups.correlate_replies(rows.select("tx_id", F.col("ts_ms").alias("request_ms")), replies)
+
+
+@query(
+    "j05_newest_outcome",
+    f"""WITH {DENSE} SELECT tx_id, tx_id%2=0 AS is_confirmed_fraud, CASE WHEN tx_id%2=0 THEN ts_ms+5 END AS chargeback_at,
+      'second' AS reviewed_by FROM tx""",
+)
+def j05_newest_outcome(spark, sf_dir):
+    """An outcome is corrected by a later one."""
+    rows = tx_dense(spark, sf_dir)
+    even = F.col("tx_id") % 2 == 0
+    first = rows.select("tx_id", F.lit(1).alias("outcome_ms"), (~even).alias("is_confirmed_fraud"), F.col("ts_ms").alias("chargeback_at"), F.lit("first").alias("reviewed_by"))
+    second = rows.select("tx_id", F.lit(2).alias("outcome_ms"), even.alias("is_confirmed_fraud"), F.when(even, F.col("ts_ms") + 5).alias("chargeback_at"), F.lit("second").alias("reviewed_by"))
+    return lookups.with_outcomes(rows.select("tx_id"), second.unionByName(first))
+
+
 @query(
     "j04_fallback_response",
     on_scores(
