@@ -142,7 +142,7 @@ def blocks_of(page: str | None) -> list[Block]:
         if tag == "br":
             texts.append(" ")
             continue
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in SILENT:
             flush()
         if token[1]:
             for i in range(len(stack) - 1, 0, -1):
