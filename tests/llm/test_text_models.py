@@ -112,7 +112,7 @@ def test_scores_against_definition(spark):
     words = "the of and a Être naïve tion ing er that 你好 x1".split()
     rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 9))) + rnd.choice(["", "\n", "  \tEnd"])) for i in range(30)]
     rows += [(40, None), (41, ""), (None, "the end"), (5, "the of"), (5, "the of"), (42, "unseenword")]
-    same(scored(spark, rows, block_chars=200, chunk_bytes=100, part_grams=50), brute(rows))
+    same(scored(spark, rows, block_chars=200, chunk_bytes=100), brute(rows))
 
 
 def test_probabilities_of_a_byte_add_up():
