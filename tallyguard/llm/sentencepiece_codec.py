@@ -9,13 +9,14 @@ where no piece can reach across, and the cuts' results are remembered, within a
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tallyguard.llm.frames import arrow_map
 
@@ -44,16 +45,17 @@ class Vocabulary:
 
 
 class Codec:
-    """Encodes and decodes texts; built once per task."""
+    """Encodes and decodes texts; built once per Python worker."""
 
     #: Results of at most so many cuts, each of at most so many code points, are remembered.
-    REMEMBERED, LONGEST = 200_000, 64
+    REMEMBERED, LONGEST = 400_000, 64
 
     def __init__(self, vocabulary: Vocabulary):
         self.automaton = ahocorasick.Automaton()
         self.bytes: dict[int, int] = {}
         self.out: list[bytes] = []
         self.unknown = vocabulary.unknown
+        self.letters: set[str] = set()  # code points that are pieces
         lowest, letters = 0.0, set()
         for i, (piece, score, kind) in enumerate(vocabulary.pieces):
             self.out.append(b"")
@@ -62,6 +64,8 @@ class Codec:
                 self.out[i] = piece.replace(SPACE, " ").encode()
                 lowest = min(lowest, score)
                 letters.update(piece)
+                if len(piece) == 1:
+                    self.letters.add(piece)
             elif kind == "byte":
                 value = int(piece[1:-1], 16)
                 self.bytes[value], self.out[i] = i, bytes([value])
@@ -85,7 +89,7 @@ class Codec:
         return np.frombuffer(b"".join([known.get(p) or self._cut(p) for p in parts]), np.int32)
 
     def _cut(self, part: str) -> bytes:
-        ids = np.array(self.best_path(part), np.int32).tobytes()
+        ids = array("i", self.best_path(part)).tobytes()
         if len(part) <= self.LONGEST:
             if len(self.known) >= self.REMEMBERED:
                 self.known.clear()
@@ -95,30 +99,18 @@ class Codec:
     def best_path(self, text: str) -> list[int]:
         """Viterbi in one pass over the automaton's matches; of equal scores the longer piece wins."""
         n = len(text)
-        best, back = [0.0] + [float("-inf")] * n, [(0, 0)] * (n + 1)
-        done = 0
-
-        def fill(upto: int) -> None:
-            # A code point that ends no single-character piece may pass as unknown.
-            for at in range(done + 1, upto + 1):
-                if not single[at] and best[at - 1] + self.unknown_score > best[at]:
-                    best[at], back[at] = best[at - 1] + self.unknown_score, (1, -1)
-
-        single = [False] * (n + 1)
-        for end, (size, score, i) in self.automaton.iter(text):
-            at = end + 1
-            if at - 1 > done:
-                fill(at - 1)
-                done = at - 1
-            if size == 1:
-                single[at] = True
-            value = best[at - size] + score
-            if value > best[at]:
-                best[at], back[at] = value, (size, i)
-        fill(n)
+        best: list[float] = [0.0] + [float("-inf")] * n
+        back: list[tuple] = [()] * (n + 1)
+        if self.letters.issuperset(text):
+            for end, match in self.automaton.iter(text):
+                value = best[end + 1 - match[0]] + match[1]
+                if value > best[end + 1]:
+                    best[end + 1], back[end + 1] = value, match
+        else:
+            self._relax_with_unknown(text, best, back)
         ids, at = [], n
         while at:
-            size, i = back[at]
+            size, _, i = back[at]
             if i >= 0:
                 ids.append(i)
             else:
@@ -126,6 +118,19 @@ class Codec:
             at -= size
         return ids[::-1]
 
+    def _relax_with_unknown(self, text: str, best: list[float], back: list[tuple]) -> None:
+        """The same, where some code points are no piece of their own and may pass as unknown."""
+        matches: list[list[tuple]] = [[] for _ in range(len(text) + 1)]
+        for end, match in self.automaton.iter(text):
+            matches[end + 1].append(match)
+        for at in range(1, len(text) + 1):
+            for match in matches[at]:
+                value = best[at - match[0]] + match[1]
+                if value > best[at]:
+                    best[at], back[at] = value, match
+            if text[at - 1] not in self.letters and best[at - 1] + self.unknown_score > best[at]:
+                best[at], back[at] = best[at - 1] + self.unknown_score, (1, 0.0, -1)
+
     def decode(self, ids) -> str:
         """Text of the ids; byte pieces are read as UTF-8, the leading space that encoding adds goes."""
         out = self.out
@@ -133,24 +138,31 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
 
+@lru_cache(maxsize=2)
+def _codec(vocabulary: Vocabulary) -> Codec:
+    return Codec(vocabulary)
+
+
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    flat = np.concatenate([np.empty(0, np.int32), *ids])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)).cast(pa.list_(pa.int32()))
+
+
 def encode(df: DataFrame, vocabulary: Vocabulary | None = None, text: str = "text", into: str = "pieces") -> DataFrame:
     """``df`` with the ids of each whole text in column ``into`` (array of int; a column of that
     name is replaced). Null and empty texts have no ids. Rows are encoded one by one: repeated rows
     get equal ids, an empty table stays empty."""
     vocabulary = vocabulary or Vocabulary.load()
     df = df.drop(into)
-    kind = pa.list_(pa.int32())
 
     def run(batches, codec):
         for batch in batches:
-            ids = [codec.encode(t) for t in batch.column(text).to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = np.concatenate([np.empty(0, np.int32), *ids])
             out = {n: batch.column(n) for n in batch.schema.names}
-            out[into] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)).cast(kind)
+            out[into] = _lists([codec.encode(t) for t in batch.column(text).to_pylist()])
             yield out
 
-    return arrow_map(df, f"{_fields(df)}`{into}` array<int>", run, lambda: Codec(vocabulary))
+    return arrow_map(df, f"{_fields(df)}`{into}` array<int>", run, lambda: _codec(vocabulary))
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary | None = None, pieces: str = "pieces", into: str = "decoded") -> DataFrame:
@@ -162,10 +174,10 @@ def decode(df: DataFrame, vocabulary: Vocabulary | None = None, pieces: str = "p
     def run(batches, codec):
         for batch in batches:
             out = {n: batch.column(n) for n in batch.schema.names}
-            out[into] = [codec.decode(ids or ()) for ids in batch.column(pieces).to_pylist()]
+            out[into] = [codec.decode(ids.values.to_numpy().tolist() if ids.is_valid else ()) for ids in batch.column(pieces)]
             yield out
 
-    return arrow_map(df, f"{_fields(df)}`{into}` string", run, lambda: Codec(vocabulary))
+    return arrow_map(df, f"{_fields(df)}`{into}` string", run, lambda: _codec(vocabulary))
 
 
 def _fields(df: DataFrame) -> str:
@@ -173,8 +185,19 @@ def _fields(df: DataFrame) -> str:
 
 
 def round_trip(df: DataFrame, vocabulary: Vocabulary | None = None, text: str = "text") -> DataFrame:
-    """``df`` with pieces, n_pieces and round_trip (whether decoding gives the text back)."""
+    """``df`` with pieces, n_pieces and round_trip (whether decoding gives the text back), in one
+    pass; columns of these names are replaced. Rows are handled as in ``encode`` and ``decode``."""
     vocabulary = vocabulary or Vocabulary.load()
-    coded = decode(encode(df, vocabulary, text), vocabulary)
-    same = F.col("decoded") == F.coalesce(F.col(text), F.lit(""))
-    return coded.withColumns({"n_pieces": F.size("pieces").cast("long"), "round_trip": same}).drop("decoded")
+    df = df.drop("pieces", "n_pieces", "round_trip")
+
+    def run(batches, codec):
+        for batch in batches:
+            out = {n: batch.column(n) for n in batch.schema.names}
+            texts = batch.column(text).to_pylist()
+            ids = [codec.encode(t) for t in texts]
+            out["pieces"] = _lists(ids)
+            out["n_pieces"] = [len(x) for x in ids]
+            out["round_trip"] = [codec.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts)]
+            yield out
+
+    return arrow_map(df, f"{_fields(df)}pieces array<int>, n_pieces long, round_trip boolean", run, lambda: _codec(vocabulary))
