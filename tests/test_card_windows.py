@@ -3,6 +3,7 @@
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from tallyguard.operators import skew
 from tallyguard.operators.card_windows import FEATURES, card_features
 from tallyguard.operators.snapshots import strict_week
 
@@ -19,18 +20,18 @@ def simulate(rows):
         for tx, _, ts, amount, merchant, country, device in mine:
             idle = None if last is None else ts - last[0]
             if idle is None or idle >= WEEK:
-                cents, count, prev_country, prev_device, since = 0, 0, "", "", -1
+                units, count, prev_country, prev_device, since = 0, 0, "", "", -1
             else:
                 prev_country, prev_device, since = last[1], last[2], idle
             if idle is None or idle >= DAY:
                 merchants = set()
-            cents, count = cents + round(amount * 100), count + 1
+            units, count = units + round(amount * 10_000), count + 1
             merchants.add(merchant)
             seen = {(r[2], r[4]) for r in mine if r[2] <= ts}
             c1, c6, c24 = (sum(t >= ts - back for t, _ in seen) for back in (HOUR, 6 * HOUR, DAY - 1))
             changed = prev_country != "" and prev_country != (country or "")
             velocity = 0.5 * min(c1 / 10.0, 1.0) + 0.3 * min(c6 / 20.0, 1.0) + 0.2 * float(changed)
-            out[tx] = (c1, c6, c24, cents / (100.0 * count), len(merchants), changed, since, prev_device or None, velocity)
+            out[tx] = (c1, c6, c24, units / (10_000.0 * count), len(merchants), changed, since, prev_device or None, velocity)
             last = (ts, country or "", device or "")
     return out
 
@@ -43,20 +44,20 @@ def check(spark, rows, **options):
 
 gap = st.sampled_from([0, 1, 1000, HOUR - 1, HOUR, HOUR + 1, 6 * HOUR, DAY - 1, DAY, DAY + 1, WEEK - 1, WEEK, WEEK + 1])
 step = st.tuples(
-    st.sampled_from(["a", "b"]),
+    st.sampled_from(["a", "b", None]),
     gap,
-    st.integers(1, 50_000),
-    st.sampled_from(["m1", "m2", "m3"]),
+    st.integers(1, 5_000_000),
+    st.sampled_from(["m1", "m2", None]),
     st.sampled_from(["US", "GB", "", None]),
     st.sampled_from(["d1", "d2", "", None]),
 )
 
 
 def build(steps):
-    now, rows = {"a": T0, "b": T0}, []
-    for tx, (card, wait, cents, merchant, country, device) in enumerate(steps):
+    now, rows = {"a": T0, "b": T0, None: T0}, []
+    for tx, (card, wait, units, merchant, country, device) in enumerate(steps):
         now[card] += wait
-        rows.append((tx, card, now[card], cents / 100, merchant, country, device))
+        rows.append((tx, card, now[card], units / 10_000, merchant, country, device))
     return rows
 
 
@@ -88,13 +89,22 @@ def test_strict_week_routes_agree(spark):
     plain = sorted(map(tuple, strict_week(frame, None).select(columns).collect()))
     assert plain == sorted(map(tuple, strict_week(frame, 10).select(columns).collect()))
     by_hand = [
-        (tx, len(w), round(sum(round(x * 100) for x in w)) / (100.0 * len(w)), max(w))
+        (tx, len(w), sum(round(x * 10_000) for x in w) / (10_000.0 * len(w)), max(w))
         for tx, _, ts, *_ in rows
         for w in [[r[3] for r in rows if ts - WEEK <= r[2] <= ts]]
     ]
     assert plain == sorted(by_hand)
 
 
+def test_one_instant_is_cut_too(spark):
+    """All rows of a card at one millisecond, or of the NULL card: slices are made by row count."""
+    for card in ("a", None):
+        rows = [(tx, card, T0, tx / 10_000, f"m{tx % 7}" if tx % 3 else None, "US", "d") for tx in range(80)]
+        check(spark, rows, max_rows_per_card=10)
+        sliced = skew.with_slice(spark.createDataFrame(rows, SCHEMA), ["card_id"], ["ts_ms", "tx_id"], parts=8)
+        assert sliced.groupBy("_slice").count().agg({"count": "max"}).first()[0] < 40
+
+
 def test_one_exchange_and_two_sorts(spark):
     rows = build([("a", 1000, 100, "m1", "US", None)] * 3)
     frame = spark.createDataFrame(rows, SCHEMA)

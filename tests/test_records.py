@@ -275,3 +275,16 @@ def test_copies_on_both_sides_do_not_multiply(spark):
     decided = spark.createDataFrame([("t", "APPROVE")] * 50, "tx_id string, decision string")
     sent = spark.createDataFrame([("t", "m", 1.0, "US", "POS", "5411")] * 50, "tx_id string, merchant_id string, amount double, country string, channel string, mcc string")
     assert lookups.decisions_with_transactions(decided, sent).count() == 50
+
+
+def test_model_files(spark, tmp_path, monkeypatch):
+    """Only a missing file means rules alone; one above the limit is an error."""
+    from tallyguard.operators import model
+
+    assert model.read_model(spark, str(tmp_path / "none.onnx")) is None
+    assert model.newest_model(spark, str(tmp_path / "none")) is None
+    (tmp_path / "m.onnx").write_bytes(b"x" * 100)
+    assert model.newest_model(spark, str(tmp_path)) == b"x" * 100
+    monkeypatch.setattr(model, "MAX_MODEL_BYTES", 99)
+    with pytest.raises(ValueError):
+        model.read_model(spark, str(tmp_path / "m.onnx"))
