@@ -122,7 +122,10 @@ def p05_request_to_event(spark, sf_dir):
     return events.select("*", "location.*").drop("location")
 
 
-@query("p06_sortable_ids")
+_TIME_PART = " || ".join(f"substr('{text.CROCKFORD}', CAST((ts_ms >> {shift}) & 31 AS INTEGER) + 1, 1)" for shift in range(45, -1, -5))
+
+
+@query("p06_sortable_ids", f"WITH {DENSE} SELECT tx_id, ts_ms, 26 AS id_length, {_TIME_PART} AS time_part FROM tx")
 def p06_sortable_ids(spark, sf_dir):
     rows = tx_dense(spark, sf_dir).select("tx_id", "ts_ms", text.sortable_id(F.col("ts_ms")).alias("ulid"))
     return rows.select("tx_id", "ts_ms", F.length("ulid").alias("id_length"), F.substring("ulid", 1, 10).alias("time_part"))

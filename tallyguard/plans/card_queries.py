@@ -361,6 +361,18 @@ def f12_hour_date_month(spark, sf_dir):
 query("a16_approximate_distinct")(lambda spark, sf_dir: distinct_merchants(tx_dense(spark, sf_dir)))
 
 
+@query("a16_within_bound", f"WITH {DENSE} SELECT card_id, true AS counted_close, true AS merged_close FROM tx GROUP BY 1")
+def a16_within_bound(spark, sf_dir):
+    """Estimates lie within a tenth of the exact count, or within one."""
+    rows = tx_dense(spark, sf_dir).withColumn("hour_ms", text.hour_start_ms(F.col("ts_ms")))
+    exact = rows.groupBy("card_id").agg(F.count_distinct("merchant_id").alias("exact"))
+    counted = distinct_merchants(rows).withColumnRenamed("merchants", "counted")
+    merged = merge_sketches(merchant_sketches(rows, ["card_id", "hour_ms"]), ["card_id"]).withColumnRenamed("merchants", "merged")
+    close = lambda name: F.abs(F.col(name) - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * 0.1)
+    joined = exact.join(counted, "card_id").join(merged, "card_id")
+    return joined.select("card_id", close("counted").alias("counted_close"), close("merged").alias("merged_close"))
+
+
 @query("a16_merged_sketches")
 def a16_merged_sketches(spark, sf_dir):
     """Sketches per card and day, merged per card."""
