@@ -65,7 +65,7 @@ def assess(requests: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def complete_challenges(sessions: DataFrame, results: DataFrame) -> DataFrame:
-    """Results (trans_id, result_status) of registered sessions (trans_id, risk_score)."""
+    """Results (trans_id, result_status, result_ms where known) of registered sessions (trans_id, risk_score)."""
     joined = results.join(one_per_key(sessions.select("trans_id", "risk_score"), "trans_id"), "trans_id")
     ok = is_authenticated(F.col("result_status"))
     return joined.select(
@@ -75,6 +75,7 @@ def complete_challenges(sessions: DataFrame, results: DataFrame) -> DataFrame:
         eci(F.col("risk_score"), ok).alias("eci"),
         F.when(ok, "COMPLETED").otherwise("FAILED").alias("state"),
         action(F.when(ok, "AUTHENTICATED").otherwise("NOT_AUTHENTICATED")).alias("action"),
+        *[c for c in ("result_ms",) if c in results.columns],
     )
 
 
@@ -84,10 +85,14 @@ def unknown_results(sessions: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def session_states(sessions: DataFrame, results: DataFrame) -> DataFrame:
-    """Newest state per registered session from its log of openings and results."""
-    opened = sessions.select("trans_id", F.lit(0).alias("step"), F.lit("PENDING").alias("state"))
-    closed = complete_challenges(sessions, results).select("trans_id", F.lit(1).alias("step"), "state")
-    return latest_per_key(opened.unionByName(closed), ["trans_id"], ["step"])
+    """Newest state per registered session from its log of openings and results; of several results
+    the last by ``result_ms`` counts (without that column, or at equal times, a completed one less
+    than a failed one)."""
+    opened = sessions.select("trans_id", F.lit(0).alias("step"), F.lit(None).cast("long").alias("at"), F.lit("PENDING").alias("state"))
+    done = complete_challenges(sessions, results)
+    at = F.col("result_ms").cast("long") if "result_ms" in done.columns else F.lit(None).cast("long")
+    closed = done.select("trans_id", F.lit(1).alias("step"), at.alias("at"), "state")
+    return latest_per_key(opened.unionByName(closed), ["trans_id"], ["step", "at", "state"]).drop("at")
 
 
 def active_sessions(states: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyguard.operators import audit, scoring
+from tallyguard.operators.authentication import session_states
 from tallyguard.plans.audit_queries import decisions as decision_table
 from tallyguard.plans.card_queries import _ALL, dense_scores, rules_text
 from tallyguard.plans.oracle import DENSE, on_features, on_scores
@@ -94,6 +95,34 @@ def j03_stream_reply_in_time(spark, sf_dir):
     return read(spark, drain(joined, sinks.table_sink, "correlated"))
 
 
+@query(
+    "j03_stream_redelivered",
+    f"""WITH {DENSE} SELECT tx_id, k>45 AS timed_out, CASE WHEN k<=45 THEN ts_ms+k END AS reply_ms FROM tx
+    WHERE k<=45 OR ts_ms < (SELECT least(max(ts_ms), max(ts_ms+k)) - 5000 - 45 FROM tx)""",
+)
+def j03_stream_redelivered(spark, sf_dir):
+    """Every request and every reply is sent twice."""
+    rows = tx_dense(spark, sf_dir).withColumn("k", props_k())
+    rows = rows.unionByName(rows)
+    requests = as_stream(rows.select("tx_id", F.col("ts_ms").alias("request_ms")), "requests")
+    replies = as_stream(rows.select("tx_id", (F.col("ts_ms") + F.col("k")).alias("reply_ms")), "replies")
+    joined = flows.correlate_replies(requests, replies).select("tx_id", "timed_out", "reply_ms")
+    return read(spark, drain(joined, sinks.table_sink, "correlated"))
+
+
+@query(
+    "t10_second_result",
+    on_scores("SELECT trans_id, CASE WHEN trans_id%2=0 THEN 'COMPLETED' ELSE 'FAILED' END AS state FROM sessions", more=_SESSIONS),
+)
+def t10_second_result(spark, sf_dir):
+    """Every session gets two results; the later one by its time stands, whatever their order."""
+    sessions, _ = sessions_and_results(spark, sf_dir)
+    even = F.col("trans_id") % 2 == 0
+    first = sessions.select("trans_id", F.when(even, "N").otherwise("Y").alias("result_status"), F.lit(1).alias("result_ms"))
+    second = sessions.select("trans_id", F.when(even, "Y").otherwise("N").alias("result_status"), F.lit(2).alias("result_ms"))
+    return session_states(sessions, second.unionByName(first)).select("trans_id", "state")
+
+
 @query(
     "t10_stream_sessions",
     on_scores(

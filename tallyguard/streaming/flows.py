@@ -34,9 +34,11 @@ def decline_alert_records(decisions: DataFrame, threshold: int = DEFAULT_DECLINE
 
 def correlate_replies(requests: DataFrame, replies: DataFrame, timeout_ms: int = REPLY_TIMEOUT_MS, delay: str = "5 seconds") -> DataFrame:
     """Requests with the reply that came in time, else marked as timed out, once the watermark has
-    passed. ``requests``: tx_id, request_ms; ``replies``: tx_id, reply_ms and payload."""
-    left = with_event_time(requests, "request_ms", "requested_at", delay)
+    passed. ``requests``: tx_id, request_ms; ``replies``: tx_id, reply_ms and payload. Redelivered
+    requests and replies are dropped within the watermark delay."""
+    left = with_event_time(requests, "request_ms", "requested_at", delay).dropDuplicatesWithinWatermark(["tx_id", "request_ms"])
     right = with_event_time(replies.withColumnRenamed("tx_id", "reply_to"), "reply_ms", "replied_at", delay)
+    right = right.dropDuplicatesWithinWatermark(["reply_to", "reply_ms"])
     in_time = F.col("replied_at").between(
         F.col("requested_at"), F.col("requested_at") + F.expr(f"INTERVAL {timeout_ms / 1000:.3f} SECONDS")
     )

@@ -21,8 +21,8 @@ class SessionProcessor(StatefulProcessor):
         self.session = handle.getValueState("session", "risk_score int, state string")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        """Openings of a micro-batch come before its results."""
-        for row in sorted(rows, key=lambda row: row.result_status is not None):
+        """Openings of a micro-batch come before its results, and those in the order of their time."""
+        for row in sorted(rows, key=lambda row: (row.result_status is not None, row.result_ms or 0)):
             if row.result_status is None:
                 self.session.update((row.risk_score, "PENDING"))
                 yield _CHANGE(key[0], "PENDING", None, None)
@@ -42,15 +42,17 @@ class SessionProcessor(StatefulProcessor):
 
 
 def stream_sessions(sessions: DataFrame, results: DataFrame) -> DataFrame:
-    """State changes from the streams of openings (trans_id, risk_score) and results (trans_id, result_status)."""
+    """State changes from the streams of openings (trans_id, risk_score) and results (trans_id,
+    result_status, and result_ms where known: of several results in a micro-batch the last by it wins)."""
     spark = sessions.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) != STATE_STORE:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     opened = sessions.select(
-        F.col("trans_id").cast("string").alias("trans_id"), F.col("risk_score").cast("int").alias("risk_score"), F.lit(None).cast("string").alias("result_status")
+        F.col("trans_id").cast("string").alias("trans_id"), F.col("risk_score").cast("int").alias("risk_score"), F.lit(None).cast("string").alias("result_status"), F.lit(None).cast("long").alias("result_ms")
     )
+    at = F.col("result_ms").cast("long") if "result_ms" in results.columns else F.lit(None).cast("long")
     closed = results.select(
-        F.col("trans_id").cast("string").alias("trans_id"), F.lit(None).cast("int").alias("risk_score"), F.col("result_status")
+        F.col("trans_id").cast("string").alias("trans_id"), F.lit(None).cast("int").alias("risk_score"), F.col("result_status"), at.alias("result_ms")
     )
     return opened.unionByName(closed).groupBy("trans_id").transformWithState(
         statefulProcessor=SessionProcessor(), outputStructType=_OUT, outputMode="Append", timeMode="None"
