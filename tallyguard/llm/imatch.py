@@ -26,7 +26,7 @@ class IMatchParams:
 
     rarest: int = 1000
     commonest: int = 20
-    subsets: int = 64
+    subsets: int = 96
     broadcast_terms: int = 1_000_000
     bucket: int = 500
 
@@ -46,66 +46,76 @@ def lexicon(docs: DataFrame, params: IMatchParams, text: str = "text") -> DataFr
     return counted.filter(inside).select("term", F.lpad(F.lower(F.hex(kind)), 2, "0").alias("class"))
 
 
-def order_positions(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, body, pos, copies, total): the place of every different row in the order of ids (null
-    first, then by text hash). Ids and hashes alone are sorted, by ranges; one number per range is
-    what the offsets are made of."""
-    rows = docs.select(F.col(doc_id).alias("id"), _body(F.col(text)).alias("body")).groupBy("id", "body").agg(F.count(F.lit(1)).alias("copies"))
-    ranged = stored(rows.repartitionByRange("id", "body").withColumn("part", F.spark_partition_id()), "id-ranges")
-    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+_NO_ID = -(1 << 63)
+
+
+def order_positions(rows: DataFrame) -> DataFrame:
+    """(id, body, n, pos, copies, total): the place of every different row of (id, body, n) in the
+    order of ids and hashes. Only these are sorted, by ranges; one number per range is what the
+    offsets are made of."""
+    different = rows.groupBy("id", "body", "n").agg(F.count(F.lit(1)).alias("copies"))
+    ranged = stored(different.repartitionByRange("id", "body").withColumn("part", F.spark_partition_id()), "id-ranges")
+    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
     # One row per range partition, so this window and its broadcast stay small.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    offsets = sizes.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"), F.sum("rows").over(Window.partitionBy()).alias("total"))
     place = F.row_number().over(Window.partitionBy("part").orderBy("id", "body")) - 1
-    return ranged.withColumn("place", place).join(F.broadcast(offsets), "part").select("id", "body", (F.col("place") + F.col("offset")).alias("pos"), "copies", "total")
-
-
-def _body(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+    return (
+        ranged.withColumn("place", place)
+        .join(F.broadcast(offsets), "part")
+        .select("id", "body", "n", (F.col("place") + F.col("offset")).alias("pos"), "copies", "total")
+    )
 
 
-def with_next(docs: DataFrame, params: IMatchParams, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(bucket, pos, id, copies, total, text, next_text) with the next document's text, after the
-    last one the first's.
+def with_next_start(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """(id, body, pos, copies, total, text, head): head is the start of the next text, as long as a
+    quarter of this one; after the last document comes the first.
 
-    Documents go to buckets of ``params.bucket`` by position. The first of each bucket is also sent
-    to the bucket before as a guest (and the very first, to the last), so no bucket looks into
-    another and none is larger than the rest.
+    Each document sends its start to the one before it, so one quarter of the texts moves, and what
+    a document sends or gets is bounded by its own neighbours.
     """
-    rows = docs.select(F.col(doc_id).alias("own"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("own_body", F.xxhash64("text"))
-    places = order_positions(docs, doc_id, text)
-    placed = rows.join(places, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_body") == F.col("body"))).select("id", "pos", "copies", "total", "text")
-    size = F.lit(params.bucket)
-    here = F.struct(F.expr(f"pos div {params.bucket}").alias("bucket"), F.col("pos").alias("at"), F.lit(False).alias("guest"))
-    before = F.struct(F.expr(f"pos div {params.bucket} - 1").alias("bucket"), F.col("pos").alias("at"), F.lit(True).alias("guest"))
-    last = F.struct(F.expr(f"(total - 1) div {params.bucket}").alias("bucket"), F.col("total").alias("at"), F.lit(True).alias("guest"))
+    before = places.select(((F.col("pos") + 1) % F.col("total")).alias("pos"), F.col("id").alias("to_id"), F.col("body").alias("to_body"), F.expr("n div 4").alias("wanted"))
+    told = places.join(before, "pos").select("id", "body", "pos", "copies", "total", "to_id", "to_body", "wanted")
+    placed = rows.select("id", "body", "text").join(told, ["id", "body"])
+    heads = placed.select(F.col("to_id").alias("id"), F.col("to_body").alias("body"), F.substring("text", F.lit(1), F.col("wanted").cast("int")).alias("head"))
+    return placed.select("id", "body", "pos", "copies", "total", "text").join(heads, ["id", "body"])
+
+
+def in_buckets(rows: DataFrame, size: int) -> DataFrame:
+    """``rows`` (with pos and total) in buckets of ``size`` by position, with columns bucket, at and
+    guest. The first of each bucket is also a guest at the end of the bucket before (and the very
+    first, of the last), so that no bucket has to look into another and none is larger than the rest."""
+    here = F.struct(F.expr(f"pos div {size}").alias("bucket"), F.col("pos").alias("at"), F.lit(False).alias("guest"))
+    before = F.struct(F.expr(f"pos div {size} - 1").alias("bucket"), F.col("pos").alias("at"), F.lit(True).alias("guest"))
+    last = F.struct(F.expr(f"(total - 1) div {size}").alias("bucket"), F.col("total").alias("at"), F.lit(True).alias("guest"))
     sent = F.when(F.col("pos") == 0, F.array(here, last)).when(F.col("pos") % size == 0, F.array(here, before)).otherwise(F.array(here))
-    spread = placed.select("id", "copies", "text", F.explode(sent).alias("to")).select("id", "copies", "text", "to.*")
-    ordered = Window.partitionBy("bucket").orderBy("at")
-    once = spread.withColumn("seen", F.lag("at").over(ordered)).filter(F.col("seen").isNull() | (F.col("seen") != F.col("at")))
-    return once.withColumn("next_text", F.lead("text").over(ordered)).filter(~F.col("guest")).select("bucket", F.col("at").alias("pos"), "id", "copies", "text", "next_text")
+    return rows.select("*", F.inline(sent))
 
 
-def edited_text(text: Column, other: Column) -> Column:
-    """The last quarter of the code points (rounded down) replaced by as many of ``other``'s first."""
+def edited_text(text: Column, head: Column) -> Column:
+    """The last quarter of the code points (rounded down) replaced by ``head``."""
     n = F.char_length(text)
-    k = F.floor(n / 4).cast("int")
-    return F.concat(F.substring(text, F.lit(1), n - k), F.substring(other, F.lit(1), k))
+    return F.concat(F.substring(text, F.lit(1), n - F.floor(n / 4).cast("int")), head)
 
 
 def fingerprints(texts: DataFrame, words: DataFrame, key: list[str], params: IMatchParams) -> DataFrame:
-    """``key`` and fingerprint of rows with ``key`` and text. Texts without a term in the band, the
-    empty ones among them, get ``text:`` and a hash of their sorted terms."""
+    """``key``, note and fingerprint of rows with ``key``, text and note (any string). Texts without
+    a term in the band, the empty ones among them, get ``text:`` and a hash of their sorted terms."""
     size = words.count()
     side = F.broadcast(words) if size <= params.broadcast_terms else words
-    rows = texts.select(*key, F.explode_outer(terms_of(F.col("text"))).alias("term"))
-    sums = rows.join(side, "term", "left").groupBy(*key, "class").agg(F.md5(F.array_join(F.array_sort(F.collect_list("term")), " ").cast("binary")).alias("sum"))
-    part = F.struct(F.coalesce("class", F.lit("~")).alias("class"), F.substring("sum", 1, 8).alias("sum"))
-    listed = sums.groupBy(*key).agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    inside = F.filter("parts", lambda x: x["class"] != "~")
-    blocks = F.array_join(F.transform(inside, lambda x: F.concat(x["class"], F.lit(":"), x["sum"])), " ")
-    alone = F.concat(F.lit("text:"), F.element_at("parts", 1)["sum"])
-    return listed.select(*key, F.when(F.size(inside) > 0, blocks).otherwise(alone).alias("fingerprint"))
+    terms = terms_of(F.col("text"))
+    # One element that no term can equal carries the note and the hash of all terms through the explode.
+    whole = F.concat(F.lit(" "), F.substring(F.md5(F.array_join(F.array_sort(terms), " ").cast("binary")), 1, 8), "note")
+    rows = texts.select(*key, F.explode(F.concat(F.array(whole), terms)).alias("term"))
+    known = rows.join(side, "term", "left").withColumn("class", F.when(F.substring("term", 1, 1) == " ", "!").otherwise(F.col("class")))
+    sums = known.filter(F.col("class").isNotNull()).groupBy(*key, "class").agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    hashed = F.when(F.col("class") == "!", F.element_at("terms", 1)).otherwise(F.substring(F.md5(F.array_join("terms", " ").cast("binary")), 1, 8))
+    listed = sums.select(*key, F.struct("class", hashed.alias("sum")).alias("part")).groupBy(*key).agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    # "!" sorts before all classes.
+    carried = F.element_at("parts", 1)["sum"]
+    blocks = F.array_join(F.transform(F.slice("parts", F.lit(2), F.size("parts")), lambda x: F.concat(x["class"], F.lit(":"), x["sum"])), " ")
+    alone = F.concat(F.lit("text:"), F.substring(carried, 2, 8))
+    return listed.select(*key, F.expr("substring(parts[0].sum, 10)").alias("note"), F.when(F.size("parts") > 1, blocks).otherwise(alone).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -126,26 +136,23 @@ def compare_with_edits(docs: DataFrame, params: IMatchParams | None = None, doc_
     """
     params = params or IMatchParams()
     words = stored(lexicon(docs, params, text), "lexicon")
-    base = with_next(docs.select(doc_id, text), params, doc_id, text).withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
-    key = ["bucket", "pos", "id", "copies", "n_chars", "edited_sha256", "which"]
-    both = base.select(
-        "bucket",
-        "pos",
-        "id",
-        "copies",
-        F.char_length("text").cast("long").alias("n_chars"),
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.posexplode(F.array("text", "edited")).alias("which", "text"),
-    )
-    marks = fingerprints(both, words, key, params).groupBy(*key[:-1]).agg(
-        F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("fingerprint"),
-        F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edited_fingerprint"),
-    )
-    kept = stored(marks, "fingerprints")
-    total = kept.count()
-    follow = kept.select(((F.col("pos") + (total - 1)) % max(total, 1)).alias("pos"), F.col("fingerprint").alias("next_fingerprint"))
-    return kept.join(follow, "pos").select(
-        F.col("id").alias(doc_id),
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumn("body", F.xxhash64("text"))
+    places = stored(order_positions(rows.select("id", "body", F.char_length("text").alias("n"))), "places")
+    if places.filter("copies > 1").head() is not None:
+        rows = rows.dropDuplicates(["id", "body"])
+    base = with_next_start(rows, places)
+    edited = edited_text(F.col("text"), F.col("head"))
+    key = ["id", "body", "pos", "copies", "total", "which"]
+    both = base.withColumn("edited", edited).select(*key[:-1], F.posexplode(F.array("text", "edited")).alias("which", "text"))
+    noted = both.withColumn("note", F.when(F.col("which") == 0, F.char_length("text").cast("string")).otherwise(F.sha2(F.col("text").cast("binary"), 256)))
+    two = F.array_sort(F.collect_list(F.struct("which", "note", "fingerprint")))
+    marks = fingerprints(noted, words, key, params).groupBy(*key[:-1]).agg(two.alias("two"))
+    ordered = Window.partitionBy("bucket").orderBy("at")
+    marks = marks.select("id", "pos", "copies", "total", F.expr("two[0].note").cast("long").alias("n_chars"), F.expr("two[1].note").alias("edited_sha256"), F.expr("two[0].fingerprint").alias("fingerprint"), F.expr("two[1].fingerprint").alias("edited_fingerprint"))
+    follow = in_buckets(marks, params.bucket).withColumn("next_fingerprint", F.lead("fingerprint").over(ordered)).filter(~F.col("guest"))
+    return follow.select(
+        F.nullif(F.col("id"), F.lit(_NO_ID)).alias(doc_id),
         "n_chars",
         "edited_sha256",
         "fingerprint",

@@ -19,7 +19,7 @@ ordered AS (
 ), counted AS (
   SELECT term, count(*) AS df FROM (SELECT unnest({_TERMS.format("text")}) AS term FROM d) GROUP BY term
 ), lexicon AS (
-  SELECT term, printf('%02x', CAST('0x' || substr(md5(term), 1, 4) AS INT) % 64) AS class FROM counted
+  SELECT term, printf('%02x', CAST('0x' || substr(md5(term), 1, 4) AS INT) % 96) AS class FROM counted
   WHERE df >= 2 AND df * 1000 >= (SELECT count(*) FROM d) AND df * 20 <= (SELECT count(*) FROM d)
 ), both_texts AS (
   SELECT doc_id, 0 AS which, text FROM texts UNION ALL SELECT doc_id, 1, edited FROM texts
