@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyguard import schemas
 from tallyguard.functions import requests, text
 from tallyguard.operators import audit, lookups, scoring
 from tallyguard.plans.card_queries import dense_scores, rules_text

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyguard.operators import audit, scoring
 from tallyguard.operators.authentication import session_states
 from tallyguard.plans.audit_queries import decisions as decision_table
-from tallyguard.plans.card_queries import _ALL, dense_scores, rules_text
+from tallyguard.plans.card_queries import _ALL, rules_text
 from tallyguard.plans.oracle import DENSE, on_features, on_scores
 from tallyguard.plans.registry import query
 from tallyguard.plans.score_queries import _SESSIONS, sessions_and_results
