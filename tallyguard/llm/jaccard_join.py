@@ -6,7 +6,8 @@
 3. A set's shingles are ordered from rare to frequent. Its prefix (the first n - ceil(t n) + 1) must
    share a shingle with every set that it can be similar to. Sets with equal size and prefix are one
    group; groups meet at the shingles of their prefixes that more than one text holds.
-4. Group pairs pass a size and a position filter, are expanded to members and verified exactly.
+4. Group pairs pass a size and a position filter and are taken at the first shingle they meet at (or
+   one of few); their members pass a bitmap filter and are verified exactly.
 
 Not all pairs are needed for components. In the first rounds each meeting (a shingle, or a group) is
 a star: its members are verified against one of them. What is linked by then is one component, and
@@ -29,7 +30,7 @@ from tallyguard.llm.components import components
 from tallyguard.llm.frames import WordHashes, arrow_map, pieces, shingle_hashes, stored, words_of
 
 _NO_ID = -(1 << 63)
-_SETS = "unit long, key binary, n int, grp long, shared binary, prefix array<long>, place array<int>"
+_SETS = "unit long, key binary, n int, grp long, shared binary, bits binary, prefix array<long>, place array<int>"
 
 
 @dataclass(frozen=True)
@@ -41,6 +42,12 @@ class JoinParams:
     den: int = 100
     block_chars: int = 16 << 20
     range_shingles: int = 4 << 20
+    #: Bits of a set's bitmap: a bit of one set that another lacks is a shingle that it lacks.
+    bits: int = 1024
+    #: Earlier shingles that a meeting names, to leave out pairs that met at one of them.
+    named: int = 6
+    #: A component with as many members at a shingle is paired as a whole before its members are.
+    many: int = 16
     #: Word sequences that one task remembers to send once; beyond it, copies are sent again.
     seen: int = 1_000_000
 
@@ -189,11 +196,18 @@ def _prefixes(bodies: DataFrame, counts: DataFrame, params: JoinParams) -> DataF
                 rows["prefix"].append(prefix[place].view(np.int64))
                 rows["place"].append(place.astype(np.int32))
                 rows["shared"].append(own[held > 1].tobytes() if len(place) else None)
+                rows["bits"].append(_bitmap(own, params.bits) if len(place) else None)
         return pa.Table.from_arrays([pa.array(rows[f.name], f.type) for f in target], schema=target)
 
     return bodies.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(run, _SETS)
 
 
+def _bitmap(shingles: np.ndarray, bits: int) -> bytes:
+    flags = np.zeros(bits, np.uint8)
+    flags[(shingles & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(flags).tobytes()
+
+
 def _may_link(params: JoinParams):
     """Size and position filter for groups meeting at a shingle: a.n, a.at and b.n, b.at."""
     small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
@@ -205,6 +219,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, params: JoinParams) -> DataFram
     """(a, b) of the unit pairs that are linked, from the exact sizes of their intersections."""
     left = sets.select(F.col("unit").alias("a"), F.col("n").alias("an"), F.col("shared").alias("ax"))
     right = sets.select(F.col("unit").alias("b"), F.col("n").alias("bn"), F.col("shared").alias("bx"))
+    pairs = _not_excluded(pairs, sets, params)
 
     def run(batches):
         for batch in batches:
@@ -220,6 +235,27 @@ def _verified(pairs: DataFrame, sets: DataFrame, params: JoinParams) -> DataFram
     return arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "an", "ax", "bn", "bx"), "a long, b long", run)
 
 
+def _not_excluded(pairs: DataFrame, sets: DataFrame, params: JoinParams) -> DataFrame:
+    """Pairs that their bitmaps allow. The bits that only one set has count shingles that the other
+    lacks, so the overlap is bounded from above: no linked pair is left out, and shingles move for
+    the other pairs only."""
+    left = sets.select(F.col("unit").alias("a"), F.col("n").alias("an"), F.col("bits").alias("ab"))
+    right = sets.select(F.col("unit").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bb"))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("ab", "bb"))
+            an, bn = (batch.column(c).to_numpy().astype(np.int64) for c in ("an", "bn"))
+            only_a, only_b = (np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64) for x, y in ((a, b), (b, a)))
+            most = np.minimum(an - only_a, bn - only_b)
+            mask = pa.array(params.den * most >= params.num * (an + bn - most))
+            yield {n: batch.column(n).filter(mask) for n in ("a", "b")}
+
+    return arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "an", "ab", "bn", "bb"), "a long, b long", run)
+
+
 def _pairs(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -228,12 +264,17 @@ def similar_links(sets: DataFrame, params: JoinParams) -> tuple[DataFrame, DataF
     """(edges, labels): links that join all components, and (node, root) of the linked units."""
     sets = sets.filter(F.col("shared").isNotNull())
     members = sets.select("grp", "unit", "n")
-    groups = members.groupBy("grp").agg(F.min("unit").alias("rep"), F.count(F.lit(1)).alias("size"))
+    # A group's sets have one prefix: any of them tells where it meets others, and after what.
+    named = params.named
+    met = F.expr(
+        f"transform(prefix, (h, i) -> struct(h, place[i] AS at, slice(prefix, greatest(i - {named}, 0) + 1, least(i, {named})) AS before))"
+    )
+    groups = stored(
+        sets.withColumn("met", met).groupBy("grp").agg(F.min("unit").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("met").alias("met")),
+        "groups",
+    )
     meetings = stored(
-        sets.select("grp", "n", F.explode(F.arrays_zip("prefix", "place")).alias("x"))
-        .select(F.col("x.prefix").alias("h"), "grp", "n", F.col("x.place").alias("at"))
-        .distinct()
-        .join(groups.select("grp", "rep"), "grp"),
+        groups.select("grp", "rep", "n", F.inline("met")),
         "meetings",
     )
     seen = meetings.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min_by(F.struct("grp", "rep", "n", "at"), F.hash("grp", "n")).alias("low"), F.max_by(F.struct("grp", "rep", "n", "at"), F.hash("grp", "n")).alias("high")).filter("size > 1")
@@ -261,34 +302,46 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _all_met(meetings: DataFrame, members: DataFrame, labels: DataFrame, params: JoinParams) -> DataFrame:
-    """All unit pairs of different components that meet at a shingle or in a group. Components are
-    paired before their members, so what one component holds is never paired with itself."""
-    rooted = members.join(labels, members.unit == labels.node, "left").select("grp", "unit", F.coalesce("root", "unit").alias("root"))
-    rooted = stored(rooted, "members")
-    of_group = rooted.select("grp", "root").distinct()
-    at_shingle = stored(meetings.select("h", "grp", "n", "at").join(of_group, "grp"), "meetings-by-component")
-    sides = at_shingle.select("h", "root").distinct()
-    mixed = sides.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h")
-    sides = sides.join(mixed, "h", "left_semi")
-    met = (
-        sides.alias("x")
-        .join(sides.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.root") < F.col("y.root")))
-        .select(F.col("x.h").alias("hx"), F.col("x.root").alias("rx"), F.col("y.root").alias("ry"))
-        .join(at_shingle.alias("a"), (F.col("hx") == F.col("a.h")) & (F.col("rx") == F.col("a.root")))
-        .join(at_shingle.alias("b"), (F.col("hx") == F.col("b.h")) & (F.col("ry") == F.col("b.root")))
-        .filter(_may_link(params) & (F.col("a.grp") != F.col("b.grp")))
-        .select(F.col("a.grp").alias("ga"), F.col("a.root").alias("ra"), F.col("b.grp").alias("gb"), F.col("b.root").alias("rb"))
-        .distinct()
+    """All unit pairs of different components that meet at a shingle or in a group.
+
+    A pair of groups is taken where neither names an earlier shingle that both have: that holds at
+    the first shingle they share, and at few others. A component with many members at a shingle is
+    paired with the other components there before its members are, so that no component is ever
+    paired with itself.
+    """
+    rooted = stored(
+        members.join(labels, members.unit == labels.node, "left").select("grp", "unit", F.coalesce("root", "unit").alias("root")), "members"
     )
+    of_group = rooted.select("grp", "root").distinct()
+    at_shingle = meetings.select("h", "grp", "n", "at", "before").join(of_group, "grp")
+    sides = at_shingle.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size"))
+    mixed = sides.groupBy("h").agg(F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("h")
+    sides = stored(sides.join(mixed, "h"), "sides")
+    at_shingle = stored(at_shingle.join(sides, ["h", "root"]), "meetings-by-component")
+    few, many = (at_shingle.filter(f"size {sign} {params.many}") for sign in ("<", ">="))
+    large = sides.filter(f"size >= {params.many}").select("h", "root")
+    allowed = _may_link(params) & (F.col("a.grp") != F.col("b.grp")) & ~F.arrays_overlap("a.before", "b.before")
+    here = F.col("a.h") == F.col("b.h")
+    out = [F.col("a.grp").alias("ga"), F.col("a.root").alias("ra"), F.col("b.grp").alias("gb"), F.col("b.root").alias("rb")]
+    small_pairs = few.alias("a").join(few.alias("b"), here & (F.col("a.root") < F.col("b.root")) & allowed).select(*out)
+    # (large component, small ones' members) and (large, large), then the large one's members.
+    asked = large.alias("x").join(few.alias("b"), (F.col("x.h") == F.col("b.h")) & (F.col("x.root") != F.col("b.root")))
+    asked = asked.select(F.col("x.root").alias("rx"), "b.*")
+    mixed_pairs = many.alias("a").join(asked.alias("b"), here & (F.col("a.root") == F.col("b.rx")) & allowed).select(*out)
+    both = large.alias("x").join(large.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.root") < F.col("y.root")))
+    both = both.select(F.col("x.h").alias("h"), F.col("x.root").alias("rx"), F.col("y.root").alias("ry"))
+    right = many.alias("m").join(both.alias("p"), (F.col("m.h") == F.col("p.h")) & (F.col("m.root") == F.col("p.ry"))).select("m.*", "p.rx")
+    large_pairs = many.alias("a").join(right.alias("b"), here & (F.col("a.root") == F.col("b.rx")) & allowed).select(*out)
+    met = small_pairs.union(mixed_pairs).union(large_pairs).distinct()
     left = rooted.select(F.col("grp").alias("ga"), F.col("root").alias("ra"), F.col("unit").alias("a"))
-    right = rooted.select(F.col("grp").alias("gb"), F.col("root").alias("rb"), F.col("unit").alias("b"))
-    between = met.join(left, ["ga", "ra"]).join(right, ["gb", "rb"]).select(*_pairs("a", "b"))
+    other = rooted.select(F.col("grp").alias("gb"), F.col("root").alias("rb"), F.col("unit").alias("b"))
+    between = met.join(left, ["ga", "ra"]).join(other, ["gb", "rb"]).select(*_pairs("a", "b"))
     inside = (
         rooted.alias("x")
         .join(rooted.alias("y"), (F.col("x.grp") == F.col("y.grp")) & (F.col("x.root") < F.col("y.root")))
         .select(*_pairs("x.unit", "y.unit"))
     )
-    return between.union(inside).distinct()
+    return stored(between.union(inside).distinct(), "last-pairs")
 
 
 def near_duplicate_components(docs: DataFrame, params: JoinParams | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
