@@ -5,10 +5,10 @@ for each decision, a Krichevsky-Trofimov estimate from the training texts; each
 weighs its own estimate against its children's, and a prediction mixes all depths along its path.
 
 After training, a byte's probability depends on it and the DEPTH bytes before it alone (a gram). So
-texts are dealt to blocks, each block lists its distinct grams and words with their training counts,
-Spark adds these up, subtrees are weighted in parallel (parted by the two nearest context bytes),
-and every block gets back the values of its own grams and words. No table that grows with the
-corpus is broadcast or collected; what is broadcast has 256 * 255 rows at most.
+texts are packed into blocks as they are read; each block lists its distinct words, and its distinct
+grams parted by the two nearest context bytes, with training counts. Each part adds up the blocks'
+counts, weighs its subtrees, and answers every block with the values of that block's grams. No table
+that grows with the corpus is broadcast or collected; what is broadcast has 256 * 255 rows at most.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ from tallyguard.llm.frames import arrow_map, pieces, stored, words_of
 
 DEPTH = 5
 _HALF = float(np.log(0.5))
-_SEEN = "block int, word binary, gram long, n long"
+_SEEN = "block long, packed binary, word binary, n long, part int, grams binary, counts binary"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double"
 
 
@@ -35,9 +37,9 @@ class TreeParams:
 
     folds: int = 10
     smoothing: float = 0.1
-    block_chars: int = 16 << 20
-    chunk_bytes: int = 2 << 20
-    part_grams: int = 200_000
+    block_chars: int = 12 << 20
+    chunk_bytes: int = 1 << 20
+    most_parts: int = 4096
 
 
 def coded(words: list[bytes]) -> bytes:
@@ -80,59 +82,111 @@ class _Chunks:
         return grams[own], lengths
 
 
-def _dealt(docs: DataFrame, doc_id: str, text: str, params: TreeParams) -> DataFrame:
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    blocks = pieces(rows.agg(F.sum(F.length("text"))).first()[0], params.block_chars)
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % params.folds == 0, F.lit(True))
-    return rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", held.alias("held_out"), "text")
-
-
 def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     values, index = np.unique(np.concatenate(keys), return_inverse=True)
     return values, np.bincount(index, np.concatenate(counts), len(values)).astype(np.int64)
 
 
-def _list_block(params: TreeParams):
-    """Rows (block, word, -, n) and (block, -, gram, n) of a block: all that it holds, n from
-    training texts; the end of a text is the empty word."""
-
-    def run(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        words: dict[bytes, int] = {}
-        keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        chunks = {True: _Chunks(params.chunk_bytes), False: _Chunks(params.chunk_bytes)}
+def _zip(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+
+
+def _unzip(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
+
+def _zip_grams(grams: np.ndarray) -> bytes:
+    """Sorted grams as differences."""
+    return _zip(np.diff(grams, prepend=np.uint64(0)))
+
+
+def _unzip_grams(data: bytes) -> np.ndarray:
+    return np.cumsum(_unzip(data, np.uint64), dtype=np.uint64)
+
+
+def _part_of(grams: np.ndarray, parts: int) -> np.ndarray:
+    """Part by the two context bytes next to the predicted one: whole subtrees of depth 2."""
+    near = (grams >> np.uint64(8)) & np.uint64(0xFFFF)
+    return (((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
+class _Block:
+    """Texts of one block with the words and grams that they hold."""
+
+    def __init__(self, params: TreeParams):
+        self.params = params
+        self.rows: list[tuple] = []
+        self.chars = 0
+        self.words: dict[bytes, int] = {}
+        self.keys, self.counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        self.chunks = {held: _Chunks(params.chunk_bytes) for held in (True, False)}
+
+    def add(self, doc, held: bool, text: str) -> bool:
+        """Whether the block is full now."""
+        tokens, step = words_of(text), 0 if held else 1
+        for token in tokens:
+            self.words[token] = self.words.get(token, 0) + step
+        self.words[b""] = self.words.get(b"", 0) + step  # the end of a text
+        if self.chunks[held].add(coded(tokens)):
+            self._count(held)
+        self.rows.append((doc, held, text))
+        self.chars += len(text)
+        return self.chars >= self.params.block_chars
+
+    def _count(self, held: bool) -> None:
+        if self.chunks[held].parts:
+            grams, n = np.unique(self.chunks[held].take()[0], return_counts=True)
+            self.keys.append(grams)
+            self.counts.append(np.zeros_like(n) if held else n)
+            if len(self.keys) > 8:
+                merged = _added(self.keys, self.counts)
+                self.keys, self.counts = [merged[0]], [merged[1]]
+
+    def listed(self, block: int, parts: int) -> dict[str, list]:
+        """One row with the texts, one for each word, one for each part of the grams."""
+        self._count(True)
+        self._count(False)
+        grams, n = _added(self.keys, self.counts)
+        part = _part_of(grams, parts)
+        order = np.argsort(part, kind="stable")
+        found, starts = np.unique(part[order], return_index=True)
+        spans = np.split(order, starts[1:]) if len(order) else []
+        w, g = len(self.words), len(spans)
+        sink = pa.BufferOutputStream()
+        texts = pa.table({"doc_id": pa.array([r[0] for r in self.rows], pa.int64()), "held_out": [r[1] for r in self.rows], "text": pa.array([r[2] for r in self.rows], pa.large_string())})
+        with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(texts)
+        return {
+            "block": [block] * (1 + w + g),
+            "packed": [sink.getvalue().to_pybytes(), *[None] * (w + g)],
+            "word": [None, *self.words, *[None] * g],
+            "n": [None, *self.words.values(), *[None] * g],
+            "part": [*[None] * (1 + w), *found.tolist()],
+            "grams": [*[None] * (1 + w), *(_zip_grams(grams[s]) for s in spans)],
+            "counts": [*[None] * (1 + w), *(_zip(n[s]) for s in spans)],
+        }
+
+
+def _blocks(docs: DataFrame, doc_id: str, text: str, params: TreeParams) -> DataFrame:
+    """Blocks of the texts as they are read, whatever rows they hold; written once, so their numbers
+    and contents stay as they are."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    parts = min(params.most_parts, pieces(rows.agg(F.sum(F.length("text"))).first()[0], params.block_chars))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % params.folds == 0, F.lit(True))
 
-        def close(held: bool) -> None:
-            if chunks[held].parts:
-                grams, n = np.unique(chunks[held].take()[0], return_counts=True)
-                keys.append(grams)
-                counts.append(np.zeros_like(n) if held else n)
-                if len(keys) > 8:
-                    merged = _added(keys, counts)
-                    keys[:], counts[:] = [merged[0]], [merged[1]]
+    def run(batches):
+        from pyspark import TaskContext
 
-        for held, text in zip(table.column("held_out").to_pylist(), table.column("text").to_pylist()):
-            tokens = words_of(text)
-            step = 0 if held else 1
-            for token in tokens:
-                words[token] = words.get(token, 0) + step
-            words[b""] = words.get(b"", 0) + step
-            if chunks[held].add(coded(tokens)):
-                close(held)
-        close(True)
-        close(False)
-        grams, n = _added(keys, counts)
-        m = len(words)
-        return pa.table(
-            {
-                "block": pa.array(np.full(m + len(grams), block, np.int32)),
-                "word": pa.array([*words, *[None] * len(grams)], pa.binary()),
-                "gram": pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(grams.view(np.int64))]),
-                "n": pa.array(np.concatenate([np.fromiter(words.values(), np.int64, m), n])),
-            }
-        )
+        number, block = TaskContext.get().partitionId() << 32, _Block(params)
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text"))):
+                if block.add(*row):
+                    yield block.listed(number, parts)
+                    number, block = number + 1, _Block(params)
+        if block.rows:
+            yield block.listed(number, parts)
 
-    return run
+    return stored(arrow_map(rows.select("doc_id", held.alias("held_out"), "text"), _SEEN, run), "blocks")
 
 
 # --- the tree -------------------------------------------------------------------------------------
@@ -233,7 +287,7 @@ def top_of(level: Level) -> Top:
 
 
 def log10_probabilities(grams: np.ndarray, n: np.ndarray, top: Top) -> np.ndarray:
-    """log10 of each gram's last byte after its context; grams holds whole subtrees of depth 2."""
+    """log10 of each gram's last byte after its context; ``grams`` holds whole subtrees of depth 2."""
     levels, at, bit = subtree(grams, n)
     path = [at]
     for level in levels[:-1]:
@@ -252,36 +306,34 @@ def log10_probabilities(grams: np.ndarray, n: np.ndarray, top: Top) -> np.ndarra
     return np.log10(p).reshape(-1, 8).sum(axis=1)
 
 
-def _whole(batches, *names: str) -> list[np.ndarray]:
-    batches = list(batches)
-    return [np.concatenate([b.column(n).to_numpy(zero_copy_only=False) for b in batches] or [np.empty(0, np.int64)]) for n in names]
+def _part_grams(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(each block's grams, all different grams of the part, their training counts)."""
+    own = [_unzip_grams(x) for x in table.column("grams").to_pylist()]
+    return own, *_added(own, [_unzip(x, np.int64) for x in table.column("counts").to_pylist()])
 
 
-def train(grams: DataFrame, params: TreeParams) -> DataFrame:
-    """(gram, logp) for every row of ``grams`` (gram, n), which has each gram once."""
-    parts = pieces(grams.count(), params.part_grams)
-    # The two context bytes next to the predicted one.
-    near = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
-    dealt = grams.select("gram", "n", near.alias("near")).repartition(parts, "near")
+def gram_values(asked: DataFrame) -> DataFrame:
+    """(block, grams, logp) for rows (block, part, grams, counts): log10 of each gram's probability
+    under the tree that all counts make."""
+    node = "key long, n0 double, n1 double, log_pw double"
 
-    def lower(batches):
-        g, n = _whole(batches, "gram", "n")
-        if len(g):
-            level = subtree(g, n)[0][-1]
-            yield {"key": level.keys.view(np.int64), "n0": level.n0, "n1": level.n1, "log_pw": level.log_pw}
+    def lower(table: pa.Table) -> pa.Table:
+        _, grams, n = _part_grams(table)
+        level = subtree(grams, n)[0][-1]
+        return pa.table({"key": level.keys.view(np.int64), "n0": level.n0, "n1": level.n1, "log_pw": level.log_pw})
 
     # Nodes of depth 2: 65536 * 255 at most, whatever the corpus.
-    nodes = arrow_map(dealt, "key long, n0 double, n1 double, log_pw double", lower).toArrow()
+    nodes = asked.groupBy("part").applyInArrow(lower, node).toArrow()
     columns = [nodes.column(c).to_numpy() for c in ("key", "n0", "n1", "log_pw")]
-    top = top_of(Level(columns[0].view(np.uint64), *columns[1:]))
-    sent = grams.sparkSession.sparkContext.broadcast(top)
+    sent = asked.sparkSession.sparkContext.broadcast(top_of(Level(columns[0].view(np.uint64), *columns[1:])))
 
-    def upper(batches):
-        g, n = _whole(batches, "gram", "n")
-        if len(g):
-            yield {"gram": g, "logp": log10_probabilities(g, n, sent.value)}
+    def upper(table: pa.Table) -> pa.Table:
+        own, grams, n = _part_grams(table)
+        logp = log10_probabilities(grams, n, sent.value)
+        found = [_zip(logp[np.searchsorted(grams, x)]) for x in own]
+        return pa.table({"block": table.column("block"), "grams": table.column("grams"), "logp": pa.array(found, pa.binary())})
 
-    return arrow_map(dealt, "gram long, logp double", upper)
+    return asked.groupBy("part").applyInArrow(upper, "block long, grams binary, logp binary")
 
 
 class GramTable:
@@ -322,17 +374,20 @@ def _score_block(params: TreeParams, n_train: int, distinct: int):
     target = to_arrow_schema(StructType.fromDDL(_SCORES))
     whole = n_train + params.smoothing * (distinct + 1)
 
-    def run(texts: pa.Table, values: pa.Table) -> pa.Table:
+    def run(packed: pa.Table, values: pa.Table) -> pa.Table:
         rows: dict[str, list] = {f.name: [] for f in target}
-        if not texts.num_rows:
+        if not packed.num_rows:
             return pa.Table.from_arrays([pa.array([], f.type) for f in target], schema=target)
+        texts = pa.ipc.open_stream(packed.column("packed")[0].as_py()).read_all()
         is_word = values.column("word").is_valid()
-        words = values.filter(is_word)
+        words, grams = values.filter(is_word), values.filter(pc.invert(is_word))
         index = {w: i for i, w in enumerate(words.column("word").to_pylist())}
         counts = words.column("value").to_numpy()
         logs = np.log10((counts + params.smoothing) / whole)
-        grams = values.filter(pa.compute.invert(is_word))
-        table = GramTable(grams.column("gram").to_numpy().view(np.uint64), grams.column("value").to_numpy())
+        table = GramTable(
+            np.concatenate([_unzip_grams(x) for x in grams.column("grams").to_pylist()]),
+            np.concatenate([_unzip(x, np.float64) for x in grams.column("logp").to_pylist()]),
+        )
         chunk = _Chunks(params.chunk_bytes)
 
         def close() -> None:
@@ -370,14 +425,17 @@ def score_documents(docs: DataFrame, params: TreeParams | None = None, doc_id: s
     one half. An empty table gives no rows; other columns are not looked at.
     """
     params = params or TreeParams()
-    dealt = _dealt(docs, doc_id, text, params)
-    seen = stored(dealt.groupBy("block").applyInArrow(_list_block(params), _SEEN), "block-grams")
-    in_words, in_grams = seen.filter("word is not null"), seen.filter("gram is not null")
+    seen = _blocks(docs, doc_id, text, params)
+    in_words = seen.filter("word is not null").select("block", "word", "n")
     vocabulary = stored(in_words.groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
     n_train, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
-    model = stored(train(stored(in_grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams"), params), "gram-scores")
+    answers = gram_values(seen.filter("part is not null").select("block", "part", "grams", "counts"))
+    none = F.lit(None).cast("binary")
     values = (
-        in_words.join(vocabulary, "word").select("block", "word", F.lit(None).cast("long").alias("gram"), F.col("c").cast("double").alias("value"))
-    ).unionByName(in_grams.join(model, "gram").select("block", F.lit(None).cast("binary").alias("word"), "gram", F.col("logp").alias("value")))
-    scored = dealt.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(_score_block(params, int(n_train), int(distinct)), _SCORES)
+        in_words.join(vocabulary, "word")
+        .select("block", "word", F.col("c").cast("double").alias("value"), none.alias("grams"), none.alias("logp"))
+        .unionByName(answers.select("block", none.alias("word"), F.lit(None).cast("double").alias("value"), "grams", "logp"))
+    )
+    packed = seen.filter("packed is not null").select(F.col("block").alias("own"), "packed")
+    scored = packed.groupBy("own").cogroup(values.groupBy("block")).applyInArrow(_score_block(params, int(n_train), int(distinct)), _SCORES)
     return scored.select("*", F.lit(int(n_train)).cast("long").alias("train_tokens"), (-F.col("score") * F.log2(F.lit(10.0)) / F.col("n_bytes")).alias("bits_per_byte"))
