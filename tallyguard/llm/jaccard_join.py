@@ -286,11 +286,16 @@ def similar_links(sets: DataFrame, params: JoinParams) -> tuple[DataFrame, DataF
     for hub in ("low", "high"):
         met = meetings.alias("b").join(hubs.select("h", f"{hub}.*").alias("a"), F.col("a.h") == F.col("b.h")).filter(_may_link(params) & (F.col("a.grp") != F.col("b.grp")))
         pairs = _apart(met.select(*_pairs("a.rep", "b.rep")).filter("a <> b").distinct(), labels)
-        edges = stored(edges.union(_verified(pairs, sets, params)), "edges")
+        # What is joined already goes on as one link from each unit to its component's smallest.
+        edges = stored(_trees(labels).union(_verified(pairs, sets, params)), "edges")
         labels = components(edges)
     rest = _apart(_all_met(meetings, members, labels, params), labels)
-    edges = stored(edges.union(_verified(rest, sets, params)), "edges")
-    return edges, components(edges)
+    labels = components(stored(_trees(labels).union(_verified(rest, sets, params)), "edges"))
+    return _trees(labels), labels
+
+
+def _trees(labels: DataFrame) -> DataFrame:
+    return labels.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
