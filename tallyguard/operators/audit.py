@@ -137,6 +137,18 @@ def write_monthly(rows: DataFrame, path: str, ts_ms: str = "ts_ms", files: int |
     ranged.sortWithinPartitions(*order).write.mode("append").partitionBy("yyyymm").parquet(path)
 
 
+def append_monthly(rows: DataFrame, path: str, batch_id: int, writer: str = "batch", ts_ms: str = "ts_ms") -> None:
+    """One batch of a stream into the month table; writing the same batch again replaces it. Batches
+    of one ``writer`` (see ``upsert_batch``) never touch those of another."""
+    (
+        rows.withColumns({"yyyymm": year_month(F.col(ts_ms)), "writer": F.lit(writer), "batch_id": F.lit(batch_id).cast("long")})
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("yyyymm", "writer", "batch_id")
+        .parquet(path)
+    )
+
+
 def by_transaction(table: DataFrame, tx_id) -> DataFrame:
     return table.filter(F.col("tx_id") == F.lit(tx_id))
 

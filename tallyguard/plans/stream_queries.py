@@ -11,11 +11,11 @@ from tallyguard.operators import audit, scoring
 from tallyguard.operators.authentication import session_states
 from tallyguard.plans.audit_queries import decisions as decision_table
 from tallyguard.plans.card_queries import _ALL, rules_text
-from tallyguard.plans.oracle import DENSE, on_features, on_scores
+from tallyguard.plans.oracle import DENSE, SPARSE, on_features, on_scores
 from tallyguard.plans.registry import query
 from tallyguard.plans.score_queries import _SESSIONS, sessions_and_results
 from tallyguard.session import fresh_path
-from tallyguard.sources.views import DENSE_FACTOR, as_transactions, props_k, table, tx_dense
+from tallyguard.sources.views import DENSE_FACTOR, as_transactions, props_k, table, tx_dense, tx_sparse
 from tallyguard.streaming import flows, sinks
 from tallyguard.streaming.sessions import stream_sessions
 from tallyguard.streaming.sources import file_stream, with_event_time, without_redelivered
@@ -95,6 +95,36 @@ def j03_stream_reply_in_time(spark, sf_dir):
     return read(spark, drain(joined, sinks.table_sink, "correlated"))
 
 
+FAR_MS = 4_000_000_000_000  # a row from far ahead moves the watermark past all others
+
+
+@query(
+    "j02_stream_decision_with_transaction",
+    f"""WITH {DENSE} SELECT tx_id, ts_ms + k AS decision_ms, CASE WHEN tx_id%5<>0 THEN merchant_id END AS merchant_id,
+      CASE WHEN tx_id%5<>0 THEN amount END AS amount, CASE WHEN tx_id%5<>0 THEN channel END AS channel FROM tx""",
+)
+def j02_stream_decision_with_transaction(spark, sf_dir):
+    """Every fifth decision's transaction comes under another id; all transactions come twice."""
+    rows = tx_dense(spark, sf_dir).withColumn("k", props_k())
+    far = rows.limit(1).withColumns({"tx_id": F.lit(-1).cast("long"), "ts_ms": F.lit(FAR_MS)})
+    decided = rows.unionByName(far).select("tx_id", (F.col("ts_ms") + F.col("k")).alias("decision_ms"))
+    own = F.when(F.col("tx_id") % 5 == 0, -2 - F.col("tx_id")).otherwise(F.col("tx_id"))
+    happened = rows.unionByName(far).select(own.alias("tx_id"), "ts_ms", "merchant_id", "amount", "country", "channel", "mcc")
+    joined = flows.decisions_with_transactions(as_stream(decided, "decisions-in"), as_stream(happened.unionByName(happened), "transactions-in"))
+    filled = drain(joined.select("tx_id", "decision_ms", "merchant_id", "amount", "channel"), sinks.table_sink, "filled")
+    return read(spark, filled).filter("tx_id >= 0")
+
+
+@query(
+    "s09_stream_month_table",
+    f"WITH {SPARSE} SELECT tx_id, ts_ms, CAST(strftime(make_timestamp(ts_ms*1000), '%Y%m') AS INTEGER) AS yyyymm FROM tx",
+)
+def s09_stream_month_table(spark, sf_dir):
+    """A stream of transactions into the month table."""
+    rows = as_stream(tx_sparse(spark, sf_dir).select("tx_id", "ts_ms"), "transactions-in")
+    return read(spark, drain(rows, sinks.month_sink, "months")).select("tx_id", "ts_ms", "yyyymm")
+
+
 @query(
     "j03_stream_redelivered",
     f"""WITH {DENSE} SELECT tx_id, k>45 AS timed_out, CASE WHEN k<=45 THEN ts_ms+k END AS reply_ms FROM tx

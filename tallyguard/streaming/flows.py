@@ -46,6 +46,18 @@ def correlate_replies(requests: DataFrame, replies: DataFrame, timeout_ms: int =
     return joined.withColumn("timed_out", F.col("reply_to").isNull()).drop("reply_to", "requested_at", "replied_at")
 
 
+def decisions_with_transactions(decisions: DataFrame, transactions: DataFrame, within: str = "1 minute") -> DataFrame:
+    """Decisions with merchant, amount, country, channel and category of their transaction, which
+    happened at most ``within`` before; where none came by the watermark they stay null. Copies on
+    either side are dropped within the watermark delay, and the state on both sides is bounded by it."""
+    filled = ["merchant_id", "amount", "country", "channel", "mcc"]
+    left = with_event_time(decisions.drop(*filled), "decision_ms", "decided_at", DECISION_DELAY).dropDuplicatesWithinWatermark(["tx_id"])
+    named = transactions.select(F.col("tx_id").alias("_of"), F.col("ts_ms").alias("_ms"), *filled)
+    right = with_event_time(named, "_ms", "happened_at").dropDuplicatesWithinWatermark(["_of"])
+    in_time = F.col("happened_at").between(F.col("decided_at") - F.expr(f"INTERVAL {within}"), F.col("decided_at"))
+    return left.join(right, (F.col("tx_id") == F.col("_of")) & in_time, "leftOuter").drop("_of", "_ms", "decided_at", "happened_at")
+
+
 def scoring_sink(sink: sinks.BatchSink, model_folder: str | None = None) -> sinks.BatchSink:
     """Score each micro-batch with the newest model of a folder (rules alone where there is none)."""
 

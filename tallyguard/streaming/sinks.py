@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from tallyguard.operators.audit import Failure, analytics_rows, audit_rows, split_dead_letters, upsert_batch
+from tallyguard.operators.audit import Failure, analytics_rows, append_monthly, audit_rows, split_dead_letters, upsert_batch
 from tallyguard.streaming.sources import TOPICS
 
 BatchSink = Callable[[DataFrame, int], None]
@@ -70,6 +70,11 @@ def decisions_with_reply(everything: BatchSink, replies: BatchSink, reply_topic:
     return each(lambda batch, batch_id: everything(batch.drop(reply_topic), batch_id), reply)
 
 
+def month_sink(path: str, writer: str = "stream", ts_ms: str = "ts_ms") -> BatchSink:
+    """Analytics rows into the month-partitioned table, so that reads by time prune months."""
+    return lambda batch, batch_id: append_monthly(batch, path, batch_id, writer, ts_ms)
+
+
 def audit_sink(audit_path: str, analytics_path: str, writer: str = "stream") -> BatchSink:
     """Decisions to the audit table (upsert by transaction) and to the analytics table; ``writer`` as
     for ``table_sink``."""
