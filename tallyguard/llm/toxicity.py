@@ -131,7 +131,9 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = None
     """Learn weights and curve from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0 or 1)
     outside the held-out fold.
 
-    At most ``max_rows_per_class`` ids of each label take part, those with the smallest hash. Rows
+    At most ``max_rows_per_class`` ids of each label take part, those with the smallest hash. The
+    curve counts each of them for its share of all ids of its label, so it has the labels' own
+    balance whatever part of them is sampled. Rows
     without a label or an id are left out; an id labelled both ways counts as toxic; of rows that
     repeat an id one takes part. Without rows of both labels, the seed lexicon and a fixed curve
     are used.
@@ -176,30 +178,37 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = None
             yield {"a": [v[0] for v in x], "b": [v[1] for v in x], "y": batch.column("y")}
 
     rows = arrow_map(sample, "a double, b double, y int", measure, lambda: build_automaton(model)).groupBy("a", "b", "y").count().collect()
-    return ToxicityModel(weights, _logistic(rows), params)
+    totals = {r["y"]: r["count"] for r in _marked(labels, folds).groupBy("y").count().collect()}
+    stands_for = {y: max(1.0, total / params.max_rows_per_class) for y, total in totals.items()}
+    return ToxicityModel(weights, _logistic(rows, stands_for), params)
 
 
-def _sample(docs: DataFrame, labels: DataFrame, params: ToxicityParams, folds: int) -> DataFrame:
-    """The labelled texts with the smallest hashes of their ids: a fixed number, whatever comes in.
-    Ids are chosen before texts are read, so the list that is broadcast has that bound too."""
-    marked = (
+def _marked(labels: DataFrame, folds: int) -> DataFrame:
+    """Every labelled id outside the held-out fold, once, with its label."""
+    return (
         labels.filter(F.col("toxic").isin(0, 1) & ~held_out(folds))
         .groupBy(F.col("doc_id").alias("id"))
         .agg(F.max("toxic").cast("int").alias("y"))
-        .withColumn("h", F.xxhash64("id"))
     )
+
+
+def _sample(docs: DataFrame, labels: DataFrame, params: ToxicityParams, folds: int) -> DataFrame:
+    """The labelled texts with the smallest hashes of their ids: a fixed number, whatever comes in.
+    Ids are chosen before texts are read, so the list that is broadcast has that bound too."""
+    marked = _marked(labels, folds).withColumn("h", F.xxhash64("id"))
     ids = [marked.filter(F.col("y") == y).orderBy("h", "id").limit(params.max_rows_per_class) for y in (0, 1)]
     chosen = F.broadcast(ids[0].unionByName(ids[1]).select("id", "y"))
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(chosen, "id")
     return texts.groupBy("id", "y").agg(F.min("text").alias("text")).select("text", "y")
 
 
-def _logistic(rows: list) -> tuple[float, float, float]:
-    """Newton steps for a ridge logistic curve over the sample's (value, value, label, count)."""
+def _logistic(rows: list, stands_for: dict[int, float]) -> tuple[float, float, float]:
+    """Newton steps for a ridge logistic curve over the sample's (value, value, label, count), where
+    a row of a label stands for so many."""
     rows = sorted(rows, key=lambda r: (r["a"], r["b"], r["y"]))
     x = np.array([[1.0, r["a"], r["b"]] for r in rows])
     y = np.array([float(r["y"]) for r in rows])
-    n = np.array([float(r["count"]) for r in rows])
+    n = np.array([r["count"] * stands_for[r["y"]] for r in rows])
     w, ridge = np.zeros(3), np.diag([1e-6, 1e-2, 1e-2])
     for _ in range(50):
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -40, 40)))

@@ -67,6 +67,22 @@ def test_sample_is_bounded(tables):
     assert tox.fit(docs, labels, small).weights
 
 
+def test_capped_sample_keeps_the_balance_of_the_labels(spark):
+    """The marker stands in half of the toxic texts and in 8 % of the clean ones, and 3 % are toxic."""
+    rnd = random.Random(5)
+    rows = [(i, int(rnd.random() < 0.03)) for i in range(4000)]
+    text = lambda y: "some plain words" + " grumblefig" * (rnd.random() < (0.5 if y else 0.08))
+    docs = spark.createDataFrame([(i, text(y)) for i, y in rows], "doc_id long, text string")
+    labels = spark.createDataFrame(rows, "doc_id long, toxic int")
+    marked = spark.createDataFrame([(1, "some plain words grumblefig")], "doc_id long, text string")
+    scores = []
+    for cap in (20_000, 200):
+        model = tox.fit(docs, labels, tox.ToxicityParams(min_log_odds=1.0, max_rows_per_class=cap))
+        assert any(t.startswith("grum") for t in model.weights)
+        scores.append(tox.score(marked, model).first().tox_score)
+    assert scores[0] < 0.3 and abs(scores[1] - scores[0]) < 0.15
+
+
 def test_long_text(spark):
     model = tox.ToxicityModel(dict(tox.SEED), (-4.0, 2.0, 1.0), tox.ToxicityParams())
     text = "word " * 200_000
