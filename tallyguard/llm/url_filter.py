@@ -1,4 +1,4 @@
-"""URL filter: host and path rules first, then a weighted vocabulary matched by Aho-Corasick."""
+"""URL filter: host and path rules first, then a weighted vocabulary matched in the whole url by Aho-Corasick."""
 
 from __future__ import annotations
 
@@ -97,26 +97,29 @@ def fitting_rule(host: str, path: str, by_host: dict) -> tuple[str, str] | None:
 def judge_urls(df: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",), rules: UrlRules | None = None) -> DataFrame:
     """``keep`` columns with host, path, rule, verdict, strict_hits, soft_hits, soft_weight.
 
-    Null urls, empty ones and those without ``://`` have empty host and path, fit no rule and have
-    no hit, so they are allowed. Each row is judged alone: repeated rows give repeated rows, an
-    empty table an empty one; columns that are not named are dropped, whatever they are called.
+    Null urls, empty ones and those without ``://`` have empty host and path and fit no rule. The
+    vocabulary is searched in the whole url, query and fragment included, whatever its form; a null
+    url has no hit. Each row is judged alone: repeated rows give repeated rows, an empty table an
+    empty one; columns that are not named are dropped, whatever they are called.
     """
     rules = rules or UrlRules()
     parsed = df.select(
         *keep,
         F.coalesce(lower_ascii(F.regexp_extract(url, r"://([^/?#]*)", 1)), F.lit("")).alias("host"),
         F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit("")).alias("path"),
+        F.coalesce(F.col(url), F.lit("")).alias("__whole"),
     )
 
     def decide(batches, by_host, automaton):
         for batch in batches:
-            out = {name: batch.column(name) for name in batch.schema.names}
-            found = [_decide(h, p, by_host, automaton, rules) for h, p in zip(out["host"].to_pylist(), out["path"].to_pylist())]
+            out = {name: batch.column(name) for name in batch.schema.names if name != "__whole"}
+            read = (batch.column(name).to_pylist() for name in ("host", "path", "__whole"))
+            found = [_decide(*row, by_host, automaton, rules) for row in zip(*read)]
             for i, name in enumerate(("rule", "verdict", "strict_hits", "soft_hits", "soft_weight")):
                 out[name] = [row[i] for row in found]
             yield out
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parsed.schema.fields)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parsed.schema.fields[:-1])
     return arrow_map(
         parsed,
         f"{kept}, rule string, verdict string, strict_hits int, soft_hits int, soft_weight double",
@@ -126,8 +129,8 @@ def judge_urls(df: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_i
     )
 
 
-def _decide(host: str, path: str, by_host: dict, automaton, rules: UrlRules) -> tuple:
-    hits = vocabulary_hits((host + path).translate(_LOWER), automaton)
+def _decide(host: str, path: str, whole: str, by_host: dict, automaton, rules: UrlRules) -> tuple:
+    hits = vocabulary_hits(whole.translate(_LOWER), automaton)
     strict = len(hits.intersection(rules.strict))
     soft = sorted(t for t in hits if t in rules.soft)
     weight = sum(rules.soft[t] for t in soft)

@@ -113,6 +113,18 @@ def test_urls(spark):
     assert verdicts(spark, ["a://casino.org/"] * 2, UrlRules(rules=[], strict=[], soft={})) == [("casino.org", "/", None, "allow")] * 2
 
 
+def test_vocabulary_in_the_whole_url(spark):
+    urls = ["https://a.org/out?to=casino-xxx", "https://a.org/#/porn", "CASINO-porn.org/xxx", "a.org/?free=1&bet=2", "a.org/pornhouse?xxxl"]
+    assert verdicts(spark, urls) == [
+        ("a.org", "/out", None, "block"),
+        ("a.org", "/", None, "block"),
+        ("", "", None, "block"),
+        ("", "", None, "block"),
+        ("", "", None, "allow"),
+    ]
+    assert verdicts(spark, ["a://b.com/?q=casino", "a://b.com/x#porn"]) == [("b.com", "/", "com/", "allow"), ("b.com", "/x", "com/", "allow")]
+
+
 def test_vocabulary_boundaries():
     found = UrlRules().automaton()
     assert vocabulary_hits("xxx.pornhouse-porn_x", found) == {"xxx", "porn", "x"}
