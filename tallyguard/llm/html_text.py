@@ -5,7 +5,8 @@ density, length and link density: good, bad, or short/near for those that it can
 second gives undecided blocks the label of their nearest decided neighbours. Blocks inside elements
 that never hold an article's text (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, reader comments; by tag, role, class or id) are bad from the start and decide nothing for
-the blocks around them; where the page marks an article, blocks outside it are bad as well.
+the blocks around them; where the page marks an article, blocks outside it are bad as well. Classes
+and ids count as whole names, and those around a marked article say nothing about it.
 """
 
 from __future__ import annotations
@@ -38,20 +39,27 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSED_BY = {"p": "block", "li": "li", "dt": "dd", "dd": "dd", "tr": "tr", "td": "td", "th": "td", "option": "option"}
 GROUP = {"li": "li", "dt": "dd", "dd": "dd", "tr": "tr", "td": "td", "th": "td", "option": "option"}
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
-# Words in a class or id that mark something beside the article.
+# Whole names in a class or id that mark something beside the article.
 BESIDE = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer "
     "gdpr login masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted related "
-    "respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar".split()
+    "respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar "
+    "ad-banner ad-box ad-container ad-slot ad-wrapper comment-form comment-list comments-area cookie-banner cookie-bar "
+    "cookie-consent cookie-notice main-menu main-nav main-navigation nav-bar nav-menu newsletter-signup page-footer "
+    "related-articles related-posts search-form share-buttons side-bar site-footer site-nav site-navigation "
+    "social-links social-share".split()
 )
+# In these each entry may be an <article> of its own.
+ENTRIES = frozenset("comment comments commentlist comment-list comments-area disqus respond related related-articles related-posts".split())
+#: An article inside one of these is not the page's.
+CLOSED_OFF = frozenset("nav footer aside form".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"\w+")
-_PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 @dataclass(frozen=True)
@@ -78,24 +86,46 @@ class Block:
 class _Open:
     """An open element and what holds inside it."""
 
-    __slots__ = ("tag", "beside", "article", "silent")
+    __slots__ = ("tag", "beside", "article", "silent", "closed_off", "entries")
 
-    def __init__(self, tag: str, beside: bool, article: bool, silent: bool):
+    def __init__(self, tag: str, beside: bool, article: bool, silent: bool, closed_off: bool = False, entries: bool = False):
         self.tag, self.beside, self.article, self.silent = tag, beside, article, silent
-
-
-def _marks(tag: str, raw: str, in_article: bool) -> tuple[bool, bool]:
-    """(beside, article) of a start tag by its name and attributes."""
-    found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if "=" in raw else {}
+        self.closed_off, self.entries = closed_off, entries
+
+    def child(self, tag: str, raw: str) -> _Open:
+        """The element that a start tag opens in this one. What is beside stays so below it, but a
+        marked article starts afresh outside of menus, footers, asides, forms and hidden parts; an
+        ``<article>`` among comments or related pages is an entry of theirs."""
+        beside, article, whole, hidden, entries = _marks(tag, raw, self.article)
+        afresh = whole and not self.closed_off and not (self.entries and tag == "article")
+        return _Open(
+            tag,
+            beside or self.beside and not afresh,
+            self.article or article,
+            self.silent or tag == "head",
+            self.closed_off or hidden or tag in CLOSED_OFF,
+            entries or self.entries and not afresh,
+        )
+
+
+def _marks(tag: str, raw: str, in_article: bool) -> tuple[bool, bool, bool, bool, bool]:
+    """(beside, article, an element that starts afresh, hidden, one with entries) of a start tag by
+    its name and attributes."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
     role = found.get("role", "").lower()
-    article = tag in ("article", "main") or role in ("article", "main") or found.get("itemprop") == "articleBody"
-    names = {part.lower() for name in (found.get("class", ""), found.get("id", "")) for part in _PART.findall(name)}
-    beside = tag in BOILERPLATE or role in ROLES or "hidden" in raw.lower().split()
-    if not in_article and (tag == "header" or "header" in names):
+    body = "articleBody" in found.get("itemprop", "").split()
+    article = tag in ("article", "main") or role in ("article", "main") or body
+    names = {n.replace("_", "-") for n in f"{found.get('class', '')} {found.get('id', '')}".lower().split()}
+    hidden = "hidden" in found and found["hidden"].lower() != "until-found"
+    beside = tag in BOILERPLATE or role in ROLES or hidden
+    if not in_article and (tag == "header" or names & {"header", "site-header"}):
         beside = True
-    if names & BESIDE and tag not in ("html", "body", "article", "main"):
+    marked = tag not in ("html", "body", "article", "main") and not body
+    if marked and names & BESIDE:
         beside = True
-    return beside, article
+    return beside, article, tag in ("article", "main") or body, hidden, marked and bool(names & ENTRIES)
 
 
 def blocks_of(page: str | None) -> list[Block]:
@@ -168,9 +198,7 @@ def blocks_of(page: str | None) -> list[Block]:
                     break
         if stack[-1].silent and tag not in IN_HEAD or tag == "body":
             leave(1)  # the head ends with the first tag that cannot stand in it
-        top = stack[-1]
-        beside, article = _marks(tag, token[3], top.article)
-        stack.append(_Open(tag, top.beside or beside, top.article or article, top.silent or tag == "head"))
+        stack.append(stack[-1].child(tag, token[3]))
         links += tag == "a"
         headings += len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
     flush()

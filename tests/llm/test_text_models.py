@@ -171,6 +171,28 @@ def test_short_blocks_inherit():
     assert html_text.second_pass(["good", "bad", "short"], [True, False, True]) == [True, False, True]
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        "class='content-sidebar-wrap'", "class='site has-sidebar'", "class='no-comments'", "id='search-results'", "class=sidebar",
+        "class='flex hidden lg:block'", "data-title='The hidden city'", "data-title='a hidden=x b'",
+    ],
+)
+@pytest.mark.parametrize("tag", ["article", "main", "div itemprop=articleBody"])
+def test_wrappers_do_not_hide_a_marked_article(wrapper, tag):
+    end = tag.split()[0]
+    assert html_text.main_text(f"<div {wrapper}><{tag}><p>{GOOD}</p></{end}></div><p>{GOOD} outside</p>") == GOOD.strip()
+    if "class=sidebar" not in wrapper:
+        assert html_text.main_text(f"<{tag} {wrapper}><p>{GOOD}</p></{end}>") == GOOD.strip()
+
+
+def test_articles_that_are_not_the_pages():
+    for around in ("nav", "footer", "aside", "form", "div hidden", "div hidden=''", "div class='comments'"):
+        page = f"<main><p>{GOOD}</p></main><{around}><article><p>{GOOD} other</p></article></{around.split()[0]}>"
+        assert html_text.main_text(page) == GOOD.strip(), around
+    assert html_text.main_text(f"<div class='site-footer x'><p>{GOOD} other</p></div><p>{GOOD}</p>") == GOOD.strip()
+
+
 # --- pieces ---------------------------------------------------------------------------------------
 
 TEXTS = [
