@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -28,7 +29,8 @@ STOP_WORDS = {
     "es": "a al algo como con cuando de del donde el ella ellos en entre era es esta este esto estos fue ha han hasta hay la las le les lo los más me mi muy no nos o para pero por porque que quien se ser si sin sobre son su sus también te tiene todo un una uno y ya yo",
 }
 # Tags by their role.
-SILENT = frozenset("script style noscript template svg math iframe object embed audio video canvas map title textarea select datalist".split())
+SILENT = frozenset("script style noscript template svg math iframe object embed audio video canvas map title textarea select datalist noembed noframes".split())
+RAW = frozenset("script style iframe title textarea noembed noframes".split())  # nothing in them is markup
 BOILERPLATE = frozenset("nav footer aside form menu dialog button fieldset".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input".split()
@@ -59,6 +61,8 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_SILENT_START = re.compile(rf"<(?:{'|'.join(sorted(SILENT - RAW))})\b", re.IGNORECASE)
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in RAW}
 _WORD = re.compile(r"\w+")
 
 
@@ -86,11 +90,12 @@ class Block:
 class _Open:
     """An open element and what holds inside it."""
 
-    __slots__ = ("tag", "beside", "article", "silent", "closed_off", "entries")
+    __slots__ = ("tag", "beside", "article", "silent", "closed_off", "entries", "muted")
 
-    def __init__(self, tag: str, beside: bool, article: bool, silent: bool, closed_off: bool = False, entries: bool = False):
+    def __init__(self, tag: str, beside: bool, article: bool, silent: bool, closed_off: bool = False, entries: bool = False, muted: bool = False):
         self.tag, self.beside, self.article, self.silent = tag, beside, article, silent
         self.closed_off, self.entries = closed_off, entries
+        self.muted = muted  # its own text, not that of blocks in it, stands for something else
 
     def child(self, tag: str, raw: str) -> _Open:
         """The element that a start tag opens in this one. What is beside stays so below it, but a
@@ -105,6 +110,7 @@ class _Open:
             self.silent or tag == "head",
             self.closed_off or hidden or tag in CLOSED_OFF,
             entries or self.entries and not afresh,
+            tag in SILENT or self.muted and (tag in INLINE or tag in ("option", "optgroup")),
         )
 
 
@@ -128,14 +134,56 @@ def _marks(tag: str, raw: str, in_article: bool) -> tuple[bool, bool, bool, bool
     return beside, article, tag in ("article", "main") or body, hidden, marked and bool(names & ENTRIES)
 
 
+def _raw_end(page: str, tag: str, at: int, empty: bool) -> int:
+    """Where the text goes on behind a raw element's start tag that ends at ``at``. Without an end
+    tag it takes the rest of the page, but for a self-closed one."""
+    close = _RAW_END[tag].search(page, at)
+    return close.end() if close else at if empty else len(page)
+
+
+def _silent_ends(page: str) -> dict[int, int]:
+    """Start tags of silent elements that are not raw -> the end of their own end tag, by place, for
+    those that have one before their parent ends."""
+    out: dict[int, int] = {}
+    if not _SILENT_START.search(page):
+        return out
+    stack: list[tuple[str, int]] = []
+    depth: Counter = Counter()
+    at = 0
+    while (token := _next(page, at)) is not None:
+        at = token.end()
+        tag = (token[2] or "").lower()
+        if not tag or tag in VOID:
+            continue
+        if not token[1]:
+            empty = token[3].endswith("/")
+            if empty and (tag in ("svg", "math") or depth["svg"] or depth["math"]):
+                continue
+            if tag in RAW:
+                at = _raw_end(page, tag, at, empty)
+                continue
+            stack.append((tag, token.start()))
+            depth[tag] += 1
+        elif depth[tag]:
+            gone = ""
+            while gone != tag:
+                gone, start = stack.pop()
+                depth[gone] -= 1
+            if tag in SILENT:
+                out[start] = at
+    return out
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The page's blocks in order, white space collapsed, character references decoded. Missing end
-    tags and cut pages are taken as far as they go."""
+    tags and cut pages are taken as far as they go: a picture, film or list without its own end tag
+    silences its own text only and ends with its parent."""
     out: list[Block] = []
     stack: list[_Open] = [_Open("", False, False, False)]
     texts: list[str] = []
     linked = links = headings = 0
     page = page or ""
+    ends = _silent_ends(page)
 
     def flush() -> None:
         nonlocal linked
@@ -158,7 +206,7 @@ def blocks_of(page: str | None) -> list[Block]:
     while at < end:
         token = _next(page, at)
         start = token.start() if token else end
-        if start > at and not stack[-1].silent:
+        if start > at and not (stack[-1].silent or stack[-1].muted):
             text = html.unescape(page[at:start])
             texts.append(text)
             if links:
@@ -183,9 +231,14 @@ def blocks_of(page: str | None) -> list[Block]:
         if tag in VOID:
             continue
         if tag in SILENT:
-            # Nothing in it is markup: go on behind its end tag.
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
-            at = close.end() if close else end
+            # Go on behind its end tag, if it has one.
+            empty = token[3].endswith("/")
+            if tag in RAW:
+                at = _raw_end(page, tag, at, empty)
+            elif start in ends:
+                at = ends[start]
+            elif not empty:
+                stack.append(stack[-1].child(tag, token[3]))
             continue
         if tag not in INLINE:
             # An open paragraph or item, with what is inline in it, ends where the next block starts.

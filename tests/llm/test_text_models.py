@@ -193,6 +193,29 @@ def test_articles_that_are_not_the_pages():
     assert html_text.main_text(f"<div class='site-footer x'><p>{GOOD} other</p></div><p>{GOOD}</p>") == GOOD.strip()
 
 
+@pytest.mark.parametrize(
+    "start",
+    [
+        "<svg class=i />", "<math/>", "<object data=x>", "<video src=x>no film", "<audio>", "<canvas>", "<map name=m>",
+        "<select><option>one<option>two", "<svg><path d='x'/>", "<iframe src=x />", "<object><object>inner</object>",
+    ],
+)
+def test_silent_elements_without_end_do_not_cut_the_page(start):
+    own = start.strip("<").split()[0].split(">")[0].rstrip("/")
+    for rest in ("", f"<div><{own}>gone</{own}></div>"):
+        if rest and "iframe" in start:
+            continue
+        page = f"<body><div>{start}<article><p>{GOOD}</p><p>Second. {GOOD}</p></article></div>{rest}</body>"
+        assert html_text.main_text(page) == f"{GOOD.strip()}\nSecond. {GOOD.strip()}", rest
+        plain = f"<body><div>{start}</div><p>{GOOD}</p>{rest}</body>"
+        assert html_text.main_text(plain) == GOOD.strip(), rest
+
+
+def test_silent_elements_with_end_are_left_out():
+    for inner in ("<svg><title>t</title><g/><text>no</text></svg>", "<object><p>no</p><object>no</object>no</object>", "<noscript><p>no</p></noscript>"):
+        assert html_text.main_text(f"<p>{GOOD}{inner} tail</p>") == GOOD + "tail", inner
+
+
 # --- pieces ---------------------------------------------------------------------------------------
 
 TEXTS = [
