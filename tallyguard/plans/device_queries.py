@@ -79,7 +79,9 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         (props_k() / F.lit(99.0)).alias("pressure"),
         F.col("tx_id").alias("stroke"),
     )
-    newest = devices.keep_last(rows, ["card_id", "hour"], ["tx_id"], max(limits.values()))
+    # The newest of each kind hold the newest of all kinds and the newest touches.
+    rows = rows.withColumn("pressed", F.coalesce(F.col("pressure") > 0.5, F.lit(False)))
+    newest = devices.keep_last(rows, ["card_id", "hour", "pressed"], ["tx_id"], max(limits.values()))
     ordered = F.array_sort(F.collect_list(F.struct("tx_id", "sample", "pressure", "stroke")))
     traces = newest.groupBy("card_id", "hour").agg(ordered.alias("trace"))
     return traces.select(
