@@ -27,6 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 from tallyguard.llm import (  # noqa: E402
+    collocation_queries,  # noqa: F401
     context_tree_queries,  # noqa: F401
     decontaminate_queries,  # noqa: F401
     html_queries,  # noqa: F401
