@@ -34,6 +34,7 @@ from tallyguard.llm import (  # noqa: E402
     imatch_queries,  # noqa: F401
     jaccard_queries,  # noqa: F401
     line_dedup_queries,  # noqa: F401
+    minhash_queries,  # noqa: F401
     periodic_queries,  # noqa: F401
     sentencepiece_queries,  # noqa: F401
     toxicity_queries,  # noqa: F401
