@@ -5,10 +5,11 @@ for each decision, a Krichevsky-Trofimov estimate from the training texts; each
 weighs its own estimate against its children's, and a prediction mixes all depths along its path.
 
 After training, a byte's probability depends on it and the DEPTH bytes before it alone (a gram). So
-texts are packed into blocks as they are read; each block lists its distinct words, and its distinct
-grams parted by the two nearest context bytes, with training counts. Each part adds up the blocks'
-counts, weighs its subtrees, and answers every block with the values of that block's grams. No table
-that grows with the corpus is broadcast or collected; what is broadcast has 256 * 255 rows at most.
+texts are packed into blocks as they are read; each block lists its distinct words by hash range, and
+its distinct grams parted by the two nearest context bytes, with training counts. Each range adds up
+the blocks' counts and answers every block in the order of its words; each part of grams also weighs
+its subtrees and answers with the values of the block's grams. No table that grows with the corpus is
+broadcast or collected; what the driver sees and broadcasts has 256 * 255 rows at most.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from tallyguard.llm.frames import arrow_map, pieces, stored, words_of
 
 DEPTH = 5
 _HALF = float(np.log(0.5))
-_SEEN = "block long, packed binary, word binary, n long, part int, grams binary, counts binary"
+_SEEN = "block long, packed binary, range int, words binary, part int, grams binary, counts binary"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double"
 
 
@@ -39,6 +40,7 @@ class TreeParams:
     smoothing: float = 0.1
     block_chars: int = 12 << 20
     chunk_bytes: int = 1 << 20
+    range_chars: int = 24 << 20
     most_parts: int = 4096
 
 
@@ -110,6 +112,26 @@ def _part_of(grams: np.ndarray, parts: int) -> np.ndarray:
     return (((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
 
 
+def _spans(part: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(part, places in it) by part, places in their order."""
+    turn = np.argsort(part, kind="stable")
+    found, first = np.unique(part[turn], return_index=True)
+    return list(zip(found.tolist(), np.split(turn, first[1:]) if len(turn) else []))
+
+
+def _range_of(words: list[bytes], ranges: int) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) % ranges for w in words), np.int64, len(words))
+
+
+def _zip_words(words: list[bytes]) -> bytes:
+    """Words hold no line feed."""
+    return zstandard.ZstdCompressor(level=3).compress(b"\n".join(words))
+
+
+def _unzip_words(data: bytes) -> pa.Array:
+    return pa.array(zstandard.ZstdDecompressor().decompress(data).split(b"\n"), pa.binary())
+
+
 class _Block:
     """Texts of one block with the words and grams that they hold."""
 
@@ -142,36 +164,36 @@ class _Block:
                 merged = _added(self.keys, self.counts)
                 self.keys, self.counts = [merged[0]], [merged[1]]
 
-    def listed(self, block: int, parts: int) -> dict[str, list]:
-        """One row with the texts, one for each word, one for each part of the grams."""
+    def listed(self, block: int, ranges: int, parts: int) -> dict[str, list]:
+        """One row with the texts, one for each range of the words, one for each part of the grams."""
         self._count(True)
         self._count(False)
         grams, n = _added(self.keys, self.counts)
-        part = _part_of(grams, parts)
-        order = np.argsort(part, kind="stable")
-        found, starts = np.unique(part[order], return_index=True)
-        spans = np.split(order, starts[1:]) if len(order) else []
-        w, g = len(self.words), len(spans)
+        spans = _spans(_part_of(grams, parts))
+        words, held = list(self.words), np.fromiter(self.words.values(), np.int64, len(self.words))
+        ranged = _spans(_range_of(words, ranges))
+        w, g = len(ranged), len(spans)
         sink = pa.BufferOutputStream()
         texts = pa.table({"doc_id": pa.array([r[0] for r in self.rows], pa.int64()), "held_out": [r[1] for r in self.rows], "text": pa.array([r[2] for r in self.rows], pa.large_string())})
-        with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
             out.write_table(texts)
         return {
             "block": [block] * (1 + w + g),
             "packed": [sink.getvalue().to_pybytes(), *[None] * (w + g)],
-            "word": [None, *self.words, *[None] * g],
-            "n": [None, *self.words.values(), *[None] * g],
-            "part": [*[None] * (1 + w), *found.tolist()],
-            "grams": [*[None] * (1 + w), *(_zip_grams(grams[s]) for s in spans)],
-            "counts": [*[None] * (1 + w), *(_zip(n[s]) for s in spans)],
+            "range": [None, *(r for r, _ in ranged), *[None] * g],
+            "words": [None, *(_zip_words([words[i] for i in at.tolist()]) for _, at in ranged), *[None] * g],
+            "part": [*[None] * (1 + w), *(p for p, _ in spans)],
+            "grams": [*[None] * (1 + w), *(_zip_grams(grams[at]) for _, at in spans)],
+            "counts": [None, *(_zip(held[at]) for _, at in ranged), *(_zip(n[at]) for _, at in spans)],
         }
 
 
-def _blocks(docs: DataFrame, doc_id: str, text: str, params: TreeParams) -> DataFrame:
-    """Blocks of the texts as they are read, whatever rows they hold; written once, so their numbers
-    and contents stay as they are."""
+def _blocks(docs: DataFrame, doc_id: str, text: str, params: TreeParams) -> tuple[DataFrame, int]:
+    """(blocks of the texts as they are read, whatever rows they hold; number of word ranges).
+    Written once, so their numbers and contents stay as they are."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = min(params.most_parts, pieces(rows.agg(F.sum(F.length("text"))).first()[0], params.block_chars))
+    chars = rows.agg(F.sum(F.length("text"))).first()[0]
+    parts, ranges = (min(params.most_parts, pieces(chars, size)) for size in (params.block_chars, params.range_chars))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % params.folds == 0, F.lit(True))
 
     def run(batches):
@@ -181,12 +203,12 @@ def _blocks(docs: DataFrame, doc_id: str, text: str, params: TreeParams) -> Data
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text"))):
                 if block.add(*row):
-                    yield block.listed(number, parts)
+                    yield block.listed(number, ranges, parts)
                     number, block = number + 1, _Block(params)
         if block.rows:
-            yield block.listed(number, parts)
+            yield block.listed(number, ranges, parts)
 
-    return stored(arrow_map(rows.select("doc_id", held.alias("held_out"), "text"), _SEEN, run), "blocks")
+    return stored(arrow_map(rows.select("doc_id", held.alias("held_out"), "text"), _SEEN, run), "blocks"), ranges
 
 
 # --- the tree -------------------------------------------------------------------------------------
@@ -227,11 +249,22 @@ class Level:
         return (np.where(bit, n1, n0) + 0.5) / (n0 + n1 + 1.0)
 
 
+def above(child: Level) -> tuple[np.ndarray, ...]:
+    """(nodes one depth less, sums of their children's counts and log probabilities, each child's
+    place among them)."""
+    keys, up = np.unique(((child.keys >> np.uint64(16)) << np.uint64(8)) | (child.keys & np.uint64(255)), return_inverse=True)
+    return keys, *(np.bincount(up, x, len(keys)) for x in (child.n0, child.n1, child.log_pw)), up
+
+
+def weighed(keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray) -> Level:
+    """A level from its children's sums."""
+    return Level(keys, n0, n1, np.logaddexp(_HALF + log_kt(n0, n1), _HALF + below))
+
+
 def parent_level(child: Level) -> Level:
     """One depth less: counts and log probabilities of the children add up."""
-    keys, child.up = np.unique(((child.keys >> np.uint64(16)) << np.uint64(8)) | (child.keys & np.uint64(255)), return_inverse=True)
-    n0, n1, below = (np.bincount(child.up, x, len(keys)) for x in (child.n0, child.n1, child.log_pw))
-    return Level(keys, n0, n1, np.logaddexp(_HALF + log_kt(n0, n1), _HALF + below))
+    *sums, child.up = above(child)
+    return weighed(*sums)
 
 
 def nearest_first(grams: np.ndarray) -> np.ndarray:
@@ -279,7 +312,11 @@ class Top:
 
 def top_of(level: Level) -> Top:
     """From all nodes of depth 2."""
-    first = parent_level(level)
+    return top_from(parent_level(level))
+
+
+def top_from(first: Level) -> Top:
+    """From all nodes of depth 1."""
     root = parent_level(first)
     w1, w0 = first.weight(), root.weight()[first.up]
     mixed = [w0 * root.estimate(bit, first.up) + (1 - w0) * w1 * first.estimate(bit) for bit in (0, 1)]
@@ -306,6 +343,31 @@ def log10_probabilities(grams: np.ndarray, n: np.ndarray, top: Top) -> np.ndarra
     return np.log10(p).reshape(-1, 8).sum(axis=1)
 
 
+def word_counts(asked: DataFrame) -> DataFrame:
+    """For rows (block, range, words, counts): to each block the counts of its words over all blocks,
+    in its order; and for each range one row without a block, with the words' total and the number
+    of those that were counted at all."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        lists = [_unzip_words(x) for x in table.column("words").to_pylist()]
+        coded = pa.concat_arrays(lists).dictionary_encode()
+        index = coded.indices.to_numpy()
+        total = np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(total, index, np.concatenate([_unzip(x, np.int64) for x in table.column("counts").to_pylist()]))
+        own = np.split(total[index], np.cumsum([len(x) for x in lists])[:-1])
+        blocks, range_ = table.column("block").to_pylist(), table.column("range")[0].as_py()
+        more = [None] * len(blocks)
+        return pa.table({
+            "block": pa.array([*blocks, None], pa.int64()),
+            "range": pa.array([range_] * (len(blocks) + 1), pa.int32()),
+            "counts": pa.array([*map(_zip, own), None], pa.binary()),
+            "total": pa.array([*more, int(total.sum())], pa.int64()),
+            "known": pa.array([*more, int((total > 0).sum())], pa.int64()),
+        })
+
+    return asked.groupBy("range").applyInArrow(answer, "block long, range int, counts binary, total long, known long")
+
+
 def _part_grams(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(each block's grams, all different grams of the part, their training counts)."""
     own = [_unzip_grams(x) for x in table.column("grams").to_pylist()]
@@ -315,17 +377,17 @@ def _part_grams(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarr
 def gram_values(asked: DataFrame) -> DataFrame:
     """(block, grams, logp) for rows (block, part, grams, counts): log10 of each gram's probability
     under the tree that all counts make."""
-    node = "key long, n0 double, n1 double, log_pw double"
+    node = "key long, n0 double, n1 double, below double"
 
     def lower(table: pa.Table) -> pa.Table:
         _, grams, n = _part_grams(table)
-        level = subtree(grams, n)[0][-1]
-        return pa.table({"key": level.keys.view(np.int64), "n0": level.n0, "n1": level.n1, "log_pw": level.log_pw})
+        keys, n0, n1, below, _ = above(subtree(grams, n)[0][-1])
+        return pa.table({"key": keys.view(np.int64), "n0": n0, "n1": n1, "below": below})
 
-    # Nodes of depth 2: 65536 * 255 at most, whatever the corpus.
-    nodes = asked.groupBy("part").applyInArrow(lower, node).toArrow()
-    columns = [nodes.column(c).to_numpy() for c in ("key", "n0", "n1", "log_pw")]
-    sent = asked.sparkSession.sparkContext.broadcast(top_of(Level(columns[0].view(np.uint64), *columns[1:])))
+    # Nodes of depth 1: 256 * 255 at most, whatever the corpus.
+    nodes = asked.groupBy("part").applyInArrow(lower, node).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "below"))).orderBy("key").toArrow()
+    keys, n0, n1, below = (nodes.column(c).to_numpy() for c in ("key", "n0", "n1", "below"))
+    sent = asked.sparkSession.sparkContext.broadcast(top_from(weighed(keys.view(np.uint64), n0, n1, below)))
 
     def upper(table: pa.Table) -> pa.Table:
         own, grams, n = _part_grams(table)
@@ -367,7 +429,7 @@ class GramTable:
         return self.values[found]
 
 
-def _score_block(params: TreeParams, n_train: int, distinct: int):
+def _score_block(params: TreeParams, ranges: int, n_train: int, distinct: int):
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -379,10 +441,19 @@ def _score_block(params: TreeParams, n_train: int, distinct: int):
         if not packed.num_rows:
             return pa.Table.from_arrays([pa.array([], f.type) for f in target], schema=target)
         texts = pa.ipc.open_stream(packed.column("packed")[0].as_py()).read_all()
-        is_word = values.column("word").is_valid()
-        words, grams = values.filter(is_word), values.filter(pc.invert(is_word))
-        index = {w: i for i, w in enumerate(words.column("word").to_pylist())}
-        counts = words.column("value").to_numpy()
+        is_word = values.column("range").is_valid().to_pylist()
+        told = zip(is_word, *(values.column(c).to_pylist() for c in ("range", "counts")))
+        told = {r: c for known, r, c in told if known}
+        grams = values.filter(values.column("grams").is_valid())
+        # The block's words in the order in which it listed them, found again in its texts.
+        index: dict[bytes, int] = {}
+        for text in texts.column("text").to_pylist():
+            for token in words_of(text):
+                index.setdefault(token, len(index))
+            index.setdefault(b"", len(index))
+        counts = np.empty(len(index), np.int64)
+        for r, at in _spans(_range_of(list(index), ranges)):
+            counts[at] = _unzip(told[r], np.int64)
         logs = np.log10((counts + params.smoothing) / whole)
         table = GramTable(
             np.concatenate([_unzip_grams(x) for x in grams.column("grams").to_pylist()]),
@@ -425,17 +496,16 @@ def score_documents(docs: DataFrame, params: TreeParams | None = None, doc_id: s
     one half. An empty table gives no rows; other columns are not looked at.
     """
     params = params or TreeParams()
-    seen = _blocks(docs, doc_id, text, params)
-    in_words = seen.filter("word is not null").select("block", "word", "n")
-    vocabulary = stored(in_words.groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
-    n_train, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
+    seen, ranges = _blocks(docs, doc_id, text, params)
+    counts = stored(word_counts(seen.filter("range is not null").select("block", "range", "words", "counts")), "word-counts")
+    n_train, distinct = counts.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
     answers = gram_values(seen.filter("part is not null").select("block", "part", "grams", "counts"))
     none = F.lit(None).cast("binary")
     values = (
-        in_words.join(vocabulary, "word")
-        .select("block", "word", F.col("c").cast("double").alias("value"), none.alias("grams"), none.alias("logp"))
-        .unionByName(answers.select("block", none.alias("word"), F.lit(None).cast("double").alias("value"), "grams", "logp"))
+        counts.filter("block is not null")
+        .select("block", "range", "counts", none.alias("grams"), none.alias("logp"))
+        .unionByName(answers.select("block", F.lit(None).cast("int").alias("range"), none.alias("counts"), "grams", "logp"))
     )
     packed = seen.filter("packed is not null").select(F.col("block").alias("own"), "packed")
-    scored = packed.groupBy("own").cogroup(values.groupBy("block")).applyInArrow(_score_block(params, int(n_train), int(distinct)), _SCORES)
+    scored = packed.groupBy("own").cogroup(values.groupBy("block")).applyInArrow(_score_block(params, ranges, int(n_train), int(distinct)), _SCORES)
     return scored.select("*", F.lit(int(n_train)).cast("long").alias("train_tokens"), (-F.col("score") * F.log2(F.lit(10.0)) / F.col("n_bytes")).alias("bits_per_byte"))
