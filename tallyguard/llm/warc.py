@@ -112,7 +112,7 @@ class ArchiveWriter:
 
     def _start(self) -> None:
         dictionary = build_dictionary(self.held, self.params.dictionary_bytes)
-        self.out = self.store.open_output_stream(self.key)
+        self.out = self.store.open_output_stream(self.key, compression=None)
         self._put(DICTIONARY_MAGIC.to_bytes(4, "little") + len(dictionary).to_bytes(4, "little") + dictionary)
         self.frames = zstandard.ZstdCompressor(level=self.params.level, dict_data=_dictionary(dictionary))
         held, self.held = self.held, None
@@ -133,7 +133,7 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
 def read_archive(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record, streamed: one record is in memory at a time."""
     store, key = fs.FileSystem.from_uri(path)
-    with store.open_input_stream(key) as source:
+    with store.open_input_stream(key, compression=None) as source:
         if int.from_bytes(source.read(4), "little") != DICTIONARY_MAGIC:
             raise ValueError(f"no dictionary frame at the start of {path}")
         dictionary = source.read(int.from_bytes(source.read(4), "little"))
