@@ -1,18 +1,20 @@
 """Phrase collocations from a weighted de Bruijn graph of words.
 
 1. Texts are read once into blocks of word numbers. Every block asks, by hash range, for the counts
-   of its words and then of its neighbouring pairs: a word or pair below the least count is in no
-   phrase that reaches it, so it ends a piece like a full stop does. What is left are stretches.
+   of its words: a word below the least count is in no phrase that reaches it, so it ends a piece
+   like a full stop does. What is left are stretches.
 2. Each place of a stretch is the start of one edge: the longest gram (``most_words`` words) where
    the stretch goes on for so long, and what is left of it at its end. A long gram joins two nodes,
-   its words without the last and without the first. Equal edges are added up, in the block first.
+   its words without the last and without the first. Equal edges are added up, in the block first,
+   then by hash range of their first three words.
 3. The count of a shorter phrase is the flow through its node: the weight of all edges that start
-   with it, one word longer, and the ends that are just it. No shorter gram is ever listed.
+   with it, one word longer, and the ends that are just it. No shorter gram is ever listed. Ranges
+   add up what starts with three words or more; flows of pairs go on to ranges of their own, one
+   entry from each range, so a pair that starts a third of all edges still meets in small lists.
 4. A node whose whole flow runs through one longer neighbour lies on a path without branches and is
    merged into it. What remains is scored at its weakest cut.
 
-Counts of words stay in packed ranges; no table of words or phrases is broadcast or collected by
-this code. The driver sees one number for each range.
+Texts, words and edges move as packed lists; none of them is broadcast, or collected by the driver.
 """
 
 from __future__ import annotations
@@ -46,16 +48,20 @@ class PhraseParams:
     least_count: int = 100
     most_words: int = 5
     top: int | None = 2000
-    block_chars: int = 12 << 20
+    block_chars: int = 24 << 20
     range_chars: int = 24 << 20
 
 
 def _zip(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
+    """Compressed by byte planes: the high bytes of small numbers are all alike."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _unzip(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _zip_words(words: list[bytes]) -> bytes:
@@ -102,28 +108,30 @@ class _Block:
         self.chars += len(text)
 
     def rows(self, block: int, parts: int) -> dict[str, list]:
-        """The stream of word numbers, the words of each range with their counts, tokens by language."""
-        part = np.fromiter((xxhash.xxh3_64_intdigest(k) % parts for k in self.keys), np.int64, len(self.keys))
-        turn = np.argsort(part, kind="stable")
+        """The stream of word numbers with each number's range, the words of each range with their
+        counts, tokens by language. Numbers are dealt anew, frequent words first."""
+        stream = np.concatenate(self.streams)
+        counts = np.bincount(stream[stream >= 0], minlength=len(self.keys))
+        turn = np.argsort(-counts, kind="stable")
         number = np.empty(len(turn) + 1, np.int32)
         number[turn] = np.arange(len(turn))
         number[-1] = _END  # what _END, -1, points at
-        stream = number[np.concatenate(self.streams)]
-        counts = np.bincount(stream[stream >= 0], minlength=len(turn))
-        rows = {"block": [], "part": [_STREAM], "body": [_zip(stream)], "counts": [None], "n": [None]}
-        found, first = np.unique(part[turn], return_index=True)
-        for p, a, b in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(turn)]):
+        keys, counts = [self.keys[i] for i in turn.tolist()], counts[turn]
+        part = np.fromiter((xxhash.xxh3_64_intdigest(k) % parts for k in keys), np.int32, len(keys))
+        rows = {"part": [_STREAM], "body": [_zip(number[stream])], "counts": [_zip(part)], "n": [None]}
+        order = np.argsort(part, kind="stable")
+        found, first = np.unique(part[order], return_index=True)
+        for p, span in zip(found.tolist(), np.split(order, first[1:]) if len(order) else []):
             rows["part"].append(p)
-            rows["body"].append(_zip_words([self.keys[i] for i in turn[a:b].tolist()]))
-            rows["counts"].append(_zip(counts[a:b].astype(np.int64)))
-            rows["n"].append(b - a)
+            rows["body"].append(_zip_words([keys[i] for i in span.tolist()]))
+            rows["counts"].append(_zip(counts[span].astype(np.int64)))
+            rows["n"].append(len(span))
         for lang, n in self.tokens.items():
             rows["part"].append(_LANG)
             rows["body"].append(lang.encode("utf-8", "surrogatepass"))
             rows["counts"].append(None)
             rows["n"].append(n)
-        rows["block"] = [block] * len(rows["part"])
-        return rows
+        return {"block": [block] * len(rows["part"]), **rows}
 
 
 def _blocks(docs: DataFrame, params: PhraseParams, parts: int) -> DataFrame:
@@ -145,145 +153,158 @@ def _blocks(docs: DataFrame, params: PhraseParams, parts: int) -> DataFrame:
     return stored(arrow_map(docs, _PACKED, run), "phrase-blocks")
 
 
-def _frequent_words(asked: DataFrame, params: PhraseParams) -> DataFrame:
-    """By range: to every block, the number within the range of each of its words (-1: too rare); and
-    one row (block -1) with the range's words and their counts."""
+def _table(rows: list[tuple]) -> pa.Table:
+    kinds = {"block": pa.int64(), "part": pa.int32(), "body": pa.binary(), "counts": pa.binary(), "n": pa.int64()}
+    columns = zip(*rows) if rows else ((),) * len(kinds)
+    return pa.table({name: pa.array(values, kind) for (name, kind), values in zip(kinds.items(), columns)})
+
+
+def _frequent_words(asked: DataFrame, params: PhraseParams, parts: int) -> DataFrame:
+    """By range: to every block, the final numbers of its words (-1: too rare); and one row (block
+    -1) with the range's words and their counts. Frequent words get small numbers."""
 
     def answer(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0]
+        part = table.column("part")[0].as_py()
         sizes = table.column("n").to_pylist()
         lists = [_unzip_words(d, n) for d, n in zip(table.column("body").to_pylist(), sizes)]
         coded = pa.concat_arrays(lists).dictionary_encode()
         index = coded.indices.to_numpy()
-        counts = np.concatenate([_unzip(c, np.int64) for c in table.column("counts").to_pylist()])
         total = np.zeros(len(coded.dictionary), np.int64)
-        np.add.at(total, index, counts)
-        many = np.flatnonzero(total >= params.least_count)
+        np.add.at(total, index, np.concatenate([_unzip(c, np.int64) for c in table.column("counts").to_pylist()]))
+        many = np.argsort(-total, kind="stable")[: int((total >= params.least_count).sum())]
+        if len(many) * parts >= 1 << 31:
+            raise ValueError("more than 2**31 frequent words")
         number = np.full(len(total), -1, np.int32)
-        number[many] = np.arange(len(many))
+        number[many] = np.arange(len(many)) * parts + part
         own = np.split(number[index], np.cumsum(sizes)[:-1])
-        rows = [(b.as_py(), _zip(x), None, len(x)) for b, x in zip(table.column("block"), own)]
-        rows.append((-1, _zip_words(coded.dictionary.take(pa.array(many)).to_pylist()), _zip(total[many]), len(many)))
-        block, body, held, n = zip(*rows)
-        return pa.table({"block": pa.array(block, pa.int64()), "part": pa.array([part.as_py()] * len(rows), pa.int32()), "body": pa.array(body, pa.binary()), "counts": pa.array(held, pa.binary()), "n": pa.array(n, pa.int64())})
+        rows = [(block, part, _zip(x), None, len(x)) for block, x in zip(table.column("block").to_pylist(), own)]
+        rows.append((-1, part, _zip_words(coded.dictionary.take(pa.array(many)).to_pylist()), _zip(total[many]), len(many)))
+        return _table(rows)
 
     return stored(asked.groupBy("part").applyInArrow(answer, _PACKED), "phrase-words")
 
 
-def _pairs_of(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places whose word and next word are both numbered, the pairs there as one number)."""
-    at = np.flatnonzero((stream[:-1] >= 0) & (stream[1:] >= 0))
-    return at, (stream[at].astype(np.uint64) << np.uint64(32)) | stream[at + 1].astype(np.uint64)
+def summed(edges: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different rows of ``edges`` in order, with their added weights."""
+    if not len(edges):
+        return edges, weights
+    turn = np.lexsort(edges.T[::-1])
+    edges = edges[turn]
+    first = np.flatnonzero(np.append(True, (edges[1:] != edges[:-1]).any(axis=1)))
+    return edges[first], np.add.reduceat(weights[turn], first)
 
 
-def _by_part(values: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """(order by part, value; (part, from, to))."""
-    part = (((values * _MIX) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+def edges_of(stream: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, weights): from each place of ``stream`` that a word follows, as many words as follow
+    without a break (-1), ``most`` at most; -1 where an edge has fewer."""
+    padded = np.append(stream, np.full(most, _END, stream.dtype))
+    at = np.flatnonzero((padded[: len(stream)] >= 0) & (padded[1 : len(stream) + 1] >= 0))
+    edges = np.full((len(at), most), -1, np.int32)
+    here = np.ones(len(at), bool)
+    for k in range(most):
+        here = here & (padded[at + k] >= 0)
+        edges[here, k] = padded[at[here] + k]
+    return summed(edges, np.ones(len(at), np.int64))
+
+
+def _range_of(parts: int, *words: np.ndarray) -> np.ndarray:
+    h = np.full(len(words[0]), 7, np.uint64)
+    for w in words:
+        h = (h ^ (w.astype(np.int64) + 1).astype(np.uint64)) * _MIX
+        h ^= h >> np.uint64(29)
+    return ((h >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+
+
+def _spans(part: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(range, places in it) in the places' order."""
     turn = np.argsort(part, kind="stable")
     found, first = np.unique(part[turn], return_index=True)
-    return turn, list(zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(values)]))
+    return list(zip(found.tolist(), np.split(turn, first[1:]) if len(turn) else []))
+
+
+def _zip_edges(edges: np.ndarray) -> bytes:
+    """Sorted edges by columns, the first two as differences: second words rise below one first word."""
+    columns = edges.T.copy()
+    columns[:2] = np.diff(columns[:2], prepend=np.int32(0), axis=1)
+    return _zip(columns.ravel())
+
 
+def _unzip_edges(data: bytes, most: int) -> np.ndarray:
+    columns = _unzip(data, np.int32).reshape(most, -1).copy()
+    columns[:2] = np.cumsum(columns[:2], axis=1, dtype=np.int32)
+    return columns.T
 
-def _numbered(blocks: DataFrame, words: DataFrame, base: dict[int, int], parts: int) -> DataFrame:
-    """Streams of the words' final numbers, with each block's pairs by range."""
+
+def _edges(blocks: DataFrame, words: DataFrame, params: PhraseParams, parts: int) -> DataFrame:
+    """Each block's edges, parted by the range of their first three words."""
 
     def run(streams: pa.Table, answers: pa.Table) -> pa.Table:
         rows: list[tuple] = []
-        if streams.num_rows:
+        if streams.num_rows and answers.num_rows:
             block = streams.column("block")[0].as_py()
-            told = sorted(zip(answers.column("part").to_pylist(), answers.column("body").to_pylist()))
-            final = [np.where(x < 0, _END, x + base[part]) for part, x in ((p, _unzip(d, np.int32)) for p, d in told)]
-            final = np.concatenate([*final, [_END]]).astype(np.int32)
+            part = _unzip(streams.column("counts")[0].as_py(), np.int32)
+            told = dict(zip(answers.column("part").to_pylist(), answers.column("body").to_pylist()))
+            final = np.full(len(part) + 1, _END, np.int32)
+            for p, places in _spans(part):
+                final[places] = _unzip(told[p], np.int32)
             stream = final[_unzip(streams.column("body")[0].as_py(), np.int32)]
-            rows.append((block, _STREAM, _zip(stream), None, len(stream)))
-            values, counts = np.unique(_pairs_of(stream)[1], return_counts=True)
-            turn, spans = _by_part(values, parts)
-            values, counts = values[turn], counts[turn]
-            rows += [(block, p, _zip(np.diff(values[a:b], prepend=np.uint64(0))), _zip(counts[a:b]), b - a) for p, a, b in spans]
-        block, part, body, counts, n = zip(*rows) if rows else ([],) * 5
-        return pa.table({"block": pa.array(block, pa.int64()), "part": pa.array(part, pa.int32()), "body": pa.array(body, pa.binary()), "counts": pa.array(counts, pa.binary()), "n": pa.array(n, pa.int64())})
+            edges, weights = edges_of(stream, params.most_words)
+            third = edges[:, 2] if params.most_words > 2 else np.full(len(edges), -1)
+            for p, places in _spans(_range_of(parts, edges[:, 0], edges[:, 1], third)):
+                rows.append((block, p, _zip_edges(edges[places]), _zip(weights[places]), len(places)))
+        return _table(rows)
 
     streams = blocks.filter(F.col("part") == _STREAM)
-    told = words.filter("block >= 0")
-    return stored(streams.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, _PACKED), "phrase-streams")
-
-
-def _frequent_pairs(asked: DataFrame, params: PhraseParams) -> DataFrame:
-    """(block, part, body): a bit for each of the block's pairs of the range, set where it is frequent."""
-
-    def answer(table: pa.Table) -> pa.Table:
-        lists = [np.cumsum(_unzip(x, np.uint64), dtype=np.uint64) for x in table.column("body").to_pylist()]
-        values, index = np.unique(np.concatenate(lists), return_inverse=True)
-        total = np.zeros(len(values), np.int64)
-        np.add.at(total, index, np.concatenate([_unzip(x, np.int64) for x in table.column("counts").to_pylist()]))
-        own = np.split((total >= params.least_count)[index], np.cumsum([len(x) for x in lists])[:-1])
-        return pa.table({"block": table.column("block"), "part": table.column("part"), "body": pa.array([np.packbits(x).tobytes() for x in own], pa.binary())})
-
-    return asked.groupBy("part").applyInArrow(answer, "block long, part int, body binary")
+    return streams.groupBy("block").cogroup(words.filter("block >= 0").groupBy("block")).applyInArrow(run, _PACKED)
 
 
-def edges_of(stream: np.ndarray, frequent: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(edges, weights): from each place of ``stream`` whose pair is ``frequent``, as many words as
-    follow each other in frequent pairs, ``most`` at most; -1 where an edge has fewer."""
-    go_on = np.append(frequent, np.zeros(most, bool))
-    at = np.flatnonzero(frequent)
-    edges = np.full((len(at), most), -1, np.int32)
-    edges[:, 0] = stream[at]
-    here = np.ones(len(at), bool)
-    for k in range(1, most):
-        here = here & go_on[at + k - 1]
-        edges[here, k] = stream[at[here] + k]
-    turn = np.lexsort(edges.T[::-1])
-    edges = edges[turn]
-    first = np.flatnonzero(np.append(True, (edges[1:] != edges[:-1]).any(axis=1))) if len(edges) else np.empty(0, np.int64)
-    return edges[first], np.diff(np.append(first, len(edges)))
-
-
-def _edges(streams: DataFrame, params: PhraseParams, parts: int) -> DataFrame:
-    """(w1 ... wk, n): the graph's edges with their weights over all texts."""
-    names = [f"w{k}" for k in range(1, params.most_words + 1)]
-    schema = ", ".join(f"{n} int" for n in names) + ", n long"
-
-    def run(own: pa.Table, answers: pa.Table) -> pa.Table:
-        edges, weights = np.empty((0, len(names)), np.int32), np.empty(0, np.int64)
-        if own.num_rows and answers.num_rows:
-            stream = _unzip(own.column("body")[0].as_py(), np.int32)
-            at, values = _pairs_of(stream)
-            distinct, index = np.unique(values, return_inverse=True)
-            turn, spans = _by_part(distinct, parts)
-            told = dict(zip(answers.column("part").to_pylist(), answers.column("body").to_pylist()))
-            many = np.empty(len(distinct), bool)
-            for p, a, b in spans:
-                many[turn[a:b]] = np.unpackbits(np.frombuffer(told[p], np.uint8), count=b - a).astype(bool)
-            frequent = np.zeros(len(stream), bool)
-            frequent[at] = many[index]
-            edges, weights = edges_of(stream, frequent, params.most_words)
-        return pa.table({**{n: pa.array(edges[:, i]) for i, n in enumerate(names)}, "n": pa.array(weights.astype(np.int64))})
-
-    answers = _frequent_pairs(streams.filter("part >= 0"), params)
-    own = streams.filter(F.col("part") == _STREAM)
-    found = own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
-    return stored(found.groupBy(*names).agg(F.sum("n").alias("n")), "phrase-edges")
+def flows(edges: np.ndarray, weights: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(phrases of ``words`` words, flow through each) of sorted, different edges: the edges that
+    start with a phrase lie together, those that end with it first."""
+    edges, weights = edges[edges[:, words - 1] >= 0], weights[edges[:, words - 1] >= 0]
+    if not len(edges):
+        return edges[:, :words], weights
+    heads = edges[:, :words]
+    first = np.flatnonzero(np.append(True, (heads[1:] != heads[:-1]).any(axis=1)))
+    return heads[first], np.add.reduceat(weights, first)
 
 
-def _grams(edges: DataFrame, params: PhraseParams) -> DataFrame:
+def _grams(edges: DataFrame, params: PhraseParams, parts: int) -> DataFrame:
     """(w, k, f): phrases of 2 words and more that are frequent, counted by the flow through them."""
-    names = [f"w{k}" for k in range(1, params.most_words + 1)]
-    flow, out = None, None
-    for k in range(params.most_words, 1, -1):
-        ends = edges.filter(F.col(names[k - 1]) >= 0)
-        if k < params.most_words:
-            ends = ends.filter(F.col(names[k]) < 0)
-        through = ends.select(*names[:k], "n")
-        if flow is not None:
-            through = through.union(flow.select(*names[:k], "n"))
-        flow = through.groupBy(*names[:k]).agg(F.sum("n").alias("n"))
-        frequent = flow.filter(F.col("n") >= params.least_count).select(F.array(*names[:k]).alias("w"), F.lit(k).alias("k"), F.col("n").alias("f"))
-        out = frequent if out is None else out.union(frequent)
-    return stored(out, "phrase-grams")
-
-
-def _word_table(words: DataFrame, base: dict[int, int]) -> DataFrame:
+    gram = "w array<int>, f long"
+
+    def triples(table: pa.Table) -> pa.Table:
+        lists = [_unzip_edges(x, params.most_words) for x in table.column("body").to_pylist()]
+        own, weights = summed(np.concatenate(lists), np.concatenate([_unzip(x, np.int64) for x in table.column("counts").to_pylist()]))
+        phrases: list[list[int]] = []
+        counts: list[int] = []
+        for k in range(3, params.most_words + 1):
+            heads, flow = flows(own, weights, k)
+            many = flow >= params.least_count
+            phrases += heads[many].tolist()
+            counts += flow[many].tolist()
+        pairs, flow = flows(own, weights, 2)
+        found = []
+        for p, places in _spans(_range_of(parts, pairs[:, 0], pairs[:, 1])):
+            found.append((p, _zip_edges(pairs[places]), _zip(flow[places]), None, None))
+        rows = [*((None, None, None, w, f) for w, f in zip(phrases, counts)), *found]
+        kinds = {"part": pa.int32(), "body": pa.binary(), "counts": pa.binary(), "w": pa.list_(pa.int32()), "f": pa.int64()}
+        columns = zip(*rows) if rows else ((),) * len(kinds)
+        return pa.table({name: pa.array(values, kind) for (name, kind), values in zip(kinds.items(), columns)})
+
+    def pairs(table: pa.Table) -> pa.Table:
+        lists = [_unzip_edges(x, 2) for x in table.column("body").to_pylist()]
+        own, flow = summed(np.concatenate(lists), np.concatenate([_unzip(x, np.int64) for x in table.column("counts").to_pylist()]))
+        many = flow >= params.least_count
+        return pa.table({"w": pa.array(own[many].tolist(), pa.list_(pa.int32())), "f": pa.array(flow[many], pa.int64())})
+
+    by_range = stored(edges.groupBy("part").applyInArrow(triples, f"part int, body binary, counts binary, {gram}"), "phrase-flows")
+    short = by_range.filter("part is not null").select("part", "body", "counts").groupBy("part").applyInArrow(pairs, gram)
+    found = short.union(by_range.filter("w is not null").select("w", "f"))
+    return stored(found.select("w", F.size("w").alias("k"), "f"), "phrase-grams")
+
+
+def _word_table(words: DataFrame, parts: int) -> DataFrame:
     """(id, lang, word, f) of the frequent words."""
 
     def run(batches):
@@ -291,7 +312,7 @@ def _word_table(words: DataFrame, base: dict[int, int]) -> DataFrame:
             for part, body, counts, n in zip(*(batch.column(c).to_pylist() for c in ("part", "body", "counts", "n"))):
                 keys = [k.rsplit(b"\t", 1) for k in _unzip_words(body, n).to_pylist()]
                 yield {
-                    "id": np.arange(n, dtype=np.int32) + np.int32(base[part]),
+                    "id": (np.arange(n) * parts + part).astype(np.int32),
                     "lang": [k[0].decode("utf-8", "surrogatepass") for k in keys],
                     "word": [k[1].decode("utf-8", "surrogatepass") for k in keys],
                     "f": _unzip(counts, np.int64),
@@ -335,16 +356,9 @@ def collocations(docs: DataFrame, params: PhraseParams | None = None, text: str
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = min(4096, pieces(rows.agg(F.sum(F.length("text"))).first()[0], params.range_chars))
     blocks = _blocks(rows, params, parts)
-    words = _frequent_words(blocks.filter("part >= 0"), params)
-    # One number for each range: where its words' numbers start.
-    held = sorted(words.filter("block = -1").select("part", "n").collect())
-    starts = np.cumsum([0, *(r["n"] for r in held)])
-    if starts[-1] >= 1 << 31:
-        raise ValueError("more than 2**31 frequent words")
-    base = {r["part"]: int(s) for r, s in zip(held, starts)}
-    streams = _numbered(blocks, words, base, parts)
-    grams = _grams(_edges(streams, params, parts), params)
-    vocabulary = _word_table(words, base)
+    words = _frequent_words(blocks.filter("part >= 0"), params, parts)
+    grams = _grams(_edges(blocks, words, params, parts), params, parts)
+    vocabulary = _word_table(words, parts)
     totals = blocks.filter(F.col("part") == _LANG).groupBy(F.decode("body", "utf-8").alias("lang")).agg(F.sum("n").alias("n"))
     counted = stored(grams.select("w", "f").union(vocabulary.select(F.array("id").alias("w"), "f")), "phrase-counts")
     kept = stored(unbranched(grams), "phrase-kept").select("w", "k", F.col("f").alias("a"))
