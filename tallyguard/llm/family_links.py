@@ -40,7 +40,7 @@ class LinkRule:
     num: int = 75
     den: int = 100
     few: int = 8
-    levels: int = 4
+    levels: int = 2
 
     def least_overlap(self, n: int) -> int:
         """Elements that a set of n shares at least with any set it is linked with."""
@@ -114,33 +114,30 @@ def _together(meetings: DataFrame, rule: LinkRule) -> DataFrame:
 
 def met(meetings: DataFrame, rule: LinkRule, last: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """(pairs, families) of ``meetings`` (h, unit, n, g, d, at, open, size): pairs (a, b) of units
-    where at most ``few`` meet, and (p, unit) with the pivot p where more do. A unit stands for
-    ``size`` sets of one size. ``last``: all are paired.
-
-    Sizes differ by a factor in a crowded key: linked sets lie in one band of sizes or in two
-    neighbouring ones, so each unit goes to its own band and to the next.
-    """
-    crowd = meetings.groupBy("h").agg(F.sum("size").alias("crowd"), F.max("open").alias("any"), F.count(F.lit(1)).alias("units"))
-    worth = F.col("any") & ((F.col("units") > 1) | (F.col("crowd") > rule.few))
-    crowd = crowd.filter(worth).select("h", "crowd")
+    where at most ``few`` meet, and (p, unit, n) with the pivot p where more do. A unit stands for
+    ``size`` sets of one size. ``last``: all are paired."""
+    crowd = meetings.groupBy("h").agg(
+        F.sum("size").alias("crowd"), F.max("open").alias("any"), F.count(F.lit(1)).alias("units"), F.min(F.struct("g", "unit")).alias("first")
+    )
+    crowd = crowd.filter(F.col("any") & ((F.col("units") > 1) | (F.col("crowd") > rule.few))).select("h", "crowd", F.col("first.unit").alias("p"))
     placed = stored(meetings.join(crowd, "h"), "meetings")
     if last:
         return _together(placed, rule).distinct(), None
-    pairs = _together(placed.filter(F.col("crowd") <= rule.few), rule)
-    # A band is a little wider than the ratio of two linked sizes, so rounding cannot part them.
+    pairs = _together(placed.filter(F.col("crowd") <= rule.few), rule).distinct()
+    return pairs, placed.filter(F.col("crowd") > rule.few).select("p", "unit", "n").distinct()
+
+
+def _banded(families: DataFrame, rule: LinkRule) -> DataFrame:
+    """(fam, p, unit): families parted by size. Linked sets lie in one band of sizes or in two
+    neighbouring ones, so each unit goes to its own band and to the next; a band is a little wider
+    than the ratio of two linked sizes, so rounding cannot part them."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(rule.den / rule.num) * 1.001)))
-    banded = placed.filter(F.col("crowd") > rule.few).select("*", F.explode(F.array(band, band + 1)).alias("band"))
-    banded = banded.select(F.xxhash64("h", "band").alias("h"), "unit", "n", "g", "d", "at", "open", "size")
-    crowd = banded.groupBy("h").agg(
-        F.sum("size").alias("crowd"), F.max("open").alias("any"), F.count(F.lit(1)).alias("units"), F.min(F.struct("g", "unit")).alias("first")
-    )
-    banded = stored(banded.join(crowd.filter(worth).select("h", "crowd", F.col("first.unit").alias("p")), "h"), "banded")
-    pairs = pairs.union(_together(banded.filter(F.col("crowd") <= rule.few), rule)).distinct()
-    return pairs, banded.filter(F.col("crowd") > rule.few).select("p", "unit").distinct()
+    both = families.select("p", "unit", F.explode(F.array(band, band + 1)).alias("band"))
+    return both.select(F.xxhash64("p", "band").alias("fam"), "p", "unit")
 
 
 def _differences(families: DataFrame, sets: DataFrame) -> DataFrame:
-    """(p, unit, n, d, diff): each member's difference to its pivot; elements that no other set holds
+    """(fam, unit, n, d, diff): each member's difference to its pivot; elements that no other set holds
     are counted in d and not listed."""
     own = sets.select("unit", "n", F.col("shared").alias("x"))
     pivot = sets.select(F.col("unit").alias("p"), F.col("shared").alias("y"))
@@ -153,60 +150,59 @@ def _differences(families: DataFrame, sets: DataFrame) -> DataFrame:
                 diff = np.setxor1d(x, y, assume_unique=True)
                 out["d"].append(len(diff) + n - len(x))
                 out["diff"].append(diff.view(np.int64))
-            yield {"p": batch.column("p"), "unit": batch.column("unit"), "n": batch.column("n"), **out}
+            yield {"fam": batch.column("fam"), "unit": batch.column("unit"), "n": batch.column("n"), **out}
 
-    joined = families.join(own, "unit").join(pivot, "p").select("p", "unit", "n", "x", "y")
-    return arrow_map(joined, "p long, unit long, n int, d int, diff array<long>", run)
+    joined = families.join(own, "unit").join(pivot, "p").select("fam", "unit", "n", "x", "y")
+    return arrow_map(joined, "fam long, unit long, n int, d int, diff array<long>", run)
 
 
 def _centred(families: DataFrame, sets: DataFrame, rule: LinkRule) -> tuple[DataFrame, DataFrame]:
     """(members with differences to what most of their family holds, how many hold each element)."""
-    members = stored(_differences(families, sets), "differences")
-    sizes = members.groupBy("p").agg(F.count(F.lit(1)).alias("size"))
-    held = members.select("p", F.explode("diff").alias("x")).groupBy("p", "x").agg(F.count(F.lit(1)).alias("held"))
-    held = stored(held.filter("held > 1").join(sizes, "p"), "held")
+    members = stored(_differences(_banded(families, rule), sets), "differences")
+    sizes = members.groupBy("fam").agg(F.count(F.lit(1)).alias("size"))
+    held = members.select("fam", F.explode("diff").alias("x")).groupBy("fam", "x").agg(F.count(F.lit(1)).alias("held"))
+    held = stored(held.filter("held > 1").join(sizes, "fam"), "held")
     # At most twice the mean difference: each is in more than half of them.
-    moved = held.filter("2 * held > size").groupBy("p").agg(F.collect_list("x").alias("moved"))
-    members = members.join(moved, "p", "left").withColumn("moved", F.coalesce("moved", F.array().cast("array<long>")))
+    moved = held.filter("2 * held > size").groupBy("fam").agg(F.collect_list("x").alias("moved"))
+    members = members.join(moved, "fam", "left").withColumn("moved", F.coalesce("moved", F.array().cast("array<long>")))
     members = members.withColumn("stay", F.array_except("diff", "moved")).withColumn("come", F.array_except("moved", "diff"))
     d = F.col("d") - F.size("diff") + F.size("stay") + F.size("come")
-    members = members.select("p", "unit", "n", d.alias("d"), F.concat("stay", "come").alias("diff"))
+    members = members.select("fam", "unit", "n", d.alias("d"), F.concat("stay", "come").alias("diff"))
     members = members.withColumn("g", rule.gap(F.col("n"), F.col("d")))
-    held = held.select("p", "x", F.when(F.col("held") * 2 > F.col("size"), F.col("size") - F.col("held")).otherwise(F.col("held")).alias("held"))
+    held = held.select("fam", "x", F.when(F.col("held") * 2 > F.col("size"), F.col("size") - F.col("held")).otherwise(F.col("held")).alias("held"))
     return stored(members, "centred"), held.filter("held > 1")
 
 
 def _family_links(families: DataFrame, sets: DataFrame, rule: LinkRule) -> tuple[DataFrame, DataFrame]:
     """(links to each family's nearest member, meetings of those that may have others)."""
     members, held = _centred(families, sets, rule)
-    nearest = members.groupBy("p").agg(F.min(F.struct("g", "unit")).alias("m"))
-    told = members.join(nearest, "p").withColumn("open", F.col("g") + F.col("m.g") > 0)
+    nearest = members.groupBy("fam").agg(F.min(F.struct("g", "unit")).alias("m"))
+    told = members.join(nearest, "fam").withColumn("open", F.col("g") + F.col("m.g") > 0)
     stars = told.filter(~F.col("open") & (F.col("unit") != F.col("m.unit"))).select(*either(F.col("unit"), F.col("m.unit")))
-    least_open = told.filter("open").groupBy("p").agg(F.min("g").alias("go"))
-    told = told.join(least_open, "p").withColumn("other", F.when(F.col("open"), F.col("m.g")).otherwise(F.col("go")))
+    least_open = told.filter("open").groupBy("fam").agg(F.min("g").alias("go"))
+    told = told.join(least_open, "fam").withColumn("other", F.when(F.col("open"), F.col("m.g")).otherwise(F.col("go")))
     least = F.expr(f"(g + other + {rule.twice - 1}) div {rule.twice}")
     told = told.withColumn("keep", (F.col("d") - least + 1).cast("int")).filter("keep > 0")
-    seen = told.select("p", "unit", "n", "g", "d", "open", "keep", F.explode("diff").alias("x")).join(held, ["p", "x"])
-    ordered = seen.groupBy("p", "unit", "n", "g", "d", "open", "keep").agg(F.array_sort(F.collect_list(F.struct("held", "x"))).alias("xs"))
+    seen = told.select("fam", "unit", "n", "g", "d", "open", "keep", F.explode("diff").alias("x")).join(held, ["fam", "x"])
+    ordered = seen.groupBy("fam", "unit", "n", "g", "d", "open", "keep").agg(F.array_sort(F.collect_list(F.struct("held", "x"))).alias("xs"))
     # Elements of one member alone come before all others, so the first of xs is at place d - size.
     ordered = ordered.withColumn("lone", F.col("d") - F.size("xs")).filter("keep > lone")
-    ordered = ordered.select("p", "unit", "n", "g", "d", "open", "lone", F.posexplode(F.expr("slice(xs, 1, keep - lone)")).alias("pos", "e"))
+    ordered = ordered.select("fam", "unit", "n", "g", "d", "open", "lone", F.posexplode(F.expr("slice(xs, 1, keep - lone)")).alias("pos", "e"))
     one = F.lit(1).cast("long")
-    return stars, ordered.select(F.xxhash64("p", "e.x").alias("h"), "unit", "n", "g", "d", (F.col("lone") + F.col("pos")).alias("at"), "open", one.alias("size"))
+    return stars, ordered.select(F.xxhash64("fam", "e.x").alias("h"), "unit", "n", "g", "d", (F.col("lone") + F.col("pos")).alias("at"), "open", one.alias("size"))
 
 
 def links(pairs: DataFrame, families: DataFrame, sets: DataFrame, rule: LinkRule) -> DataFrame:
     """(a, b): links that join every component of the similarity graph over the sets' units, given
     the pairs and families in which all linked units meet."""
-    found = [stored(verified(pairs, sets, rule), "pair-links")]
+    found = [verified(pairs, sets, rule)]
     families = stored(families, "families")
     for level in range(rule.levels):
         if families.isEmpty():
             break
         stars, meetings = _family_links(families, sets, rule)
-        found.append(stored(stars, "star-links"))
         pairs, deeper = met(stored(meetings, "family-meetings"), rule, last=level + 1 == rule.levels)
-        found.append(stored(verified(pairs, sets, rule), "pair-links"))
+        found += stars, verified(pairs, sets, rule)
         if deeper is None:
             break
         families = stored(deeper, "families")

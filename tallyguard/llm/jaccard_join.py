@@ -4,15 +4,12 @@
 2. Every block sends its distinct shingles, packed and parted by hash range, to one count per range,
    which sends back how many texts hold each. No shingle count is broadcast or collected.
 3. A set's shingles are ordered from rare to frequent. Its prefix (the first n - ceil(t n) + 1) must
-   share a shingle with every set that it can be similar to. Sets with equal size and prefix are one
-   group; groups meet at the shingles of their prefixes that more than one text holds.
-4. Group pairs pass a size and a position filter and are taken at the first shingle they meet at (or
-   one of few); their members pass a bitmap filter and are verified exactly.
-
-Not all pairs are needed for components. In the first rounds each meeting (a shingle, or a group) is
-a star: its members are verified against one of them. What is linked by then is one component, and
-the last round verifies the pairs of different components only. So a thousand near copies cost a
-thousand checks for each round, while no link between components is lost.
+   share a shingle with every set that it can be similar to. Shingles that one set alone holds come
+   first and meet nothing: sets with equal size, as many of those and an equal rest of the prefix are
+   one group. Groups meet at the shingles of their prefixes that more than one text holds.
+4. Group pairs pass a size and a position filter; their members are verified, by bitmaps and then
+   exactly. Where many meet, differences within the family take the place of pairs (family_links),
+   so a thousand near copies cost about a thousand checks, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -27,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyguard.llm.components import components
+from tallyguard.llm.family_links import LinkRule, bitmap, either, links, met
 from tallyguard.llm.frames import WordHashes, arrow_map, pieces, shingle_hashes, stored, words_of
 
 _NO_ID = -(1 << 63)
@@ -42,27 +40,25 @@ class JoinParams:
     den: int = 100
     block_chars: int = 16 << 20
     range_shingles: int = 4 << 20
-    #: Bits of a set's bitmap: a bit of one set that another lacks is a shingle that it lacks.
-    bits: int = 1024
-    #: Earlier shingles that a meeting names, to leave out pairs that met at one of them.
-    named: int = 6
-    #: A component with as many members at a shingle is paired as a whole before its members are.
-    many: int = 16
+    #: Up to so many sets at a shingle are paired; beyond it they are a family.
+    many: int = 8
     #: Word sequences that one task remembers to send once; beyond it, copies are sent again.
     seen: int = 1_000_000
 
-    def least_overlap(self, n: int) -> int:
-        """Shingles that a set of n shares at least with any set it is linked with."""
-        return -(-self.num * n // self.den)
-
-    def linked(self, a: int, b: int, both: int) -> bool:
-        return both > 0 and self.den * both >= self.num * (a + b - both)
+    @property
+    def rule(self) -> LinkRule:
+        return LinkRule(self.num, self.den, self.many)
 
 
 def _words_key(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
 
+def _unit(key: bytes) -> int:
+    """The number that a word sequence goes by: 64 bits of its key."""
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
 def _keys(docs: DataFrame) -> DataFrame:
     """(id, key) of every row; key is null where there are no words."""
 
@@ -75,14 +71,14 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 
 def _bodies(docs: DataFrame, params: JoinParams, blocks: int) -> DataFrame:
-    """(block, unit, key, body): different word sequences, and with them one of their ids. A task
-    sends each but once, so many copies of one text do not fill a block."""
+    """(block, key, body): different word sequences. A task sends each but once, so many copies of
+    one text do not fill a block."""
 
     def run(batches):
         seen: set[bytes] = set()
         for batch in batches:
-            out: dict[str, list] = {"block": [], "unit": [], "key": [], "body": []}
-            for unit, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+            out: dict[str, list] = {"block": [], "key": [], "body": []}
+            for text in batch.column("text").to_pylist():
                 words = words_of(text)
                 if not words or (key := _words_key(words)) in seen:
                     continue
@@ -90,27 +86,25 @@ def _bodies(docs: DataFrame, params: JoinParams, blocks: int) -> DataFrame:
                     seen.clear()
                 seen.add(key)
                 out["block"].append(int.from_bytes(key[:8], "little") % blocks)
-                out["unit"].append(unit)
                 out["key"].append(key)
                 out["body"].append(b" ".join(words))
             yield out
 
-    return arrow_map(docs, "block int, unit long, key binary, body binary", run)
+    return arrow_map(docs, "block int, key binary, body binary", run)
 
 
-def _block_sets(table: pa.Table, params: JoinParams) -> dict[bytes, tuple[int, np.ndarray]]:
-    """key -> (unit, sorted distinct shingles) of a block, in the keys' order."""
+def _block_sets(table: pa.Table, params: JoinParams) -> dict[bytes, np.ndarray]:
+    """key -> sorted distinct shingles of a block, in the keys' order."""
     hashes, out = WordHashes(), {}
-    rows = zip(*(table.column(n).to_pylist() for n in ("key", "unit", "body")))
-    for key, unit, body in sorted(rows):
+    for key, body in sorted(zip(*(table.column(n).to_pylist() for n in ("key", "body")))):
         if key not in out:
-            out[key] = unit, np.unique(shingle_hashes(body.split(b" "), hashes, params.width))
+            out[key] = np.unique(shingle_hashes(body.split(b" "), hashes, params.width))
     return out
 
 
 def _block_counts(sets: dict) -> tuple[np.ndarray, np.ndarray]:
     """The block's distinct shingles, and how many of its sets hold each."""
-    return np.unique(np.concatenate([np.empty(0, np.uint64), *(s for _, s in sets.values())]), return_counts=True)
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *sets.values()]), return_counts=True)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -182,171 +176,59 @@ def _prefixes(bodies: DataFrame, counts: DataFrame, params: JoinParams) -> DataF
             shingles, _ = _block_counts(sets)
             parts = sorted(zip(answers.column("part").to_pylist(), answers.column("counts").to_pylist()))
             df = np.concatenate([_unpack(c, np.uint16) for _, c in parts])
-            for key, (unit, own) in sets.items():
+            for key, own in sets.items():
                 held = df[np.searchsorted(shingles, own)]
                 order = np.lexsort((own, held))
                 n = len(own)
-                head = order[: n - params.least_overlap(n) + 1]
+                head = order[: n - params.rule.least_overlap(n) + 1]
                 place = np.flatnonzero(held[head] > 1)
                 prefix = own[head]
-                rows["unit"].append(unit)
+                rows["unit"].append(_unit(key))
                 rows["key"].append(key)
                 rows["n"].append(n)
-                rows["grp"].append(xxhash.xxh3_64_intdigest(prefix.tobytes(), n) - (1 << 63))
+                # Places tell how many shingles of this text alone come first.
+                rows["grp"].append(xxhash.xxh3_64_intdigest(prefix[place].tobytes() + place.astype(np.int32).tobytes(), n) - (1 << 63))
                 rows["prefix"].append(prefix[place].view(np.int64))
                 rows["place"].append(place.astype(np.int32))
                 rows["shared"].append(own[held > 1].tobytes() if len(place) else None)
-                rows["bits"].append(_bitmap(own, params.bits) if len(place) else None)
+                rows["bits"].append(bitmap(own) if len(place) else None)
         return pa.Table.from_arrays([pa.array(rows[f.name], f.type) for f in target], schema=target)
 
     return bodies.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(run, _SETS)
 
 
-def _bitmap(shingles: np.ndarray, bits: int) -> bytes:
-    flags = np.zeros(bits, np.uint8)
-    flags[(shingles & np.uint64(bits - 1)).astype(np.int64)] = 1
-    return np.packbits(flags).tobytes()
-
-
-def _may_link(params: JoinParams):
-    """Size and position filter for groups meeting at a shingle: a.n, a.at and b.n, b.at."""
-    small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    reach = F.least("a.at", "b.at") + 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) - 1
-    return (small * params.den >= large * params.num) & (reach * (params.den + params.num) >= (F.col("a.n") + F.col("b.n")) * params.num)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, params: JoinParams) -> DataFrame:
-    """(a, b) of the unit pairs that are linked, from the exact sizes of their intersections."""
-    left = sets.select(F.col("unit").alias("a"), F.col("n").alias("an"), F.col("shared").alias("ax"))
-    right = sets.select(F.col("unit").alias("b"), F.col("n").alias("bn"), F.col("shared").alias("bx"))
-    pairs = _not_excluded(pairs, sets, params)
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            rows = zip(*(batch.column(n).to_pylist() for n in ("an", "ax", "bn", "bx")))
-            for an, ax, bn, bx in rows:
-                x, y = np.frombuffer(ax, np.uint64), np.frombuffer(bx, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if ax != bx else len(x)
-                keep.append(params.linked(an, bn, both))
-            mask = pa.array(keep, pa.bool_())
-            yield {n: batch.column(n).filter(mask) for n in ("a", "b")}
-
-    return arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "an", "ax", "bn", "bx"), "a long, b long", run)
-
-
-def _not_excluded(pairs: DataFrame, sets: DataFrame, params: JoinParams) -> DataFrame:
-    """Pairs that their bitmaps allow. The bits that only one set has count shingles that the other
-    lacks, so the overlap is bounded from above: no linked pair is left out, and shingles move for
-    the other pairs only."""
-    left = sets.select(F.col("unit").alias("a"), F.col("n").alias("an"), F.col("bits").alias("ab"))
-    right = sets.select(F.col("unit").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bb"))
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("ab", "bb"))
-            an, bn = (batch.column(c).to_numpy().astype(np.int64) for c in ("an", "bn"))
-            only_a, only_b = (np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64) for x, y in ((a, b), (b, a)))
-            most = np.minimum(an - only_a, bn - only_b)
-            mask = pa.array(params.den * most >= params.num * (an + bn - most))
-            yield {n: batch.column(n).filter(mask) for n in ("a", "b")}
-
-    return arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "an", "ab", "bn", "bb"), "a long, b long", run)
-
-
-def _pairs(a, b) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def shingle_sets(rows: DataFrame, params: JoinParams) -> DataFrame:
+    """One row for each different word sequence of ``rows`` (text): its set with its prefix."""
+    chars = rows.agg(F.sum(F.length("text"))).first()[0]
+    blocks = pieces(chars, params.block_chars)
+    ranges = 1 << (pieces(chars, 6 * params.range_shingles) - 1).bit_length()
+    bodies = _bodies(rows, params, blocks)
+    counts = stored(_frequencies(bodies, params, ranges), "frequencies")
+    return stored(_prefixes(bodies, counts, params), "sets")
 
 
-def similar_links(sets: DataFrame, params: JoinParams) -> tuple[DataFrame, DataFrame]:
-    """(edges, labels): links that join all components, and (node, root) of the linked units."""
+def similar_links(sets: DataFrame, params: JoinParams) -> DataFrame:
+    """(a, b): links that join all components of the units."""
+    rule = params.rule
     sets = sets.filter(F.col("shared").isNotNull())
     members = sets.select("grp", "unit", "n")
-    # A group's sets have one prefix: any of them tells where it meets others, and after what.
-    named = params.named
-    met = F.expr(
-        f"transform(prefix, (h, i) -> struct(h, place[i] AS at, slice(prefix, greatest(i - {named}, 0) + 1, least(i, {named})) AS before))"
-    )
+    # A group's sets have one prefix: any of them tells where it meets others.
     groups = stored(
-        sets.withColumn("met", met).groupBy("grp").agg(F.min("unit").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("met").alias("met")),
+        sets.groupBy("grp").agg(F.min("unit").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first(F.arrays_zip("prefix", "place")).alias("at")),
         "groups",
     )
-    meetings = stored(
-        groups.select("grp", "rep", "n", F.inline("met")),
-        "meetings",
-    )
-    seen = meetings.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min_by(F.struct("grp", "rep", "n", "at"), F.hash("grp", "n")).alias("low"), F.max_by(F.struct("grp", "rep", "n", "at"), F.hash("grp", "n")).alias("high")).filter("size > 1")
-    hubs = stored(seen, "hubs")
-    edges = stored(
-        _verified(members.join(groups.filter("size > 1"), "grp").filter("unit <> rep").select(*_pairs("unit", "rep")).distinct(), sets, params), "edges"
-    )
-    labels = components(edges)
-    for hub in ("low", "high"):
-        met = meetings.alias("b").join(hubs.select("h", f"{hub}.*").alias("a"), F.col("a.h") == F.col("b.h")).filter(_may_link(params) & (F.col("a.grp") != F.col("b.grp")))
-        pairs = _apart(met.select(*_pairs("a.rep", "b.rep")).filter("a <> b").distinct(), labels)
-        # What is joined already goes on as one link from each unit to its component's smallest.
-        edges = stored(_trees(labels).union(_verified(pairs, sets, params)), "edges")
-        labels = components(edges)
-    rest = _apart(_all_met(meetings, members, labels, params), labels)
-    labels = components(stored(_trees(labels).union(_verified(rest, sets, params)), "edges"))
-    return _trees(labels), labels
-
-
-def _trees(labels: DataFrame) -> DataFrame:
-    return labels.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-
-
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose units are not in one component yet."""
-    a = labels.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-    b = labels.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    rooted = pairs.join(a, "a", "left").join(b, "b", "left")
-    return rooted.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-
-
-def _all_met(meetings: DataFrame, members: DataFrame, labels: DataFrame, params: JoinParams) -> DataFrame:
-    """All unit pairs of different components that meet at a shingle or in a group.
-
-    A pair of groups is taken where neither names an earlier shingle that both have: that holds at
-    the first shingle they share, and at few others. A component with many members at a shingle is
-    paired with the other components there before its members are, so that no component is ever
-    paired with itself.
-    """
-    rooted = stored(
-        members.join(labels, members.unit == labels.node, "left").select("grp", "unit", F.coalesce("root", "unit").alias("root")), "members"
-    )
-    of_group = rooted.select("grp", "root").distinct()
-    at_shingle = meetings.select("h", "grp", "n", "at", "before").join(of_group, "grp")
-    sides = at_shingle.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size"))
-    mixed = sides.groupBy("h").agg(F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("h")
-    sides = stored(sides.join(mixed, "h"), "sides")
-    at_shingle = stored(at_shingle.join(sides, ["h", "root"]), "meetings-by-component")
-    few, many = (at_shingle.filter(f"size {sign} {params.many}") for sign in ("<", ">="))
-    large = sides.filter(f"size >= {params.many}").select("h", "root")
-    allowed = _may_link(params) & (F.col("a.grp") != F.col("b.grp")) & ~F.arrays_overlap("a.before", "b.before")
-    here = F.col("a.h") == F.col("b.h")
-    out = [F.col("a.grp").alias("ga"), F.col("a.root").alias("ra"), F.col("b.grp").alias("gb"), F.col("b.root").alias("rb")]
-    small_pairs = few.alias("a").join(few.alias("b"), here & (F.col("a.root") < F.col("b.root")) & allowed).select(*out)
-    # (large component, small ones' members) and (large, large), then the large one's members.
-    asked = large.alias("x").join(few.alias("b"), (F.col("x.h") == F.col("b.h")) & (F.col("x.root") != F.col("b.root")))
-    asked = asked.select(F.col("x.root").alias("rx"), "b.*")
-    mixed_pairs = many.alias("a").join(asked.alias("b"), here & (F.col("a.root") == F.col("b.rx")) & allowed).select(*out)
-    both = large.alias("x").join(large.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.root") < F.col("y.root")))
-    both = both.select(F.col("x.h").alias("h"), F.col("x.root").alias("rx"), F.col("y.root").alias("ry"))
-    right = many.alias("m").join(both.alias("p"), (F.col("m.h") == F.col("p.h")) & (F.col("m.root") == F.col("p.ry"))).select("m.*", "p.rx")
-    large_pairs = many.alias("a").join(right.alias("b"), here & (F.col("a.root") == F.col("b.rx")) & allowed).select(*out)
-    met = small_pairs.union(mixed_pairs).union(large_pairs).distinct()
-    left = rooted.select(F.col("grp").alias("ga"), F.col("root").alias("ra"), F.col("unit").alias("a"))
-    other = rooted.select(F.col("grp").alias("gb"), F.col("root").alias("rb"), F.col("unit").alias("b"))
-    between = met.join(left, ["ga", "ra"]).join(other, ["gb", "rb"]).select(*_pairs("a", "b"))
-    inside = (
-        rooted.alias("x")
-        .join(rooted.alias("y"), (F.col("x.grp") == F.col("y.grp")) & (F.col("x.root") < F.col("y.root")))
-        .select(*_pairs("x.unit", "y.unit"))
-    )
-    return stored(between.union(inside).distinct(), "last-pairs")
+    meetings = groups.select(F.col("grp").alias("unit"), "size", "n", F.inline("at")).withColumnsRenamed({"prefix": "h", "place": "at"})
+    meetings = meetings.select("h", "unit", "n", rule.gap(F.col("n"), F.col("n")).alias("g"), F.col("n").alias("d"), "at", F.lit(True).alias("open"), "size")
+    met_pairs, met_families = met(meetings, rule)
+    one, two = (members.select(F.col("grp").alias(g), F.col("unit").alias(u)) for g, u in (("a", "ua"), ("b", "ub")))
+    between = met_pairs.join(one, "a").join(two, "b").select(*either(F.col("ua"), F.col("ub")))
+    few = groups.filter(F.col("size").between(2, rule.few)).select("grp")
+    inside = members.join(few, "grp")
+    inside = inside.alias("x").join(inside.alias("y"), (F.col("x.grp") == F.col("y.grp")) & (F.col("x.unit") < F.col("y.unit")))
+    pairs = between.union(inside.select(F.col("x.unit").alias("a"), F.col("y.unit").alias("b"))).distinct()
+    pivots = groups.select(F.col("grp").alias("p"), "rep")
+    families = met_families.withColumnRenamed("unit", "grp").join(members.select("grp", "unit"), "grp").join(pivots, "p").select(F.col("rep").alias("p"), "unit", "n")
+    return links(pairs, families.distinct(), sets, rule)
 
 
 def near_duplicate_components(docs: DataFrame, params: JoinParams | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -361,18 +243,14 @@ def near_duplicate_components(docs: DataFrame, params: JoinParams | None = None,
     """
     params = params or JoinParams()
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text).alias("text"))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0]
-    blocks = pieces(chars, params.block_chars)
-    ranges = 1 << (pieces(chars, 6 * params.range_shingles) - 1).bit_length()
     keyed = stored(_keys(rows), "document-keys")
-    bodies = _bodies(rows, params, blocks)
-    counts = stored(_frequencies(bodies, params, ranges), "frequencies")
-    sets = stored(_prefixes(bodies, counts, params), "sets")
-    edges, _ = similar_links(sets, params)
+    sets = shingle_sets(rows, params)
+    edges = similar_links(sets, params)
     placed = keyed.join(sets.select("key", "unit", "n"), "key", "left")
-    # One id with several texts links them.
-    several = placed.filter("unit is not null").groupBy("id").agg(F.min("unit").alias("a"), F.max("unit").alias("b"), F.collect_set("unit").alias("all")).filter("a <> b")
-    labels = components(edges.union(several.select("a", F.explode("all").alias("b"))))
+    # One id with several texts links them, each to the smallest of them.
+    own = placed.filter("unit is not null").select("id", "unit")
+    several = own.groupBy("id").agg(F.min("unit").alias("a"), F.max("unit").alias("b")).filter("a <> b").select("id", "a")
+    labels = components(edges.union(own.join(several, "id").select("a", F.col("unit").alias("b"))))
     rooted = placed.join(labels, placed.unit == labels.node, "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("root", "unit").alias("root"))
     rooted = stored(rooted, "rooted")
     smallest = rooted.filter("root is not null").groupBy("root").agg(F.min("id").alias("least"))

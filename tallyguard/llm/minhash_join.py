@@ -7,8 +7,11 @@
    differs at no more than ``errors``. All allowed errors are listed: a chunk is looked up with each
    choice of ``errors`` positions left out, so every pair within ``distance`` meets, without loss.
 3. Pairs that meet are compared by their whole signatures; what is within ``distance`` is confirmed
-   on full shingle sets, which are made for those texts only. Where many meet, differences within
-   the family take the place of pairs (family_links).
+   on full shingle sets, which are made for those texts only.
+4. Texts that meet many others at one key (large groups of copies, and texts that share long
+   passages) are not paired there. They are joined exactly by their rarest shingles: texts with
+   passages in common part ways, and families of copies are told apart by their differences
+   (jaccard_join, family_links). So no key is capped, and no pair of a crowded key is listed.
 
 At the default 65 positions and distance 25 a pair of similarity 0.85 is beyond the distance about
 once in 300 000 times, one of 0.9 about never.
@@ -26,8 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyguard.llm.components import components
-from tallyguard.llm.family_links import LinkRule, bitmap, links, met
+from tallyguard.llm.family_links import LinkRule, bitmap, verified
 from tallyguard.llm.frames import WordHashes, arrow_map, shingle_hashes, stored, words_of
+from tallyguard.llm.jaccard_join import JoinParams, shingle_sets, similar_links
 
 _NO_ID = -(1 << 63)
 
@@ -45,7 +49,7 @@ class SignatureParams:
     errors: int = 1
     bits: int = 8
     seed: int = 20_11
-    #: Up to so many sets at a lookup key are paired; beyond it they are a family.
+    #: Up to so many sets at a lookup key are paired; beyond it they are joined by rare shingles.
     many: int = 8
     #: Signatures that one task remembers, so that copies are not hashed again.
     seen: int = 50_000
@@ -159,19 +163,19 @@ def _full_sets(rows: DataFrame, wanted: DataFrame, params: SignatureParams) -> D
 
 def signature_links(rows: DataFrame, signed: DataFrame, params: SignatureParams) -> DataFrame:
     """(a, b): links between units, one for each different word sequence."""
-    rule = params.rule
     units = stored(signed.filter("unit is not null").groupBy("unit").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "units")
-    keyed = units.select("unit", "n", F.explode(F.array(*lookup_keys(F.col("sig"), params))).alias("h"))
-    shared = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1").select("h")
-    meetings = stored(keyed.join(shared, "h").select("h", "unit", "n"), "lookups")
-    one = F.lit(1).cast("long")
-    meetings = meetings.select("h", "unit", "n", rule.gap(F.col("n"), F.col("n")).alias("g"), F.col("n").alias("d"), F.lit(0).alias("at"), F.lit(True).alias("open"), one.alias("size"))
-    pairs, families = met(meetings, rule)
-    pairs = stored(_within(pairs, units, params), "pairs")
-    families = stored(families, "families")
-    wanted = pairs.select(F.col("a").alias("unit")).union(pairs.select("b")).union(families.select("unit")).distinct()
-    sets = stored(_full_sets(rows, units.join(wanted, "unit", "left_semi").select("unit", "id"), params), "sets")
-    return links(pairs, families, sets, rule)
+    keyed = units.select("unit", F.explode(F.array(*lookup_keys(F.col("sig"), params))).alias("h"))
+    shared = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1")
+    met = stored(keyed.join(shared, "h"), "lookups")
+    few = met.filter(F.col("crowd") <= params.many)
+    pairs = few.alias("x").join(few.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.unit") < F.col("y.unit")))
+    pairs = stored(_within(pairs.select(F.col("x.unit").alias("a"), F.col("y.unit").alias("b")).distinct(), units, params), "pairs")
+    paired = pairs.select(F.col("a").alias("unit")).union(pairs.select("b")).distinct()
+    sets = stored(_full_sets(rows, units.join(paired, "unit", "left_semi").select("unit", "id"), params), "sets")
+    crowded = met.filter(F.col("crowd") > params.many).select("unit").distinct()
+    texts = rows.join(units.join(crowded, "unit", "left_semi").select("id").distinct(), "id", "left_semi")
+    dense = JoinParams(width=params.width, num=params.num, den=params.den, many=params.many)
+    return verified(pairs, sets, params.rule).union(similar_links(shingle_sets(texts, dense), dense))
 
 
 def near_duplicates(docs: DataFrame, params: SignatureParams | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

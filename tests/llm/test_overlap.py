@@ -83,7 +83,7 @@ def near_copies():
 
 def test_components_against_all_pairs(spark):
     rows = near_copies()
-    assert mine(spark, rows, block_chars=4000, range_shingles=1000, many=3, named=2) == brute_components(rows)
+    assert mine(spark, rows, block_chars=4000, range_shingles=1000, many=3) == brute_components(rows)
 
 
 def test_threshold_is_exact(spark):
