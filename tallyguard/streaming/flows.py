@@ -14,6 +14,7 @@ from tallyguard.operators.model import feature_vector, newest_model, onnx_probab
 from tallyguard.operators.scoring import decision_rows, score_transactions
 from tallyguard.streaming import sinks
 from tallyguard.streaming.card_state import stream_card_features
+from tallyguard.streaming.replies import stream_replies
 from tallyguard.streaming.sources import DECISION_DELAY, with_event_time, without_redelivered
 
 
@@ -33,17 +34,10 @@ def decline_alert_records(decisions: DataFrame, threshold: int = DEFAULT_DECLINE
 
 
 def correlate_replies(requests: DataFrame, replies: DataFrame, timeout_ms: int = REPLY_TIMEOUT_MS, delay: str = "5 seconds") -> DataFrame:
-    """Requests with the reply that came in time, else marked as timed out, once the watermark has
-    passed. ``requests``: tx_id, request_ms; ``replies``: tx_id, reply_ms and payload. Redelivered
-    requests and replies are dropped within the watermark delay."""
-    left = with_event_time(requests, "request_ms", "requested_at", delay).dropDuplicatesWithinWatermark(["tx_id", "request_ms"])
-    right = with_event_time(replies.withColumnRenamed("tx_id", "reply_to"), "reply_ms", "replied_at", delay)
-    right = right.dropDuplicatesWithinWatermark(["reply_to", "reply_ms"])
-    in_time = F.col("replied_at").between(
-        F.col("requested_at"), F.col("requested_at") + F.expr(f"INTERVAL {timeout_ms / 1000:.3f} SECONDS")
-    )
-    joined = left.join(right, (F.col("tx_id") == F.col("reply_to")) & in_time, "leftOuter")
-    return joined.withColumn("timed_out", F.col("reply_to").isNull()).drop("reply_to", "requested_at", "replied_at")
+    """Requests with the first reply that came in time, else marked as timed out; one row for each
+    request, once the watermark has passed its deadline. ``requests``: tx_id, request_ms and more;
+    ``replies``: tx_id, reply_ms and payload. Redelivered copies on either side change nothing."""
+    return stream_replies(with_event_time(requests, "request_ms", "happened_at", delay), with_event_time(replies, "reply_ms", "happened_at", delay), timeout_ms)
 
 
 def decisions_with_transactions(decisions: DataFrame, transactions: DataFrame, within: str = "1 minute") -> DataFrame:

@@ -184,6 +184,22 @@ def test_replies_on_a_stream(spark, tmp_path):
     assert rows == {"a": (False, 1), "b": (True, None), "c": (True, None)}
 
 
+def test_first_reply_counts_whichever_batch_it_comes_in(spark, tmp_path):
+    asked, came = "tx_id string, request_ms long, card string", "tx_id string, reply_ms long, risk_score int"
+    put(spark, tmp_path / "q", "1", [("a", T0, "c1"), ("a", T0, "c1"), ("b", T0 + 3, None), ("c", T0, "c3")], asked)
+    put(spark, tmp_path / "r", "1", [("a", T0 + 30, 1), ("a", T0 + 10, 2), ("b", T0 + 2, 3), ("late", T0, 4)], came)
+    put(spark, tmp_path / "q", "2", [("late", T0 - 1, "c4"), ("a", T0 + 20, "c1")], asked)
+    put(spark, tmp_path / "r", "2", [("c", T0 + 45, 5), ("a", T0 + 10, 2), ("b", T0 + 49, 6)], came)
+    put(spark, tmp_path / "q", "3", [("z", T0 + 60_000, "c")], asked)
+    put(spark, tmp_path / "r", "3", [("y", T0 + 60_000, 7)], came)
+    joined = flows.correlate_replies(source(spark, tmp_path / "q", asked), source(spark, tmp_path / "r", came))
+    drain(joined, sinks.table_sink(str(tmp_path / "out")), tmp_path, "first-reply")
+    rows = sorted((r.tx_id, r.request_ms - T0, r.card, r.timed_out, r.risk_score) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert rows == [
+        ("a", 0, "c1", False, 2), ("a", 20, "c1", False, 1), ("b", 3, None, True, None), ("c", 0, "c3", False, 5), ("late", -1, "c4", False, 4),
+    ]
+
+
 def test_reply_route_and_audit(spark, tmp_path):
     row = lambda i, topic: (f"t{i}", "c", "m", 10, "APPROVE", ["X"], {"rule.X": 1.0}, 3, T0, topic)
     from pyspark.sql import types as T
