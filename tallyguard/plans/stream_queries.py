@@ -185,6 +185,25 @@ def t10_stream_sessions(spark, sf_dir):
     return read(spark, drain(changes, sinks.table_sink, "session-states"))
 
 
+@query(
+    "t10_results_over_batches",
+    on_scores("SELECT CAST(trans_id AS VARCHAR) AS trans_id, list_sort(['PENDING', CASE WHEN trans_id%2=0 THEN 'COMPLETED' ELSE 'FAILED' END]) AS states FROM sessions", more=_SESSIONS),
+)
+def t10_results_over_batches(spark, sf_dir):
+    """The later result of each session comes one micro-batch before the older one."""
+    sessions, _ = sessions_and_results(spark, sf_dir)
+    sessions = sessions.dropDuplicates(["trans_id"])
+    even = F.col("trans_id") % 2 == 0
+    path = fresh_path(spark, "results")
+    for ms, ok, bad in ((2, "Y", "N"), (1, "N", "Y")):
+        results = sessions.select("trans_id", F.when(even, ok).otherwise(bad).alias("result_status"), F.lit(ms).cast("long").alias("result_ms"))
+        results.coalesce(1).write.mode("append").parquet(path)
+    later_first = file_stream(spark, path, results.schema, files_per_trigger=1)
+    changes = stream_sessions(as_stream(sessions, "sessions"), later_first)
+    told = read(spark, drain(changes, sinks.table_sink, "session-states"))
+    return told.groupBy("trans_id").agg(F.array_sort(F.collect_list("state")).alias("states"))
+
+
 @query(
     "s07_reply_route",
     on_scores(

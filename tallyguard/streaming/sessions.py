@@ -18,23 +18,26 @@ _CHANGE = Row("trans_id", "state", "trans_status", "eci")
 
 class SessionProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.session = handle.getValueState("session", "risk_score int, state string")
+        self.session = handle.getValueState("session", "risk_score int, state string, result_ms bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        """Openings of a micro-batch come before its results, and those in the order of their time."""
+        """Openings of a micro-batch come before its results, and those in the order of their time. A
+        result older than one that an earlier micro-batch brought changes nothing."""
         for row in sorted(rows, key=lambda row: (row.result_status is not None, row.result_ms or 0)):
             if row.result_status is None:
-                self.session.update((row.risk_score, "PENDING"))
+                self.session.update((row.risk_score, "PENDING", None))
                 yield _CHANGE(key[0], "PENDING", None, None)
                 continue
             session = self.session.get()
             if session is None:
                 yield _CHANGE(key[0], "NOT_FOUND", None, None)
                 continue
+            if row.result_ms is not None and session[2] is not None and row.result_ms < session[2]:
+                continue
             passed = row.result_status.upper() == "Y"
             code = (ECI_EVEN_SCORE if session[0] % 2 == 0 else ECI_ODD_SCORE) if passed else ECI_NOT_AUTHENTICATED
             state = "COMPLETED" if passed else "FAILED"
-            self.session.update((session[0], state))
+            self.session.update((session[0], state, row.result_ms if row.result_ms is not None else session[2]))
             yield _CHANGE(key[0], state, "Y" if passed else "N", code)
 
     def close(self) -> None:
@@ -43,7 +46,8 @@ class SessionProcessor(StatefulProcessor):
 
 def stream_sessions(sessions: DataFrame, results: DataFrame) -> DataFrame:
     """State changes from the streams of openings (trans_id, risk_score) and results (trans_id,
-    result_status, and result_ms where known: of several results in a micro-batch the last by it wins)."""
+    result_status, and result_ms where known: of several results the last by it stands, whatever
+    micro-batches they come in)."""
     spark = sessions.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) != STATE_STORE:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
