@@ -14,7 +14,7 @@
    (jaccard_join, family_links). So no key is capped, and no pair of a crowded key is listed.
 
 At the default 65 positions and distance 25 a pair of similarity 0.85 is beyond the distance about
-once in 300 000 times, one of 0.9 about never.
+once in a million times, one of 0.9 about never.
 """
 
 from __future__ import annotations

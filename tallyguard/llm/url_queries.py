@@ -23,7 +23,7 @@ def _rule_rows() -> str:
 
 _SQL = f"""
 WITH parsed AS (
-  SELECT page_id,
+  SELECT page_id, translate(coalesce(url, ''), '{UPPER}', '{LOWER}') AS whole,
     translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
     coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages
@@ -38,7 +38,7 @@ fits AS (
   SELECT *, {" + ".join(map(_has, STRICT))} AS strict_hits,
     {" + ".join(map(_has, SOFT))} AS soft_hits,
     {" + ".join(f"{w} * {_has(t)}" for t, w in SOFT.items())} AS soft_weight
-  FROM (SELECT *, translate(host || path, '{UPPER}', '{LOWER}') AS whole FROM parsed)
+  FROM parsed
 )
 SELECT c.page_id, c.host, c.path, f.rule,
   coalesce(f.verdict, CASE WHEN strict_hits > 0 OR (soft_hits > 1 AND soft_weight >= 1.0) THEN 'block' ELSE 'allow' END) AS verdict
