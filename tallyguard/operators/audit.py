@@ -21,16 +21,6 @@ RETENTION = {
     "devices": "INTERVAL 30 DAYS",
 }
 
-DEAD_LETTER_COLUMNS = [
-    "original_topic",
-    "consumer_group",
-    "failure_reason",
-    "attempt_count",
-    "first_failure_ms",
-    "last_failure_ms",
-    "exception_class",
-]
-
 
 def audit_rows(decisions: DataFrame) -> DataFrame:
     """Decision records to audit rows; merchant and amount stay empty until joined."""

@@ -14,9 +14,7 @@ from tallyguard.streaming.sources import TOPICS
 
 BatchSink = Callable[[DataFrame, int], None]
 
-# Limits of the analytics buffer.
-BUFFER_ROWS = 1_000
-BUFFER_INTERVAL = "1 second"
+# Fixed value: how often a stream saves its state.
 CHECKPOINT_INTERVAL = "30 seconds"
 
 
