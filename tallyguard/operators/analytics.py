@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyguard.functions.text import hour_start_ms, iso_instant, same_text, utc_date
 from tallyguard.operators.scoring import risk_band
+from tallyguard.operators.skew import null_safe_join
 
 ALERT_WINDOW = "5 minutes"
 DEFAULT_DECLINE_THRESHOLD = 10
@@ -119,3 +120,24 @@ def merchant_sketches(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def merge_sketches(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("merchants"))
+
+
+def card_sketches(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Theta sketches of the cards per key: unlike the ones above they can be subtracted."""
+    return df.groupBy(*keys).agg(F.theta_sketch_agg("card_id").alias("sketch"))
+
+
+def union_sketches(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sketches of stored batches or periods as one for each key."""
+    return sketches.groupBy(*keys).agg(F.theta_union_agg("sketch").alias("sketch"))
+
+
+def new_cards(sketches: DataFrame, keys: Sequence[str], period: str) -> DataFrame:
+    """Per key and period (whole numbers): cards of the period, and those of them that the period
+    just before had not. Only sketches are joined, never cards."""
+    before = sketches.select(*keys, (F.col(period) + 1).alias(period), F.col("sketch").alias("_before"))
+    joined = null_safe_join(sketches, before, [*keys, period], "left")
+    fresh = F.when(F.col("_before").isNull(), F.col("sketch")).otherwise(F.theta_difference("sketch", "_before"))
+    return joined.select(
+        *keys, period, F.theta_sketch_estimate("sketch").alias("cards"), F.theta_sketch_estimate(fresh).alias("new_cards")
+    )

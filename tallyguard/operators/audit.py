@@ -115,6 +115,39 @@ def compact(spark: SparkSession, path: str, target: str) -> None:
     upsert_batch(current_rows(spark, path), target, 0, COMPACTED)
 
 
+# --- lookup table -----------------------------------------------------------------------------
+
+# Fixed value: folders of the lookup table; a table keeps the number it was written with.
+LOOKUP_BUCKETS = 64
+
+
+def _bucket(tx_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(tx_id.cast("bigint")), F.lit(buckets)).cast("int")
+
+
+def write_by_transaction(rows: DataFrame, path: str, buckets: int = LOOKUP_BUCKETS) -> None:
+    """One row per transaction (see ``current_rows``) in hash buckets of ``tx_id``, sorted by it: a
+    lookup lists one folder and the statistics of its files leave one row group. The range exchange
+    keeps files even, whatever their number; folders stay few however long the history is."""
+    bucketed = rows.withColumn("tx_bucket", _bucket(F.col("tx_id"), buckets))
+    ranged = bucketed.repartitionByRange("tx_bucket", "tx_id").sortWithinPartitions("tx_bucket", "tx_id")
+    ranged.write.mode("errorifexists").partitionBy("tx_bucket").parquet(path)
+
+
+def find_transaction(table: DataFrame, tx_id: int, buckets: int = LOOKUP_BUCKETS) -> DataFrame:
+    """A transaction's row from the lookup table; reads its bucket only."""
+    return by_transaction(table.filter(F.col("tx_bucket") == _bucket(F.lit(tx_id), buckets)), tx_id).drop("tx_bucket")
+
+
+def find_transactions(table: DataFrame, wanted: DataFrame, buckets: int = LOOKUP_BUCKETS) -> DataFrame:
+    """Rows of the lookup table for the ``tx_id`` of ``wanted``, each once; ids without a row, and
+    null ids, give none."""
+    ids = wanted.select(F.col("tx_id").cast("bigint").alias("_id")).filter("_id IS NOT NULL").distinct()
+    ids = ids.withColumn("_of", _bucket(F.col("_id"), buckets))
+    on = (F.col("tx_bucket") == F.col("_of")) & (F.col("tx_id") == F.col("_id"))
+    return table.join(ids, on, "left_semi").drop("tx_bucket")
+
+
 # --- month table ------------------------------------------------------------------------------
 
 
@@ -128,10 +161,13 @@ def write_monthly(rows: DataFrame, path: str, ts_ms: str = "ts_ms", files: int |
 
 
 def append_monthly(rows: DataFrame, path: str, batch_id: int, writer: str = "batch", ts_ms: str = "ts_ms") -> None:
-    """One batch of a stream into the month table; writing the same batch again replaces it. Batches
-    of one ``writer`` (see ``upsert_batch``) never touch those of another."""
+    """One batch of a stream into the month table, its files in the order of ``write_monthly``; writing
+    the same batch again replaces it. Batches of one ``writer`` (see ``upsert_batch``) never touch
+    those of another. The range exchange looks at the rows twice: pass a batch that is persisted."""
+    order = ["yyyymm", *[c for c in ("card_id", ts_ms, "tx_id") if c in rows.columns]]
+    ranged = rows.withColumn("yyyymm", year_month(F.col(ts_ms))).repartitionByRange(*order).sortWithinPartitions(*order)
     (
-        rows.withColumns({"yyyymm": year_month(F.col(ts_ms)), "writer": F.lit(writer), "batch_id": F.lit(batch_id).cast("long")})
+        ranged.withColumns({"writer": F.lit(writer), "batch_id": F.lit(batch_id).cast("long")})
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("yyyymm", "writer", "batch_id")

@@ -296,9 +296,30 @@ def s10_month_table(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@query("s12_point_lookup", f"WITH {DENSE} SELECT tx_id, card_id, ts_ms, amount FROM tx WHERE tx_id=777")
+def _lookup_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit table of all decisions, every fifth one revised, in its layout for lookups."""
+    rows = decisions(spark, sf_dir).select("tx_id", "card_id", "risk_score", "decision", "decision_ms")
+    path, found = fresh_path(spark, "audit"), fresh_path(spark, "audit-lookup")
+    audit.upsert_batch(rows, path, 0)
+    audit.upsert_batch(rows.filter(F.col("tx_id") % 5 == 0).withColumn("decision", F.lit("DECLINE")), path, 1)
+    audit.write_by_transaction(audit.current_rows(spark, path), found)
+    return spark.read.parquet(found)
+
+
+_REVISED = """SELECT tx_id, card_id, risk_score, CASE WHEN tx_id%5=0 THEN 'DECLINE' ELSE decision END AS decision, ts_ms AS decision_ms
+  FROM scored WHERE {}"""
+
+
+@query("s12_point_lookup", on_scores(_REVISED.format("tx_id=775"), with_p=True))
 def s12_point_lookup(spark, sf_dir):
-    return audit.by_transaction(tx_dense(spark, sf_dir), 777).select("tx_id", "card_id", "ts_ms", "amount")
+    return audit.find_transaction(_lookup_table(spark, sf_dir), 775)
+
+
+@query("s12_lookup_of_orders", on_scores(_REVISED.format("tx_id IN (SELECT o_orderkey FROM orders)"), with_p=True))
+def s12_lookup_of_orders(spark, sf_dir):
+    """All transactions that a table of ids asks for."""
+    wanted = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tx_id"))
+    return audit.find_transactions(_lookup_table(spark, sf_dir), wanted)
 
 
 _CARD_FROM, _CARD_TO = EPOCH_2024_MS + 3 * 86_400_000, EPOCH_2024_MS + 25 * 86_400_000

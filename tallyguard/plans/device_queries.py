@@ -270,6 +270,65 @@ def a11_latency_percentiles(spark, sf_dir):
 
 query("a11_latency_percentiles_approximate")(lambda spark, sf_dir: monitoring.latency_percentiles(calls(spark, sf_dir)))
 
+
+_HOURS_AND_DAYS = "(SELECT 3600000 AS width_ms UNION ALL SELECT 86400000)"
+
+
+@query(
+    "a11_merged_quantiles_within_bound",
+    f"""WITH {_CALLS.format("event_type")} SELECT width_ms, ts_ms//width_ms*width_ms AS window_ms, service, count(*) AS calls,
+      true AS p50_close, true AS p95_close, true AS p99_close FROM calls, {_HOURS_AND_DAYS} GROUP BY 1,2,3""",
+)
+def a11_merged_quantiles_within_bound(spark, sf_dir):
+    """Five-minute sketches added up to hours and days: the share of calls below each value lies
+    within 0.02 of the percentile asked for."""
+    rows = calls(spark, sf_dir)
+    sketches = monitoring.latency_sketches(rows)
+    hours, days = [_merged_close(rows, sketches, width) for width in (3_600_000, 86_400_000)]
+    return hours.unionByName(days)
+
+
+def _merged_close(rows: DataFrame, sketches: DataFrame, width_ms: int) -> DataFrame:
+    keys = ["window_ms", "service"]
+    found = monitoring.merged_percentiles(sketches, width_ms)
+    timed = rows.select(monitoring.window_start(F.col("ts_ms"), width_ms).alias("window_ms"), "service", "latency_ms")
+    tallied = timed.groupBy(*keys, "latency_ms").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n")
+
+    def close(name: str, p: float):
+        below = F.sum(F.when(F.col("latency_ms") < F.col(name), F.col("n")).otherwise(0)) / total
+        upto = F.sum(F.when(F.col("latency_ms") <= F.col(name), F.col("n")).otherwise(0)) / total
+        return ((below <= p + 0.02) & (upto >= p - 0.02)).alias(f"{name}_close")
+
+    joined = tallied.join(found, keys)
+    counted = joined.groupBy(*keys, "calls").agg(close("p50", 0.5), close("p95", 0.95), close("p99", 0.99), total.alias("_n"))
+    return counted.filter("calls = _n").drop("_n").withColumn("width_ms", F.lit(width_ms))
+
+
+_WEEK_MS = 7 * 86_400_000
+
+
+@query(
+    "a07_new_cards_within_bound",
+    f"""WITH {SPARSE} SELECT device, ts_ms//{_WEEK_MS} AS week, true AS cards_close, true AS new_close FROM tx GROUP BY 1,2""",
+)
+def a07_new_cards_within_bound(spark, sf_dir):
+    """Cards on a device this week and not the week before, from daily sketches; estimates lie within
+    a twentieth of the week's exact cards, or within one."""
+    rows = tx_sparse(spark, sf_dir).withColumns({"day": F.expr("ts_ms div 86400000"), "week": F.expr(f"ts_ms div {_WEEK_MS}")})
+    stored = analytics.card_sketches(rows, ["device", "week", "day"])
+    found = analytics.new_cards(analytics.union_sketches(stored, ["device", "week"]), ["device"], "week")
+    held = rows.select("device", "week", "card_id").distinct()
+    before = held.select("device", (F.col("week") + 1).alias("week"), "card_id", F.lit(1).alias("known"))
+    exact = held.join(before, ["device", "week", "card_id"], "left").groupBy("device", "week").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("known").isNull()).alias("fresh")
+    )
+    near = F.greatest(F.lit(1.0), F.col("n") * 0.05)
+    close = lambda name, real: F.abs(F.col(name) - F.col(real)) <= near
+    joined = exact.join(found, ["device", "week"])
+    return joined.select("device", "week", close("cards", "n").alias("cards_close"), close("new_cards", "fresh").alias("new_close"))
+
+
 _BOUNDS = monitoring.LATENCY_BOUNDS
 _BUCKET = "CASE " + " ".join(f"WHEN latency_ms<={b} THEN {i}" for i, b in enumerate(_BOUNDS)) + f" ELSE {len(_BOUNDS)} END"
 

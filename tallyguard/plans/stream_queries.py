@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyguard.operators import audit, scoring
 from tallyguard.operators.authentication import session_states
+from tallyguard.operators.card_windows import card_features
 from tallyguard.plans.audit_queries import decisions as decision_table
 from tallyguard.plans.card_queries import _ALL, rules_text
 from tallyguard.plans.oracle import DENSE, SPARSE, on_features, on_scores
 from tallyguard.plans.registry import query
 from tallyguard.plans.score_queries import _SESSIONS, sessions_and_results
-from tallyguard.session import fresh_path
+from tallyguard.session import cut_lineage, fresh_path
 from tallyguard.sources.views import DENSE_FACTOR, as_transactions, props_k, table, tx_dense, tx_sparse
 from tallyguard.streaming import flows, sinks
+from tallyguard.streaming.card_state import card_states
 from tallyguard.streaming.sessions import stream_sessions
 from tallyguard.streaming.sources import file_stream, with_event_time, without_redelivered
 
@@ -63,6 +67,63 @@ def t05_stream_card_features(spark, sf_dir):
     return read(spark, drain(enriched, sinks.table_sink, "enriched"), *_ALL.split(", "))
 
 
+def _cuts(rows: DataFrame, shares: list[float]) -> list[int]:
+    """Times that part the rows' stretch of time."""
+    low, high = rows.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+    return [int(low + (high - low) * share) for share in shares] if low is not None else [0 for _ in shares]
+
+
+@query("s16_bootstrapped_features", on_features(f"SELECT {_ALL} FROM feat", SPARSE))
+def s16_bootstrapped_features(spark, sf_dir):
+    """The first half as a table, its state handed to a stream of the second half; the rows of both."""
+    rows = tx_sparse(spark, sf_dir).drop("props", "event_type")
+    (cut,) = _cuts(rows, [0.5])
+    later = as_stream(rows.filter(F.col("ts_ms") >= cut), "second-half")
+    enriched = flows.enrich(later, states=cut_lineage(card_states(rows, cut)))
+    streamed = read(spark, drain(enriched, sinks.table_sink, "enriched"), *_ALL.split(", "))
+    return card_features(rows.filter(F.col("ts_ms") < cut)).select(*_ALL.split(", ")).unionByName(streamed)
+
+
+class SinkFailure(RuntimeError):
+    """Raised by ``failing_sink``."""
+
+
+def failing_sink(sink: sinks.BatchSink) -> sinks.BatchSink:
+    """Writes about half of the micro-batch, then fails."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        sink(batch.filter(F.col("tx_id") % 2 == 0), batch_id)
+        raise SinkFailure(f"batch {batch_id}")
+
+    return write
+
+
+@query("t09_restarted_features", on_features(f"SELECT {_ALL} FROM feat", SPARSE))
+def t09_restarted_features(spark, sf_dir):
+    """The sink fails in the middle of the second micro-batch; a query started from the same
+    checkpoint repeats that batch, and all rows come once, with features as if nothing had happened."""
+    rows = tx_sparse(spark, sf_dir).drop("props", "event_type")
+    first, second = _cuts(rows, [0.3, 0.6])
+    source, target, checkpoint = [fresh_path(spark, label) for label in ("slices", "restarted", "restarted-checkpoint")]
+    parts = [F.col("ts_ms") < first, (F.col("ts_ms") >= first) & (F.col("ts_ms") < second), F.col("ts_ms") >= second]
+
+    def run(sink: sinks.BatchSink) -> None:
+        enriched = flows.enrich(file_stream(spark, source, rows.schema))
+        sinks.start(enriched, sink, checkpoint, f"restarted-{uuid.uuid4().hex}", available_now=True).awaitTermination()
+
+    good = sinks.table_sink(target)
+    for at, part in enumerate(parts):
+        rows.filter(part).write.mode("append").parquet(source)
+        if at == 1:
+            try:
+                run(failing_sink(good))
+            except StreamingQueryException as stopped:
+                if "SinkFailure" not in str(stopped):
+                    raise
+        run(good)
+    return read(spark, target, *_ALL.split(", "))
+
+
 @query("t07_stream_scoring", on_scores("SELECT tx_id, card_id, merchant_id, risk_score, decision, applied_rules, ts_ms AS decision_ms FROM scored"))
 def t07_stream_scoring(spark, sf_dir):
     enriched = flows.enrich(events_stream(spark, sf_dir).drop("props", "event_type"))

@@ -7,6 +7,9 @@ replace the last country, device and time, and features already emitted stay as
 Recent transactions are kept by hour. Counting looks into the hours at the frame edges only and
 takes the hours between by their size, so an update of a busy card rewrites the current hour, not
 the day.
+
+A stream may start from a table: ``card_states`` folds the transactions before a cut into the state
+the processor would hold then, and the first micro-batch takes it over.
 """
 
 from __future__ import annotations
@@ -17,11 +20,14 @@ from operator import itemgetter
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallyguard.operators.card_windows import COUNT_FRAMES, DAY_MS, FEATURES, HOUR_MS, WEEK_MS
+from tallyguard.operators.card_windows import _units as units_of
+from tallyguard.operators.skew import null_safe_join
 from tallyguard.session import STATE_STORE
 
 _FEATURE_TYPES = {
@@ -39,6 +45,7 @@ _CARD = (
     "last_ms bigint, last_country string, last_device string, units bigint, rows bigint, "
     "merchants array<string>, spilled bigint, hours array<bigint>, sizes array<bigint>, timer_ms bigint"
 )
+_HEAD = ["last_ms", "last_country", "last_device", "units", "rows", "merchants", "spilled", "hours", "sizes"]
 _INPUTS = ["ts_ms", "tx_id", "merchant_id", "amount", "country", "device"]
 # Merchants held next to the sums; further ones go to a map of their own.
 _MERCHANTS_INLINE = 1_000
@@ -102,6 +109,19 @@ class CardFeatureProcessor(StatefulProcessor):
         self.recent = handle.getMapState("recent", "hour bigint", "ts array<bigint>, merchant array<string>")
         self.merchants = handle.getMapState("merchants", "merchant string", "seen boolean")
 
+    def handleInitialState(self, key: Any, initialState: Row, timerValues: Any) -> None:
+        """One row of ``card_states``: the card's own figures, an hour, or a merchant of the overflow map."""
+        if initialState["part"] == "head":
+            last_ms, country, device, *sums = [initialState["head"][name] for name in _HEAD]
+            units, count, merchants, spilled, hours, sizes = sums
+            timer = last_ms + WEEK_MS
+            self.handle.registerTimer(timer)
+            self.card.update((last_ms, country, device, units, count, list(merchants), spilled, list(hours), list(sizes), timer))
+        elif initialState["part"] == "hour":
+            self.recent.updateValue((initialState["hour"],), (list(initialState["ts"]), list(initialState["merchants"])))
+        else:
+            self.merchants.updateValue((initialState["merchant"],), (True,))
+
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         named = list(rows)
         place = {name: at for at, name in enumerate(named[0].__fields__)}
@@ -197,8 +217,94 @@ def _units(amount: Any) -> int:
     return whole if scaled >= 0 else -whole
 
 
-def stream_card_features(transactions: DataFrame, event_time: str = "event_time") -> DataFrame:
-    """Features of a watermarked stream of transactions (see ``sources.with_event_time``)."""
+def card_states(transactions: DataFrame, as_of_ms: int) -> DataFrame:
+    """The processor's state after all rows before ``as_of_ms``, as rows for its start: one ``head``
+    for each card seen in the last week, one row for each card and hour of the last day, one for each
+    merchant beyond those held inline. Rows come once per transaction (see ``drop_redelivered``).
+
+    Idle gaps of a day or more lie between the days of a card, never inside one, so sums by card and
+    UTC day are enough to find the resets: they combine on the map side, and no card's rows meet in
+    one task. Cards idle for a week start afresh with their next row and have no state.
+    """
+    past = transactions.filter(F.col("ts_ms") < as_of_ms).select(
+        "card_id",
+        "tx_id",
+        "ts_ms",
+        F.col("merchant_id").cast("string").alias("merchant"),
+        units_of(F.col("amount")).alias("units"),
+        F.coalesce("country", F.lit("")).alias("country"),
+        F.coalesce("device", F.lit("")).alias("device"),
+    )
+    day = F.expr(f"ts_ms div {DAY_MS}L").alias("day")
+    days = past.groupBy("card_id", day).agg(
+        F.min("ts_ms").alias("first_ms"),
+        F.max("ts_ms").alias("last_ms"),
+        F.sum("units").alias("units"),
+        F.count(F.lit(1)).alias("rows"),
+        F.max(F.struct("ts_ms", "tx_id", "country", "device")).alias("newest"),
+    )
+    idle = F.col("first_ms") - F.lag("last_ms").over(Window.partitionBy("card_id").orderBy("day"))
+    gaps = days.withColumn("idle", idle)
+
+    def start(limit_ms: int):
+        return F.max(F.when(F.coalesce(F.col("idle") >= limit_ms, F.lit(True)), F.col("first_ms"))).over(Window.partitionBy("card_id"))
+
+    runs = gaps.withColumns({"week_from": start(WEEK_MS), "day_from": start(DAY_MS)})
+    in_week = F.col("first_ms") >= F.col("week_from")
+    heads = (
+        runs.groupBy("card_id")
+        .agg(
+            F.max("newest").alias("newest"),
+            F.sum(F.when(in_week, F.col("units"))).alias("units"),
+            F.sum(F.when(in_week, F.col("rows"))).alias("rows"),
+            F.max("day_from").alias("day_from"),
+        )
+        .filter(as_of_ms - F.col("newest.ts_ms") < WEEK_MS)
+    )
+    alive = heads.select(F.col("card_id").alias("card"), "day_from")
+    sellers = past.groupBy("card_id", "merchant").agg(F.max("ts_ms").alias("seen_ms"))
+    held = sellers.join(alive, F.col("card_id").eqNullSafe(F.col("card"))).filter(F.col("seen_ms") >= F.col("day_from")).select("card_id", "merchant")
+    ranked = held.withColumn("nth", F.row_number().over(Window.partitionBy("card_id").orderBy("merchant")))
+    inline = ranked.groupBy("card_id").agg(
+        F.sort_array(F.collect_list(F.when(F.col("nth") <= _MERCHANTS_INLINE, F.col("merchant")))).alias("merchants"),
+        F.count_if(F.col("nth") > _MERCHANTS_INLINE).alias("spilled"),
+    )
+    hour = F.expr(f"ts_ms div {HOUR_MS}L").alias("hour")
+    pairs = past.filter(F.col("ts_ms") >= as_of_ms - DAY_MS).select("card_id", hour, "ts_ms", "merchant").distinct()
+    hours = (
+        pairs.groupBy("card_id", "hour")
+        .agg(F.sort_array(F.collect_list(F.struct("ts_ms", "merchant"))).alias("pairs"))
+        .select("card_id", "hour", F.col("pairs.ts_ms").alias("ts"), F.col("pairs.merchant").alias("merchants"))
+    )
+    sizes = pairs.groupBy("card_id", "hour").agg(F.count(F.lit(1)).alias("n")).groupBy("card_id").agg(
+        F.sort_array(F.collect_list(F.struct("hour", "n"))).alias("sizes")
+    )
+    full = null_safe_join(null_safe_join(heads, inline, ["card_id"], "left"), sizes, ["card_id"], "left")
+    none = F.array().cast("array<bigint>")
+    head = F.struct(
+        F.col("newest.ts_ms").alias("last_ms"),
+        F.col("newest.country").alias("last_country"),
+        F.col("newest.device").alias("last_device"),
+        "units",
+        "rows",
+        F.coalesce("merchants", F.array().cast("array<string>")).alias("merchants"),
+        F.coalesce("spilled", F.lit(0).cast("bigint")).alias("spilled"),
+        F.coalesce("sizes.hour", none).alias("hours"),
+        F.coalesce("sizes.n", none).alias("sizes"),
+    )
+    beyond = ranked.filter(F.col("nth") > _MERCHANTS_INLINE)
+    # No column of whole numbers is ever null: it would come as a fraction.
+    parts = full.select("card_id", F.lit("head").alias("part"), head.alias("head"), F.lit(0).cast("bigint").alias("hour"))
+    parts = parts.unionByName(hours.withColumn("part", F.lit("hour")), allowMissingColumns=True)
+    parts = parts.unionByName(
+        beyond.select("card_id", F.lit("merchant").alias("part"), F.lit(0).cast("bigint").alias("hour"), "merchant"), allowMissingColumns=True
+    )
+    return parts
+
+
+def stream_card_features(transactions: DataFrame, event_time: str = "event_time", states: DataFrame | None = None) -> DataFrame:
+    """Features of a watermarked stream of transactions (see ``sources.with_event_time``), from the
+    start or from ``card_states`` of the transactions before it."""
     spark = transactions.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) != STATE_STORE:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
@@ -211,4 +317,5 @@ def stream_card_features(transactions: DataFrame, event_time: str = "event_time"
         outputStructType=schema,
         outputMode="Append",
         timeMode="EventTime",
+        initialState=None if states is None else states.groupBy("card_id"),
     )

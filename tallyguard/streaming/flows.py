@@ -18,9 +18,10 @@ from tallyguard.streaming.replies import stream_replies
 from tallyguard.streaming.sources import DECISION_DELAY, with_event_time, without_redelivered
 
 
-def enrich(transactions: DataFrame) -> DataFrame:
-    """Watermark, drop redelivered copies, add the card features."""
-    return stream_card_features(without_redelivered(with_event_time(transactions)))
+def enrich(transactions: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """Watermark, drop redelivered copies, add the card features; ``states`` (see ``card_states``)
+    stand for the transactions before the stream. Copies of those are not known to it."""
+    return stream_card_features(without_redelivered(with_event_time(transactions)), states=states)
 
 
 def decline_alerts(decisions: DataFrame, threshold: int = DEFAULT_DECLINE_THRESHOLD, keys=("merchant_id",)) -> DataFrame:

@@ -70,17 +70,18 @@ def decisions_with_reply(everything: BatchSink, replies: BatchSink, reply_topic:
 
 def month_sink(path: str, writer: str = "stream", ts_ms: str = "ts_ms") -> BatchSink:
     """Analytics rows into the month-partitioned table, so that reads by time prune months."""
-    return lambda batch, batch_id: append_monthly(batch, path, batch_id, writer, ts_ms)
+    return each(lambda batch, batch_id: append_monthly(batch, path, batch_id, writer, ts_ms))
 
 
 def audit_sink(audit_path: str, analytics_path: str, writer: str = "stream") -> BatchSink:
-    """Decisions to the audit table (upsert by transaction) and to the analytics table; ``writer`` as
-    for ``table_sink``."""
+    """Decisions to the audit table (upsert by transaction) and to the analytics table (by month);
+    ``writer`` as for ``table_sink``."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = audit_rows(batch)
         upsert_batch(rows, audit_path, batch_id, writer)
-        upsert_batch(analytics_rows(rows), analytics_path, batch_id, writer)
+        timed = analytics_rows(rows).withColumn("ts_ms", F.unix_millis("ts"))
+        append_monthly(timed, analytics_path, batch_id, writer)
 
     return each(write)
 

@@ -288,3 +288,38 @@ def test_model_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(model, "MAX_MODEL_BYTES", 99)
     with pytest.raises(ValueError):
         model.read_model(spark, str(tmp_path / "m.onnx"))
+
+
+def test_lookup_reads_one_bucket(spark, tmp_path):
+    rows = spark.range(5000).select(F.col("id").alias("tx_id"), (F.col("id") % 7).alias("card_id"))
+    path = str(tmp_path / "lookup")
+    audit.write_by_transaction(rows, path, buckets=16)
+    table = spark.read.parquet(path)
+    found = audit.find_transaction(table, 777, buckets=16)
+    assert [tuple(r) for r in found.collect()] == [(777, 0)]
+    plan = found._jdf.queryExecution().toString()
+    assert "tx_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "EqualTo(tx_id,777)" in plan
+    assert audit.find_transaction(table, 5001, buckets=16).count() == 0
+    wanted = spark.createDataFrame([(3,), (3,), (None,), (9999,), (4999,)], "tx_id long")
+    assert sorted(r["tx_id"] for r in audit.find_transactions(table, wanted, buckets=16).collect()) == [3, 4999]
+
+
+def test_sketches_of_new_cards(spark):
+    rows = spark.createDataFrame(
+        [("d", 1, 1), ("d", 1, 2), ("d", 2, 2), ("d", 2, 3), ("d", 4, 3), (None, 1, 1), (None, 2, 1), ("e", 2, None)], "device string, week long, card_id long"
+    )
+    found = analytics.new_cards(analytics.card_sketches(rows, ["device", "week"]), ["device"], "week")
+    assert {(r["device"], r["week"]): (r["cards"], r["new_cards"]) for r in found.collect()} == {
+        ("d", 1): (2, 2), ("d", 2): (2, 1), ("d", 4): (1, 1), (None, 1): (1, 1), (None, 2): (1, 0), ("e", 2): (0, 0)
+    }
+
+
+def test_merged_percentiles(spark):
+    rows = spark.range(20_000).select((F.col("id") * 60).alias("ts_ms"), F.lit("s").alias("service"), (F.col("id") * 7919 % 20_000).alias("latency_ms"))
+    stored = monitoring.latency_sketches(rows)
+    assert stored.count() == 4
+    day = monitoring.merged_percentiles(stored, 86_400_000).first()
+    assert day["calls"] == 20_000
+    assert all(abs(day[name] / 20_000 - p) < 0.02 for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)))
+    assert monitoring.merged_percentiles(monitoring.latency_sketches(rows.limit(0)), 86_400_000).count() == 0

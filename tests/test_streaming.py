@@ -13,7 +13,7 @@ from tallyguard.operators import audit
 from tallyguard.operators.card_windows import FEATURES, card_features
 from tallyguard.operators.model import feature_vector, newest_model, onnx_probability, train_trees, with_ml_probability
 from tallyguard.streaming import flows, sinks, sources
-from tallyguard.streaming.card_state import stream_card_features
+from tallyguard.streaming.card_state import card_states, stream_card_features
 from tallyguard.streaming.sessions import stream_sessions
 
 SCHEMA = "tx_id long, card_id string, ts_ms long, amount double, merchant_id string, mcc string, channel string, country string, device string"
@@ -288,3 +288,51 @@ def test_trained_trees(spark):
     low, high = (scored.filter(c).agg(F.avg("p")).head()[0] for c in ("amount <= 45", "amount > 45"))
     assert scored.columns == [*rows.columns, "p"] and low < 0.3 < 0.7 < high
     assert with_ml_probability(rows, None).filter("p is not null").count() == 0
+
+
+def test_stream_starts_from_a_table(spark, tmp_path):
+    """Cards with more merchants than are held inline, with gaps of a day and a week, idle at the cut, and unknown before it."""
+    cut = T0 + 30 * 24 * HOUR
+    many = [tx(i, "many", cut - 20 * HOUR + i * 1000, merchant=f"m{i}") for i in range(1100)]
+    gaps = [tx(2000 + i, "gaps", T0 + at * HOUR, amount=i + 1.0, merchant=f"m{i % 3}") for i, at in enumerate([0, 1, 30, 300, 330, 700, 701])]
+    past = [*many, *gaps, tx(3000, "idle", T0), tx(3001, None, cut - 1000, country="GB", device=None)]
+    coming = [
+        *[tx(4000 + i, "many", cut + i * 1000, merchant=f"m{i * 400}") for i in range(5)],
+        *[tx(4100 + i, card, cut + 1000 + i, country=None, merchant="m1") for i, card in enumerate(["gaps", "idle", "new", None])],
+        tx(4200, "gaps", cut + 40 * HOUR, merchant="m9"),
+    ]
+    put(spark, tmp_path / "in", "1", coming)
+    states = card_states(spark.createDataFrame(past, SCHEMA), cut)
+    assert states.filter("part = 'head'").count() == 3  # the idle card starts afresh
+    assert states.filter("part = 'merchant'").count() == 100
+    out = str(tmp_path / "out")
+    drain(flows.enrich(source(spark, tmp_path / "in"), states), sinks.table_sink(out), tmp_path, "from-table")
+    batch = card_features(spark.createDataFrame(past + coming, SCHEMA), None).filter("tx_id >= 4000")
+    assert features_of(spark, out) == {r["tx_id"]: tuple(r[f] for f in FEATURES) for r in batch.collect()}
+
+
+def test_stream_starts_from_an_empty_table(spark, tmp_path):
+    put(spark, tmp_path / "in", "1", spread(20))
+    states = card_states(spark.createDataFrame([], SCHEMA), T0)
+    assert states.count() == 0
+    out = str(tmp_path / "out")
+    drain(flows.enrich(source(spark, tmp_path / "in"), states), sinks.table_sink(out), tmp_path, "from-nothing")
+    batch = card_features(spark.createDataFrame(spread(20), SCHEMA), None)
+    assert features_of(spark, out) == {r["tx_id"]: tuple(r[f] for f in FEATURES) for r in batch.collect()}
+
+
+def test_month_table_of_a_stream_is_sorted(spark, tmp_path):
+    """Each file of a batch holds a range of cards in order, also where one card has most rows."""
+    rows = [tx(i, "hot" if i % 3 else f"c{i:05d}", T0 + (i * 7919 % 5000) * 1000) for i in range(3000)]
+    table = str(tmp_path / "months")
+    sinks.month_sink(table)(spark.createDataFrame(rows, SCHEMA).repartition(4), 0)
+    sinks.month_sink(table)(spark.createDataFrame(rows, SCHEMA).repartition(4), 0)  # the batch again
+    files = {r[0] for r in spark.read.parquet(table).select(F.input_file_name()).distinct().collect()}
+    held = []
+    for file in files:
+        found = [(r["card_id"], r["ts_ms"], r["tx_id"]) for r in spark.read.parquet(file).collect()]
+        assert found == sorted(found)
+        held.append((found[0], found[-1], len(found)))
+    held.sort()
+    assert all(a[1] < b[0] for a, b in zip(held, held[1:]))
+    assert sum(n for *_, n in held) == 3000
