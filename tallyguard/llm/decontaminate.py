@@ -3,11 +3,13 @@
 Items are parted by size (powers of two of their shingle count). An item's sketch is its bottom-k
 MinHash: the k shingles with the smallest hashes, k fixed by its part's upper size. With a needed
 containment c, k > (1 - c) * size, so a document that holds an item to that degree shares at least
-one sketch shingle: the candidate search loses nothing. Candidates are then verified by exact
-containment of shingle texts.
+at least k - (1 - c) * size of its sketch shingles: the candidate search loses nothing. Only
+candidates are then verified by exact containment: their items' shingles, by text, are looked up among
+the document's own.
 
-Document shingles are probed against a bitmap of fixed size before anything is shuffled, so what
-moves is only what may belong to an item. Neither the items nor the documents are collected.
+Document shingles are probed against two bitmaps of fixed size (sketches, whole items) before anything
+is shuffled, so what moves is only what may belong to an item. Neither the items nor the documents are
+collected.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyguard.llm.frames import WordHashes, arrow_map, shingle_hashes, stored, words_of
@@ -40,8 +42,9 @@ def sketch_size(n_shingles: int, containment: float) -> int:
 
 
 def item_shingles(items: DataFrame, params: DecontamParams, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(id, h, gram, n, in_sketch) for each distinct shingle of each item. Rows that repeat an id
-    add up to one item; items without words have no rows."""
+    """(id, h, gram, n, in_sketch, needed) for each distinct shingle of each item; ``needed`` sketch
+    shingles at least are in every document that holds the item. Rows that repeat an id add up to one
+    item; items without words have no rows."""
     rows = items.select(F.col(item_id).cast("long").alias("id"), F.col(text).alias("text"))
 
     def cut(batches, hashes):
@@ -56,11 +59,14 @@ def item_shingles(items: DataFrame, params: DecontamParams, item_id: str = "item
             yield out
 
     grams = arrow_map(rows, _GRAM, cut, WordHashes).distinct()
-    sizes = grams.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("h")).alias("hs"))
+    # Ranks, not arrays: rows without an id add up to an item of any size.
+    ranked = grams.withColumns(
+        {"n": F.count(F.lit(1)).over(Window.partitionBy("id")), "nth": F.rank().over(Window.partitionBy("id").orderBy("h"))}
+    )
     k = F.floor((1.0 - params.containment) * F.pow(F.lit(2.0), F.ceil(F.log2("n"))) + 1e-9).cast("int") + 1
-    # An item is one short text: its own hashes are a bounded array.
-    cuts = sizes.select(F.col("id").alias("item"), "n", F.element_at("hs", F.least(k, F.size("hs"))).alias("last"))
-    return grams.join(cuts, F.col("id").eqNullSafe(F.col("item"))).select("id", "h", "gram", "n", (F.col("h") <= F.col("last")).alias("in_sketch"))
+    missing = F.floor((1.0 - params.containment) * F.col("n") + 1e-9)
+    needed = F.greatest(F.least(k, F.col("n")) - missing, F.lit(1)).cast("int")
+    return ranked.select("id", "h", "gram", "n", (F.col("nth") <= k).alias("in_sketch"), needed.alias("needed"))
 
 
 def _grams(words: list[bytes], width: int) -> list[str]:
@@ -95,48 +101,67 @@ def contained_items(docs: DataFrame, items: DataFrame, params: DecontamParams |
     pairs. Other columns are not looked at.
     """
     params = params or DecontamParams()
-    session = docs.sparkSession
     wanted = stored(item_shingles(items, params, item_id, text), "item-shingles")
-    shared_bits = session.sparkContext.broadcast(_bitmap(wanted, params.bitmap_bits))
+    held = document_shingles(docs, wanted, params, doc_id, text)
+    verified = contained(candidates(held, wanted), held, wanted, params)
+    return verified.select(
+        F.col("doc").alias(doc_id),
+        F.col("item").alias(item_id),
+        "shared",
+        F.col("n").alias("item_shingles"),
+        (F.col("shared") / F.col("n")).alias("containment"),
+    )
+
+
+def document_shingles(docs: DataFrame, wanted: DataFrame, params: DecontamParams, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, h, gram, probe) for the distinct shingles of the documents that some item may have;
+    ``probe`` where a sketch may have it."""
+    session = docs.sparkSession
+    whole = session.sparkContext.broadcast(_bitmap(wanted, params.bitmap_bits))
+    sketched = session.sparkContext.broadcast(_bitmap(wanted.filter("in_sketch"), params.bitmap_bits))
     widths = sorted(int(r[0]) for r in wanted.select(F.size(F.split("gram", " ")).alias("w")).distinct().collect())
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
 
     def probe(batches, hashes):
-        full = shared_bits.value
+        full, part, bits = whole.value, sketched.value, params.bitmap_bits
         for batch in batches:
-            out: dict[str, list] = {"id": [], "h": [], "gram": []}
+            out: dict[str, list] = {"doc": [], "h": [], "gram": [], "probe": []}
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = words_of(body)
                 for width in widths:  # up to params.width: short items are shingles of their own length
                     if len(words) < width:
                         continue
                     h = shingle_hashes(words, hashes, width)
-                    at = _may_hold(full, h, params.bitmap_bits)
+                    at = _may_hold(full, h, bits)
                     found = {b" ".join(words[i : i + width]).decode(): int(v) for i, v in zip(at.tolist(), h[at].view(np.int64))}
-                    out["id"] += [doc] * len(found)
+                    hit = np.zeros(len(found), bool)
+                    hit[_may_hold(part, np.fromiter(found.values(), np.int64, len(found)).view(np.uint64), bits)] = True
+                    out["doc"] += [doc] * len(found)
                     out["gram"] += found.keys()
                     out["h"] += found.values()
-            if out["id"]:
+                    out["probe"] += hit.tolist()
+            if out["doc"]:
                 yield out
 
-    held = stored(arrow_map(rows, _GRAM, probe, WordHashes).distinct(), "document-shingles").withColumnRenamed("id", "doc")
-    item = wanted.withColumnRenamed("id", "item")
-    candidates = held.join(item.filter("in_sketch"), ["h", "gram"]).select("doc", "item").distinct()
-    matches = (
-        held.join(item, ["h", "gram"])
-        .groupBy("doc", "item")
-        .agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n"))
-        .filter(F.col("shared") >= params.containment * F.col("n"))
-    )
-    c = candidates.select(F.col("doc").alias("cdoc"), F.col("item").alias("citem"))
-    verified = matches.join(c, F.col("doc").eqNullSafe(F.col("cdoc")) & F.col("item").eqNullSafe(F.col("citem")), "left_semi")
-    return verified.select(
-        F.col("doc").alias(doc_id),
-        F.col("item").alias(item_id),
-        "shared",
-        F.col("n").alias("item_shingles"),
-        (F.col("shared") / F.col("n")).alias("containment"),
-    )
+    return stored(arrow_map(rows, "doc long, h long, gram string, probe boolean", probe, WordHashes).distinct(), "document-shingles")
+
+
+def candidates(held: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, item): pairs that share as many sketch shingles as the item's size part asks for."""
+    sketches = wanted.filter("in_sketch").select(F.col("id").alias("item"), "h", "gram", "needed")
+    met = held.filter("probe").select("doc", "h", "gram").join(sketches, ["h", "gram"])
+    return met.groupBy("doc", "item").agg(F.count(F.lit(1)).alias("met"), F.max("needed").alias("needed")).filter("met >= needed").select("doc", "item")
+
+
+def contained(pairs: DataFrame, held: DataFrame, wanted: DataFrame, params: DecontamParams) -> DataFrame:
+    """(doc, item, shared, n) of the candidate pairs that hold: each pair brings its item's shingles,
+    and those that the document has are counted."""
+    item = wanted.select(F.col("id").alias("_item"), "h", "gram", "n")
+    asked = pairs.join(item, F.col("item").eqNullSafe(F.col("_item"))).drop("_item")
+    own = held.select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), F.col("gram").alias("_gram"))
+    same = (F.col("h") == F.col("_h")) & (F.col("gram") == F.col("_gram")) & F.col("doc").eqNullSafe(F.col("_doc"))
+    counted = asked.join(own, same).groupBy("doc", "item").agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n"))
+    return counted.filter(F.col("shared") >= params.containment * F.col("n"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, params: DecontamParams | None = None, doc_id: str = "doc_id") -> DataFrame:

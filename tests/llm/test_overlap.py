@@ -2,10 +2,11 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyguard.llm import imatch
 from tallyguard.llm.components import components
-from tallyguard.llm.decontaminate import DecontamParams, contained_items, decontaminate, sketch_size
+from tallyguard.llm.decontaminate import DecontamParams, candidates, contained, contained_items, decontaminate, document_shingles, item_shingles, sketch_size
 from tallyguard.llm.jaccard_join import JoinParams, near_duplicate_components, one_of_each
 
 SCHEMA = "doc_id long, text string, id string, unit int, h double"
@@ -157,6 +158,32 @@ def test_sketches_lose_nothing():
         assert sketch_size(n, 0.75) > n - -(-3 * n // 4)
 
 
+def test_sketches_decide(spark):
+    """A document without the item's sketch is no candidate, a pair that is no candidate is not
+    counted, and candidates are few beside the pairs that share a shingle."""
+    rnd, params = random.Random(9), DecontamParams()
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(40))) for i in range(40)]
+    docs = []
+    for i in range(400):
+        piece = items[i % 40][1].split(" ")
+        cut = 40 if i % 4 == 0 else rnd.randrange(6, 30)  # three of four hold too little
+        docs.append((i, " ".join([f"d{i}x{j}" for j in range(30)] + piece[:cut])))
+    wanted = item_shingles(spark.createDataFrame(items, "item_id long, text string"), params).cache()
+    held = document_shingles(frame(spark, docs), wanted, params).cache()
+    pairs = candidates(held, wanted).cache()
+    true = {(r.doc, r.item) for r in contained(pairs, held, wanted, params).collect()}
+    assert true == {(d, i) for d, i, *_ in brute_contained(docs, items)} and len(true) >= 100
+    touching = held.join(wanted.withColumnRenamed("id", "item"), ["h", "gram"]).select("doc", "item").distinct().count()
+    # 8 of the item's 17 sketch shingles are asked for: about half of the short pieces have fewer.
+    assert touching == 400 and len(true) < pairs.count() < 0.65 * touching
+    sketch = {(r.id, r.gram) for r in wanted.filter("in_sketch").collect()}
+    needed = wanted.first().needed
+    lost = sorted(sketch & {(0, r.gram) for r in wanted.filter("id = 0").collect()})[needed - 1 :]
+    without = held.filter(~((F.col("doc") == 0) & F.col("gram").isin([gram for _, gram in lost])))
+    assert (0, 0) in true and not candidates(without, wanted).filter("doc = 0").count()
+    assert {(r.doc, r.item) for r in contained(pairs.filter("doc <> 0"), held, wanted, params).collect()} == true - {(0, 0)}
+
+
 def test_decontaminate(spark):
     items = spark.createDataFrame([(1, "this very passage is a test item of the benchmark")], "item_id long, text string")
     docs = [(1, "x " * 50 + "This very passage is a test item of the benchmark" + " y" * 50), (2, "nothing of it"), (None, None), (2, "nothing of it")]
