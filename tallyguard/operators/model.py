@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,16 +109,17 @@ def _fraud_column(outputs: list[np.ndarray]) -> np.ndarray:
     return np.clip(best[:, 1] if best.shape[1] == 2 else best[:, 0], 0.0, 1.0)
 
 
-def onnx_probability(spark: SparkSession, model: bytes | None, vector: Column) -> Column:
+def onnx_probability(spark: SparkSession, model: bytes | Broadcast | None, vector: Column) -> Column:
     """Probability by an ONNX model, one session per Python worker and Arrow batches as input.
 
-    Null where the model is missing or fails on the batch.
+    Null where the model is missing or fails on the batch, and, with a warning, where there is a
+    model but no ``onnxruntime``.
     """
+    if model is not None and onnxruntime is None:
+        warnings.warn("onnxruntime is not installed: the model is not used", RuntimeWarning, stacklevel=2)
     if model is None or onnxruntime is None:
         return F.lit(None).cast("double")
-    if len(model) > MAX_MODEL_BYTES:
-        raise ValueError(f"model of {len(model)} bytes is above the limit of {MAX_MODEL_BYTES}")
-    shared = spark.sparkContext.broadcast(model)
+    shared = model if isinstance(model, Broadcast) else share_model(spark, model)
 
     @F.pandas_udf("double")
     def infer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -139,9 +142,58 @@ def onnx_probability(spark: SparkSession, model: bytes | None, vector: Column) -
     return infer(vector)
 
 
-def newest_model(spark: SparkSession, folder: str) -> bytes | None:
-    """Newest model file of a folder; called per micro-batch, a new file takes over without a stop."""
-    row = _head_if_there(
+def share_model(spark: SparkSession, model: bytes) -> Broadcast:
+    """The model's bytes on all executors; their size is checked."""
+    if len(model) > MAX_MODEL_BYTES:
+        raise ValueError(f"model of {len(model)} bytes is above the limit of {MAX_MODEL_BYTES}")
+    return spark.sparkContext.broadcast(model)
+
+
+def publish_model(spark: SparkSession, folder: str, name: str, model: bytes) -> None:
+    """Put a model file into a folder of any file system Spark knows. It gets its name when it is
+    whole, so that no batch reads a part of it."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    part, whole = paths(f"{folder}/_{name}.part"), paths(f"{folder}/{name}.onnx")
+    system = whole.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = system.create(part, True)
+    try:
+        out.write(bytearray(model))
+    finally:
+        out.close()
+    if not system.rename(part, whole):
+        raise OSError(f"model {whole.toString()} is already there")
+
+
+def _newest(spark: SparkSession, folder: str):
+    """Path and time of the newest model file; None where there is none."""
+    return _head_if_there(
         lambda: spark.read.format("binaryFile").option("pathGlobFilter", "*.onnx").load(folder).select("path", "modificationTime").orderBy(F.desc("modificationTime"), F.desc("path"))
     )
+
+
+def newest_model(spark: SparkSession, folder: str) -> bytes | None:
+    """Newest model file of a folder; called per micro-batch, a new file takes over without a stop."""
+    row = _newest(spark, folder)
     return read_model(spark, row["path"]) if row else None
+
+
+class ModelVersions:
+    """The newest model of a folder, shared once per version: micro-batches of one version use the
+    same broadcast, and it is destroyed when the next version stands in for it."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+        self.version: tuple | None = None
+        self.shared: Broadcast | None = None
+
+    def current(self, spark: SparkSession) -> Broadcast | None:
+        """Call once at the start of a micro-batch, when nothing of the one before still runs."""
+        row = _newest(spark, self.folder)
+        version = tuple(row) if row else None
+        if version != self.version:
+            model = read_model(spark, row["path"]) if row else None
+            fresh = None if model is None else share_model(spark, model)
+            if self.shared is not None:
+                self.shared.destroy()
+            self.version, self.shared = version, fresh
+        return self.shared

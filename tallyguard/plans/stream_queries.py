@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tallyguard.operators import audit, scoring
 from tallyguard.operators.authentication import session_states
 from tallyguard.operators.card_windows import card_features
+from tallyguard.operators.model import VECTOR_COLUMNS, ModelVersions, feature_vector, newest_model, onnx_probability, publish_model
+from tallyguard.operators.onnx_logistic import logistic
 from tallyguard.plans.audit_queries import decisions as decision_table
 from tallyguard.plans.card_queries import _ALL, rules_text
 from tallyguard.plans.oracle import DENSE, SPARSE, on_features, on_scores
@@ -124,6 +126,51 @@ def t09_restarted_features(spark, sf_dir):
     return read(spark, target, *_ALL.split(", "))
 
 
+# Weights of the trial models by input: sums are exact in 32 bits, so p depends on nothing but them.
+_TRIAL = {"tx_count_1h": 0.25, "country_changed": 0.5}
+_TRIAL_BIAS = -1.5
+_TRIAL_P = "round(1/(1+exp(-({sign}*(0.25*tx_count_1h+0.5*CAST(country_changed AS INTEGER)-1.5)))),4)"
+
+
+def _trial_model(sign: float) -> bytes:
+    return logistic([sign * _TRIAL.get(name, 0.0) for name in VECTOR_COLUMNS], sign * _TRIAL_BIAS)
+
+
+@query("r13_onnx_probability", on_features(f"SELECT tx_id, {_TRIAL_P.format(sign=1)} AS p FROM feat"))
+def r13_onnx_probability(spark, sf_dir):
+    """A logistic model as an ONNX file, applied to the feature vectors of all transactions."""
+    folder = fresh_path(spark, "models")
+    publish_model(spark, folder, "a", _trial_model(1.0))
+    rows = card_features(tx_dense(spark, sf_dir))
+    return rows.select("tx_id", F.round(onnx_probability(spark, newest_model(spark, folder), feature_vector()), 4).alias("p"))
+
+
+@query(
+    "r15_model_swap",
+    on_features(
+        f"""SELECT tx_id, CASE WHEN ts_ms<lo+(hi-lo)*0.5 THEN {_TRIAL_P.format(sign=1)} ELSE {_TRIAL_P.format(sign=-1)} END AS p
+        FROM feat JOIN (SELECT min(ts_ms) AS lo, max(ts_ms) AS hi FROM tx) ON true"""
+    ),
+)
+def r15_model_swap(spark, sf_dir):
+    """A second model is published between two micro-batches of a running sink."""
+    rows = card_features(tx_dense(spark, sf_dir))
+    (cut,) = _cuts(tx_dense(spark, sf_dir), [0.5])
+    folder, source, target, checkpoint = [fresh_path(spark, label) for label in ("models", "slices", "scored", "scored-checkpoint")]
+    models, write = ModelVersions(folder), sinks.table_sink(target)
+
+    def score(batch: DataFrame, batch_id: int) -> None:
+        p = onnx_probability(batch.sparkSession, models.current(batch.sparkSession), feature_vector())
+        write(batch.select("tx_id", F.round(p, 4).alias("p")), batch_id)
+
+    for name, sign, part in (("a", 1.0, F.col("ts_ms") < cut), ("b", -1.0, F.col("ts_ms") >= cut)):
+        publish_model(spark, folder, name, _trial_model(sign))
+        rows.filter(part).write.mode("append").parquet(source)
+        stream = file_stream(spark, source, rows.schema)
+        sinks.start(stream, score, checkpoint, f"swapped-{uuid.uuid4().hex}", available_now=True).awaitTermination()
+    return read(spark, target)
+
+
 @query("t07_stream_scoring", on_scores("SELECT tx_id, card_id, merchant_id, risk_score, decision, applied_rules, ts_ms AS decision_ms FROM scored"))
 def t07_stream_scoring(spark, sf_dir):
     enriched = flows.enrich(events_stream(spark, sf_dir).drop("props", "event_type"))

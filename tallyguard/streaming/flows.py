@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyguard.operators.analytics import DEFAULT_DECLINE_THRESHOLD, decline_spikes, spike_json
 from tallyguard.operators.lookups import REPLY_TIMEOUT_MS
-from tallyguard.operators.model import feature_vector, newest_model, onnx_probability
+from tallyguard.operators.model import ModelVersions, feature_vector, onnx_probability
 from tallyguard.operators.scoring import decision_rows, score_transactions
 from tallyguard.streaming import sinks
 from tallyguard.streaming.card_state import stream_card_features
@@ -55,10 +55,11 @@ def decisions_with_transactions(decisions: DataFrame, transactions: DataFrame, w
 
 def scoring_sink(sink: sinks.BatchSink, model_folder: str | None = None) -> sinks.BatchSink:
     """Score each micro-batch with the newest model of a folder (rules alone where there is none)."""
+    models = ModelVersions(model_folder) if model_folder else None
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        model = newest_model(spark, model_folder) if model_folder else None
+        model = models.current(spark) if models else None
         rows = batch.withColumn("p", onnx_probability(spark, model, feature_vector()))
         scored = score_transactions(rows, "p")
         sink(decision_rows(scored), batch_id)
