@@ -73,6 +73,19 @@ def mean_interval(intervals: Column) -> Column:
     return F.when(F.size(intervals) > 0, F.round(mean).cast("long").cast("string")).otherwise("0")
 
 
+def mobile_signals(samples: Column, pressures: Column, intervals: Column) -> Column:
+    """A phone's traces as counts and means; no samples read 0."""
+    traces = {
+        "accelSampleCount": F.size(samples).cast("string"),
+        "avgAccelMagnitude": mean_acceleration(samples),
+        "touchPressureCount": F.size(pressures).cast("string"),
+        "avgTouchPressure": mean_pressure(pressures),
+        "keystrokeCount": F.size(intervals).cast("string"),
+        "avgKeystrokeIntervalMs": mean_interval(intervals),
+    }
+    return F.create_map(*[c for name, value in traces.items() for c in (F.lit(f"behavioral.{name}"), value)])
+
+
 def signal_defaults(fields: Mapping[str, Column]) -> Column:
     """Browser signals as a string map; an unset do-not-track reads ``unspecified``, an unset
     number 0."""
@@ -103,15 +116,17 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: i
     return ranked.filter(F.col("_rank") <= limit).drop("_rank")
 
 
-def _with_previous(df: DataFrame, key: str, max_rows: int | None) -> DataFrame:
+def _with_previous(df: DataFrame, key: str, max_rows: int | None, values: Mapping[str, str]) -> DataFrame:
+    """Add what each column of ``values`` (new name -> column) had in the key's previous row."""
     order = ["t", "seq"]
 
     def plain(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_before", F.lag("t").over(Window.partitionBy(key).orderBy(*order)))
+        by_time = Window.partitionBy(key).orderBy(*order)
+        return rows.withColumns({name: F.lag(source).over(by_time) for name, source in values.items()})
 
     def sliced(rows: DataFrame) -> DataFrame:
-        rows = skew.sliced_previous(skew.with_slice(rows, [key], order), [key], order, {"_before": "t"})
-        return rows.drop("_slice").select(*df.columns, "_before")
+        rows = skew.sliced_previous(skew.with_slice(rows, [key], order), [key], order, values)
+        return rows.drop("_slice").select(*df.columns, *values)
 
     return skew.by_heat(df, [key], plain, sliced, max_rows)
 
@@ -120,11 +135,25 @@ def keystroke_intervals(
     strokes: DataFrame, key: str = "session_id", limit: int = KEPT_INTERVALS, max_rows: int | None = skew.DEFAULT_MAX_ROWS
 ) -> DataFrame:
     """Times between successive strokes (session, t, seq), pauses left out, newest ``limit`` kept."""
-    gaps = _with_previous(strokes, key, max_rows).withColumn("interval_ms", F.col("t") - F.col("_before"))
+    gaps = _with_previous(strokes, key, max_rows, {"_before": "t"}).withColumn("interval_ms", F.col("t") - F.col("_before"))
     gaps = gaps.filter((F.col("interval_ms") > 0) & (F.col("interval_ms") < MAX_INTERVAL_MS)).drop("_before")
     return keep_last(gaps, [key], ["t", "seq"], limit)
 
 
+def key_holds(
+    events: DataFrame, key: str = "session_id", limit: int = KEPT_INTERVALS, max_rows: int | None = skew.DEFAULT_MAX_ROWS
+) -> DataFrame:
+    """Times from a press to its release (session, t, seq, pressed), newest ``limit`` kept.
+
+    A release counts if the event before it is a press: of presses in a row the last one counts, and
+    one release for each. Events that say neither are left out.
+    """
+    known = events.filter(F.col("pressed").isNotNull())
+    paired = _with_previous(known, key, max_rows, {"_before": "t", "_was": "pressed"})
+    holds = paired.filter(~F.col("pressed") & F.col("_was")).withColumn("hold_ms", F.col("t") - F.col("_before"))
+    return keep_last(holds.drop("pressed", "_before", "_was"), [key], ["t", "seq"], limit)
+
+
 def _walk(spacing: int):
     """Keep of every group (session, run, slice) the first point from ``_from`` on, and then each
     that is ``spacing`` after the last one kept."""

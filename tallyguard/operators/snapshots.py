@@ -123,17 +123,28 @@ _WEEK = ["tx_count_7d", "avg_amount_strict_7d", "max_amount_7d"]
 
 
 def _week_plain(df: DataFrame) -> DataFrame:
+    """Running frames only, so time is in proportion to rows. Blocks are as long as the frame: a frame
+    is the start of its row's block and the end of the block before, both running maxima (of the
+    block's number and the amount, so that a new block starts afresh)."""
     by_time = Window.partitionBy("card_id").orderBy("ts_ms")
     upto = by_time.rangeBetween(Window.unboundedPreceding, 0)
     before = by_time.rangeBetween(Window.unboundedPreceding, -WEEK_MS - 1)
-    rows = df.withColumn("_units", _units(F.col("amount")))
-    count = F.count(F.lit(1)).over(upto) - F.count(F.lit(1)).over(before)
+    later = Window.partitionBy("card_id").orderBy(F.desc("ts_ms")).rangeBetween(Window.unboundedPreceding, -1)
+    block = F.floor(F.col("ts_ms") / F.lit(WEEK_MS + 1)).cast("long")
+    rows = df.withColumns({"_units": _units(F.col("amount")), "_block": block})
+    # What follows a row's instant in the next block that has rows.
+    rows = rows.withColumn("_rest", F.max(F.struct((-F.col("_block")).alias("back"), F.col("amount").alias("top"))).over(later))
+    earlier = F.count(F.lit(1)).over(before)
+    count = F.count(F.lit(1)).over(upto) - earlier
     units = F.sum("_units").over(upto) - F.coalesce(F.sum("_units").over(before), F.lit(0))
+    head = F.max(F.struct("_block", F.col("amount").alias("top"))).over(upto)["top"]
+    rest = F.last("_rest").over(before)
+    tail = F.when(-rest["back"] == F.col("_block") - 1, rest["top"])
     return rows.select(
         *df.columns,
         count.alias("tx_count_7d"),
         (units.cast("double") / (F.lit(10000.0) * count.cast("double"))).alias("avg_amount_strict_7d"),
-        F.max("amount").over(by_time.rangeBetween(-WEEK_MS, 0)).alias("max_amount_7d"),
+        F.when(earlier == 0, F.max("amount").over(upto)).otherwise(F.greatest(head, tail)).alias("max_amount_7d"),
     )
 
 
@@ -195,9 +206,6 @@ def _week_sliced(df: DataFrame) -> DataFrame:
     return skew.null_safe_join(df, figures, ["card_id", "ts_ms"], "inner").select(*df.columns, *_WEEK)
 
 
-def strict_week(df: DataFrame, max_rows: int | None = 50_000) -> DataFrame:
-    """Count, mean and maximum over the closed last seven days of the card.
-
-    The maximum of the plain route looks at its whole frame for every row, hence the lower limit.
-    """
+def strict_week(df: DataFrame, max_rows: int | None = skew.DEFAULT_MAX_ROWS) -> DataFrame:
+    """Count, mean and maximum over the closed last seven days of the card."""
     return skew.by_heat(df, ["card_id"], _week_plain, _week_sliced, max_rows)

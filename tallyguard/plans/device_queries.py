@@ -138,6 +138,21 @@ def f06_mean_interval(spark, sf_dir):
     return payloads(spark, sf_dir).select("card_id", "hour", devices.mean_interval(intervals).alias("mean"))
 
 
+@query(
+    "f03_mobile_signals",
+    f"""WITH {_TRACES} SELECT card_id, hour, 'behavioral.accelSampleCount=' || count(*) FILTER (WHERE nth<=100)
+      || '|behavioral.avgAccelMagnitude=' || printf('%.4f', avg(sqrt(amount*amount + k::DOUBLE*k + (tx_id%10)::DOUBLE*(tx_id%10))) FILTER (WHERE nth<=100))
+      || '|behavioral.avgKeystrokeIntervalMs=' || CAST(CAST(floor(avg(tx_id%4000) FILTER (WHERE nth<=100)+0.5) AS BIGINT) AS VARCHAR)
+      || '|behavioral.avgTouchPressure=' || coalesce(printf('%.4f', avg(k/99.0::DOUBLE) FILTER (WHERE pressed AND nth_pressed<=50)), '0')
+      || '|behavioral.keystrokeCount=' || count(*) FILTER (WHERE nth<=100)
+      || '|behavioral.touchPressureCount=' || count(*) FILTER (WHERE pressed AND nth_pressed<=50) AS signals FROM kept GROUP BY 1,2""",
+)
+def f03_mobile_signals(spark, sf_dir):
+    intervals = F.transform("strokes", lambda s: s % 4000)
+    signals = devices.mobile_signals(F.col("samples"), F.col("pressures"), intervals)
+    return payloads(spark, sf_dir).select("card_id", "hour", _as_text(signals).alias("signals"))
+
+
 @query(
     "w20_last_samples",
     f"""WITH {DENSE} SELECT card_id, string_agg(CAST(tx_id AS VARCHAR), ',' ORDER BY tx_id) AS kept FROM (
@@ -175,6 +190,26 @@ query("w19_keystroke_intervals", _INTERVALS.format(tx=_SQUEEZED))(_intervals())
 query("w19_keystroke_intervals_hot_sessions", _INTERVALS.format(tx=_SQUEEZED))(_intervals(max_rows=50))
 
 
+_HOLDS = """WITH {tx} SELECT session_id, t, seq, hold_ms FROM (
+  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY t DESC, seq DESC) AS r FROM (
+    SELECT card_id%10 AS session_id, ts_ms AS t, tx_id AS seq, tx_id%2=0 AS pressed,
+      lag(tx_id%2=0) OVER w AS was, ts_ms - lag(ts_ms) OVER w AS hold_ms
+    FROM tx WINDOW w AS (PARTITION BY card_id%10 ORDER BY ts_ms, tx_id))
+  WHERE was AND NOT pressed) WHERE r<=100"""
+
+
+def _holds(**options):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        events = _strokes(spark, sf_dir, 300, "card_id%10").withColumn("pressed", F.col("seq") % 2 == 0)
+        return devices.key_holds(events, **options).select("session_id", "t", "seq", "hold_ms")
+
+    return run
+
+
+query("w19_key_holds", _HOLDS.format(tx=_SQUEEZED))(_holds())
+query("w19_key_holds_hot_sessions", _HOLDS.format(tx=_SQUEEZED))(_holds(max_rows=50))
+
+
 _SPACED = """WITH RECURSIVE {tx}, pts AS (SELECT card_id%10 AS session_id, ts_ms AS t, min(tx_id) AS seq FROM tx GROUP BY 1,2),
 kept AS (
   SELECT session_id, min(t) AS t FROM pts GROUP BY 1

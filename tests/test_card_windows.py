@@ -1,5 +1,7 @@
 """Card features against a plain simulation, by both routes, with ties and idle gaps."""
 
+import random
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -111,3 +113,23 @@ def test_one_exchange_and_two_sorts(spark):
     plan = card_features(frame, None)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
     assert plan.count("Sort [") == 2
+
+
+def test_strict_week_by_brute_force(spark):
+    """Ties, exact weeks, gaps of many blocks, missing amounts; the plan has running frames only."""
+    draw = random.Random(5)
+    week = 7 * 86_400_000
+    rows = []
+    for card in range(6):
+        t = draw.randrange(3 * week)
+        for _ in range(60):
+            t += draw.choice([0, 1, week, week + 1, draw.randrange(week // 4), draw.randrange(3 * week)])
+            rows.append((card, len(rows), t, draw.choice([None, *map(float, range(9))])))
+    frame = spark.createDataFrame(rows, "card_id long, tx_id long, ts_ms long, amount double")
+    found = strict_week(frame, None)
+    for row in found.collect():
+        inside = [a for c, _, t, a in rows if c == row.card_id and row.ts_ms - week <= t <= row.ts_ms]
+        assert row.tx_count_7d == len(inside)
+        assert row.max_amount_7d == max((a for a in inside if a is not None), default=None)
+    plan = strict_week(frame, None)._jdf.queryExecution().executedPlan().toString()
+    assert "-604800000, currentrow" not in plan and plan.count("Exchange hashpartitioning") == 1
