@@ -1,6 +1,6 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick on folded text.
 
-The lexicon holds word beginnings (stems). Its weights are log odds from labelled rows, counted by
+The lexicon holds whole words and word beginnings (stems). Its weights are log odds from labelled rows, counted by
 Spark; a small seed list stands in where no labels are given. A text is folded first (lower case,
 homoglyphs, digits written for letters), matches inside exception phrases do not count, and the
 summed weight is divided by a power of the text's length before a logistic curve maps it to 0..1.
@@ -41,12 +41,11 @@ EXCEPTIONS = [
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """``max_rows_per_class`` bounds the labelled sample that weights and curve are fitted on;
-    ``max_terms`` bounds the lexicon. Both are independent of the size of the corpus. A stem needs
-    ``min_evidence``: the log likelihood ratio of its labels against those of all rows."""
+    """``max_rows_per_class`` bounds the labelled sample that weights and curve are fitted on, whatever
+    the size of the corpus, and with it the lexicon: a term needs ``min_docs`` toxic rows of it and
+    ``min_evidence``, the log likelihood ratio of its labels against those of all rows."""
 
     max_rows_per_class: int = 20_000
-    max_terms: int = 5_000
     min_docs: int = 5
     min_log_odds: float = 3.0
     min_evidence: float = 10.0
@@ -57,7 +56,7 @@ class ToxicityParams:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Stem -> weight, and the logistic curve's intercept and slopes (summed weight, share)."""
+    """Term (see ``terms``) -> weight, and the logistic curve's intercept and slopes (summed weight, share)."""
 
     weights: dict[str, float]
     curve: tuple[float, float, float]
@@ -75,19 +74,26 @@ def fold(text: str | None) -> str:
     return (text or "").lower().translate(_FOLD)
 
 
-def stems(text: str | None, stem: tuple[int, int]) -> set[str]:
-    """Word beginnings of ``stem[0]`` to ``stem[1]`` letters in the folded text, whole words included."""
+def terms(text: str | None, stem: tuple[int, int]) -> set[str]:
+    """What a folded text can be known by: its whole words of any length, written ``=word``, and the
+    beginnings of its words of ``stem[0]`` to ``stem[1]`` letters."""
     low, high = stem
-    words = {w for w in _LETTERS.findall(fold(text)) if len(w) >= low}
-    return {w[:k] for w in words for k in range(low, min(high, len(w)) + 1)}
+    words = set(_LETTERS.findall(fold(text)))
+    return {f"={w}" for w in words} | {w[:k] for w in words for k in range(low, min(high, len(w)) + 1)}
 
 
 def build_automaton(model: ToxicityModel) -> ahocorasick.Automaton:
-    found = ahocorasick.Automaton()
+    """Values are (length, weight at the beginning of a word, weight as a whole word, spares)."""
+    entries: dict[str, tuple[float, float, bool]] = {}
     for term, weight in model.weights.items():
-        found.add_word(term, (len(term), weight))
-    for phrase in model.params.exceptions:
-        found.add_word(fold(phrase), (len(phrase), None))
+        word = term.removeprefix("=")
+        begins, whole, _ = entries.get(word, (0.0, 0.0, False))
+        entries[word] = (begins, weight, False) if term != word else (weight, whole, False)
+    for phrase in map(fold, model.params.exceptions):
+        entries[phrase] = (*entries.get(phrase, (0.0, 0.0))[:2], True)
+    found = ahocorasick.Automaton()
+    for word, entry in entries.items():
+        found.add_word(word, (len(word), *entry))
     if len(found):
         found.make_automaton()
     return found
@@ -95,20 +101,21 @@ def build_automaton(model: ToxicityModel) -> ahocorasick.Automaton:
 
 def lexicon_hits(text: str | None, automaton: ahocorasick.Automaton) -> tuple[float, int, int]:
     """(summed weight, matched words, folded length). A match starts where a word starts; of the
-    stems that fit one word the heaviest counts; a word inside an exception phrase counts nothing."""
+    terms that fit one word the heaviest counts; a word inside an exception phrase counts nothing."""
     folded = fold(text)
     if not len(automaton):
         return 0.0, 0, len(folded)
     best: dict[int, float] = {}
     spared: list[tuple[int, int]] = []
-    for end, (size, weight) in automaton.iter(folded):
+    for end, (size, begins, whole, spares) in automaton.iter(folded):
         start = end - size + 1
         if start and folded[start - 1].isalpha():
             continue
-        if weight is None:
-            if end + 1 == len(folded) or not folded[end + 1].isalpha():
-                spared.append((start, end))
-        elif weight > best.get(start, 0.0):
+        ends = end + 1 == len(folded) or not folded[end + 1].isalpha()
+        if spares and ends:
+            spared.append((start, end))
+        weight = max(begins, whole) if ends else begins
+        if weight > best.get(start, 0.0):
             best[start] = weight
     if spared:
         inside = {at for at in best for a, b in spared if a <= at <= b}
@@ -149,11 +156,11 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = None
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for body, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
-                seen[y].update(stems(body, params.stem))
-        terms = list(seen[0].keys() | seen[1].keys())
-        yield {"term": terms, "neg": [seen[0][t] for t in terms], "pos": [seen[1][t] for t in terms]}
+                seen[y].update(terms(body, params.stem))
+        known = list(seen[0].keys() | seen[1].keys())
+        yield {"term": known, "neg": [seen[0][t] for t in known], "pos": [seen[1][t] for t in known]}
 
-    # The sample bounds this: at most 2 * max_rows_per_class texts' stems, added up by term.
+    # The sample bounds this: at most 2 * max_rows_per_class texts' terms, added up by term.
     odds = F.log((F.col("pos") + 0.5) / F.lit(n1 + 1.0)) - F.log((F.col("neg") + 0.5) / F.lit(n0 + 1.0))
     in_toxic = F.col("pos") * F.log(F.col("pos") * (n0 + n1) / ((F.col("pos") + F.col("neg")) * n1))
     in_clean = F.when(F.col("neg") == 0, 0.0).otherwise(F.col("neg") * F.log(F.col("neg") * (n0 + n1) / ((F.col("pos") + F.col("neg")) * n0)))
@@ -164,8 +171,6 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = None
         .filter((F.col("pos") >= params.min_docs) & (in_toxic + in_clean >= params.min_evidence))
         .withColumn("weight", odds)
         .filter(F.col("weight") >= params.min_log_odds)
-        .orderBy(F.desc("weight"), "term")
-        .limit(params.max_terms)
         .select("term", "weight")
         .collect()
     )
@@ -179,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = None
 
     rows = arrow_map(sample, "a double, b double, y int", measure, lambda: build_automaton(model)).groupBy("a", "b", "y").count().collect()
     totals = {r["y"]: r["count"] for r in _marked(labels, folds).groupBy("y").count().collect()}
-    stands_for = {y: max(1.0, total / params.max_rows_per_class) for y, total in totals.items()}
+    stands_for = {y: total / sizes[y] for y, total in totals.items()}
     return ToxicityModel(weights, _logistic(rows, stands_for), params)
 
 

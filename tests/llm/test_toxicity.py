@@ -88,3 +88,33 @@ def test_long_text(spark):
     text = "word " * 200_000
     clean, bad = (tox.score(spark.createDataFrame([(1, t)], "doc_id long, text string"), model).first() for t in (text, text + "idiot"))
     assert clean.tox_hits == 0 and bad.tox_hits == 1 and bad.tox_score >= clean.tox_score
+
+
+def test_hits_by_brute_force():
+    """Every term tried at every place where a word starts; texts of few letters, so terms overlap."""
+    rnd = random.Random(11)
+    draw = lambda low, high: "".join(rnd.choice("abo") for _ in range(rnd.randrange(low, high)))
+    for _ in range(60):
+        weights = {draw(4, 8): rnd.uniform(1, 5) for _ in range(12)} | {"=" + draw(1, 10): rnd.uniform(1, 5) for _ in range(12)}
+        phrases = [f"{draw(1, 5)} {draw(1, 5)}", draw(3, 5)]
+        model = tox.ToxicityModel(weights, (0.0, 0.0, 0.0), tox.ToxicityParams(exceptions=phrases))
+        text = "".join(rnd.choice([draw(1, 9), " ", ", ", "\u0430b0", "A"]) for _ in range(120))
+        folded = tox.fold(text)
+        first = [i for i in range(len(folded)) if folded[i].isalpha() and not (i and folded[i - 1].isalpha())]
+        over = lambda i, word: i + len(word) == len(folded) or not folded[i + len(word)].isalpha()
+        spared = {j for p in phrases for i in first if folded.startswith(p, i) and over(i, p) for j in range(i, i + len(p))}
+        best = {}
+        for i in first:
+            fits = [w for t, w in weights.items() if folded.startswith(t.removeprefix("="), i) and (t[0] != "=" or over(i, t[1:]))]
+            if fits and i not in spared:
+                best[i] = max(fits)
+        total, hits, length = tox.lexicon_hits(text, tox.build_automaton(model))
+        assert (hits, length) == (len(best), len(folded)) and total == pytest.approx(sum(best.values()))
+
+
+def test_short_and_long_words_count(spark):
+    """Marks of two letters, and words that part after their eighth letter only."""
+    rows = [(i, "plain words here " + ("zq xanthophyllous" if i % 4 == 0 else "za xanthophyllite"), int(i % 4 == 0)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = tox.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert set(model.weights) == {"=zq", "=xanthophyllous"}
