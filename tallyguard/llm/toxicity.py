@@ -39,6 +39,10 @@ EXCEPTIONS = [
 ]
 
 
+#: Terms that a task counts before it hands the counts on, to be added up by Spark.
+_TERMS_HELD = 1 << 16
+
+
 @dataclass(frozen=True)
 class ToxicityParams:
     """``max_rows_per_class`` bounds the labelled sample that weights and curve are fitted on, whatever
@@ -154,11 +158,20 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = None
 
     def count(batches):
         seen: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def told() -> dict[str, list]:
+            known = list(seen[0].keys() | seen[1].keys())
+            out = {"term": known, "neg": [seen[0][t] for t in known], "pos": [seen[1][t] for t in known]}
+            for counter in seen:
+                counter.clear()
+            return out
+
         for batch in batches:
             for body, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
                 seen[y].update(terms(body, params.stem))
-        known = list(seen[0].keys() | seen[1].keys())
-        yield {"term": known, "neg": [seen[0][t] for t in known], "pos": [seen[1][t] for t in known]}
+                if len(seen[0]) + len(seen[1]) > _TERMS_HELD:
+                    yield told()
+        yield told()
 
     # The sample bounds this: at most 2 * max_rows_per_class texts' terms, added up by term.
     odds = F.log((F.col("pos") + 0.5) / F.lit(n1 + 1.0)) - F.log((F.col("neg") + 0.5) / F.lit(n0 + 1.0))

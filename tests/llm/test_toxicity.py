@@ -90,6 +90,13 @@ def test_long_text(spark):
     assert clean.tox_hits == 0 and bad.tox_hits == 1 and bad.tox_score >= clean.tox_score
 
 
+def test_counts_handed_on_early_add_up(tables, monkeypatch):
+    docs, labels = tables
+    whole = tox.fit(docs, labels)
+    monkeypatch.setattr(tox, "_TERMS_HELD", 5)
+    assert tox.fit(docs, labels) == whole
+
+
 def test_hits_by_brute_force():
     """Every term tried at every place where a word starts; texts of few letters, so terms overlap."""
     rnd = random.Random(11)
