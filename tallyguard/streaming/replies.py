@@ -1,74 +1,38 @@
-"""Requests and their first reply in time on a stream, decided by an event-time timer per request."""
+"""Requests and their first reply in time on a stream, decided once per stretch of event time."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import DataType, StructType
 
 from tallyguard.session import STATE_STORE
 
 
-class ReplyProcessor(StatefulProcessor):
-    """By transaction: open requests and replies that may still answer one, each by its time.
-
-    A request is answered when the watermark has passed its deadline: by then every reply in time is
-    here, whichever came first. A reply is dropped when no request can be as old as it any more. So
-    nothing is kept longer than the timeout and the watermark's delay.
-    """
-
-    def __init__(self, asked: StructType, payload: StructType, timeout_ms: int):
-        self.asked, self.payload, self.timeout_ms = asked, payload, timeout_ms
-        self.request_names, self.reply_names = asked.fieldNames(), payload.fieldNames()
-        self.result = Row(*asked.fieldNames(), *payload.fieldNames(), "timed_out")
+def _smallest(rows: Column, shape: StructType, ms: str) -> Column:
+    """The row of an array with the smallest time; of several at one time always the same one."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.requests = handle.getMapState("requests", "ms bigint", self.asked)
-        self.replies = handle.getMapState("replies", "ms bigint", self.payload)
+    def first(best: Column, row: Column) -> Column:
+        earlier = (row[ms] < best[ms]) | ((row[ms] == best[ms]) & (row.cast("string") < best.cast("string")))
+        return F.when(best.isNull() | earlier, row).otherwise(best)
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        for row in rows:
-            if row.asked is not None:
-                # Structs of a row come as dictionaries.
-                request = tuple(row.asked[name] for name in self.request_names)
-                self.requests.updateValue((row.asked["request_ms"],), request)
-                self.handle.registerTimer(row.asked["request_ms"] + self.timeout_ms)
-                continue
-            ms, payload = (row.payload["reply_ms"],), tuple(row.payload[name] for name in self.reply_names)
-            # Of several replies at one time always the same one counts.
-            if not self.replies.containsKey(ms) or str(payload) < str(tuple(self.replies.getValue(ms))):
-                self.replies.updateValue(ms, payload)
-            self.handle.registerTimer(ms[0])
-        return iter(())
+    return F.reduce(rows, F.lit(None).cast(shape), first)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        asked_ms = at - self.timeout_ms
-        if self.requests.containsKey((asked_ms,)):
-            asked = tuple(self.requests.getValue((asked_ms,)))
-            self.requests.removeKey((asked_ms,))
-            came = sorted(ms[0] for ms in self.replies.keys() if asked_ms <= ms[0] <= at)
-            payload = tuple(self.replies.getValue((came[0],))) if came else (None,) * len(self.payload)
-            yield self.result(*asked, *payload, not came)
-        # A timer comes for each request and each reply: the last of a transaction clears its state.
-        waiting = [ms[0] for ms in self.requests.keys()]
-        passed = timerValues.getCurrentWatermarkInMs()
-        for ms in [ms[0] for ms in self.replies.keys()]:
-            if ms < passed and not any(asked <= ms <= asked + self.timeout_ms for asked in waiting):
-                self.replies.removeKey((ms,))
 
-    def close(self) -> None:
-        pass
+def _gathered(column: str, shape: DataType) -> Column:
+    # Copies are kept once, but maps cannot be compared.
+    return F.collect_list(column) if "map<" in shape.simpleString() else F.collect_set(column)
 
 
 def stream_replies(requests: DataFrame, replies: DataFrame, timeout_ms: int) -> DataFrame:
     """``requests`` (tx_id, request_ms, happened_at and more) and ``replies`` (tx_id, reply_ms,
-    happened_at and payload), both with a watermark on happened_at: all columns and timed_out."""
+    happened_at and payload), both with a watermark on happened_at: all columns and timed_out.
+
+    Time is cut into windows twice as long as the timeout, a new one beginning after each timeout. A
+    request lies in the first half of exactly one of them, and every reply in time lies in the same
+    window. It is answered once the watermark has passed that window: by then every reply in time is
+    here, whichever came first, and nothing is kept longer than two timeouts and the watermark's delay.
+    """
     spark = requests.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) != STATE_STORE:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
@@ -78,10 +42,15 @@ def stream_replies(requests: DataFrame, replies: DataFrame, timeout_ms: int) ->
     payload = StructType([replies.schema[c] for c in payload_names])
     left = requests.select(F.col("tx_id"), "happened_at", F.struct(*asked_names).alias("asked"), F.lit(None).cast(payload).alias("payload"))
     right = replies.select(F.col("tx_id"), "happened_at", F.lit(None).cast(asked).alias("asked"), F.struct(*payload_names).alias("payload"))
-    optional = [StructField(f.name, f.dataType, True) for f in [*asked.fields, *payload.fields]]
-    return left.unionByName(right).groupBy("tx_id").transformWithState(
-        statefulProcessor=ReplyProcessor(asked, payload, timeout_ms),
-        outputStructType=StructType([*optional, StructField("timed_out", BooleanType())]),
-        outputMode="Append",
-        timeMode="EventTime",
-    )
+    half_ms = max(timeout_ms, 1)
+    span = F.window("happened_at", f"{2 * half_ms} milliseconds", f"{half_ms} milliseconds")
+    rows = left.unionByName(right).select("tx_id", span.alias("span"), "asked", "payload")
+    rows = rows.filter(F.col("asked").isNull() | (F.col("asked.request_ms") < F.unix_millis("span.start") + half_ms))
+    met = rows.groupBy("tx_id", "span").agg(_gathered("asked", asked).alias("asked"), _gathered("payload", payload).alias("came"))
+
+    times = F.array_distinct(F.transform("asked", lambda row: row["request_ms"]))
+    each = F.transform(times, lambda ms: _smallest(F.filter("asked", lambda row: row["request_ms"] == ms), asked, "request_ms"))
+    opened = met.select(F.explode(each).alias("asked"), "came")
+    in_time = F.filter("came", lambda row: row["reply_ms"].between(F.col("asked.request_ms"), F.col("asked.request_ms") + timeout_ms))
+    answered = opened.select("asked", _smallest(in_time, payload, "reply_ms").alias("payload"))
+    return answered.select("asked.*", *[F.col("payload")[c].alias(c) for c in payload_names], F.col("payload").isNull().alias("timed_out"))

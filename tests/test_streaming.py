@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import pytest
 from onnx_bytes import logistic
@@ -200,6 +201,35 @@ def test_first_reply_counts_whichever_batch_it_comes_in(spark, tmp_path):
     ]
 
 
+def test_replies_need_no_call_per_row(spark, tmp_path):
+    """All pairs of random requests and replies over three micro-batches, copies and null ids among
+    them; the work stays in Spark's own aggregation, without a Python call for each row of state."""
+    rng = random.Random(3)
+    asked, came = "tx_id string, request_ms long", "tx_id string, reply_ms long, risk_score int, model_scores map<string,double>"
+    ids = [None, "a", "b", "c"]
+    requests = [(rng.choice(ids), T0 + rng.randrange(1500)) for _ in range(60)]
+    replies = [(rng.choice(ids), T0 + rng.randrange(1500)) for _ in range(60)]
+    replies = [(i, ms, ms % 97, {"m": 0.5} if ms % 2 else None) for i, ms in replies]
+    for part in range(3):
+        put(spark, tmp_path / "q", str(part), requests[part::3] + requests[:5], asked)
+        put(spark, tmp_path / "r", str(part), replies[part::3] + replies[:5], came)
+    put(spark, tmp_path / "q", "far", [("far", T0 + 60_000)], asked)
+    put(spark, tmp_path / "r", "far", [("far", T0 + 50_000, 0, None)], came)
+    put(spark, tmp_path / "q", "end", [("end", T0 + 90_000)], asked)
+    put(spark, tmp_path / "r", "end", [("end", T0 + 90_000, 0, None)], came)
+    joined = flows.correlate_replies(source(spark, tmp_path / "q", asked), source(spark, tmp_path / "r", came))
+    assert "TransformWithState" not in joined._jdf.queryExecution().analyzed().toString()
+    drain(joined, sinks.table_sink(str(tmp_path / "out")), tmp_path, "many-replies")
+    rows = [r for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.tx_id not in ("far", "end")]
+    expected = {}
+    for i, ms in requests:
+        in_time = sorted(r[1:3] for r in replies if r[0] == i and ms <= r[1] <= ms + 45)
+        expected[i, ms] = (False, *in_time[0]) if in_time else (True, None, None)
+    assert {(r.tx_id, r.request_ms): (r.timed_out, r.reply_ms, r.risk_score) for r in rows} == expected
+    assert len(rows) == len(expected)
+    assert all(r.model_scores == ({"m": 0.5} if r.reply_ms is not None and r.reply_ms % 2 else None) for r in rows)
+
+
 def test_reply_route_and_audit(spark, tmp_path):
     row = lambda i, topic: (f"t{i}", "c", "m", 10, "APPROVE", ["X"], {"rule.X": 1.0}, 3, T0, topic)
     from pyspark.sql import types as T
