@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,24 +77,52 @@ DEFAULT_RULES = (
 )
 
 
+def _isolated(score: Callable[[pd.DataFrame], pd.Series], batch: pd.DataFrame) -> pd.arrays.IntegerArray:
+    """The scores of a batch, null for the rows that raise. Pieces write into one result."""
+    values, failed = np.zeros(len(batch), "int64"), np.ones(len(batch), bool)
+    pieces = [(0, len(batch))]
+    while pieces:
+        low, high = pieces.pop()
+        try:
+            found = score(batch if high - low == len(batch) else batch.iloc[low:high])
+            if found.dtype != np.int64:
+                found = found.astype("Int64")
+        except Exception:
+            if low == 0 and high == len(batch) > 1:
+                first, place = _different(batch)
+                if len(first) < len(batch):
+                    return _isolated(score, batch.iloc[first].reset_index(drop=True))[place]
+            if high - low > 1:
+                middle = low + (high - low) // 2
+                pieces += [(low, middle), (middle, high)]
+            continue
+        if len(found) != high - low:
+            raise ValueError(f"{len(found)} scores for {high - low} rows")
+        failed[low:high] = found.isna()
+        values[low:high] = found.fillna(0)
+    return pd.arrays.IntegerArray(values, failed)
+
+
+def _different(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows that differ in some input, and for each row which of them it equals."""
+    # -0.0 equals 0.0, but a rule can tell them apart.
+    signs = [np.signbit(batch[name]) for name in batch.columns if batch[name].dtype.kind == "f"]
+    try:
+        place = batch.groupby([*(batch[name] for name in batch.columns), *signs], dropna=False, sort=False).ngroup().to_numpy()
+    except TypeError:  # lists and structs have no hash
+        place = np.arange(len(batch))
+    return np.unique(place, return_index=True)[1], place
+
+
 def python_rule(name: str, inputs: Sequence[str], score: Callable[[pd.DataFrame], pd.Series]) -> Rule:
     """A rule written in pandas. A batch that raises is halved until only the rows at fault are
-    left; they come out null, the others keep their score."""
+    left; they come out null, the others keep their score. Rows of equal inputs are tried once."""
     names = list(inputs)
 
-    def attempt(batch: pd.DataFrame) -> list[pd.Series]:
-        try:
-            return [score(batch).astype("Int64")]
-        except Exception:
-            if len(batch) <= 1:
-                return [pd.Series([pd.NA] * len(batch), dtype="Int64")]
-            half = len(batch) // 2
-            return attempt(batch.iloc[:half]) + attempt(batch.iloc[half:])
-
     @F.pandas_udf("int")
     def run(batch: pd.DataFrame) -> pd.Series:
         batch.columns = names
-        return pd.concat(attempt(batch), ignore_index=True)
+        return pd.Series(_isolated(score, batch))
 
     return Rule(name, lambda: run(F.struct(*names)))
 

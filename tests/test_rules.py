@@ -1,9 +1,11 @@
 """Tier edges of the rules, sums, fusion and decisions."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tallyguard.operators.rules import DEFAULT_RULES, Rule, python_rule, with_rule_scores
+from tallyguard.operators.rules import DEFAULT_RULES, Rule, _isolated, python_rule, with_rule_scores
 from tallyguard.operators.scoring import ScoringOptions, decision, fused_score, risk_band, score_transactions
 
 HOUR = 3_600_000
@@ -113,6 +115,27 @@ def test_failing_rules_are_left_out(spark):
     assert second.applied_rules == ["VELOCITY", "BROKEN"]
 
 
+def test_pandas_rule_tries_equal_rows_once():
+    calls = []
+
+    def score(batch):
+        calls.append(len(batch))
+        if (np.signbit(batch["a"]) & (batch["a"] == 0)).any() or (batch["b"] == "x").any():
+            raise ValueError("no score")
+        return batch["a"] * 0 + 4
+
+    a = [0.0, -0.0, 1.0, float("nan"), 2.0] * 2000
+    batch = pd.DataFrame({"a": a, "b": (["x"] + ["y"] * 6 + [None]) * 1250})
+    found = _isolated(score, batch)
+    assert len(calls) < 100
+    expected = [None if b == "x" or np.signbit(x) and x == 0 or np.isnan(x) else 4 for x, b in zip(a, batch["b"])]
+    assert [None if v is pd.NA else v for v in found] == expected
+    lists = pd.DataFrame({"a": [1.0, -0.0, 2.0], "b": [["y"], ["y"], ["z"]]})
+    assert [v is pd.NA for v in _isolated(score, lists)] == [False, True, False]
+    with pytest.raises(ValueError, match="scores for"):
+        _isolated(lambda frame: pd.Series([1]), lists)
+
+
 def test_no_rules_and_duplicate_names(spark):
     none = with_rule_scores(frame(spark, {}), []).head()
     assert (none.rule_score, none.applied_rules, none.rule_scores) == (0, [], {})
