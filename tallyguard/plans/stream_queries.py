@@ -302,13 +302,15 @@ def t10_results_over_batches(spark, sf_dir):
     sessions, _ = sessions_and_results(spark, sf_dir)
     sessions = sessions.dropDuplicates(["trans_id"])
     even = F.col("trans_id") % 2 == 0
-    path = fresh_path(spark, "results")
+    opened = as_stream(sessions, "sessions")
+    source, target, checkpoint = [fresh_path(spark, label) for label in ("results", "session-states", "session-states-checkpoint")]
     for ms, ok, bad in ((2, "Y", "N"), (1, "N", "Y")):
         results = sessions.select("trans_id", F.when(even, ok).otherwise(bad).alias("result_status"), F.lit(ms).cast("long").alias("result_ms"))
-        results.coalesce(1).write.mode("append").parquet(path)
-    later_first = file_stream(spark, path, results.schema, files_per_trigger=1)
-    changes = stream_sessions(as_stream(sessions, "sessions"), later_first)
-    told = read(spark, drain(changes, sinks.table_sink, "session-states"))
+        results.write.mode("append").parquet(source)
+        # What is there is one micro-batch, in as many files as the tasks write.
+        changes = stream_sessions(opened, file_stream(spark, source, results.schema))
+        sinks.start(changes, sinks.table_sink(target), checkpoint, f"results-{uuid.uuid4().hex}", available_now=True).awaitTermination()
+    told = read(spark, target)
     return told.groupBy("trans_id").agg(F.array_sort(F.collect_list("state")).alias("states"))
 
 
