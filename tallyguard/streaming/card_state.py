@@ -6,7 +6,8 @@ replace the last country, device and time, and features already emitted stay as
 
 Recent transactions are kept by hour. Counting looks into the hours at the frame edges only and
 takes the hours between by their size, so an update of a busy card rewrites the current hour, not
-the day.
+the day. Every access to the state is a call out of the worker, so hours stay with the card's other
+figures as long as they are small; of a busy card all but the newest few go to a map of hours.
 
 A stream may start from a table: ``card_states`` folds the transactions before a cut into the state
 the processor would hold then, and the first micro-batch takes it over.
@@ -15,7 +16,7 @@ the processor would hold then, and the first micro-batch takes it over.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from operator import itemgetter
 from typing import Any
 
@@ -43,20 +44,28 @@ _FEATURE_TYPES = {
 }
 _CARD = (
     "last_ms bigint, last_country string, last_device string, units bigint, rows bigint, "
-    "merchants array<string>, spilled bigint, hours array<bigint>, sizes array<bigint>, timer_ms bigint"
+    "merchants array<string>, spilled bigint, hours array<bigint>, sizes array<bigint>, "
+    "near_ts array<bigint>, near_merchants array<string>, timer_ms bigint"
 )
 _HEAD = ["last_ms", "last_country", "last_device", "units", "rows", "merchants", "spilled", "hours", "sizes"]
 _INPUTS = ["ts_ms", "tx_id", "merchant_id", "amount", "country", "device"]
 # Merchants held next to the sums; further ones go to a map of their own.
 _MERCHANTS_INLINE = 1_000
+# (time, merchant) pairs of whole hours held next to the sums; beyond them the oldest of these hours
+# go to the map.
+_PAIRS_INLINE = 500
 
 
 class _Recent:
     """Distinct (time, merchant) pairs of the last day, by hour, read on demand."""
 
-    def __init__(self, state: Any, sizes: dict[int, int]):
+    def __init__(self, state: Any, sizes: dict[int, int], near: Iterable[tuple[int, str]] = ()):
         self.state, self.sizes = state, sizes
         self.read: dict[int, list[tuple[int, str]]] = {}
+        for pair in near:
+            self.read.setdefault(pair[0] // HOUR_MS, []).append(pair)
+        #: Hours that are not in the map.
+        self.near = set(self.read)
         self.touched: set[int] = set()
 
     def hour(self, hour: int) -> list[tuple[int, str]]:
@@ -67,6 +76,8 @@ class _Recent:
 
     def add(self, ts: int, merchant: str) -> None:
         hour, pair = ts // HOUR_MS, (ts, merchant)
+        if hour not in self.sizes:
+            self.near.add(hour)
         pairs = self.hour(hour)
         at = len(pairs) if not pairs or pairs[-1] < pair else bisect_left(pairs, pair)
         if at == len(pairs) or pairs[at] != pair:
@@ -88,14 +99,28 @@ class _Recent:
         upto = self.reached(at, "right")
         return list(zip(*[(upto - self.reached(at - oldest, "left")).tolist() for oldest in COUNT_FRAMES.values()]))
 
-    def save(self, oldest_ms: int) -> None:
+    def save(self, oldest_ms: int) -> tuple[list[int], list[str]]:
+        """Writes the map; the pairs that stay out of it, in order."""
         for hour in [h for h in self.sizes if (h + 1) * HOUR_MS <= oldest_ms]:
             del self.sizes[hour]
             self.touched.discard(hour)
-            self.state.removeKey((hour,))
-        for hour in self.touched:
+            if hour in self.near:
+                self.near.discard(hour)
+            else:
+                self.state.removeKey((hour,))
+        held = sorted(self.near)
+        total = sum(self.sizes[hour] for hour in held)
+        for hour in held:
+            if total <= _PAIRS_INLINE:
+                break
+            total -= self.sizes[hour]
+            self.near.discard(hour)
+            self.touched.add(hour)
+        for hour in self.touched - self.near:
             pairs = self.read[hour]
             self.state.updateValue((hour,), ([ts for ts, _ in pairs], [m for _, m in pairs]))
+        near = [pair for hour in sorted(self.near) for pair in self.read[hour]]
+        return [ts for ts, _ in near], [m for _, m in near]
 
 
 class CardFeatureProcessor(StatefulProcessor):
@@ -116,7 +141,7 @@ class CardFeatureProcessor(StatefulProcessor):
             units, count, merchants, spilled, hours, sizes = sums
             timer = last_ms + WEEK_MS
             self.handle.registerTimer(timer)
-            self.card.update((last_ms, country, device, units, count, list(merchants), spilled, list(hours), list(sizes), timer))
+            self.card.update((last_ms, country, device, units, count, list(merchants), spilled, list(hours), list(sizes), [], [], timer))
         elif initialState["part"] == "hour":
             self.recent.updateValue((initialState["hour"],), (list(initialState["ts"]), list(initialState["merchants"])))
         else:
@@ -132,11 +157,11 @@ class CardFeatureProcessor(StatefulProcessor):
         known = self.card.get()
         if known is None:
             last_ms, country, device, units, count, timer = None, "", "", 0, 0, None
-            merchants, spilled, sizes = set(), 0, {}
+            merchants, spilled, sizes, near = set(), 0, {}, ()
         else:
-            last_ms, country, device, units, count, held, spilled, hours, hour_sizes, timer = known
-            merchants, sizes = set(held), dict(zip(hours, hour_sizes))
-        recent = _Recent(self.recent, sizes)
+            last_ms, country, device, units, count, held, spilled, hours, hour_sizes, near_ts, near_merchants, timer = known
+            merchants, sizes, near = set(held), dict(zip(hours, hour_sizes)), zip(near_ts, near_merchants)
+        recent = _Recent(self.recent, sizes, near)
         for (ts, _, seller, *_), _ in batch:
             recent.add(ts, str(seller))
         out = []
@@ -169,12 +194,12 @@ class CardFeatureProcessor(StatefulProcessor):
             if idle is None or idle >= 0:
                 last_ms, country, device = ts, here, gadget or ""
         # Rows behind this watermark are dropped from now on: nothing older can be asked for.
-        recent.save(timerValues.getCurrentWatermarkInMs() - DAY_MS)
+        near = recent.save(timerValues.getCurrentWatermarkInMs() - DAY_MS)
         if timer is None:
             timer = last_ms + WEEK_MS
             self.handle.registerTimer(timer)
         self.card.update(
-            (last_ms, country, device, units, count, sorted(merchants), spilled, list(sizes), list(sizes.values()), timer)
+            (last_ms, country, device, units, count, sorted(merchants), spilled, list(sizes), list(sizes.values()), *near, timer)
         )
         return iter(out)
 
