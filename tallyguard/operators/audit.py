@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tallyguard.functions.requests import error_text, known_decision
 from tallyguard.functions.text import year_month
@@ -100,14 +102,32 @@ def upsert_batch(rows: DataFrame, path: str, batch_id: int, writer: str = "batch
     )
 
 
-def current_rows(spark: SparkSession, path: str, event_time: str | None = "ts") -> DataFrame:
+def written_batch(spark: SparkSession, path: str, batch_id: int, writer: str, schema: StructType) -> DataFrame | None:
+    """The rows that ``upsert_batch`` wrote for one batch, read from its folder alone; None where it
+    had no rows."""
+    typed = StructType([*schema.fields, StructField("writer", StringType()), StructField("batch_id", LongType())])
+    try:
+        rows = spark.read.schema(typed).option("basePath", path).parquet(f"{path.rstrip('/')}/writer=*/batch_id={batch_id}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return rows.filter(F.col("writer") == writer).select(*schema.names)
+
+
+def current_rows(spark: SparkSession, path: str, event_time: str | None = "ts", columns: Sequence[str] | None = None) -> DataFrame:
     """The table with one row per transaction: the last state by event time where the table has
-    that column, else by batch; of equal ones always the same."""
+    that column, else by batch; of equal ones always the same. ``columns`` beside tx_id are all that
+    is exchanged (all of the table if not given); rows are told apart by a hash of the whole row."""
     rows = spark.read.parquet(path).withColumn("batch_id", F.col("batch_id").cast("long"))
     own = [c for c in rows.columns if c not in ("writer", "batch_id")]
-    rows = rows.withColumns({"_base": F.col("writer") != COMPACTED, "_tie": F.to_json(F.struct(*own))})
-    times = [event_time] if event_time in own else []
-    return latest_per_key(rows, ["tx_id"], [*times, "_base", "batch_id", "_tie"]).select(*own)
+    kept = own if columns is None else ["tx_id", *[c for c in columns if c != "tx_id"]]
+    times = [F.col(event_time).alias("_time")] if event_time in own else []
+    tie = F.unhex(F.sha2(F.to_json(F.struct(*own)), 256)).alias("_tie")
+    rows = rows.select(*kept, *times, (F.col("writer") != COMPACTED).alias("_base"), F.col("batch_id").alias("_batch"), tie)
+    order = [c for c in rows.columns if c not in kept]
+    newest = F.max_by(F.struct(*[c for c in kept if c != "tx_id"]), F.struct(*order))
+    return rows.groupBy("tx_id").agg(newest.alias("_newest")).select("tx_id", "_newest.*").select(*kept)
 
 
 def compact(spark: SparkSession, path: str, target: str) -> None:
@@ -163,7 +183,7 @@ def write_monthly(rows: DataFrame, path: str, ts_ms: str = "ts_ms", files: int |
 def append_monthly(rows: DataFrame, path: str, batch_id: int, writer: str = "batch", ts_ms: str = "ts_ms") -> None:
     """One batch of a stream into the month table, its files in the order of ``write_monthly``; writing
     the same batch again replaces it. Batches of one ``writer`` (see ``upsert_batch``) never touch
-    those of another. The range exchange looks at the rows twice: pass a batch that is persisted."""
+    those of another. The range exchange looks at the rows twice: pass a batch that is persisted or a table."""
     order = ["yyyymm", *[c for c in ("card_id", ts_ms, "tx_id") if c in rows.columns]]
     ranged = rows.withColumn("yyyymm", year_month(F.col(ts_ms))).repartitionByRange(*order).sortWithinPartitions(*order)
     (

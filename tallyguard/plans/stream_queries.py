@@ -348,8 +348,8 @@ def s09_stream_audit_and_analytics(spark, sf_dir):
     rows = decision_table(spark, sf_dir)
     twice = as_stream(rows.unionByName(rows), "decisions-in")
     target = drain(twice, lambda path: sinks.audit_sink(f"{path}/audit", f"{path}/analytics"), "audited")
-    kept = audit.current_rows(spark, f"{target}/audit").select("tx_id", "decision", "risk_score")
-    return kept.join(audit.current_rows(spark, f"{target}/analytics").select("tx_id", "country"), "tx_id")
+    kept = audit.current_rows(spark, f"{target}/audit", columns=["decision", "risk_score"])
+    return kept.join(audit.current_rows(spark, f"{target}/analytics", columns=["country"]), "tx_id")
 
 
 @query("s02_decision_stream", on_scores("SELECT tx_id, merchant_id, decision, risk_score, ts_ms AS decision_ms FROM scored", with_p=True))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from tallyguard.operators.audit import Failure, analytics_rows, append_monthly, audit_rows, split_dead_letters, upsert_batch
+from tallyguard.operators.audit import Failure, analytics_rows, append_monthly, audit_rows, split_dead_letters, upsert_batch, written_batch
 from tallyguard.streaming.sources import TOPICS
 
 BatchSink = Callable[[DataFrame, int], None]
@@ -75,15 +75,18 @@ def month_sink(path: str, writer: str = "stream", ts_ms: str = "ts_ms") -> Batch
 
 def audit_sink(audit_path: str, analytics_path: str, writer: str = "stream") -> BatchSink:
     """Decisions to the audit table (upsert by transaction) and to the analytics table (by month);
-    ``writer`` as for ``table_sink``."""
+    ``writer`` as for ``table_sink``. The micro-batch is evaluated once and held nowhere: the narrow
+    analytics rows come from what was written to the audit table."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = audit_rows(batch)
         upsert_batch(rows, audit_path, batch_id, writer)
-        timed = analytics_rows(rows).withColumn("ts_ms", F.unix_millis("ts"))
-        append_monthly(timed, analytics_path, batch_id, writer)
+        written = written_batch(batch.sparkSession, audit_path, batch_id, writer, rows.schema)
+        if written is not None:
+            timed = analytics_rows(written).withColumn("ts_ms", F.unix_millis("ts"))
+            append_monthly(timed, analytics_path, batch_id, writer)
 
-    return each(write)
+    return write
 
 
 def dead_letter_sink(good: BatchSink, dead: BatchSink, errors: Column, group: str, topic: str = TOPICS["raw"]) -> BatchSink:

@@ -6,16 +6,17 @@ import random
 
 import pytest
 from onnx_bytes import logistic
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tallyguard import schemas
 from tallyguard.functions import requests
 from tallyguard.operators import audit
-from tallyguard.operators.card_windows import FEATURES, card_features
+from tallyguard.operators.card_windows import COUNT_FRAMES, FEATURES, card_features
 from tallyguard.operators.model import feature_vector, newest_model, onnx_probability, train_trees, with_ml_probability
 from tallyguard.streaming import flows, sinks, sources
-from tallyguard.streaming.card_state import card_states, stream_card_features
-from tallyguard.streaming.sessions import stream_sessions
+from tallyguard.streaming.card_state import _Recent, card_states, stream_card_features
+from tallyguard.streaming.sessions import SessionProcessor, stream_sessions
 
 SCHEMA = "tx_id long, card_id string, ts_ms long, amount double, merchant_id string, mcc string, channel string, country string, device string"
 T0 = 1_700_000_100_000
@@ -247,6 +248,103 @@ def test_reply_route_and_audit(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "flat")).count() == 2
 
 
+def test_audit_sink_evaluates_a_batch_once_and_holds_none_of_it(spark, tmp_path, monkeypatch):
+    rows = [(f"t{i}", "c", "m", 10, "APPROVE", ["X"], {"rule.X": 1.0}, 3, T0 + i) for i in range(50)]
+    read = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda tx_id: read.add(1) or tx_id)
+    batch = spark.createDataFrame(rows, schemas.FRAUD_DECISION).withColumn("tx_id", counted("tx_id"))
+
+    def held(*_):
+        raise AssertionError("the whole micro-batch would be held")
+
+    monkeypatch.setattr(type(batch), "persist", held)
+    sink = sinks.audit_sink(str(tmp_path / "audit"), str(tmp_path / "flat"), "w=1")
+    sink(batch, 7)
+    assert read.value == 50
+    sink(batch, 7)
+    sink(batch.filter("tx_id = 'none'"), 8)
+    for table in ("audit", "flat"):
+        found = spark.read.parquet(str(tmp_path / table))
+        assert found.count() == 50 and audit.current_rows(spark, str(tmp_path / table)).count() == 50
+    named = audit.current_rows(spark, str(tmp_path / "audit"), columns=["decision"])
+    assert named.columns == ["tx_id", "decision"] and named.count() == 50
+
+
+class Counted:
+    """A value or map state that counts its accesses."""
+
+    def __init__(self):
+        self.value, self.map, self.calls = None, {}, 0
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.map.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.map[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.map[key]
+
+
+def test_sessions_of_a_bucket_cost_two_accesses():
+    processor = SessionProcessor()
+    state = Counted()
+    processor.init(type("Handle", (), {"getValueState": lambda *_: state}))
+    row = Row("trans_id", "risk_score", "result_status", "result_ms")
+    opened = [row(f"s{i}", i, None, None) for i in range(100)] + [row(None, 1, None, None)]
+    first = list(processor.handleInputRows((1,), iter([*[row(f"s{i}", None, "Y", 2) for i in range(0, 120)], *opened]), None))
+    assert state.calls == 2 and len(first) == 221
+    assert {r.trans_id for r in first if r.state == "NOT_FOUND"} == {f"s{i}" for i in range(100, 120)}
+    later = list(processor.handleInputRows((1,), iter([row("s3", None, "N", 1), row("s4", None, "N", 3), row(None, None, "N", None)]), None))
+    assert [tuple(r) for r in sorted(later, key=lambda r: str(r.trans_id))] == [(None, "FAILED", "N", "07"), ("s4", "FAILED", "N", "07")]
+    assert list(processor.handleInputRows((1,), iter([row("s4", None, "Y", 2)]), None)) == []
+    assert state.calls == 5
+
+
+def test_hours_of_a_card_stay_with_it_while_they_are_small():
+    state, sizes, near = Counted(), {}, ()
+    rows = random.Random(5).choices(range(0, 48 * HOUR, 60_000), k=300)
+    recent = _Recent(state, sizes, near)
+    for at in rows:
+        recent.add(at, "m")
+    near = recent.save(-1)
+    assert state.calls == 0 and near[0] == sorted(set(rows))
+    busy = [50 * HOUR + i for i in range(900)]
+    recent = _Recent(state, sizes, zip(*near))
+    for at in busy:
+        recent.add(at, "m")
+    near = recent.save(-1)
+    assert near == ([], []) and sum(len(ts) for ts, _ in state.map.values()) == len(set(rows)) + 900
+    recent = _Recent(state, sizes, zip(*near))
+    recent.add(51 * HOUR, "m")
+    expected = sorted({*rows, *busy, 51 * HOUR})
+    assert recent.counts([51 * HOUR])[0] == tuple(sum(t >= 51 * HOUR - o for t in expected) for o in COUNT_FRAMES.values())
+    recent.save(51 * HOUR)
+    assert state.map == {} and set(sizes) == {51}
+
+
+def test_busy_card_over_batches(spark, tmp_path):
+    """More rows a day than a card holds inline, in three micro-batches."""
+    rows = [tx(i, f"c{i % 2}", T0 + i * 40_000, merchant=f"m{i % 7}") for i in range(2400)]
+    for part in range(3):
+        put(spark, tmp_path / "in", str(part), rows[part * 800 : (part + 1) * 800])
+    out = str(tmp_path / "out")
+    drain(flows.enrich(source(spark, tmp_path / "in")), sinks.table_sink(out), tmp_path, "busy")
+    batch = card_features(spark.createDataFrame(rows, SCHEMA), None)
+    assert features_of(spark, out) == {r["tx_id"]: tuple(r[f] for f in FEATURES) for r in batch.collect()}
+
+
 def test_two_queries_in_one_session(spark, tmp_path):
     put(spark, tmp_path / "in", "1", spread(20))
     schema = "tx_id string, merchant_id string, decision string, risk_score int, decision_ms long"
