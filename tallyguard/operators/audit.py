@@ -118,12 +118,12 @@ def written_batch(spark: SparkSession, path: str, batch_id: int, writer: str, sc
 def current_rows(spark: SparkSession, path: str, event_time: str | None = "ts", columns: Sequence[str] | None = None) -> DataFrame:
     """The table with one row per transaction: the last state by event time where the table has
     that column, else by batch; of equal ones always the same. ``columns`` beside tx_id are all that
-    is exchanged (all of the table if not given); rows are told apart by a hash of the whole row."""
+    is exchanged (all of the table if not given), with the row's text to tell equal ones apart."""
     rows = spark.read.parquet(path).withColumn("batch_id", F.col("batch_id").cast("long"))
     own = [c for c in rows.columns if c not in ("writer", "batch_id")]
     kept = own if columns is None else ["tx_id", *[c for c in columns if c != "tx_id"]]
     times = [F.col(event_time).alias("_time")] if event_time in own else []
-    tie = F.unhex(F.sha2(F.to_json(F.struct(*own)), 256)).alias("_tie")
+    tie = F.to_json(F.struct(*own)).alias("_tie")
     rows = rows.select(*kept, *times, (F.col("writer") != COMPACTED).alias("_base"), F.col("batch_id").alias("_batch"), tie)
     order = [c for c in rows.columns if c not in kept]
     newest = F.max_by(F.struct(*[c for c in kept if c != "tx_id"]), F.struct(*order))
