@@ -2,7 +2,9 @@
 
 1. Texts are read once into blocks of word numbers. Every block asks, by hash range, for the counts
    of its words: a word below the least count is in no phrase that reaches it, so it ends a piece
-   like a full stop does. What is left are stretches.
+   like a full stop does. Then pairs are counted by range, and two words whose pair is below the
+   least count are parted too: frequent pairs have a bit each in a bitmap of fixed size, and a bit
+   that two pairs share only lets more through. What is left are stretches.
 2. Each place of a stretch is the start of one edge: the longest gram (``most_words`` words) where
    the stretch goes on for so long, and what is left of it at its end. A long gram joins two nodes,
    its words without the last and without the first. Equal edges are added up, in the block first,
@@ -14,7 +16,7 @@
 4. A node whose whole flow runs through one longer neighbour lies on a path without branches and is
    merged into it. What remains is scored at its weakest cut.
 
-Texts, words and edges move as packed lists; none of them is broadcast, or collected by the driver.
+Texts, words, pairs and edges move as packed lists; none of them is broadcast, or collected by the driver.
 """
 
 from __future__ import annotations
@@ -43,13 +45,15 @@ _STREAM, _LANG = -1, -2
 @dataclass(frozen=True)
 class PhraseParams:
     """Phrases of 2 to ``most_words`` words (5 at most here) that occur ``least_count`` times in their
-    language; the first ``top`` of each language are returned (None: all)."""
+    language; the first ``top`` of each language are returned (None: all). 2**26 bits for pairs
+    (``pair_bits``) are 8 MB at any size of the input."""
 
     least_count: int = 100
     most_words: int = 5
     top: int | None = 2000
-    block_chars: int = 24 << 20
+    block_chars: int = 16 << 20
     range_chars: int = 24 << 20
+    pair_bits: int = 26
 
 
 def _zip(values: np.ndarray) -> bytes:
@@ -235,27 +239,108 @@ def _unzip_edges(data: bytes, most: int) -> np.ndarray:
     return columns.T
 
 
-def _edges(blocks: DataFrame, words: DataFrame, params: PhraseParams, parts: int) -> DataFrame:
-    """Each block's edges, parted by the range of their first three words."""
+def pairs_of(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, keys) of the words of ``stream`` that a word follows; a key is both numbers in one."""
+    at = np.flatnonzero((stream[:-1] >= 0) & (stream[1:] >= 0))
+    return at, stream[at].astype(np.int64) << 32 | stream[at + 1]
+
+
+def _pair_slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    h = keys.astype(np.uint64) * _MIX
+    return (h ^ h >> np.uint64(32)) * _MIX >> np.uint64(64 - bits)
+
+
+def broken(stream: np.ndarray, full: np.ndarray, bits: int) -> np.ndarray:
+    """``stream`` with a break between two words whose pair has no bit in ``full``."""
+    at, keys = pairs_of(stream)
+    rare = np.empty(len(at), bool)
+    for i in range(0, len(at), 1 << 18):
+        slots = _pair_slots(keys[i : i + (1 << 18)], bits)
+        rare[i : i + (1 << 18)] = (full[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) == 0
+    return np.insert(stream, at[rare] + 1, _END)
+
+
+def _stretches(blocks: DataFrame, words: DataFrame) -> DataFrame:
+    """Each block's stream in final numbers, cut at rare words."""
 
     def run(streams: pa.Table, answers: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if streams.num_rows and answers.num_rows:
-            block = streams.column("block")[0].as_py()
             part = _unzip(streams.column("counts")[0].as_py(), np.int32)
             told = dict(zip(answers.column("part").to_pylist(), answers.column("body").to_pylist()))
             final = np.full(len(part) + 1, _END, np.int32)
             for p, places in _spans(part):
                 final[places] = _unzip(told[p], np.int32)
             stream = final[_unzip(streams.column("body")[0].as_py(), np.int32)]
-            edges, weights = edges_of(stream, params.most_words)
-            third = edges[:, 2] if params.most_words > 2 else np.full(len(edges), -1)
-            for p, places in _spans(_range_of(parts, edges[:, 0], edges[:, 1], third)):
-                rows.append((block, p, _zip_edges(edges[places]), _zip(weights[places]), len(places)))
+            rows.append((streams.column("block")[0].as_py(), _STREAM, _zip(stream), None, None))
         return _table(rows)
 
     streams = blocks.filter(F.col("part") == _STREAM)
-    return streams.groupBy("block").cogroup(words.filter("block >= 0").groupBy("block")).applyInArrow(run, _PACKED)
+    return stored(streams.groupBy("block").cogroup(words.filter("block >= 0").groupBy("block")).applyInArrow(run, _PACKED), "phrase-stretches")
+
+
+def _packed_by_range(block: int, grams: np.ndarray, weights: np.ndarray, part: np.ndarray) -> dict[str, list]:
+    """Sorted grams of a block with their weights, a row for each range."""
+    spans = _spans(part)
+    return {
+        "block": [block] * len(spans),
+        "part": [p for p, _ in spans],
+        "body": [_zip_edges(grams[x]) for _, x in spans],
+        "counts": [_zip(weights[x]) for _, x in spans],
+        "n": [len(x) for _, x in spans],
+    }
+
+
+def _pairs(stretches: DataFrame, parts: int) -> DataFrame:
+    """Each block's pairs, parted by range."""
+
+    def run(batches):
+        for batch in batches:
+            for block, body in zip(batch.column("block").to_pylist(), batch.column("body").to_pylist()):
+                keys, counts = np.unique(pairs_of(_unzip(body, np.int32))[1], return_counts=True)
+                pairs = np.stack([keys >> 32, keys & 0xFFFFFFFF], axis=1).astype(np.int32)
+                yield _packed_by_range(block, pairs, counts.astype(np.int32), _range_of(parts, pairs[:, 0], pairs[:, 1]))
+
+    return arrow_map(stretches, _PACKED, run)
+
+
+def _frequent_pairs(pairs: DataFrame, params: PhraseParams) -> np.ndarray:
+    """A bit for each pair that reaches the least count, at its hash, in 64-bit words. They are merged
+    by key on the executors; the driver gets 2**pair_bits / 64 of them at most, at any size."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        lists = [_unzip_edges(x, 2).astype(np.int64) for x in table.column("body").to_pylist()]
+        keys = np.concatenate([x[:, 0] << 32 | x[:, 1] for x in lists])
+        turn = np.argsort(keys, kind="stable")
+        keys = keys[turn]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        total = np.add.reduceat(np.concatenate([_unzip(x, np.int32) for x in table.column("counts").to_pylist()])[turn], first, dtype=np.int64)
+        slots = np.unique(_pair_slots(keys[first[total >= params.least_count]], params.pair_bits))
+        word, start = np.unique(slots >> np.uint64(6), return_index=True)
+        ones = np.uint64(1) << (slots & np.uint64(63))
+        bits = np.bitwise_or.reduceat(ones, start) if len(start) else ones
+        return pa.table({"word": pa.array(word.astype(np.int64)), "bits": pa.array(bits.view(np.int64))})
+
+    own = pairs.select("part", "body", "counts").groupBy("part").applyInArrow(answer, "word long, bits long")
+    words = own.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    full = np.zeros(1 << (params.pair_bits - 6), np.uint64)
+    full[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return full
+
+
+def _edges(stretches: DataFrame, params: PhraseParams, parts: int) -> DataFrame:
+    """Each block's edges, parted by the range of their first three words."""
+    frequent = stretches.sparkSession.sparkContext.broadcast(_frequent_pairs(_pairs(stretches, parts), params))
+
+    def run(batches):
+        for batch in batches:
+            for block, body in zip(batch.column("block").to_pylist(), batch.column("body").to_pylist()):
+                stream = broken(_unzip(body, np.int32), frequent.value, params.pair_bits)
+                edges, weights = edges_of(stream, params.most_words)
+                third = edges[:, 2] if params.most_words > 2 else np.full(len(edges), -1)
+                yield _packed_by_range(block, edges, weights, _range_of(parts, edges[:, 0], edges[:, 1], third))
+
+    return arrow_map(stretches, _PACKED, run)
 
 
 def flows(edges: np.ndarray, weights: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -357,7 +442,7 @@ def collocations(docs: DataFrame, params: PhraseParams | None = None, text: str
     parts = min(4096, pieces(rows.agg(F.sum(F.length("text"))).first()[0], params.range_chars))
     blocks = _blocks(rows, params, parts)
     words = _frequent_words(blocks.filter("part >= 0"), params, parts)
-    grams = _grams(_edges(blocks, words, params, parts), params, parts)
+    grams = _grams(_edges(_stretches(blocks, words), params, parts), params, parts)
     vocabulary = _word_table(words, parts)
     totals = blocks.filter(F.col("part") == _LANG).groupBy(F.decode("body", "utf-8").alias("lang")).agg(F.sum("n").alias("n"))
     counted = stored(grams.select("w", "f").union(vocabulary.select(F.array("id").alias("w"), "f")), "phrase-counts")

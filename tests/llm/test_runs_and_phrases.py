@@ -118,6 +118,26 @@ def test_phrases_against_counting(spark, monkeypatch):
     assert collocations(frame(spark, []), params).count() == 0
 
 
+@pytest.mark.parametrize("bits", [6, 26])
+def test_rare_pairs_move_no_edges(spark, monkeypatch, bits):
+    rnd = random.Random(8)
+    names = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*rnd.sample(names, 40), "a", "b", "c"]), "en") for i in range(60)]
+    moved, grams = [], co._grams
+
+    def counted(edges, *rest):
+        edges = edges.cache()
+        moved.append(edges.agg({"n": "sum"}).first()[0])
+        return grams(edges, *rest)
+
+    monkeypatch.setattr(co, "_grams", counted)
+    found = sorted(tuple(r) for r in collocations(frame(spark, rows), PhraseParams(least_count=20, block_chars=3000, range_chars=4000, pair_bits=bits)).collect())
+    assert found == brute_phrases(rows, 20) and [r[2] for r in found] == ["a b c"]
+    # Every word is frequent, of the pairs in 2520 places only two; bits that pairs share let some more through.
+    blocks = -(-sum(len(r[1]) for r in rows) // 3000) + 8
+    assert moved[0] <= 2 * blocks or bits == 6
+
+
 def test_flow_counts_shorter_phrases():
     import numpy as np
 
