@@ -39,7 +39,7 @@ class LinkRule:
 
     num: int = 75
     den: int = 100
-    few: int = 8
+    few: int = 64
     levels: int = 2
 
     def least_overlap(self, n: int) -> int:
@@ -195,14 +195,15 @@ def _family_links(families: DataFrame, sets: DataFrame, rule: LinkRule) -> tuple
 def links(pairs: DataFrame, families: DataFrame, sets: DataFrame, rule: LinkRule) -> DataFrame:
     """(a, b): links that join every component of the similarity graph over the sets' units, given
     the pairs and families in which all linked units meet."""
-    found = [verified(pairs, sets, rule)]
+    # Each part is written by itself: one plan of all of them is planned again after every stage of it.
+    found = [stored(verified(pairs, sets, rule), "verified")]
     families = stored(families, "families")
     for level in range(rule.levels):
         if families.isEmpty():
             break
         stars, meetings = _family_links(families, sets, rule)
         pairs, deeper = met(stored(meetings, "family-meetings"), rule, last=level + 1 == rule.levels)
-        found += stars, verified(pairs, sets, rule)
+        found += stored(stars, "stars"), stored(verified(pairs, sets, rule), "verified")
         if deeper is None:
             break
         families = stored(deeper, "families")

@@ -40,8 +40,9 @@ class JoinParams:
     den: int = 100
     block_chars: int = 16 << 20
     range_shingles: int = 4 << 20
-    #: Up to so many sets at a shingle are paired; beyond it they are a family.
-    many: int = 8
+    #: Up to so many sets at a shingle are paired; beyond it they are a family. A pair costs one row,
+    #: a family's member a row for each element of its difference, and a set is in many families.
+    many: int = 64
     #: Word sequences that one task remembers to send once; beyond it, copies are sent again.
     seen: int = 1_000_000
 

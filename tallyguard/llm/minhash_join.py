@@ -51,6 +51,8 @@ class SignatureParams:
     seed: int = 20_11
     #: Up to so many sets at a lookup key are paired; beyond it they are joined by rare shingles.
     many: int = 8
+    #: Up to so many of those sets are paired at a rare shingle; beyond it they are a family.
+    dense: int = 64
     #: Signatures that one task remembers, so that copies are not hashed again.
     seen: int = 50_000
 
@@ -174,7 +176,7 @@ def signature_links(rows: DataFrame, signed: DataFrame, params: SignatureParams)
     sets = stored(_full_sets(rows, units.join(paired, "unit", "left_semi").select("unit", "id"), params), "sets")
     crowded = met.filter(F.col("crowd") > params.many).select("unit").distinct()
     texts = rows.join(units.join(crowded, "unit", "left_semi").select("id").distinct(), "id", "left_semi")
-    dense = JoinParams(width=params.width, num=params.num, den=params.den, many=params.many)
+    dense = JoinParams(width=params.width, num=params.num, den=params.den, many=params.dense)
     return verified(pairs, sets, params.rule).union(similar_links(shingle_sets(texts, dense), dense))
 
 

@@ -123,6 +123,16 @@ def test_family_work_grows_in_proportion(spark, monkeypatch):
     assert sizes[1] < 2.6 * sizes[0]
 
 
+def test_crowds_of_some_dozen_are_paired(spark, monkeypatch):
+    made, plain = [], fl.stored
+    monkeypatch.setattr(fl, "stored", lambda df, label, *by: made.append(label) or plain(df, label, *by))
+    rows = list(enumerate(family(40, 3)))
+    for params, families in ((SignatureParams(), False), (SignatureParams(many=3, dense=3), True)):
+        found = near_duplicates(frame(spark, rows), params).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found), key=str) == brute(rows, 85)
+        assert ("differences" in made) == families
+
+
 def test_differences_decide_links():
     """The bound on which families rest, for all pairs of small sets and any centre."""
     rule, rnd = fl.LinkRule(75, 100), random.Random(2)
