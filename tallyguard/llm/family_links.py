@@ -116,23 +116,46 @@ def met(meetings: DataFrame, rule: LinkRule, last: bool = False) -> tuple[DataFr
     """(pairs, families) of ``meetings`` (h, unit, n, g, d, at, open, size): pairs (a, b) of units
     where at most ``few`` meet, and (p, unit, n) with the pivot p where more do. A unit stands for
     ``size`` sets of one size. ``last``: all are paired."""
-    crowd = meetings.groupBy("h").agg(
-        F.sum("size").alias("crowd"), F.max("open").alias("any"), F.count(F.lit(1)).alias("units"), F.min(F.struct("g", "unit")).alias("first")
-    )
-    crowd = crowd.filter(F.col("any") & ((F.col("units") > 1) | (F.col("crowd") > rule.few))).select("h", "crowd", F.col("first.unit").alias("p"))
+    crowd = meetings.groupBy("h").agg(F.sum("size").alias("crowd"), F.max("open").alias("any"), F.count(F.lit(1)).alias("units"))
+    crowd = crowd.filter(F.col("any") & ((F.col("units") > 1) | (F.col("crowd") > rule.few))).select("h", "crowd")
     placed = stored(meetings.join(crowd, "h"), "meetings")
     if last:
         return _together(placed, rule).distinct(), None
     pairs = _together(placed.filter(F.col("crowd") <= rule.few), rule).distinct()
-    return pairs, placed.filter(F.col("crowd") > rule.few).select("p", "unit", "n").distinct()
+    return pairs, _gathered(placed.filter(F.col("crowd") > rule.few).select("h", "unit", "n"))
+
+
+def _gathered(crowded: DataFrame) -> DataFrame:
+    """(p, unit, n): the families of the crowded keys (h, unit, n). A key's pivot is the member that meets
+    others at the most crowded keys, so that the keys of one group of copies have one pivot, and a
+    member is in a few families instead of one for each of its keys. A pivot that shares at least a
+    quarter of its keys with another's family gives its own keys up to that."""
+    crowded = stored(crowded, "crowded")
+    rank = stored(crowded.groupBy("unit").agg(F.count(F.lit(1)).alias("keys"), F.min("n").alias("n")), "ranks")
+    order = F.struct("keys", (-F.col("n")).alias("small"), "unit")
+    first = stored(crowded.select("h", "unit").join(rank, "unit").groupBy("h").agg(F.max(order).alias("first")), "pivots")
+    pivots = first.select(F.col("first.unit").alias("unit"), F.col("first").alias("own")).distinct()
+    shared = crowded.select("h", "unit").join(pivots, "unit").join(first, "h").filter("first > own").groupBy("unit", "own", "first").agg(F.count(F.lit(1)).alias("both"))
+    shared = shared.filter(F.col("both") * 4 >= F.col("own.keys")).groupBy("unit").agg(F.max(F.struct("both", "first")).alias("to"))
+    moves = stored(shared.select(F.col("unit").alias("p"), F.col("to.first.unit").alias("to")), "moves")
+    # A pivot moves to one of higher rank, which may move in turn: two steps gather nearly all of them.
+    chosen = first.select("h", F.col("first.unit").alias("p"))
+    for _ in range(2):
+        chosen = chosen.join(moves, "p", "left").select("h", F.coalesce("to", "p").alias("p"))
+    return crowded.join(chosen, "h").select("p", "unit", "n").distinct()
 
 
 def _banded(families: DataFrame, rule: LinkRule) -> DataFrame:
     """(fam, p, unit): families parted by size. Linked sets lie in one band of sizes or in two
     neighbouring ones, so each unit goes to its own band and to the next; a band is a little wider
-    than the ratio of two linked sizes, so rounding cannot part them."""
+    than the ratio of two linked sizes, so rounding cannot part them. A band's family that would only
+    repeat a part of the next one's is left out."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(rule.den / rule.num) * 1.001)))
-    both = families.select("p", "unit", F.explode(F.array(band, band + 1)).alias("band"))
+    placed = families.select("p", "unit", band.alias("own"))
+    held = placed.groupBy("p").agg(F.collect_set("own").alias("held"))
+    has = lambda b: F.array_contains("held", b)
+    needed = F.filter(F.array(F.col("own"), F.col("own") + 1), lambda b: has(b) & (has(b - 1) | ~has(b + 1)))
+    both = placed.join(held, "p").select("p", "unit", F.explode(needed).alias("band"))
     return both.select(F.xxhash64("p", "band").alias("fam"), "p", "unit")
 
 

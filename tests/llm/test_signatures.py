@@ -123,6 +123,32 @@ def test_family_work_grows_in_proportion(spark, monkeypatch):
     assert sizes[1] < 2.6 * sizes[0]
 
 
+def test_members_are_in_few_families(spark, monkeypatch):
+    made, plain = [], fl.stored
+
+    def counted(df, label, *by):
+        out = plain(df, label, *by)
+        made.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(fl, "stored", counted)
+    rows = list(enumerate(family(200, 5)))
+    found = near_duplicate_components(frame(spark, rows), JoinParams()).collect()
+    assert sorted(tuple(r) for r in found) == sorted(b[:3] for b in brute(rows, 75))
+    # One family, in one band of sizes or two.
+    members = [n for label, n in made if label == "differences"]
+    assert 0 < sum(members) <= 2 * len(rows)
+
+
+def test_families_over_bands_of_sizes(spark):
+    rnd = random.Random(9)
+    texts = [" ".join(f"b{i}" for i in range(rnd.randint(8, 60))) for _ in range(60)]
+    texts += [f"{t} {rnd.choice('xyz')}" for t in texts[:30]]
+    rows = list(enumerate(texts))
+    found = near_duplicate_components(frame(spark, rows), JoinParams(many=3)).collect()
+    assert sorted(tuple(r) for r in found) == sorted(b[:3] for b in brute(rows, 75))
+
+
 def test_crowds_of_some_dozen_are_paired(spark, monkeypatch):
     made, plain = [], fl.stored
     monkeypatch.setattr(fl, "stored", lambda df, label, *by: made.append(label) or plain(df, label, *by))
