@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallyguard.llm.frames import arrow_map
+from tallyguard.llm.frames import arrow_map, small
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -191,7 +191,7 @@ def round_trip(df: DataFrame, vocabulary: Vocabulary | None = None, text: str =
     df = df.drop("pieces", "n_pieces", "round_trip")
 
     def run(batches, codec):
-        for batch in batches:
+        for batch in small(batches):
             out = {n: batch.column(n) for n in batch.schema.names}
             texts = batch.column(text).to_pylist()
             ids = [codec.encode(t) for t in texts]

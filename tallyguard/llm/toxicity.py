@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyguard.llm.frames import arrow_map, stored
+from tallyguard.llm.frames import arrow_map, small, stored
 
 # Look-alike letters and digits or signs written for letters.
 HOMOGLYPHS = {
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = None
                 counter.clear()
             return out
 
-        for batch in batches:
+        for batch in small(batches):
             for body, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
                 seen[y].update(terms(body, params.stem))
                 if len(seen[0]) + len(seen[1]) > _TERMS_HELD:
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = None
     model = ToxicityModel(weights, (0.0, 0.0, 0.0), params)
 
     def measure(batches, automaton):
-        for batch in batches:
+        for batch in small(batches):
             x = [features(*lexicon_hits(t, automaton), params.length_power) for t in batch.column("text").to_pylist()]
             yield {"a": [v[0] for v in x], "b": [v[1] for v in x], "y": batch.column("y")}
 
@@ -245,13 +245,15 @@ def score(df: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple[s
     text, so repeated rows get equal scores and an empty table gives an empty one.
     """
     keep = tuple(k for k in keep if k not in ("tox_score", "tox_hits", "tox_weight"))
-    rows = df.select(*[F.col(k) for k in keep], F.col(text).alias("__text"))
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    rows = df.select(*[F.col(k) for k in keep], *([] if text in keep else [F.col(text).alias("__text")]))
+    # A text that is kept goes to the workers once.
+    read = text if text in keep else "__text"
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
 
     def run(batches, automaton):
-        for batch in batches:
+        for batch in small(batches):
             out = {name: batch.column(name) for name in batch.schema.names if name != "__text"}
-            found = [lexicon_hits(t, automaton) for t in batch.column("__text").to_pylist()]
+            found = [lexicon_hits(t, automaton) for t in batch.column(read).to_pylist()]
             out["tox_score"] = [probability(model.curve, features(*f, model.params.length_power)) for f in found]
             out["tox_hits"] = [f[1] for f in found]
             out["tox_weight"] = [f[0] for f in found]

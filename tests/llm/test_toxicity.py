@@ -1,9 +1,11 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tallyguard.llm import toxicity as tox
+from tallyguard.llm.frames import small
 
 
 @pytest.fixture(scope="module")
@@ -125,3 +127,21 @@ def test_short_and_long_words_count(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = tox.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
     assert set(model.weights) == {"=zq", "=xanthophyllous"}
+
+
+def test_a_kept_text_goes_to_the_workers_once(spark, tables):
+    docs, labels = tables
+    model = tox.fit(docs, labels)
+    alone = {(r.doc_id, r.tox_score) for r in tox.score(docs, model).collect()}
+    kept = tox.score(docs, model, keep=("doc_id", "text"))
+    assert kept.columns == ["doc_id", "text", "tox_score", "tox_hits", "tox_weight"]
+    assert {(r.doc_id, r.tox_score) for r in kept.collect()} == alone
+    assert sorted(map(str, (r.text for r in kept.collect()))) == sorted(map(str, (r.text for r in docs.collect())))
+    assert "__text" not in kept._jdf.queryExecution().toString()
+
+
+def test_batches_are_cut_small():
+    batches = [pa.record_batch({"x": list(range(a, b))}) for a, b in ((0, 2500), (2500, 2500), (2500, 2507))]
+    cut = list(small(iter(batches)))
+    assert [b.num_rows for b in cut] == [1000, 1000, 500, 7]
+    assert [x for b in cut for x in b.column("x").to_pylist()] == list(range(2507))
