@@ -143,8 +143,8 @@ def _unit(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
-def _full_sets(rows: DataFrame, wanted: DataFrame, params: SignatureParams) -> DataFrame:
-    """(unit, n, shared, bits): all shingles of the wanted units (unit, id of a row with its text)."""
+def _full_sets(texts: DataFrame, wanted: DataFrame, params: SignatureParams) -> DataFrame:
+    """(unit, n, shared, bits): all shingles of the wanted units, whose texts are among ``texts``."""
 
     def run(batches):
         hashes = WordHashes()
@@ -157,12 +157,19 @@ def _full_sets(rows: DataFrame, wanted: DataFrame, params: SignatureParams) -> D
                         out[name].append(value)
             yield out
 
-    here = rows.join(wanted.select("id").distinct(), "id", "left_semi")
-    made = arrow_map(here, "unit long, n int, shared binary, bits binary", run)
+    made = arrow_map(texts.select("text"), "unit long, n int, shared binary, bits binary", run)
     # An id on several rows brings other texts along, or its own more than once.
     return made.join(wanted.select("unit"), "unit").groupBy("unit").agg(*(F.first(c).alias(c) for c in ("n", "shared", "bits")))
 
 
+def _texts_of(rows: DataFrame, units: DataFrame, paired: DataFrame, crowded: DataFrame) -> DataFrame:
+    """(text, paired, crowded) of the rows of ``units`` (unit, id) in either: the texts are dealt by id
+    once, and only those that later steps read are kept, so they never deal the whole table again."""
+    either = paired.withColumn("use", F.lit("paired")).union(crowded.withColumn("use", F.lit("crowded")))
+    uses = units.join(either, "unit").groupBy("id").agg(*(F.max(F.col("use") == u).alias(u) for u in ("paired", "crowded")))
+    return stored(rows.join(uses, "id").select("text", "paired", "crowded"), "texts")
+
+
 def signature_links(rows: DataFrame, signed: DataFrame, params: SignatureParams) -> DataFrame:
     """(a, b): links between units, one for each different word sequence."""
     units = stored(signed.filter("unit is not null").groupBy("unit").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "units")
@@ -173,11 +180,11 @@ def signature_links(rows: DataFrame, signed: DataFrame, params: SignatureParams)
     pairs = few.alias("x").join(few.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.unit") < F.col("y.unit")))
     pairs = stored(_within(pairs.select(F.col("x.unit").alias("a"), F.col("y.unit").alias("b")).distinct(), units, params), "pairs")
     paired = pairs.select(F.col("a").alias("unit")).union(pairs.select("b")).distinct()
-    sets = stored(_full_sets(rows, units.join(paired, "unit", "left_semi").select("unit", "id"), params), "sets")
     crowded = met.filter(F.col("crowd") > params.many).select("unit").distinct()
-    texts = rows.join(units.join(crowded, "unit", "left_semi").select("id").distinct(), "id", "left_semi")
+    texts = _texts_of(rows, units.select("unit", "id"), paired, crowded)
+    sets = stored(_full_sets(texts.filter("paired"), paired, params), "sets")
     dense = JoinParams(width=params.width, num=params.num, den=params.den, many=params.dense)
-    return verified(pairs, sets, params.rule).union(similar_links(shingle_sets(texts, dense), dense))
+    return verified(pairs, sets, params.rule).union(similar_links(shingle_sets(texts.filter("crowded").select("text"), dense), dense))
 
 
 def near_duplicates(docs: DataFrame, params: SignatureParams | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

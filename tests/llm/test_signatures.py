@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tallyguard.llm import family_links as fl
+from tallyguard.llm import minhash_join as mj
 from tallyguard.llm.frames import WordHashes, shingle_hashes, words_of
 from tallyguard.llm.jaccard_join import JoinParams, near_duplicate_components
 from tallyguard.llm.minhash_join import SignatureParams, hash_orders, lookup_keys, near_duplicates, signature
@@ -69,6 +70,26 @@ def test_components_against_all_pairs(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found), key=str) == brute(rows, 85)
 
 
+def test_texts_are_dealt_once_and_only_those_in_use_are_kept(spark, monkeypatch):
+    read = []
+
+    def told(own):
+        return lambda texts, *rest: (read.append(texts), own(texts, *rest))[1]
+
+    for name in ("_full_sets", "shingle_sets"):
+        monkeypatch.setattr(mj, name, told(getattr(mj, name)))
+    pair = [" ".join(f"p{i}" for i in range(60)), " ".join(f"p{i}" for i in range(59))]
+    lone = [" ".join(f"l{k}x{i}" for i in range(30)) for k in range(50)]
+    rows = [*enumerate(family(12, 4, changes=1) + pair + lone), (12, "quite another text of seven words")]
+    found = near_duplicates(frame(spark, rows), SignatureParams(many=3)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found), key=str) == brute(rows, 85)
+    assert len(read) == 2
+    for texts in read:
+        # Read from the stored part, not joined out of all rows again.
+        assert texts.inputFiles() and all("/texts-" in f for f in texts.inputFiles())
+        assert 0 < texts.count() <= 12 + 3
+
+
 def test_no_rows(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
     found = near_duplicates(frame(spark, [(1, None), (2, "")])).collect()
