@@ -1,9 +1,11 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from tallyguard.llm import collocations as co
+from tallyguard.llm import periodic_runs as pr
 from tallyguard.llm.collocations import PhraseParams, collocations, exact_score
 from tallyguard.llm.periodic_runs import RunParams, collapsed, periodic_runs, runs_of
 
@@ -66,6 +68,33 @@ def test_run_rows(spark):
     assert periodic_runs(frame(spark, [])).count() == 0
 
 
+class Batch:
+    """A record batch that tells how many rows are asked for at once."""
+
+    def __init__(self, batch, asked):
+        self.batch, self.asked, self.num_rows = batch, asked, batch.num_rows
+
+    def slice(self, at, rows):
+        return Batch(self.batch.slice(at, rows), self.asked)
+
+    def column(self, name):
+        self.asked.append(self.num_rows)
+        return self.batch.column(name)
+
+
+def test_texts_are_held_in_small_parts(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(pr, "arrow_map", lambda rows, schema, run: (taken.append(run), rows)[1])
+    periodic_runs(frame(spark, []), RunParams(chunk_words=700))
+    ids = list(range(2500))
+    whole = pa.record_batch({"doc_id": ids, "text": [f"x{i} " + "a b " * (i % 7) for i in ids]})
+    asked = []
+    out = list(taken[0](iter([Batch(whole, asked)])))
+    assert max(asked) <= 1000
+    assert [d for part in out for d in part["doc_id"]] == ids
+    assert [len(r) for part in out for r in part["runs"]] == [int(i % 7 >= 4) for i in ids]
+
+
 # --- phrases --------------------------------------------------------------------------------------
 
 
